@@ -1,0 +1 @@
+"""No streaming operators: every analysis in this workload is a batch job."""
