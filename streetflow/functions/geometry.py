@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 TOUCH_EPS = 1e-9
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body mentions it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def point(x, y) -> Column:
     return F.struct(F.col(x).alias("x") if isinstance(x, str) else x.cast("double").alias("x"),
                     F.col(y).alias("y") if isinstance(y, str) else y.cast("double").alias("y"))
@@ -137,14 +142,15 @@ def buffer_segment_touches(a: Column, b: Column, wa: float, wb: float) -> Column
         & (F.abs(dx * ubx + dy * uby) <= hb + ha * cos + wa * sin + TOUCH_EPS)
         & (F.abs(dx * uby - dy * ubx) <= wb + ha * sin + wa * cos + TOUCH_EPS)
     )
-    ra, rb = segment_rectangle(a, wa), segment_rectangle(b, wb)
-    ba, bb = (segment_bevel(a, wa) if wa else None), segment_bevel(b, wb)
-    corner_a = (F.coalesce(turn(a), F.lit(0.0)) != 0) if wa else F.lit(False)
-    corner_b = F.coalesce(turn(b), F.lit(0.0)) != 0
-    bevel = corner_b & convex_touches(ra, bb)
+    corners = F.coalesce(turn(b), F.lit(0.0)) != 0
     if wa:
-        bevel = bevel | (corner_a & convex_touches(ba, rb)) | (corner_a & corner_b & convex_touches(ba, bb))
-    return rect | ((corner_a | corner_b) & bevel)
+        corners = corners | (F.coalesce(turn(a), F.lit(0.0)) != 0)
+
+    def pieces(s, w):
+        return F.array_compact(F.array(segment_rectangle(s, w), segment_bevel(s, w) if w else F.lit(None)))
+
+    bevels = F.exists(pieces(a, wa), lambda p: F.exists(pieces(b, wb), lambda q: convex_touches(p, q)))
+    return rect | (corners & bevels)
 
 
 def convex_touches(p: Column, q: Column) -> Column:
@@ -200,13 +206,10 @@ def locate(line: Column, cum: Column, px: Column, py: Column) -> Column:
         )
 
     best = F.array_min(F.transform(F.slice(line, F.lit(1), F.greatest(F.size(line) - 1, F.lit(0))), nearest))
-    return F.transform(
-        F.array(best),
-        lambda b: F.struct(
-            b["dist"].alias("dist"), b["x"].alias("x"), b["y"].alias("y"),
-            F.coalesce(F.try_divide(b["at"], F.element_at(cum, -1)), F.lit(0.0)).alias("fraction"),
-        ),
-    )[0]
+    return let(best, lambda b: F.struct(
+        b["dist"].alias("dist"), b["x"].alias("x"), b["y"].alias("y"),
+        F.coalesce(F.try_divide(b["at"], F.element_at(cum, -1)), F.lit(0.0)).alias("fraction"),
+    ))
 
 
 def closest_point(line: Column, px: Column, py: Column) -> Column:

@@ -49,20 +49,33 @@ def rectangle_interval(a: Column, b: Column, width: float) -> Column:
 
 def bevel_interval(a: Column, b: Column, width: float) -> Column:
     """Part of segment ``a`` inside the bevel after segment ``b``; NULL when there is no corner."""
-    tri = G.segment_bevel(b, width)
-    p = [F.get(tri, F.lit(i)) for i in range(3)]
-    sign = F.signum((p[1]["x"] - p[0]["x"]) * (p[2]["y"] - p[0]["y"])
-                    - (p[1]["y"] - p[0]["y"]) * (p[2]["x"] - p[0]["x"]))
-    bounds = []
-    for i in range(3):
-        q, r = p[i], p[(i + 1) % 3]
-
-        def side(k, q=q, r=r):
-            return sign * ((r["x"] - q["x"]) * (a[f"y{k}"] - q["y"]) - (r["y"] - q["y"]) * (a[f"x{k}"] - q["x"]))
-
-        bounds.append(_between(side(0), side(1), F.lit(0.0), F.lit(float("inf"))))
+
+    def clip(tri):
+        p = [F.get(tri, F.lit(i)) for i in range(3)]
+        left = F.signum((p[1]["x"] - p[0]["x"]) * (p[2]["y"] - p[0]["y"])
+                        - (p[1]["y"] - p[0]["y"]) * (p[2]["x"] - p[0]["x"]))
+
+        def sides(i):
+            q, r = p[i], p[(i + 1) % 3]
+            return F.struct(*[
+                (left * ((r["x"] - q["x"]) * (a[f"y{k}"] - q["y"])
+                         - (r["y"] - q["y"]) * (a[f"x{k}"] - q["x"]))).alias(f"v{k}") for k in (0, 1)])
+
+        inside = F.transform(F.array(*[sides(i) for i in range(3)]), _half_plane)
+        return F.struct(F.array_max(F.transform(inside, lambda v: v["t0"])).alias("t0"),
+                        F.array_min(F.transform(inside, lambda v: v["t1"])).alias("t1"))
+
     corner = F.coalesce(G.turn(b), F.lit(0.0)) != 0
-    return F.when(corner, _interval(bounds))
+    return F.when(corner, G.let(
+        G.let(G.segment_bevel(b, width), clip), lambda v: F.when(v["t1"] > v["t0"], v)))
+
+
+def _half_plane(v: Column) -> Column:
+    """Parameters in [0, 1] at which v0 + t (v1 - v0) is not negative."""
+    cross = F.try_divide(v["v0"], v["v0"] - v["v1"])
+    return F.struct(
+        F.when(v["v0"] >= 0, 0.0).when(v["v1"] >= 0, cross).otherwise(1.0).alias("t0"),
+        F.when(v["v1"] >= 0, 1.0).when(v["v0"] >= 0, cross).otherwise(0.0).alias("t1"))
 
 
 def _merge(intervals: Column) -> Column:

@@ -82,7 +82,7 @@ def trips(spark: SparkSession, sf_dir: str, duplicates: bool = True) -> DataFram
     off = GAP * (_div(k, 2) % LINES) + k % 6
     s = (37 * k) % extent(spark, sf_dir)
     forward = F.when(k % 3 == 0, F.array(s, s + _div(length, 2), s + length)).otherwise(F.array(s, s + length))
-    alongs = F.when(k % 5 == 0, F.reverse(forward)).otherwise(forward)
+    alongs = F.when(k % 7 == 0, F.reverse(forward)).otherwise(forward)
     line = F.transform(alongs, lambda v: _xy(v, off, orient))
     # The order dates run 1995-2001; the study's year labels are dealt out by year parity.
     quarter = F.concat(F.lit("q"), F.quarter("o_orderdate"), F.lit("_"), 2018 + F.year("o_orderdate") % 2)
