@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
@@ -39,6 +39,20 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_counted(df: DataFrame, path: str) -> int:
+    """Write ``df`` and return its row count, observed while writing: no second job."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return seen.get["n"]
+
+
+def cut_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """``cut_lineage`` with the row count."""
+    path = run_dir(df.sparkSession, label)
+    n = write_counted(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), n
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Hint a broadcast only after counting; stops counting just above the bound."""
     small = df.limit(max_rows + 1).count() <= max_rows

@@ -1,11 +1,12 @@
 """GeoJSON feature collections in and out.
 
-A collection is written as one JSON document per part file. Nothing is gathered: each task frames its
-own features, so the size of the data does not matter. A reader takes a whole folder of collections.
+A collection is written as one or more documents of bounded size. Nothing is gathered: each task frames
+its own features, so the size of the data does not matter. A reader takes a whole folder of documents.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,8 @@ PROPERTIES = [
 ]
 FEATURE_TYPE = "feature"
 
+FEATURES_PER_FILE = 100_000
+
 ROUTE_PROPERTIES = T.StructType([
     T.StructField(p, T.StringType() if p in ("trip_id", "propulsion_type") else T.DoubleType())
     for p in PROPERTIES])
@@ -44,21 +47,36 @@ def feature_json(line: str = "geom", properties: list[str] | None = None):
         F.struct(*(properties or PROPERTIES)).alias("properties")))
 
 
-def write_geojson(df: DataFrame, path: str, line: str = "geom", properties: list[str] | None = None,
-                  rows_per_file: int = 0) -> None:
-    """One FeatureCollection per file, lines in degrees. ``rows_per_file`` bounds a file's features."""
-    body = df.select(feature_json(line, properties).alias("value"))
-    writer = body.write.mode("overwrite").option("lineSep", ",\n")
-    if rows_per_file:
-        writer = writer.option("maxRecordsPerFile", rows_per_file)
-    writer.text(path)
+def _documents(features: DataFrame, per_document: int) -> DataFrame:
+    """Frame feature texts (column ``value``) into FeatureCollection documents inside each task.
+
+    No shuffle, and a task holds one document at a time.
+    """
+
+    def frame(batches):
+        held = []
 
+        def document():
+            return pa.RecordBatch.from_pydict(
+                {"value": ['{"type":"FeatureCollection","features":[' + ",".join(held) + "]}"]})
 
-def read_feature_rows(spark: SparkSession, path: str | list[str], properties: T.StructType = ROUTE_PROPERTIES) -> DataFrame:
-    """Features written one per line by ``write_geojson``; files split, so large ones read in parallel."""
-    schema = collection_schema(properties)["features"].dataType.elementType
-    rows = spark.read.option("lineSep", ",\n").text(path)
-    return _flatten(rows.select(F.from_json("value", schema).alias("f")).filter("f is not null"))
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.append(text)
+                if len(held) == per_document:
+                    yield document()
+                    held.clear()
+        if held:
+            yield document()
+
+    return features.mapInArrow(frame, "value string")
+
+
+def write_geojson(df: DataFrame, path: str, line: str = "geom", properties: list[str] | None = None,
+                  per_file: int = FEATURES_PER_FILE) -> None:
+    """FeatureCollection files of at most ``per_file`` features each, lines as they are in ``line``."""
+    body = df.select(feature_json(line, properties).alias("value"))
+    _documents(body, per_file).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_geojson(spark: SparkSession, path: str | list[str], properties: T.StructType = ROUTE_PROPERTIES) -> DataFrame:
@@ -75,19 +93,16 @@ def _flatten(features: DataFrame) -> DataFrame:
 
 
 def merge_geojson(spark: SparkSession, root: str, bands: list[str], out: str,
-                  properties: T.StructType = ROUTE_PROPERTIES) -> None:
-    """Features of ``root/<band>/json_files`` written together under ``out/band=<band>``."""
-    merged = None
+                  properties: T.StructType = ROUTE_PROPERTIES, per_file: int = FEATURES_PER_FILE) -> None:
+    """The many small files of ``root/<band>/json_files`` rewritten as few large ones, ``out/<band>``."""
     for band in bands:
-        part = read_geojson(spark, f"{root}/{band}/json_files", properties).withColumn("band", F.lit(band))
-        merged = part if merged is None else merged.unionByName(part)
-    merged.select("band", feature_json("geom", properties.fieldNames()).alias("value")).write.mode(
-        "overwrite").partitionBy("band").option("lineSep", ",\n").text(out)
+        write_geojson(read_geojson(spark, f"{root}/{band}/json_files", properties), f"{out}/{band}",
+                      properties=properties.fieldNames(), per_file=per_file)
 
 
 def single_document(df: DataFrame, line: str = "geom", properties: list[str] | None = None,
                     max_features: int = 100_000) -> DataFrame:
-    """One FeatureCollection document as a single row, for results proven small.
+    """One FeatureCollection document as a single row, for results counted to be small.
 
     Raises when there are more features; use ``write_geojson`` for those.
     """
