@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOUCH_EPS = 1e-9
+SEGMENT = ("x0", "y0", "x1", "y1", "x2", "y2")
 
 
 def let(value: Column, body) -> Column:
@@ -59,6 +60,24 @@ def segment_length(s: Column) -> Column:
     return F.hypot(s["x1"] - s["x0"], s["y1"] - s["y0"])
 
 
+def framed(s: Column) -> Column:
+    """The segment with what buffer tests need, computed once before the join: unit direction (ux, uy),
+    half length h, unit direction (vx, vy) of the next segment, and the outer side of the corner
+    (1 left, -1 right, 0 no corner).
+    """
+    n = segment_length(s)
+    n2 = F.nullif(F.hypot(s["x2"] - s["x1"], s["y2"] - s["y1"]), F.lit(0.0))
+    raw = [s[f].alias(f) for f in ("seg", *SEGMENT)]
+    return F.struct(
+        *raw, ((s["x1"] - s["x0"]) / n).alias("ux"), ((s["y1"] - s["y0"]) / n).alias("uy"), (n / 2).alias("h"),
+        ((s["x2"] - s["x1"]) / n2).alias("vx"), ((s["y2"] - s["y1"]) / n2).alias("vy"),
+        F.coalesce(-F.signum(turn(s)), F.lit(0.0)).alias("side"))
+
+
+def unframed(s: Column) -> Column:
+    return F.struct(*[s[f].alias(f) for f in SEGMENT])
+
+
 def line_length(line: Column) -> Column:
     parts = F.transform(
         F.slice(line, F.lit(1), F.greatest(F.size(line) - 1, F.lit(0))),
@@ -86,95 +105,99 @@ def polygon_area(rings: Column) -> Column:
 
 # ---------------------------------------------------------------- buffers (flat cap, bevel join)
 
+def turn(s: Column) -> Column:
+    """Cross product of the segment with the next one: > 0 left turn, NULL at the end of the line."""
+    return (s["x1"] - s["x0"]) * (s["y2"] - s["y1"]) - (s["y1"] - s["y0"]) * (s["x2"] - s["x1"])
+
+
 def segment_rectangle(s: Column, width: float) -> Column:
-    n = segment_length(s)
-    ox, oy = -(s["y1"] - s["y0"]) / n * width, (s["x1"] - s["x0"]) / n * width
+    """Corners of a framed segment's buffer."""
+    ox, oy = -s["uy"] * width, s["ux"] * width
     return F.array(
         point(s["x0"] + ox, s["y0"] + oy), point(s["x1"] + ox, s["y1"] + oy),
         point(s["x1"] - ox, s["y1"] - oy), point(s["x0"] - ox, s["y0"] - oy),
     )
 
 
-def turn(s: Column) -> Column:
-    """Cross product of the segment with the next one: > 0 left turn, NULL at the end of the line."""
-    return (s["x1"] - s["x0"]) * (s["y2"] - s["y1"]) - (s["y1"] - s["y0"]) * (s["x2"] - s["x1"])
-
-
 def segment_bevel(s: Column, width: float) -> Column:
-    """Triangle filling the outer side of the corner after the segment; NULL when there is no corner."""
-    side = F.when(turn(s) > 0, F.lit(-width)).when(turn(s) < 0, F.lit(width))
-    n1, n2 = segment_length(s), F.hypot(s["x2"] - s["x1"], s["y2"] - s["y1"])
+    """Triangle filling the outer side of the corner after a framed segment; NULL without a corner."""
+    w = s["side"] * width
     return F.when(
-        side.isNotNull(),
+        s["side"] != 0,
         F.array(
             point(s["x1"], s["y1"]),
-            point(s["x1"] - side * (s["y1"] - s["y0"]) / n1, s["y1"] + side * (s["x1"] - s["x0"]) / n1),
-            point(s["x1"] - side * (s["y2"] - s["y1"]) / n2, s["y1"] + side * (s["x2"] - s["x1"]) / n2),
+            point(s["x1"] - w * s["uy"], s["y1"] + w * s["ux"]),
+            point(s["x1"] - w * s["vy"], s["y1"] + w * s["vx"]),
         ),
     )
 
 
 def buffer_pieces(line: Column, width: float) -> Column:
     """The buffer of a line as convex pieces: a rectangle per segment and a bevel per corner."""
-    segs = segments(line)
-    return F.concat(
-        F.transform(segs, lambda s: segment_rectangle(s, width)),
-        F.filter(F.transform(segs, lambda s: segment_bevel(s, width)), lambda p: p.isNotNull()),
-    )
 
+    def both(segs):
+        return F.concat(
+            F.transform(segs, lambda s: segment_rectangle(s, width)),
+            F.filter(F.transform(segs, lambda s: segment_bevel(s, width)), lambda p: p.isNotNull()))
 
-def buffer_segment_touches(a: Column, b: Column, wa: float, wb: float) -> Column:
-    """Do the buffered segments ``a`` and ``b`` share at least a point?
-
-    Rectangles are tested on their four separating axes. Only when that fails and a corner exists
-    does the interpreted polygon test for the bevels run.
-    """
-    la, lb = segment_length(a), segment_length(b)
-    uax, uay = (a["x1"] - a["x0"]) / la, (a["y1"] - a["y0"]) / la
-    ubx, uby = (b["x1"] - b["x0"]) / lb, (b["y1"] - b["y0"]) / lb
-    dx = (b["x0"] + b["x1"] - a["x0"] - a["x1"]) / 2
-    dy = (b["y0"] + b["y1"] - a["y0"] - a["y1"]) / 2
-    cos, sin = F.abs(uax * ubx + uay * uby), F.abs(uax * uby - uay * ubx)
-    ha, hb = la / 2, lb / 2
-    rect = (
-        (F.abs(dx * uax + dy * uay) <= ha + hb * cos + wb * sin + TOUCH_EPS)
-        & (F.abs(dx * uay - dy * uax) <= wa + hb * sin + wb * cos + TOUCH_EPS)
-        & (F.abs(dx * ubx + dy * uby) <= hb + ha * cos + wa * sin + TOUCH_EPS)
-        & (F.abs(dx * uby - dy * ubx) <= wb + ha * sin + wa * cos + TOUCH_EPS)
-    )
-    corners = F.coalesce(turn(b), F.lit(0.0)) != 0
-    if wa:
-        corners = corners | (F.coalesce(turn(a), F.lit(0.0)) != 0)
+    return let(F.transform(segments(line), framed), both)
 
-    def pieces(s, w):
-        return F.array_compact(F.array(segment_rectangle(s, w), segment_bevel(s, w) if w else F.lit(None)))
 
-    bevels = F.exists(pieces(a, wa), lambda p: F.exists(pieces(b, wb), lambda q: convex_touches(p, q)))
-    return rect | (corners & bevels)
+def _pieces_sql(s: str, w: float) -> str:
+    rect = (f"array(struct({s}.x0 - {w} * {s}.uy AS x, {s}.y0 + {w} * {s}.ux AS y), "
+            f"struct({s}.x1 - {w} * {s}.uy AS x, {s}.y1 + {w} * {s}.ux AS y), "
+            f"struct({s}.x1 + {w} * {s}.uy AS x, {s}.y1 - {w} * {s}.ux AS y), "
+            f"struct({s}.x0 + {w} * {s}.uy AS x, {s}.y0 - {w} * {s}.ux AS y))")
+    if not w:
+        return f"array({rect})"
+    k = f"{s}.side * {w}"
+    bevel = (f"array(struct({s}.x1 AS x, {s}.y1 AS y), "
+             f"struct({s}.x1 - {k} * {s}.uy AS x, {s}.y1 + {k} * {s}.ux AS y), "
+             f"struct({s}.x1 - {k} * {s}.vy AS x, {s}.y1 + {k} * {s}.vx AS y))")
+    return f"CASE WHEN {s}.side = 0 THEN array({rect}) ELSE array({rect}, {bevel}) END"
 
 
-def convex_touches(p: Column, q: Column) -> Column:
-    """Separating-axis test for two convex rings given as point arrays; NULL if either is NULL."""
+def _convex_touches_sql(p: str, q: str) -> str:
+    """Separating-axis test for two convex rings given as point arrays."""
 
     def edges(r):
-        return F.transform(
-            r,
-            lambda v, i: F.struct(
-                (F.coalesce(F.get(r, i + 1), F.get(r, F.lit(0)))["x"] - v["x"]).alias("x"),
-                (F.coalesce(F.get(r, i + 1), F.get(r, F.lit(0)))["y"] - v["y"]).alias("y"),
-            ),
-        )
+        return (f"transform({r}, (v, i) -> struct(coalesce(get({r}, i + 1), get({r}, 0)).x - v.x AS x, "
+                f"coalesce(get({r}, i + 1), get({r}, 0)).y - v.y AS y))")
+
+    def gap(r, t):
+        return (f"array_max(transform({r}, v -> v.y * e.x - v.x * e.y)) < "
+                f"array_min(transform({t}, v -> v.y * e.x - v.x * e.y)) - {TOUCH_EPS!r}D * hypot(e.x, e.y)")
+
+    return f"NOT exists(concat({edges(p)}, {edges(q)}), e -> {gap(p, q)} OR {gap(q, p)})"
+
 
-    def span(r, e):
-        proj = F.transform(r, lambda v: v["y"] * e["x"] - v["x"] * e["y"])
-        return F.array_min(proj), F.array_max(proj)
+def convex_touches(p: str, q: str) -> Column:
+    """Do the convex rings in columns ``p`` and ``q`` share at least a point?"""
+    return F.expr(_convex_touches_sql(p, q))
 
-    def gap(e):
-        (plo, phi), (qlo, qhi) = span(p, e), span(q, e)
-        eps = TOUCH_EPS * F.hypot(e["x"], e["y"])
-        return (phi < qlo - eps) | (qhi < plo - eps)
 
-    return ~F.exists(F.concat(edges(p), edges(q)), gap)
+def buffer_segment_touches(a: str, b: str, wa: float, wb: float) -> Column:
+    """Do the buffers of the framed segments in columns ``a`` and ``b`` share at least a point?
+
+    Rectangles are tested on their four separating axes. Only when that fails and a corner exists
+    does the interpreted polygon test for the bevels run. As SQL text, for the driver's sake: one
+    parse instead of hundreds of calls.
+    """
+    dx, dy = f"({b}.x0 + {b}.x1 - {a}.x0 - {a}.x1) / 2", f"({b}.y0 + {b}.y1 - {a}.y0 - {a}.y1) / 2"
+    cos = f"abs({a}.ux * {b}.ux + {a}.uy * {b}.uy)"
+    sin = f"abs({a}.ux * {b}.uy - {a}.uy * {b}.ux)"
+    eps = f"{TOUCH_EPS!r}D"
+    tests = []
+    for s, h, w, oh, ow in ((a, f"{a}.h", wa, f"{b}.h", wb), (b, f"{b}.h", wb, f"{a}.h", wa)):
+        tests += [
+            f"abs({dx} * {s}.ux + {dy} * {s}.uy) <= {h} + {oh} * {cos} + {ow}D * {sin} + {eps}",
+            f"abs({dx} * {s}.uy - {dy} * {s}.ux) <= {w}D + {oh} * {sin} + {ow}D * {cos} + {eps}",
+        ]
+    corner = f"{b}.side <> 0" + (f" OR {a}.side <> 0" if wa else "")
+    # A bevel reaches no further from its segment than the width.
+    near = f"hypot({dx}, {dy}) <= {a}.h + {b}.h + {wa + wb}D"
+    bevels = (f"exists({_pieces_sql(a, wa)}, p -> exists({_pieces_sql(b, wb)}, q -> {_convex_touches_sql('p', 'q')}))")
+    return F.expr(f"({' AND '.join(tests)}) OR (({corner}) AND {near} AND {bevels})")
 
 
 # ---------------------------------------------------------------- linear referencing

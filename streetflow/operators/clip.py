@@ -33,9 +33,8 @@ def _interval(bounds: list[tuple[Column, Column]]) -> Column:
 
 
 def rectangle_interval(a: Column, b: Column, width: float) -> Column:
-    """Part of segment ``a`` inside the flat-cap rectangle of segment ``b``."""
-    n = G.segment_length(b)
-    ux, uy = (b["x1"] - b["x0"]) / n, (b["y1"] - b["y0"]) / n
+    """Part of segment ``a`` inside the flat-cap rectangle of the framed segment ``b``."""
+    n, ux, uy = 2 * b["h"], b["ux"], b["uy"]
 
     def along(k):
         return (a[f"x{k}"] - b["x0"]) * ux + (a[f"y{k}"] - b["y0"]) * uy
@@ -48,7 +47,7 @@ def rectangle_interval(a: Column, b: Column, width: float) -> Column:
 
 
 def bevel_interval(a: Column, b: Column, width: float) -> Column:
-    """Part of segment ``a`` inside the bevel after segment ``b``; NULL when there is no corner."""
+    """Part of segment ``a`` inside the bevel after the framed segment ``b``; NULL when there is no corner."""
 
     def clip(tri):
         p = [F.get(tri, F.lit(i)) for i in range(3)]
@@ -65,8 +64,7 @@ def bevel_interval(a: Column, b: Column, width: float) -> Column:
         return F.struct(F.array_max(F.transform(inside, lambda v: v["t0"])).alias("t0"),
                         F.array_min(F.transform(inside, lambda v: v["t1"])).alias("t1"))
 
-    corner = F.coalesce(G.turn(b), F.lit(0.0)) != 0
-    return F.when(corner, G.let(
+    return F.when(b["side"] != 0, G.let(
         G.let(G.segment_bevel(b, width), clip), lambda v: F.when(v["t1"] > v["t0"], v)))
 
 
@@ -110,11 +108,11 @@ def clip_to_buffers(trips: DataFrame, ways: DataFrame, trip_columns: list[str],
     streets = ways.select(
         *way_columns, F.xxhash64("osm_id", "geom").alias("way_key"),
         "geom", G.cumulative_lengths(F.col("geom")).alias("cum"))
-    left = grid.segment_cells(trips, "geom", trip_columns, "a", 0.0, size)
+    left = grid.segment_cells(trips, "geom", trip_columns, "a", 0.0, size, frame=True)
     right = grid.segment_cells(
-        streets, "geom", [*way_columns, "way_key", F.col("geom").alias("line"), "cum"], "b", BUFFER_M, size)
+        streets, "geom", [*way_columns, "way_key", F.col("geom").alias("line"), "cum"], "b", BUFFER_M, size, frame=True)
     a, b = F.col("a"), F.col("b")
-    near = G.buffer_segment_touches(a, b, 0.0, BUFFER_M)
+    near = G.buffer_segment_touches("a", "b", 0.0, BUFFER_M)
     pairs = grid.cell_join(left, right, near, "trip_id", max_broadcast, share)
 
     parts = F.array_compact(F.array(rectangle_interval(a, b, BUFFER_M), bevel_interval(a, b, BUFFER_M)))

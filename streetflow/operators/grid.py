@@ -46,11 +46,13 @@ def cells(s: Column, reach: float, size: float = CELL_M) -> Column:
 
 
 def segment_cells(df: DataFrame, line: str, keep: list[str | Column], name: str, reach: float,
-                  size: float = CELL_M) -> DataFrame:
+                  size: float = CELL_M, frame: bool = False) -> DataFrame:
     """One row per (row of df, segment, cell): ``keep`` columns, struct ``name``, ``cx``, ``cy``."""
+    kept = df.select(*keep, F.explode(G.segments(F.col(line))).alias(name))
+    if frame:
+        kept = kept.withColumn(name, G.framed(F.col(name)))
     return (
-        df.select(*keep, F.explode(G.segments(F.col(line))).alias(name))
-        .withColumn("_c", F.explode(cells(F.col(name), reach, size)))
+        kept.withColumn("_c", F.explode(cells(F.col(name), reach, size)))
         .select("*", F.col("_c.cx").alias("cx"), F.col("_c.cy").alias("cy")).drop("_c")
     )
 

@@ -45,17 +45,17 @@ def _moments_udf(size: float, wa: float, wb: float):
 def touching_pieces(trips: DataFrame, ways: DataFrame, size: float = grid.CELL_M,
                     max_broadcast: int = BROADCAST_ROWS, share: int = grid.HOT_SHARE) -> DataFrame:
     """(band, trip_id, osm_id, cx, cy) with the distinct touching segments of each side."""
-    left = grid.segment_cells(trips, "geom", ["band", "trip_id"], "a", BUFFER_M, size)
+    left = grid.segment_cells(trips, "geom", ["band", "trip_id"], "a", BUFFER_M, size, frame=True)
     right = grid.segment_cells(
         ways, "geom", ["osm_id", F.col("name").alias("hname"), F.col("lts").alias("stress_lev")],
-        "b", BUFFER_M, size)
-    touching = G.buffer_segment_touches(F.col("a"), F.col("b"), BUFFER_M, BUFFER_M)
+        "b", BUFFER_M, size, frame=True)
+    touching = G.buffer_segment_touches("a", "b", BUFFER_M, BUFFER_M)
     return (
         grid.cell_join(left, right, touching, "trip_id", max_broadcast, share)
         .groupBy("band", "trip_id", "osm_id", "cx", "cy")
         .agg(
-            F.collect_set(F.col("a").dropFields("seg")).alias("a"),
-            F.collect_set(F.col("b").dropFields("seg")).alias("b"),
+            F.collect_set(G.unframed(F.col("a"))).alias("a"),
+            F.collect_set(G.unframed(F.col("b"))).alias("b"),
             F.max("hname").alias("hname"), F.min("stress_lev").alias("stress_lev"),
         )
     )

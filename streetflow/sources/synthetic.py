@@ -7,7 +7,7 @@ has a closed form that plain SQL can check, while multi-vertex streets still exe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streetflow.functions import projection as P
@@ -24,120 +24,94 @@ def extent(spark: SparkSession, sf_dir: str) -> int:
     return SPAN * (read_table(spark, sf_dir, "part").count() // (2 * LINES))
 
 
-def _xy(along: Column, off: Column, orient: Column) -> Column:
-    return F.struct(
-        (F.when(orient == 0, along).otherwise(off) + BASE_X).cast("double").alias("x"),
-        (F.when(orient == 0, off).otherwise(along) + BASE_Y).cast("double").alias("y"),
-    )
+def _line(alongs: str) -> str:
+    """SQL of the line through ``alongs`` at lateral position ``off``, in direction ``orient``."""
+    return (f"transform({alongs}, v -> struct("
+            f"CAST(IF(orient = 0, v, off) + {BASE_X} AS DOUBLE) AS x, "
+            f"CAST(IF(orient = 0, off, v) + {BASE_Y} AS DOUBLE) AS y))")
 
 
-def _div(c: Column, n: int) -> Column:
-    return F.floor(c / n).cast("long")
+OFF = f"{GAP} * (k div 2 % {LINES})"
+BAND_LIST = ", ".join(f"'{b}'" for b in BANDS)
 
 
 def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey")
-    a0 = SPAN * _div(k, 2 * LINES)
-    off, orient = GAP * (_div(k, 2) % LINES), k % 2
-    m1 = GAP * (_div(a0, GAP) + 1)
-    alongs = F.array_distinct(F.filter(F.array(a0, m1, m1 + GAP, a0 + SPAN), lambda v: v <= a0 + SPAN))
-    highway = (
-        F.when(k % 12 == 0, "motorway").when(k % 12 == 1, "motorway_link").when(k % 12 == 2, "trunk")
-        .when(k % 12 == 3, "service").when(k % 12 == 4, "cycleway").when(k % 12 == 5, "footway")
-        .when(k % 12 == 7, "unclassified").when(k % 12 == 8, "pedestrian")
-        .when(k % 12 != 6, "residential"))
-    tags = (
-        F.when(k % 5 == 0, None).when(k % 17 == 0, '"power"=>"line"').when(k % 19 == 0, '"railway"=>"rail"')
-        .when(k % 23 == 0, '"bicycle"=>"yes"').when(k % 29 == 0, '"bicycle"=>"no"')
-        .when(k % 31 == 0, '"cycleway:both"=>"no"').when(k % 37 == 0, '"boundary"=>"administrative"')
-        .when(k % 41 == 0, '"note"=>"Interstate ramp"').when(k % 43 == 0, '"barrier"=>"fence"')
-        .otherwise('"surface"=>"asphalt"'))
-    lts = (
-        F.when(k % 7 == 0, "1").when(k % 7 == 1, "2").when(k % 7 == 2, "3").when(k % 7 == 4, "11")
-        .when(k % 7 != 5, "4"))
-    return read_table(spark, sf_dir, "part").select(
-        k.cast("string").alias("osm_id"),
-        F.when(k % 11 == 0, None).when(k % 13 == 0, F.concat(F.lit("Round Circle "), k))
-        .otherwise(F.concat(F.lit("Street "), k)).alias("name"),
-        highway.alias("highway"),
-        F.when(k % 3 == 0, "yes").when(k % 3 == 1, "no").alias("oneway"),
-        F.when(k % 15 == 0, "yes").alias("divided_oneway"),
-        lts.alias("lts"),
-        F.when(k % 24 == 0, "prohibited").otherwise(lts).alias("stress_lev"),
-        (k % 4 + 1).cast("string").alias("lanes"),
-        F.when(k % 29 == 0, "no").when(k % 4 == 0, "yes").alias("bicycle"),
-        tags.alias("other_tags"),
-        F.transform(alongs, lambda v: _xy(v, off, orient)).alias("geom"),
-    )
-
-
-def _band(i: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(b) for b in BANDS]), (i % 4 + 1).cast("int"))
+    keyed = read_table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS k", "p_partkey % 2 AS orient", f"{SPAN} * (p_partkey div {2 * LINES}) AS a0",
+    ).selectExpr("*", f"{OFF} AS off", f"a0 + {SPAN} AS a1", f"{GAP} * (a0 div {GAP} + 1) AS m",
+                 "CASE k % 7 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '3' WHEN 4 THEN '11' "
+                 "WHEN 5 THEN NULL ELSE '4' END AS lts")
+    return keyed.selectExpr(
+        "CAST(k AS STRING) AS osm_id",
+        "CASE WHEN k % 11 = 0 THEN NULL WHEN k % 13 = 0 THEN 'Round Circle ' || k ELSE 'Street ' || k END AS name",
+        """CASE k % 12 WHEN 0 THEN 'motorway' WHEN 1 THEN 'motorway_link' WHEN 2 THEN 'trunk' WHEN 3 THEN 'service'
+           WHEN 4 THEN 'cycleway' WHEN 5 THEN 'footway' WHEN 6 THEN NULL WHEN 7 THEN 'unclassified'
+           WHEN 8 THEN 'pedestrian' ELSE 'residential' END AS highway""",
+        "CASE k % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END AS oneway",
+        "CASE WHEN k % 15 = 0 THEN 'yes' END AS divided_oneway",
+        "lts", "CASE WHEN k % 24 = 0 THEN 'prohibited' ELSE lts END AS stress_lev",
+        "CAST(k % 4 + 1 AS STRING) AS lanes",
+        "CASE WHEN k % 29 = 0 THEN 'no' WHEN k % 4 = 0 THEN 'yes' END AS bicycle",
+        """CASE WHEN k % 5 = 0 THEN NULL WHEN k % 17 = 0 THEN '"power"=>"line"'
+           WHEN k % 19 = 0 THEN '"railway"=>"rail"' WHEN k % 23 = 0 THEN '"bicycle"=>"yes"'
+           WHEN k % 29 = 0 THEN '"bicycle"=>"no"' WHEN k % 31 = 0 THEN '"cycleway:both"=>"no"'
+           WHEN k % 37 = 0 THEN '"boundary"=>"administrative"' WHEN k % 41 = 0 THEN '"note"=>"Interstate ramp"'
+           WHEN k % 43 = 0 THEN '"barrier"=>"fence"' ELSE '"surface"=>"asphalt"' END AS other_tags""",
+        _line(f"array_distinct(filter(array(a0, m, m + {GAP}, a1), v -> v <= a1))") + " AS geom")
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What trips and routes share: keys, position and length."""
+    return spread(read_table(spark, sf_dir, "orders")).selectExpr(
+        "o_orderkey AS k", "CAST(o_orderkey AS STRING) AS trip_id", "o_orderkey % 2 AS orient",
+        "60 + o_orderkey % 900 AS length", f"37 * o_orderkey % {extent(spark, sf_dir)} AS s",
+        "IF(o_orderpriority = '5-LOW', 'scooter', 'bicycle') AS vehicle_type",
+        "IF(o_orderstatus = 'P', 'human', 'electric') AS propulsion_type",
+        "round(o_totalprice) % 100 AS matching_error", "o_orderdate",
+    ).selectExpr("*", "CAST(length AS DOUBLE) AS dist_calc",
+                 "CAST(IF(k % 10 = 0, length div 5, length) AS DOUBLE) AS od_line_dist")
 
 
 def trips(spark: SparkSession, sf_dir: str, duplicates: bool = True) -> DataFrame:
-    """One row per order; with ``duplicates`` every fiftieth trip appears again under the next band."""
-    k = F.col("o_orderkey")
-    orient, length = k % 2, 60 + k % 900
-    off = GAP * (_div(k, 2) % LINES) + k % 6
-    s = (37 * k) % extent(spark, sf_dir)
-    forward = F.when(k % 3 == 0, F.array(s, s + _div(length, 2), s + length)).otherwise(F.array(s, s + length))
-    alongs = F.when(k % 7 == 0, F.reverse(forward)).otherwise(forward)
-    line = F.transform(alongs, lambda v: _xy(v, off, orient))
+    """One row per order; with ``duplicates`` every fiftieth trip appears again under the next band.
+
+    Every third line has a middle vertex and every seventh runs backwards.
+    """
+    copies = "IF(k % 50 = 0, array(k, k + 1), array(k))" if duplicates else "array(k)"
+    placed = _orders(spark, sf_dir).selectExpr(
+        "*", f"{OFF} + k % 6 AS off",
+        "IF(k % 3 = 0, array(s, s + length div 2, s + length), array(s, s + length)) AS forward",
+    ).selectExpr("*", _line("IF(k % 7 = 0, reverse(forward), forward)") + " AS geom")
+    start, end = placed.geom[0], F.element_at(placed.geom, -1)
+    ends = placed.withColumn("o", P.to_lonlat(start["x"], start["y"])).withColumn(
+        "d", P.to_lonlat(end["x"], end["y"]))
     # The order dates run 1995-2001; the study's year labels are dealt out by year parity.
-    quarter = F.concat(F.lit("q"), F.quarter("o_orderdate"), F.lit("_"), 2018 + F.year("o_orderdate") % 2)
-    hour = F.make_dt_interval(F.lit(0), (k % 24).cast("int"))
-    base = spread(read_table(spark, sf_dir, "orders")).select(
-        k.cast("string").alias("trip_id"), k.alias("k"),
-        F.when(F.col("o_orderpriority") == "5-LOW", "scooter").otherwise("bicycle").alias("vehicle_type"),
-        F.when(F.col("o_orderstatus") == "P", "human").otherwise("electric").alias("propulsion_type"),
-        F.when(k % 211 != 0, F.col("o_orderdate").cast("timestamp_ntz") + hour).alias("start_time"),
-        quarter.alias("quart_year"),
-        length.cast("double").alias("dist_calc"),
-        F.when(k % 10 == 0, _div(length, 5)).otherwise(length).cast("double").alias("od_line_dist"),
-        (F.round("o_totalprice") % 100).cast("double").alias("matching_error"),
-        line.alias("geom"),
-    )
-    key = F.col("k")
-    copies = F.when(key % 50 == 0, F.array(key, key + 1)).otherwise(F.array(key)) if duplicates else F.array(key)
-    start, end = base.geom[0], F.element_at(base.geom, -1)
-    ll = base.withColumn("o", P.to_lonlat(start["x"], start["y"])).withColumn("d", P.to_lonlat(end["x"], end["y"]))
-    return (
-        ll.withColumn("band_no", F.explode(copies))
-        .select(
-            "trip_id", _band(F.col("band_no")).alias("band"), "vehicle_type", "propulsion_type", "start_time",
-            "quart_year", "dist_calc", "od_line_dist", "matching_error",
-            F.col("o.x").alias("lon_o"), F.col("o.y").alias("lat_o"),
-            F.col("d.x").alias("lon_d"), F.col("d.y").alias("lat_d"), "geom")
-    )
+    return ends.selectExpr("*", f"explode({copies}) AS band_no").selectExpr(
+        "trip_id", f"element_at(array({BAND_LIST}), CAST(band_no % 4 + 1 AS INT)) AS band",
+        "vehicle_type", "propulsion_type",
+        "CASE WHEN k % 211 <> 0 THEN CAST(o_orderdate AS TIMESTAMP_NTZ) + make_dt_interval(0, CAST(k % 24 AS INT)) END "
+        "AS start_time",
+        "'q' || quarter(o_orderdate) || '_' || (2018 + year(o_orderdate) % 2) AS quart_year",
+        "dist_calc", "od_line_dist", "matching_error",
+        "o.x AS lon_o", "o.y AS lat_o", "d.x AS lon_d", "d.y AS lat_d", "geom")
 
 
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modelled paths: the street's own centre line, shortened to length * 100 / c metres."""
-    k = F.col("o_orderkey")
-    orient, length, c = k % 2, 60 + k % 900, 95 + k % 400
-    off = GAP * (_div(k, 2) % LINES)
-    s = (37 * k) % extent(spark, sf_dir)
-    end = s + F.floor(length * 100 / c).cast("long")
-    line = F.array(_xy(s, off, orient), _xy(end, off, orient))
-    ratio = F.when(k % 97 == 0, "inf").when(k % 89 == 0, "-999999").otherwise(
-        F.concat(_div(c, 100), F.lit("."), F.lpad((c % 100).cast("string"), 2, "0")))
-    return spread(read_table(spark, sf_dir, "orders")).select(
-        k.cast("string").alias("trip_id"), _band(k).alias("band"),
-        length.cast("double").alias("dist_calc"),
-        F.when(k % 10 == 0, _div(length, 5)).otherwise(length).cast("double").alias("od_line_dist"),
-        (F.round("o_totalprice") % 100).cast("double").alias("matching_error"),
-        F.when(F.col("o_orderstatus") == "P", "human").otherwise("electric").alias("propulsion_type"),
-        (length * 100 / c).cast("double").alias("f_distance"),
-        ratio.alias("dist_ratio"), line.alias("geom"),
-    )
+    return _orders(spark, sf_dir).selectExpr("*", f"{OFF} AS off", "95 + k % 400 AS c").selectExpr(
+        "trip_id", f"element_at(array({BAND_LIST}), CAST(k % 4 + 1 AS INT)) AS band",
+        "dist_calc", "od_line_dist", "matching_error", "propulsion_type",
+        "CAST(length * 100 / c AS DOUBLE) AS f_distance",
+        "CASE WHEN k % 97 = 0 THEN 'inf' WHEN k % 89 = 0 THEN '-999999' "
+        "ELSE (c div 100) || '.' || lpad(CAST(c % 100 AS STRING), 2, '0') END AS dist_ratio",
+        _line("array(s, s + length * 100 div c)") + " AS geom")
 
 
 def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A five-by-five mosaic; borders at odd metres so that no street lies on one."""
     k = F.col("n_nationkey")
     w = extent(spark, sf_dir) // 5
-    x0, y0 = (k % 5) * w + 37 + BASE_X, _div(k, 5) * 800 + 53 + BASE_Y
+    x0, y0 = (k % 5) * w + 37 + BASE_X, F.expr("n_nationkey div 5") * 800 + 53 + BASE_Y
     x1, y1 = x0 + w, y0 + 800
 
     def pt(x, y):
