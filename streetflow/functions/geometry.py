@@ -247,8 +247,7 @@ def line_locate_point(line: Column, px: Column, py: Column) -> Column:
 def angle_between(p1: Column, p2: Column, p3: Column, p4: Column) -> Column:
     """Clockwise angle from p1->p2 to p3->p4 in [0, 2*pi); NULL when either has no length."""
     ax, ay, bx, by = p2["x"] - p1["x"], p2["y"] - p1["y"], p4["x"] - p3["x"], p4["y"] - p3["y"]
-    raw = F.atan2(bx, by) - F.atan2(ax, ay)
-    wrapped = F.when(raw < 0, raw + 2 * F.pi()).otherwise(raw)
+    wrapped = let(F.atan2(bx, by) - F.atan2(ax, ay), lambda v: F.when(v < 0, v + 2 * F.pi()).otherwise(v))
     return F.when(((ax != 0) | (ay != 0)) & ((bx != 0) | (by != 0)), wrapped)
 
 

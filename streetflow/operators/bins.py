@@ -40,7 +40,8 @@ def survival(df: DataFrame, columns: dict[str, Column], steps: int = STEPS) -> D
     ``steps + 1`` buckets. Rows with a NULL value stay in the denominator.
     """
     def bucket(v):
-        return F.greatest(F.lit(-1), F.least(F.lit(steps), left_closed(v, steps))).cast("long")
+        at = left_closed(v, steps)
+        return F.when(v.isNull() | (at < 0), -1).when(at > steps, steps).otherwise(at).cast("long")
 
     pairs = F.array(*[F.struct(F.lit(n).alias("curve"), bucket(c).alias("bin")) for n, c in columns.items()])
     counts = (

@@ -15,7 +15,7 @@ JOIN_EPS = 1e-9
 
 def _between(v0: Column, v1: Column, lo, hi) -> tuple[Column, Column]:
     """Parameters t in [-inf, inf] for which v0 + t (v1 - v0) lies in [lo, hi]; empty when t_in > t_out."""
-    flat = v0 == v1
+    flat = F.abs(v1 - v0) <= JOIN_EPS
     ok = (v0 >= lo - JOIN_EPS) & (v0 <= hi + JOIN_EPS)
     ta, tb = F.try_divide(lo - v0, v1 - v0), F.try_divide(hi - v0, v1 - v0)
     inf = F.lit(float("inf"))

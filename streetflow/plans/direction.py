@@ -26,13 +26,14 @@ def segment_direction(trips: DataFrame, ways: DataFrame, **options) -> DataFrame
     """
     pieces = clip_to_buffers(good_bicycle_trips(trips), one_way(ways), TRIP_COLUMNS, WAY_COLUMNS, **options)
     angle = F.rint(F.degrees(G.angle_between(F.col("at0"), F.col("at1"), F.col("s0"), F.col("s1"))))
-    turned = F.when(F.col("f1") > F.col("f2"), F.col("angle") + 180).otherwise(F.col("angle"))
+    # Bound values: a filter on the final angle is pushed below these columns and would repeat them.
+    turned = G.let(F.col("angle"), lambda v: F.when(F.col("f1") > F.col("f2"), v + 180).otherwise(v))
+    folded = G.let(F.col("angle_mod"), lambda v: F.when(v > 360, v - 360).otherwise(v))
     return (
         pieces.withColumn("angle", angle)
         .withColumn("f1", F.col("at0.fraction")).withColumn("f2", F.col("at1.fraction"))
         .withColumn("angle_mod", turned)
-        .withColumn("angle_mod_1", F.when(F.col("angle_mod") > 360, F.col("angle_mod") - 360)
-                    .otherwise(F.col("angle_mod")))
+        .withColumn("angle_mod_1", folded)
         .select(
             "band", "osm_id", "way_key", "name", "highway", "lanes", "trip_id", "vehicle_type", "propulsion_type",
             F.array("s0", "s1").alias("geom"), "angle", "f1", "f2", "angle_mod", "angle_mod_1",
