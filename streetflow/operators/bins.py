@@ -48,9 +48,9 @@ def survival(df: DataFrame, columns: dict[str, Column], steps: int = STEPS) -> D
         df.select(F.explode(pairs).alias("p")).groupBy("p.curve", "p.bin").agg(F.count("*").alias("n")))
     per_curve = counts.groupBy("bin").agg(*[
         F.sum(F.when(F.col("curve") == n, F.col("n"))).alias(n) for n in columns])
-    total = counts.groupBy("curve").agg(F.sum("n").alias("n")).agg(F.max("n").alias("n")).scalar()
-    down = W.orderBy(F.col("bin").desc())
-    full = all_bins(df.sparkSession, 0, steps).join(per_curve, "bin", "left")
-    return full.select(
-        "bin", (F.col("bin") / steps).alias("break"),
-        *[F.try_divide(F.coalesce(F.sum(n).over(down), F.lit(0)), total).alias(n) for n in columns])
+    # Bucket -1 holds what lies on no curve; it counts in the total only.
+    full = all_bins(df.sparkSession, -1, steps).join(per_curve, "bin", "left")
+    down, whole = W.orderBy(F.col("bin").desc()), W.partitionBy()
+    curves = full.select("bin", *[
+        F.try_divide(F.coalesce(F.sum(n).over(down), F.lit(0)), F.sum(n).over(whole)).alias(n) for n in columns])
+    return curves.filter(F.col("bin") >= 0).select("bin", (F.col("bin") / steps).alias("break"), *columns)

@@ -63,7 +63,7 @@ def hot_cells(df: DataFrame, share: int = HOT_SHARE) -> DataFrame:
     At most ``share`` cells can qualify, whatever the data, so the result is safe to broadcast.
     """
     load = df.groupBy("cx", "cy").agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*").alias("n")).scalar()
+    total = load.agg(F.sum("n").alias("n")).scalar()
     return load.filter(F.col("n") * share > total).select(
         "cx", "cy", F.ceil(F.col("n") * share / total).cast("int").alias("splits"))
 

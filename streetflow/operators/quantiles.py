@@ -32,16 +32,18 @@ def grouping_sets(df: DataFrame, keys: list[str], sets: list[list[str]]) -> Data
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
-                    names: list[str], mean: str | None = None, count: str | None = None) -> DataFrame:
+                    names: list[str], mean: str | None = None, count: str | None = None,
+                    weight: str | None = None) -> DataFrame:
     """Linear-interpolation quantiles (type 7) of ``value`` per ``keys``; NULL values are ignored.
 
-    With ``mean`` / ``count`` the result also has the average and the number of values.
+    With ``mean`` / ``count`` the result also has the average and the number of values. ``weight``
+    names a column saying how many rows a row stands for.
     """
     keys = keys or ["_all"]
     base = df.withColumn("_all", F.lit(1)) if keys == ["_all"] else df
     counted = (
         base.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v"))
-        .agg(F.count("*").alias("n")).withColumn("b", _bucket(F.col("v")))
+        .agg((F.sum(weight) if weight else F.count("*")).alias("n")).withColumn("b", _bucket(F.col("v")))
     )
     # At most a few hundred thousand buckets exist for any data, however large the group.
     hist = counted.groupBy(*keys, "b").agg(F.sum("n").alias("n"), F.sum(F.col("v") * F.col("n")).alias("s"))

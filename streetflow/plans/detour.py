@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from streetflow.functions import text as T
@@ -61,18 +62,21 @@ def detour_histogram(routes: DataFrame, column: str = "safe_ratio") -> DataFrame
     half = bins.right_closed(F.col(column), 200)
     binned = valid_ratio(routes, column).select(F.floor((half + 1) / 2).cast("long").alias("bin"))
     counts = binned.groupBy("bin").agg(F.count("*").alias("n"))
-    total = binned.agg(F.count("*").alias("n")).scalar()
+    # The valid range bounds the number of bins, so one window over them is small for any input.
+    total = F.sum("n").over(W.partitionBy())
     return counts.select((F.col("bin") / 100).alias("ratio"), "n", F.try_divide(F.col("n"), total).alias("share"))
 
 
 def detour_bins_rel(routes: DataFrame, column: str = "dist_ratio") -> DataFrame:
     """Relative frequency in the 302 right-closed bins from 0.98, each keyed by its lower edge."""
+    at = bins.right_closed(F.col(column), 100)
+    # Bin 97 collects everything outside the range: it belongs to the total only.
     counts = (
-        routes.select(bins.right_closed(F.col(column), 100).alias("bin"))
+        routes.select(F.when(at.between(98, 399), at).otherwise(97).alias("bin"))
         .groupBy("bin").agg(F.count("*").alias("n")))
-    total = routes.agg(F.count("*").alias("n")).scalar()
-    return bins.with_empty_bins(counts, 98, 399).select(
-        (F.col("bin") / 100).alias("lower"), F.try_divide(F.col("n"), total).alias("share"))
+    shared = bins.with_empty_bins(counts, 97, 399).withColumn(
+        "share", F.try_divide(F.col("n"), F.sum("n").over(W.partitionBy())))
+    return shared.filter(F.col("bin") >= 98).select((F.col("bin") / 100).alias("lower"), "share")
 
 
 def detour_bins_count(routes: DataFrame, column: str = "safe_ratio") -> DataFrame:

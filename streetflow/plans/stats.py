@@ -29,9 +29,10 @@ def trip_length_stats(trips: DataFrame, quarters: list[str] | None = None) -> Da
     """
     chosen = all_band_trips(trips).filter(F.col("quart_year").isin(*(quarters or QUARTERS)))
     keys = GRAINS["month_quarter"]
-    sets = grouping_sets(chosen, keys, list(GRAINS.values()))
+    counted = chosen.groupBy(*keys, "dist_calc").agg(F.count("*").alias("trips"))
+    sets = grouping_sets(counted, keys, list(GRAINS.values()))
     stats = exact_quantiles(sets, ["grain", *keys], "dist_calc", [0.25, 0.5, 0.75], ["p25", "p50", "p75"],
-                            mean="dist_avg")
+                            mean="dist_avg", weight="trips")
     names = F.array(*[F.lit(n) for n in GRAINS])
     return stats.withColumn("grain", F.get(names, F.col("grain")))
 
