@@ -22,6 +22,12 @@ def rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum(lengths)]), flat
 
 
+def bent(flat: np.ndarray) -> np.ndarray:
+    """Which segments (n, 6) have a corner at their end."""
+    d, e = flat[:, 2:4] - flat[:, 0:2], flat[:, 4:6] - flat[:, 2:4]
+    return np.nan_to_num(d[:, 0] * e[:, 1] - d[:, 1] * e[:, 0]) != 0
+
+
 def _take(offsets: np.ndarray, flat: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
     """(rows, width, 6); short rows are padded with their own first segment, which leaves a union as it is."""
     start, count = offsets[rows], offsets[rows + 1] - offsets[rows]
@@ -132,10 +138,8 @@ def overlap_moments(a: pa.Array, b: pa.Array, cx: np.ndarray, cy: np.ndarray, si
         offsets, flat = rows(col)
         owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         flat = flat - np.tile(centre[owner], 3)
-        d, e = flat[:, 2:4] - flat[:, 0:2], flat[:, 4:6] - flat[:, 2:4]
-        bent = np.nan_to_num(d[:, 0] * e[:, 1] - d[:, 1] * e[:, 0]) != 0
         corner = np.zeros(len(offsets) - 1, bool)
-        np.logical_or.at(corner, owner, bent)
+        np.logical_or.at(corner, owner, bent(flat))
         sides.append((offsets, flat, np.diff(offsets), corner))
     (oa, fa, na, ca), (ob, fb, nb, cb) = sides
     ka, kb = _bucket(na), _bucket(nb)

@@ -100,7 +100,7 @@ def _trapezoid_udf(size: float, wa: float, wb: float):
         out = []
         for i, (ix, iy) in enumerate(zip(cx.to_pylist(), cy.to_pylist())):
             c = np.array([ix + 0.5, iy + 0.5]) * size
-            pa_, pb = (slabs.polygons((f[o[i]:o[i + 1]] - np.tile(c, 3))[None], w, True)[0]
+            pa_, pb = (slabs.polygons((f[o[i]:o[i + 1]] - np.tile(c, 3))[None], w, slabs.bent(f[o[i]:o[i + 1]]).any())[0]
                        for o, f, w in ((oa, fa, wa), (ob, fb, wb)))
             out.append([
                 [{"x": c[0] + x, "y": c[1] + y} for x, y in ((t[2], t[0]), (t[3], t[0]), (t[5], t[1]), (t[4], t[1]))]
