@@ -129,10 +129,8 @@ def _integrate(pa_: np.ndarray, pb: np.ndarray, h: float) -> np.ndarray:
     return out
 
 
-def overlap_moments(a: pa.Array, b: pa.Array, cx: np.ndarray, cy: np.ndarray, size: float,
-                    wa: float, wb: float) -> np.ndarray:
-    """(n, 6) overlap area and moments per row, relative to the centre of the row's cell."""
-    centre = np.column_stack([cx + 0.5, cy + 0.5]) * size
+def _batches(a: pa.Array, b: pa.Array, centre: np.ndarray, wa: float, wb: float):
+    """(row numbers, pieces of a, pieces of b) in chunks of rows with equally many pieces."""
     sides = []
     for col in (a, b):
         offsets, flat = rows(col)
@@ -140,24 +138,27 @@ def overlap_moments(a: pa.Array, b: pa.Array, cx: np.ndarray, cy: np.ndarray, si
         flat = flat - np.tile(centre[owner], 3)
         corner = np.zeros(len(offsets) - 1, bool)
         np.logical_or.at(corner, owner, bent(flat))
-        sides.append((offsets, flat, np.diff(offsets), corner))
-    (oa, fa, na, ca), (ob, fb, nb, cb) = sides
-    ka, kb = _bucket(na), _bucket(nb)
-    shape = np.column_stack([ka, kb, ca, cb])
-    out = np.zeros((len(na), 6))
-    kinds, which = np.unique(shape, axis=0, return_inverse=True)
+        sides.append((offsets, flat, _bucket(np.diff(offsets)), corner))
+    (oa, fa, ka, ca), (ob, fb, kb, cb) = sides
+    kinds, which = np.unique(np.column_stack([ka, kb, ca, cb]), axis=0, return_inverse=True)
     which = which.reshape(-1)
-    for g, (wa_n, wb_n, has_a, has_b) in enumerate(kinds):
+    for g, (na, nb, has_a, has_b) in enumerate(kinds):
         members = np.nonzero(which == g)[0]
-        edges = 4 * (wa_n * (1 + has_a) + wb_n * (1 + has_b))
+        edges = 4 * (na * (1 + has_a) + nb * (1 + has_b))
         chunk = max(1, int(CHUNK_ELEMENTS // (edges * edges)))
         for at in range(0, len(members), chunk):
             part = members[at:at + chunk]
-            out[part] = _integrate(
-                polygons(_take(oa, fa, part, wa_n), wa, bool(has_a)),
-                polygons(_take(ob, fb, part, wb_n), wb, bool(has_b)),
-                size / 2,
-            )
+            yield (part, polygons(_take(oa, fa, part, na), wa, bool(has_a)),
+                   polygons(_take(ob, fb, part, nb), wb, bool(has_b)))
+
+
+def overlap_moments(a: pa.Array, b: pa.Array, cx: np.ndarray, cy: np.ndarray, size: float,
+                    wa: float, wb: float) -> np.ndarray:
+    """(n, 6) overlap area and moments per row, relative to the centre of the row's cell."""
+    out = np.zeros((len(cx), 6))
+    centre = np.column_stack([cx + 0.5, cy + 0.5]) * size
+    for part, pieces_a, pieces_b in _batches(a, b, centre, wa, wb):
+        out[part] = _integrate(pieces_a, pieces_b, size / 2)
     return out
 
 
@@ -167,21 +168,40 @@ def _bucket(n: np.ndarray) -> np.ndarray:
     return steps[np.searchsorted(steps, n)]
 
 
-def trapezoids(a: np.ndarray, b: np.ndarray, h: float) -> np.ndarray:
-    """(k, 6) y0, y1, left and right at y0, left and right at y1 for one row's overlap."""
-    poly = np.concatenate([a, b], axis=0)[None]
-    from_a = np.arange(poly.shape[1]) < a.shape[0]
-    ys = _heights(poly, h)[0]
-    parts = []
-    for y0, y1 in zip(ys[:-1], ys[1:]):
-        if y1 <= y0:
-            continue
-        y = np.array([[y0 + (y1 - y0) * f for f in (0.25, 0.75)]])
-        x, cover = _sweep(poly, from_a, y, h)
-        at = np.nonzero(cover[0, 0] & (x[0, 0, 1:] > x[0, 0, :-1]))[0]
-        for i in at:
-            quarter, three = x[0, 0, i:i + 2], x[0, 1, i:i + 2]
-            slope = (three - quarter) / 0.5
-            bottom, top = quarter - slope * 0.25, three + slope * 0.25
-            parts.append([y0, y1, *bottom, *top])
-    return np.array(parts).reshape(-1, 6)
+def _slab_parts(pieces_a: np.ndarray, pieces_b: np.ndarray, h: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row number and (left, right at the bottom; right, left at the top) corners (k, 4, 2) of each part."""
+    poly = np.concatenate([pieces_a, pieces_b], axis=1)
+    from_a = np.arange(poly.shape[1]) < pieces_a.shape[1]
+    ys = _heights(poly, h)
+    y0, y1 = ys[:, :-1], ys[:, 1:]
+    low, cover = _sweep(poly, from_a, y0 + (y1 - y0) * 0.25, h)
+    high, _ = _sweep(poly, from_a, y0 + (y1 - y0) * 0.75, h)
+    wide = cover & (low[..., 1:] > low[..., :-1]) & (y1 > y0)[..., None]
+    r, s, e = np.nonzero(wide)
+
+    def ends(k):
+        """x of boundary k at the bottom and the top of its slab."""
+        q, t = low[r, s, k], high[r, s, k]
+        return q - (t - q) / 2, t + (t - q) / 2
+
+    (lb, lt), (rb, rt) = ends(e), ends(e + 1)
+    bottom, top = y0[r, s], y1[r, s]
+    return r, np.stack([np.column_stack(c) for c in ((lb, bottom), (rb, bottom), (rt, top), (lt, top))], axis=1)
+
+
+def overlap_trapezoids(a: pa.Array, b: pa.Array, cx: np.ndarray, cy: np.ndarray, size: float,
+                       wa: float, wb: float) -> pa.Array:
+    """Per row the overlap inside its cell as disjoint rings: list<list<struct<x, y>>>."""
+    centre = np.column_stack([cx + 0.5, cy + 0.5]) * size
+    owners, rings = [np.zeros(0, np.int64)], [np.zeros((0, 4, 2))]
+    for part, pieces_a, pieces_b in _batches(a, b, centre, wa, wb):
+        r, corners = _slab_parts(pieces_a, pieces_b, size / 2)
+        owners.append(part[r])
+        rings.append(corners + centre[part[r]][:, None, :])
+    owner, ring = np.concatenate(owners), np.concatenate(rings)
+    order = np.argsort(owner, kind="stable")
+    flat = ring[order].reshape(-1, 2)
+    points = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["x", "y"])
+    lines = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 4), pa.int32()), points)
+    per_row = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(cx)))])
+    return pa.ListArray.from_arrays(pa.array(per_row, pa.int32()), lines)

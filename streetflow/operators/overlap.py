@@ -96,18 +96,8 @@ def _trapezoid_udf(size: float, wa: float, wb: float):
 
     @F.arrow_udf(f"array<{ring}>")
     def trapezoids(a: pa.Array, b: pa.Array, cx: pa.Array, cy: pa.Array) -> pa.Array:
-        (oa, fa), (ob, fb) = slabs.rows(a), slabs.rows(b)
-        out = []
-        for i, (ix, iy) in enumerate(zip(cx.to_pylist(), cy.to_pylist())):
-            c = np.array([ix + 0.5, iy + 0.5]) * size
-            pa_, pb = (slabs.polygons((f[o[i]:o[i + 1]] - np.tile(c, 3))[None], w, slabs.bent(f[o[i]:o[i + 1]]).any())[0]
-                       for o, f, w in ((oa, fa, wa), (ob, fb, wb)))
-            out.append([
-                [{"x": c[0] + x, "y": c[1] + y} for x, y in ((t[2], t[0]), (t[3], t[0]), (t[5], t[1]), (t[4], t[1]))]
-                for t in slabs.trapezoids(pa_, pb, size / 2)
-            ])
-        point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
-        return pa.array(out, pa.list_(pa.list_(point)))
+        at = (c.to_numpy(zero_copy_only=False) for c in (cx, cy))
+        return slabs.overlap_trapezoids(a, b, *at, size, wa, wb)
 
     return trapezoids
 
