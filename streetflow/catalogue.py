@@ -26,7 +26,7 @@ from streetflow.plans import (
     stats,
     stress,
 )
-from streetflow.schema import BANDS, BUFFER_M, DIRECTION_SEGMENT, ROUTE_CSV, STRESS_CLASSES
+from streetflow.schema import BANDS, BUFFER_M, DIRECTION_SEGMENT, ROUTE_CSV
 from streetflow.sources import csv, geojson, synthetic, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -442,6 +442,3 @@ def banded_trip_table(spark, d):
     copied = tables.copy_table(spark, f"{root}/trips", f"{root}/copy", ["band"])
     return rounded(direction.good_bicycle_trips(copied.filter(F.col("band") == BANDS[2])).groupBy(
         "propulsion_type").agg(F.count("*").alias("trips"), F.sum("dist_calc").alias("metres")))
-
-
-LENGTH_COLUMNS = [f"len_{c}" for c in STRESS_CLASSES]
