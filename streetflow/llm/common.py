@@ -93,7 +93,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def text_pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_pieces(column: pa.Array, most: int = PIECE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, starts of the rows and the end) of pieces of a string column; null is empty."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
         kind, column = np.int64, column.cast(pa.large_binary())
@@ -108,7 +108,7 @@ def text_pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        last = max(first + 1, int(np.searchsorted(at, at[first] + PIECE_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(at, at[first] + most, "right")) - 1)
         last = min(last, n)
         yield first, raw[at[first]:at[last]], at[first:last + 1] - at[first]
         first = last
