@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from streetflow.llm import bpe, chat, language, pu, ring, rules
+from streetflow.llm import bpe, buckets, chat, language, pu, ring, rules, warc
+from streetflow.llm.common import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,16 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(parts))
 
 
+def op4_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return buckets.pack(_table(spark, sf_dir, "documents"), buckets.n_tokens(F.col("text")))
+
+
+def op6_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Scratch(spark, "warc-archives").path("archives")
+    warc.write_archives(warc.mark_revisits(_table(spark, sf_dir, "pages")), folder, "gzip")
+    return warc.page_records(spark, folder)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -70,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "page_language_id": page_language_id,
     "op2_chat_format": op2_chat_format,
+    "op4_length_buckets": op4_length_buckets,
+    "op6_warc_chain": op6_warc_chain,
     "op7_quality": op7_quality,
     "op8_adaptive_rules": op8_adaptive_rules,
     "op9_bpe": op9_bpe,
@@ -78,6 +91,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 ORACLES: dict[str, str] = {
+    "op6_warc_chain": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+             max(page_id) OVER (PARTITION BY html) AS head FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> head THEN head END AS refers_to
+FROM q""",
     "op2_chat_format": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
