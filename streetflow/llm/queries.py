@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from streetflow.llm import bpe, buckets, chat, language, pu, ring, rules, warc
+from streetflow.llm import bpe, buckets, chat, chosen_path, language, pu, ring, rules, vamana, warc
 from streetflow.llm.common import Scratch
 
 
@@ -48,10 +48,18 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(parts))
 
 
+def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buckets.pack(_table(spark, sf_dir, "documents"), buckets.n_tokens(F.col("text")))
 
 
+def op5_vamana(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vamana.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Scratch(spark, "warc-archives").path("archives")
     warc.write_archives(warc.mark_revisits(_table(spark, sf_dir, "pages")), folder, "gzip")
@@ -81,7 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "page_language_id": page_language_id,
     "op2_chat_format": op2_chat_format,
+    "op3_chosen_path": op3_chosen_path,
     "op4_length_buckets": op4_length_buckets,
+    "op5_vamana": op5_vamana,
     "op6_warc_chain": op6_warc_chain,
     "op7_quality": op7_quality,
     "op8_adaptive_rules": op8_adaptive_rules,
@@ -91,6 +101,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 ORACLES: dict[str, str] = {
+    "op3_chosen_path": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct([array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)]) END AS shingles FROM w),
+n AS (SELECT doc_id, len(shingles)::BIGINT AS n_shingles FROM s),
+f AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM f a JOIN f b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n_shingles + y.n_shingles - c)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.other),
+least_ AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT n.doc_id, n_shingles, component_id, n.doc_id = component_id AS kept FROM n JOIN least_ USING (doc_id)""",
     "op6_warc_chain": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 q AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
