@@ -201,13 +201,13 @@ class Join:
         sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         return self.scratch.keep_seen(paths.join(sizes, "path"), "nodes", most=F.max("size"))
 
-    def hub_pairs(self, members: DataFrame, most: int) -> DataFrame:
+    def hub_pairs(self, members: DataFrame, most: int, first: bool) -> DataFrame:
         """Each document of a node with the node's least class, and in larger nodes with its most central one too.
 
-        That one's sketch is nearest to the majority of the node's bits: the text that the others are copies of.
+        Beyond the first level small nodes are left to the exhaustive comparison. The central one's sketch is nearest to the majority of the node's bits: the text that the others are copies of.
         """
         one = F.struct("cls", "n", "b1", "b2", "comp")
-        known = self.known(members)
+        known = self.known(members if first else members.where(F.col("size") > SMALL))
         hubs = known.groupBy("path").agg(F.min(one).alias("hub"))
         if most > SMALL:
             big = known.where(F.col("size") > SMALL)
@@ -272,11 +272,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     run = Join(docs)
     first = F.array(*[F.xxhash64(F.lit(t), F.substring(F.col("sig"), F.lit(4 * t + 1), F.lit(4))) for t in range(TREES)])
     members, seen = run.nodes(run.classes.select("cls", "n", "b1", "b2", F.explode(first).alias("path")))
+    level = 1
     while seen["n"]:
-        run.confirm(run.hub_pairs(members, seen["most"]))
+        if level == 1 or seen["most"] > SMALL:
+            run.confirm(run.hub_pairs(members, seen["most"], level == 1))
         pairs, bigger = run.rest(members)
         run.confirm(pairs)
         members, seen = run.nodes(run.branch(bigger))
+        level += 1
     classes = run.known(run.classes.select("cls", "p1", "p2", F.col("n").alias("n_shingles"), "doc"))
     least = classes.groupBy("comp").agg(F.min("doc").alias("component_id"))
     named = run.scratch.keep(classes.join(least, "comp").select("p1", "p2", "n_shingles", "component_id"), "named")

@@ -6,17 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streetflow.llm.common import Scratch
 from streetflow.llm.text_stats import N_FEATURES, features
 
 #: Largest expected number of trusted positives, and of unlabelled texts, that the model is fitted on.
 FIT_ROWS = 20_000
 
 
-def held_out(doc_id) -> F.Column:
+def held_out(doc_id) -> Column:
     """Rows whose labels are never read in fitting; a null doc_id is held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
@@ -81,52 +80,56 @@ def predict(model: dict, table: np.ndarray) -> np.ndarray:
     return _sigmoid(z)
 
 
-def _featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        table = features(b.column(1)).astype("<f4")
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([row.tobytes() for row in table], pa.binary())], ["doc_id", "features"])
-
+def _matrix(docs: DataFrame) -> np.ndarray:
+    """Feature rows of the texts of a bounded table."""
+    def featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in features(b.column(0))], pa.binary())], ["features"])
 
-def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "<f4").reshape(-1, N_FEATURES).astype(np.float64)
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(featurised, "features binary").toPandas()["features"]
+    return np.frombuffer(b"".join(rows), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_rows: int = FIT_ROWS,
-                  prior: float | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of (doc_id, text, …).
-
-    Trusted positives are rows with ``labels.quality`` = 1 outside the held-out fold; negative labels are not used.
-    Unlabelled texts are rows of ``docs`` themselves. The fit takes about ``fit_rows`` of each, chosen by hash over
-    the whole tables; scoring reads every whole text. Only the text enters a score: null and empty texts get the score
-    of a text without words. Repeated rows get a score each. A doc_id with several labels counts as positive if one
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, prior: float | None = None) -> dict:
+    """The model, from about ``fit_rows`` trusted positives and as many unlabelled texts, chosen by hash over the
+    whole tables. Trusted positives are rows with ``labels.quality`` = 1 outside the held-out fold; negative labels are
+    not used. Unlabelled texts are rows of ``docs`` themselves. A doc_id with several labels counts as positive if one
     of them says so. Without positives or documents every score is 0.5.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "quality")
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, features binary"
-    table, seen = scratch.keep_seen(
-        docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_featurised, schema)
-        .withColumn("row", F.monotonically_increasing_id()), "features")
+    def sampled(key: Column, n: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit("fit"), key), F.lit(1_000_000)) < int(1_000_000 * min(1.0, fit_rows / max(n, 1)))
+
     trusted = labels.where((F.col("quality") == 1) & ~held_out("doc_id")).select("doc_id").distinct()
-    trusted, known = scratch.keep_seen(trusted, "trusted")
+    # bounded by fit_rows, so it can be broadcast
+    chosen = F.broadcast(trusted.where(sampled(F.col("doc_id"), trusted.count())))
+    row = F.monotonically_increasing_id()
+    positive = docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi")
+    positives = _matrix(positive.where(sampled(row, positive.count())))
+    return fit(positives, _matrix(docs.select("text").where(sampled(row, docs.count()))), prior)
 
-    def sampled(key: str, n: int) -> F.Column:
-        return F.pmod(F.xxhash64(F.lit("fit"), F.col(key)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, fit_rows / max(n, 1)))
 
-    # the sampled ids are bounded by fit_rows, so they can be broadcast
-    chosen = F.broadcast(trusted.where(sampled("doc_id", known["n"])))
-    near = table.join(chosen, "doc_id", "left_semi")
-    positives = near.where(sampled("row", max(fit_rows, near.count()))).select("features").toPandas()["features"]
-    others = table.where(sampled("row", seen["n"])).select("features").toPandas()["features"]
-    model = fit(_matrix(positives), _matrix(others), prior)
+def with_score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
+    """``docs`` with a score of every whole text as a last column; a null text counts as empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+    names = [f"c{i}" for i in range(len(docs.columns))]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            column = b.column(1)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(predict(model, _matrix(column.to_pylist())) if len(b) else [], pa.float64())], ["doc_id", "score"])
+            score = predict(shared.value, features(b.column(at)).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], [*names, "score"])
 
-    out = table.select("doc_id", "features").mapInArrow(scored, schema.replace("features binary", "score double"))
-    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score",
-                      (F.col("score") >= threshold).cast("int").alias("predicted"))
+    schema = ", ".join(f"{n} {t}" for n, (_, t) in zip(names, docs.dtypes))
+    return docs.toDF(*names).mapInArrow(scored, f"{schema}, score double").toDF(*docs.columns, name)
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_rows: int = FIT_ROWS,
+                  prior: float | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of (doc_id, text, …).
+
+    Only the text enters a score: null and empty texts get the score of a text without words. Repeated rows get a
+    score each; other columns are ignored; an empty table gives no rows.
+    """
+    kept = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return with_score(kept, train(kept, labels, fit_rows, prior)).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

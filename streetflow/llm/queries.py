@@ -104,7 +104,7 @@ ORACLES: dict[str, str] = {
     "op3_chosen_path": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                                '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+                                                '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
     ELSE list_distinct([array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)]) END AS shingles FROM w),
