@@ -49,7 +49,7 @@ def compare(df, con, sql: str) -> list[str]:
     if sorted(names) != sorted(df.columns):
         return [f"columns {sorted(df.columns)} != {sorted(names)}"]
     kinds = {n: str(t) for n, t in ((c[0], c[1]) for c in con.execute(sql).description)}
-    alike = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "int": "INTEGER", "timestamp_ntz": "TIMESTAMP"}
+    alike = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "int": "INTEGER", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
     out += [f"type of {n}: {t} / {kinds[n]}" for n, t in df.dtypes if alike.get(t, t) != kinds[n]]
     if len(mine) != len(theirs):
         out.append(f"rows {len(mine)} != {len(theirs)}")
