@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from streetflow.llm.common import text_pieces
 
 #: Encoded words that a Python worker keeps between batches and tasks; beyond, the store starts anew.
-STORE_WORDS = 800_000
-#: Words are replayed together for this much text.
-BLOCK_BYTES = 4_000_000
+STORE_WORDS = 300_000
+#: Text that is looked up together, and words whose merges are replayed together.
+BLOCK_BYTES, BLOCK_WORDS = 2_000_000, 40_000
 
 LETTER, NUMBER, SPACE, BLANK, OTHER = 0, 1, 2, 3, 4
 #: The endings that the splitting pattern takes together with an apostrophe.
@@ -204,8 +204,8 @@ class Merges:
                 raw.append(b)
             else:
                 self.store[w] = known.to_bytes(4, "little")
-        if raw:
-            self.store.update(zip(replayed, self.replay(raw)))
+        for a in range(0, len(raw), BLOCK_WORDS):
+            self.store.update(zip(replayed[a:a + BLOCK_WORDS], self.replay(raw[a:a + BLOCK_WORDS])))
         get = self.store.__getitem__
         return [b"".join(map(get, pieces[a:b])) for a, b in zip(bounds, bounds[1:])]
 
@@ -243,11 +243,10 @@ def tokenize(docs: DataFrame, rank_file: str, id_column: str = "doc_id", text_co
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = merges_of(tokens.value)
         for b in batches:
-            out = []
-            for _, data, at in text_pieces(b.column(1), BLOCK_BYTES):
+            for first, data, at in text_pieces(b.column(1), BLOCK_BYTES):
                 raw = data.tobytes()
-                out += merges.encode([raw[i:j].decode("utf-8", "replace") for i, j in zip(at[:-1].tolist(), at[1:].tolist())])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], [id_column, "ids"])
+                out = merges.encode([raw[i:j].decode("utf-8", "replace") for i, j in zip(at[:-1].tolist(), at[1:].tolist())])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(out)), pa.array(out, pa.binary())], [id_column, "ids"])
 
     return kept.mapInArrow(encoded, f"{id_column} {kept.schema[0].dataType.simpleString()}, ids binary")
 
