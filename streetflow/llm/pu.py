@@ -58,10 +58,12 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
         return {"mean": np.zeros(N_FEATURES), "scale": np.ones(N_FEATURES), "w": np.zeros(N_FEATURES + 1), "prior": 0.5}
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
     p, u = (np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))]) for x in (positive, unlabelled))
-    if prior is None:
-        plain = _descend(lambda w: -(p.T @ _sigmoid(-(p @ w))) / len(p) + (u.T @ _sigmoid(u @ w)) / len(u) + decay * w,
+    if prior is None:  # fitted on one half, estimated on the other
+        fp, fu = p[::2], u[::2]
+        plain = _descend(lambda w: -(fp.T @ _sigmoid(-(fp @ w))) / len(fp) + (fu.T @ _sigmoid(fu @ w)) / len(fu) + decay * w,
                          p.shape[1], 150, 0.05)
-        prior = estimate_prior(p @ plain, u @ plain)
+        ep, eu = (x[1::2] if len(x) > 1 else x for x in (p, u))
+        prior = estimate_prior(ep @ plain, eu @ plain)
 
     def grad(w):
         zp, zu = p @ w, u @ w
