@@ -6,7 +6,13 @@ is an interval; no geometry code is shared with the Spark side.
 
 from __future__ import annotations
 
-from streetflow.functions import projection as P
+from types import SimpleNamespace
+
+# Fixed values of EPSG:26986 on GRS80, stated for themselves: false origin, semi-major axis, eccentricity, and the
+# cone constant, scale and origin radius that follow from the parallels 41 43' and 42 41' and the latitude 41.
+P = SimpleNamespace(
+    FALSE_EASTING=200000.0, FALSE_NORTHING=750000.0, SEMI_MAJOR=6378137.0, ECC=0.08181919104281579,
+    CONE=0.6717286739214166, SCALE_F=1.902249000550368, RHO_0=7177701.74044719, ORIGIN_LON=-1.2479104151759457)
 
 BX, BY = 230000, 890000
 BANDS = "['00_140','141_320','321_384','384_500']"
@@ -284,7 +290,7 @@ ORACLES: dict[str, str] = {
 SELECT trip_id, band, dist_calc, od_line_dist, matching_error, propulsion_type, {r("lon_o", 7)}, {r("lat_o", 7)},
   {r("lon_d", 7)}, {r("lat_d", 7)} FROM {BOTH_ENDS} WHERE vehicle_type = 'bicycle' AND matching_error < 70"""),
     "od_line_distance": with_(WAYS + "," + TRIPS, f"""
-SELECT trip_id, round(sqrt(pow(ex - sx, 2) + pow(ey - sy, 2)), 4) AS od_line_dist FROM trips WHERE band = '384_500'"""),
+SELECT trip_id, band, round(sqrt(pow(ex - sx, 2) + pow(ey - sy, 2)), 4) AS od_line_dist FROM trips"""),
     "line_measures": with_(WAYS + "," + TRIPS, """
 SELECT trip_id, band, CAST(sx AS DOUBLE) AS sx, CAST(sy AS DOUBLE) AS sy, CAST(ex AS DOUBLE) AS ex,
   CAST(ey AS DOUBLE) AS ey, CAST(len AS DOUBLE) AS length, CAST(len AS DOUBLE) AS straight FROM trips"""),
@@ -377,17 +383,23 @@ SELECT sum(dist_calc) AS total_m, count(DISTINCT trip_id) AS trips FROM atrips""
     "area_contraflow_share": with_(DIRECTION + "," + AREAS + "," + AREA_TRIPS, """
 SELECT count(*) AS trips, count(w.trip_id) AS contraflow_trips, round(count(w.trip_id) / count(*), 6) AS share
 FROM (SELECT DISTINCT trip_id FROM atrips) a LEFT JOIN wrong w ON a.trip_id = w.trip_id"""),
-    "route_merge_clean": with_(RC, f"""
-SELECT trip_id, propulsion_type, dist_calc, od_line_dist, matching_error, 0.0::DOUBLE AS lon_o, 0.0::DOUBLE AS lat_o,
-  0.0::DOUBLE AS lon_d, 0.0::DOUBLE AS lat_d, {r("f_distance")}, dist_ratio, band, safe_ratio FROM clean"""),
+    "route_merge_clean": with_(RC + f""",
+ends AS (
+  SELECT *, {BX} + CASE orient WHEN 0 THEN s ELSE off END AS sx, {BY} + CASE orient WHEN 0 THEN off ELSE s END AS sy,
+    {BX} + CASE orient WHEN 0 THEN s + flen ELSE off END AS ex, {BY} + CASE orient WHEN 0 THEN off ELSE s + flen END AS ey
+  FROM clean)""", f"""
+SELECT trip_id, propulsion_type, dist_calc, od_line_dist, CASE WHEN band <> '384_500' THEN matching_error END AS matching_error,
+  {", ".join(f"round(round({c}, 7), 6) AS {c}" for c in ("lon_o", "lat_o", "lon_d", "lat_d"))},
+  {r("f_distance")}, dist_ratio, band, safe_ratio
+FROM {lonlat(lonlat("ends", "sx", "sy", "lon_o", "lat_o"), "ex", "ey", "lon_d", "lat_d")}"""),
     "route_table_typed": with_(RC, f"SELECT trip_id, dist_calc, {r('f_distance')} FROM clean"),
     "nonloop_trips": with_(RC + "," + NONLOOP, """
 SELECT trip_id, band, dist_calc, dist_ratio FROM nonloop WHERE dist_ratio >= 0.99"""),
     "below_network_length": with_(RC + "," + NONLOOP, """
 SELECT trip_id, dist_calc, dist_ratio FROM nonloop WHERE dist_ratio < 0.99"""),
     "ratio_near_one": with_(RC, """
-SELECT count(*) AS trips, count(CASE WHEN dist_ratio > 0.99999 AND dist_ratio < 1.00002 THEN 1 END) AS near_one
-FROM clean WHERE band = '141_320'"""),
+SELECT band, count(*) AS trips, count(CASE WHEN dist_ratio > 0.99999 AND dist_ratio < 1.00002 THEN 1 END) AS near_one
+FROM clean GROUP BY band"""),
     "detour_histogram": with_(RC + "," + VALID + """,
 h AS (SELECT b, count(*) AS n FROM valid JOIN range(97, 600) g(b)
       ON safe_ratio > (2 * b - 1) / 200 AND safe_ratio <= (2 * b + 1) / 200 GROUP BY b)""", """
@@ -433,7 +445,8 @@ SELECT 'feature' AS type, c.trip_id, c.dist_calc, round(c.f_distance, 3) AS f_di
   c.propulsion_type, {r("lon_o", 3)}, {r("lat_o", 3)}, {r("lon_d", 3)}, {r("lat_d", 3)}, CAST(c.flen AS DOUBLE) AS length
 FROM clean c JOIN {BOTH_ENDS_ONCE} t ON t.k = c.k"""),
     "geojson_merge": with_(RC, """
-SELECT band, propulsion_type, count(*) AS features, sum(dist_calc) AS dist_calc, CAST(2 * count(*) AS BIGINT) AS vertices
+SELECT band, propulsion_type, count(*) AS features, sum(dist_calc) AS dist_calc, CAST(2 * count(*) AS BIGINT) AS vertices,
+  sum(CAST(flen AS DOUBLE)) AS length
 FROM clean GROUP BY band, propulsion_type"""),
     "banded_trip_table": with_(WAYS + "," + TRIPS, """
 SELECT propulsion_type, count(*) AS trips, sum(dist_calc) AS metres FROM trips

@@ -64,7 +64,10 @@ def _clean(spark, d):
 
 def _route_text(spark, d):
     """Routing results the way they arrive: all columns text."""
-    routes = synthetic.routes(spark, d).withColumns({c: F.lit("0") for c in ("lon_o", "lat_o", "lon_d", "lat_d")})
+    o, e = (P.to_lonlat(p["x"], p["y"]) for p in (G.start_point(F.col("geom")), G.end_point(F.col("geom"))))
+    routes = synthetic.routes(spark, d).withColumn("_o", o).withColumn("_d", e).withColumns({
+        c: F.round(F.col(f"_{c[-1]}.{'x' if c[1] == 'o' else 'y'}"), DEGREE_DIGITS).cast("string")
+        for c in ("lon_o", "lat_o", "lon_d", "lat_d")})
     return tables.conform(routes, ROUTE_CSV).withColumn("band", F.element_at(
         F.array(*[F.lit(b) for b in BANDS]), (F.col("trip_id").cast("long") % 4 + 1).cast("int")))
 
@@ -82,9 +85,7 @@ def trip_endpoints(spark, d):
 
 @query
 def od_line_distance(spark, d):
-    """Only one band lacks the column, so only its partition is processed."""
-    trips = synthetic.trips(spark, d).filter(F.col("band") == BANDS[3])
-    return rounded(endpoints.od_line_distance(trips).select("trip_id", "od_line_dist"), 4)
+    return rounded(endpoints.od_line_distance(synthetic.trips(spark, d)).select("trip_id", "band", "od_line_dist"), 4)
 
 
 @query
@@ -300,11 +301,16 @@ def shortest_paths(spark, d):
 
 @query
 def route_merge_clean(spark, d):
-    """Text result files of all bands written, read back by glob, unioned and cleaned."""
+    """Text result files of all bands written, read back by glob, unioned by name and cleaned.
+
+    Every band orders its columns differently, and the last one has no matching error.
+    """
     root = run_dir(spark, "routes")
     text = _route_text(spark, d)
-    for band in BANDS:
-        csv.write_csv(text.filter(F.col("band") == band).drop("band"), f"{root}/{band}/csv_files")
+    names = [c for c in text.columns if c != "band"]
+    for i, band in enumerate(BANDS):
+        order = [c for c in names[i:] + names[:i] if band != BANDS[-1] or c != "matching_error"]
+        csv.write_csv(text.filter(F.col("band") == band).select(*order), f"{root}/{band}/csv_files")
     return rounded(detour.clean_routes(csv.read_banded_csv(spark, root)))
 
 
@@ -329,7 +335,7 @@ def below_network_length(spark, d):
 
 @query
 def ratio_near_one(spark, d):
-    return detour.ratio_near_one(_clean(spark, d).filter(F.col("band") == BANDS[1]))
+    return detour.ratio_near_one(_clean(spark, d))
 
 
 @query
@@ -361,7 +367,7 @@ def low_stress_curve(spark, d):
 
 @query
 def stress_shares(spark, d):
-    return rounded(shares.study_pairs(_pairs(spark, d)).select(
+    return rounded(shares.study_pairs(_pairs(spark, d), ["dist_calc", *shares.LENGTHS]).select(
         "trip_id", "band", "len_1_p", "len_2_p", "len_1_11_p", "len_1_2_11_p", "len_3_p", "len_4_p"))
 
 
@@ -408,7 +414,7 @@ def _export(spark, d):
 
 @query
 def geojson_export(spark, d):
-    """Routes to FeatureCollection files, loaded back into a metric table."""
+    """Routes to one collection, loaded back into a metric table."""
     root = run_dir(spark, "geojson")
     geojson.write_geojson(_export(spark, d), f"{root}/features")
     table = geojson.load_projected(spark, f"{root}/features", f"{root}/table")
@@ -419,19 +425,15 @@ def geojson_export(spark, d):
 
 @query
 def geojson_merge(spark, d):
-    """Many small collections per band merged into few large ones."""
+    """Many small collections per band merged into one per band, all bands in one pass."""
     root = run_dir(spark, "merge")
-    routes = _export(spark, d)
-    for band in BANDS:
-        geojson.write_geojson(routes.filter(F.col("band") == band), f"{root}/{band}/json_files", per_file=2000)
-    geojson.merge_geojson(spark, root, BANDS, f"{root}/merged")
-    out = None
-    for band in BANDS:
-        part = geojson.read_geojson(spark, f"{root}/merged/{band}").withColumn("band", F.lit(band))
-        out = part if out is None else out.unionByName(part)
+    geojson.write_geojson(_export(spark, d).withColumn(
+        "batch", F.pmod(F.xxhash64("trip_id"), F.lit(5))), f"{root}/small", by=["band", "batch"])
+    geojson.merge_geojson(spark, f"{root}/small", f"{root}/merged", by=["band"])
+    out = geojson.read_geojson_lines(spark, f"{root}/merged").withColumn("metric", P.line_to_metric(F.col("geom")))
     return rounded(out.groupBy("band", "propulsion_type").agg(
         F.count("*").alias("features"), F.sum("dist_calc").alias("dist_calc"),
-        F.sum(F.size("geom")).alias("vertices")))
+        F.sum(F.size("geom")).alias("vertices"), F.sum(G.line_length(F.col("metric"))).alias("length")), 3)
 
 
 @query

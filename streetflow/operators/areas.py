@@ -106,7 +106,7 @@ def lines_within(lines: DataFrame, line: str, areas: DataFrame, key: str = "muni
     """
     whole = areas.select(key, G.ring_edges(F.col("rings")).alias("edges"))
     cells = area_cells(areas, key, size).select(key, "cx", "cy")
-    candidates, _ = broadcast_if_small(cells.join(whole, key), 50_000)
+    candidates, _ = broadcast_if_small(cells.join(whole, key))
     first = G.start_point(F.col(line))
     at = lines.withColumn("cx", F.floor(first["x"] / size).cast("long")).withColumn(
         "cy", F.floor(first["y"] / size).cast("long"))

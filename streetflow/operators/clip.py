@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from streetflow.functions import geometry as G
 from streetflow.operators import grid
-from streetflow.operators.storage import BROADCAST_ROWS
+from streetflow.operators.storage import BROADCAST_BYTES
 from streetflow.schema import BUFFER_M
 
 JOIN_EPS = 1e-9
@@ -96,7 +96,7 @@ def _merge(intervals: Column) -> Column:
 
 
 def clip_to_buffers(trips: DataFrame, ways: DataFrame, trip_columns: list[str], way_columns: list[str],
-                    size: float = grid.CELL_M, max_broadcast: int = BROADCAST_ROWS,
+                    size: float = grid.CELL_M, max_broadcast: int = BROADCAST_BYTES,
                     share: int = grid.HOT_SHARE) -> DataFrame:
     """One row per maximal piece of a trip segment inside one street's buffer.
 

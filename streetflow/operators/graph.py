@@ -25,8 +25,13 @@ HOPS = 2
 
 
 def node_key(x: Column, y: Column) -> Column:
-    """Exact 64-bit identity of a vertex: millimetres of x and y, 32 bits each (|x|, |y| < 2147 km)."""
+    """Exact 64-bit identity of a vertex: millimetres of x and y, 32 bits each.
+
+    Farther out than 2147 km the query fails; no two vertices are ever taken for one.
+    """
     xi, yi = F.rint(x * MM).cast("long"), F.rint(y * MM).cast("long")
+    far = (F.abs(xi) >= 2**31) | (F.abs(yi) >= 2**31)
+    xi = F.when(far, F.raise_error(F.lit("vertex beyond 2147 km")).cast("long")).otherwise(xi)
     return F.shiftleft(xi, 32).bitwiseOR(yi.bitwiseAND(F.lit(0xFFFFFFFF)))
 
 

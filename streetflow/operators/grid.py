@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streetflow.functions import geometry as G
-from streetflow.operators.storage import BROADCAST_ROWS, broadcast_if_small
+from streetflow.operators.storage import BROADCAST_BYTES, broadcast_if_small
 
 CELL_M = 200.0
 HOT_SHARE = 1024
@@ -69,10 +69,10 @@ def hot_cells(df: DataFrame, share: int = HOT_SHARE) -> DataFrame:
 
 
 def cell_join(big: DataFrame, small: DataFrame, condition: Column, salt_by: str,
-              max_broadcast: int = BROADCAST_ROWS, share: int = HOT_SHARE) -> DataFrame:
+              max_broadcast: int = BROADCAST_BYTES, share: int = HOT_SHARE) -> DataFrame:
     """Inner join on the cell with a residual condition.
 
-    ``big`` is never shuffled when ``small`` has at most ``max_broadcast`` rows. Otherwise rows of
+    ``big`` is never shuffled when ``small`` has at most ``max_broadcast`` bytes. Otherwise rows of
     ``big`` in hot cells are spread by a hash of ``salt_by`` and the few street rows of those cells
     are repeated, so no join task gets more than about 1/share of ``big``.
     """

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from streetflow.functions import geometry as G
 from streetflow.functions import slabs
 from streetflow.operators import grid
-from streetflow.operators.storage import BROADCAST_ROWS
+from streetflow.operators.storage import BROADCAST_BYTES
 from streetflow.schema import BUFFER_M
 
 AREA_DIGITS = 6
@@ -43,7 +43,7 @@ def _moments_udf(size: float, wa: float, wb: float):
 
 
 def touching_pieces(trips: DataFrame, ways: DataFrame, size: float = grid.CELL_M,
-                    max_broadcast: int = BROADCAST_ROWS, share: int = grid.HOT_SHARE) -> DataFrame:
+                    max_broadcast: int = BROADCAST_BYTES, share: int = grid.HOT_SHARE) -> DataFrame:
     """(band, trip_id, osm_id, cx, cy) with the distinct touching segments of each side."""
     left = grid.segment_cells(trips, "geom", ["band", "trip_id"], "a", BUFFER_M, size, frame=True)
     right = grid.segment_cells(
@@ -62,7 +62,7 @@ def touching_pieces(trips: DataFrame, ways: DataFrame, size: float = grid.CELL_M
 
 
 def overlap(trips: DataFrame, ways: DataFrame, size: float = grid.CELL_M,
-            max_broadcast: int = BROADCAST_ROWS, share: int = grid.HOT_SHARE) -> DataFrame:
+            max_broadcast: int = BROADCAST_BYTES, share: int = grid.HOT_SHARE) -> DataFrame:
     """One row per touching (band, trip_id, osm_id): hname, stress_lev, seg_area, shape.
 
     ``shape`` is equal for two streets of a trip exactly when their overlap regions are equal; it
@@ -103,7 +103,7 @@ def _trapezoid_udf(size: float, wa: float, wb: float):
 
 
 def overlap_parts(trips: DataFrame, ways: DataFrame, size: float = grid.CELL_M,
-                  max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
+                  max_broadcast: int = BROADCAST_BYTES) -> DataFrame:
     """The overlap geometry dumped to disjoint convex parts, one ring per row."""
     pieces = touching_pieces(trips, ways, size, max_broadcast)
     return pieces.select(

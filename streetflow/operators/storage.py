@@ -2,32 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 500_000
+#: Largest side that may be broadcast, in bytes of its rows as text: an upper bound of their size in memory, roughly.
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, named by ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a temporary folder.
-    """
+    """The folder all executors can reach, named by ``spark.checkpoint.dir``."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="streetflow-")
+    return named.rstrip("/")
 
 
 def run_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/streetflow-{label}-{uuid.uuid4().hex}"
 
 
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a run's folder through the file system it lies on."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -53,7 +54,13 @@ def cut_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     return df.sparkSession.read.schema(df.schema).parquet(path), n
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Hint a broadcast only after counting; stops counting just above the bound."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return (F.broadcast(df), True) if small else (df, False)
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """Hint a broadcast only if all rows together have at most ``max_bytes``.
+
+    ``df`` is computed once: its size is summed up while it is written, and both plans read what was written.
+    """
+    path, seen = run_dir(df.sparkSession, "side"), Observation()
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns]))).cast("long"))
+    df.observe(seen, size.alias("bytes")).write.parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    return (F.broadcast(kept), True) if (seen.get["bytes"] or 0) <= max_bytes else (kept, False)

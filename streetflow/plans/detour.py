@@ -45,8 +45,9 @@ def below_network_length(routes: DataFrame) -> DataFrame:
 
 
 def ratio_near_one(pairs: DataFrame) -> DataFrame:
+    """How many trips of each band have their modelled length."""
     ratio = F.col("dist_ratio")
-    return pairs.agg(
+    return pairs.groupBy("band").agg(
         F.count("*").alias("trips"),
         F.count(F.when((ratio > 0.99999) & (ratio < 1.00002), 1)).alias("near_one"))
 

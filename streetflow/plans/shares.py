@@ -14,8 +14,10 @@ DAY_TYPES = ["weekend", "weekday_peak", "weekday_nonpeak"]
 
 
 def with_shares(pairs: DataFrame) -> DataFrame:
-    """NULL lengths to zero, then shares of the trip's length."""
-    filled = pairs.na.fill(0.0, subset=LENGTHS + SH_LENGTHS)
+    """NULL lengths to zero, then shares of the trip's length, as far as the lengths are there."""
+    filled = pairs.na.fill(0.0, subset=[c for c in LENGTHS + SH_LENGTHS if c in pairs.columns])
+    if not set(LENGTHS) <= set(pairs.columns):
+        return filled
     d = F.col("dist_calc")
     groups = {
         "len_1_p": ["1"], "len_2_p": ["2"], "len_1_11_p": ["1", "11"],
@@ -42,7 +44,11 @@ def first_per_trip(pairs: DataFrame) -> DataFrame:
         .select("trip_id", "m.r.*"))
 
 
-def study_pairs(pairs: DataFrame) -> DataFrame:
+def study_pairs(pairs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row per trip. Only ``columns`` (default: all but the line) go through the keep-first aggregate, so that
+    what nobody asks for, overlaps above all, is never computed."""
+    if columns is not None:
+        pairs = pairs.select("trip_id", "band", *[c for c in columns if c not in ("trip_id", "band")])
     return first_per_trip(with_shares(pairs.drop("geom")))
 
 
@@ -52,7 +58,7 @@ def direct_trips(pairs: DataFrame) -> DataFrame:
 
 def low_stress_curve(pairs: DataFrame) -> DataFrame:
     """Share of direct trips with at least i/1000 of their length on low-stress streets."""
-    return survival(direct_trips(study_pairs(pairs)), {
+    return survival(direct_trips(study_pairs(pairs, ["dist_calc", "dist_ratio", *LENGTHS])), {
         "lts_2_less": F.col("len_1_2_11_p"), "lts_1_less": F.col("len_1_11_p")})
 
 
@@ -73,7 +79,7 @@ def day_type(start_time: Column) -> Column:
 
 def trips_by_daytype(pairs: DataFrame) -> DataFrame:
     return (
-        study_pairs(pairs).groupBy(day_type(F.col("start_time")).alias("day_type"))
+        study_pairs(pairs, ["start_time"]).groupBy(day_type(F.col("start_time")).alias("day_type"))
         .agg(F.count("*").alias("trips")))
 
 
@@ -82,7 +88,7 @@ def stress_share_by_daytype(pairs: DataFrame) -> DataFrame:
     ratio = F.col("dist_ratio")
     detour = F.when(ratio <= DIRECT_RATIO, "125").when(ratio > DETOUR_RATIO, "200")
     return (
-        study_pairs(pairs)
+        study_pairs(pairs, ["start_time", "dist_calc", "dist_ratio", *LENGTHS])
         .select(day_type(F.col("start_time")).alias("day_type"), detour.alias("detour"), "dist_calc", *LENGTHS)
         .filter(F.col("detour").isNotNull())
         .groupBy("day_type", "detour")

@@ -6,7 +6,6 @@ from pyspark.sql import types as T
 
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 LINE = T.ArrayType(POINT)
-RINGS = T.ArrayType(LINE)
 
 # They must equal the published analysis for results to agree.
 BANDS = ["00_140", "141_320", "321_384", "384_500"]

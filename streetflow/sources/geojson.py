@@ -1,17 +1,17 @@
 """GeoJSON feature collections in and out.
 
-A collection is written as one or more documents of bounded size. Nothing is gathered: each task frames
-its own features, so the size of the data does not matter. A reader takes a whole folder of documents.
+A collection is written as text parts, a feature per line, that concatenate to one document. Nothing is gathered, so
+the size of the data does not matter. Documents of other tools are read whole, one per file.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from streetflow.functions import projection as P
+from streetflow.operators.storage import cut_lineage
 
 # The property names and order of an exported route.
 PROPERTIES = [
@@ -20,8 +20,6 @@ PROPERTIES = [
 ]
 FEATURE_TYPE = "feature"
 
-FEATURES_PER_FILE = 100_000
-
 ROUTE_PROPERTIES = T.StructType([
     T.StructField(p, T.StringType() if p in ("trip_id", "propulsion_type") else T.DoubleType())
     for p in PROPERTIES])
@@ -47,36 +45,39 @@ def feature_json(line: str = "geom", properties: list[str] | None = None):
         F.struct(*(properties or PROPERTIES)).alias("properties")))
 
 
-def _documents(features: DataFrame, per_document: int) -> DataFrame:
-    """Frame feature texts (column ``value``) into FeatureCollection documents inside each task.
-
-    No shuffle, and a task holds one document at a time.
-    """
-
-    def frame(batches):
-        held = []
-
-        def document():
-            return pa.RecordBatch.from_pydict(
-                {"value": ['{"type":"FeatureCollection","features":[' + ",".join(held) + "]}"]})
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(text)
-                if len(held) == per_document:
-                    yield document()
-                    held.clear()
-        if held:
-            yield document()
-
-    return features.mapInArrow(frame, "value string")
+#: Parts of a written collection in the order of their names: what precedes the features, the features, what follows.
+HEAD, BODY, TAIL = "0-head", "1-body", "2-tail"
 
 
 def write_geojson(df: DataFrame, path: str, line: str = "geom", properties: list[str] | None = None,
-                  per_file: int = FEATURES_PER_FILE) -> None:
-    """FeatureCollection files of at most ``per_file`` features each, lines as they are in ``line``."""
-    body = df.select(feature_json(line, properties).alias("value"))
-    _documents(body, per_file).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+                  by: list[str] | None = None) -> None:
+    """One FeatureCollection per value of ``by`` (one in all by default), lines as they are in ``line``.
+
+    A collection is a folder of text parts, whatever its size: a head with the first feature, the others one per line
+    with a comma before each, and a tail. Concatenated in the order of their names they are one valid document;
+    read line by line they need no document in one piece. The first feature is the least as text, an aggregate.
+    """
+    keys = by or []
+    body = df.select(*keys, feature_json(line, properties).alias("value"))
+    body = cut_lineage(body.withColumn("at", F.monotonically_increasing_id()), "features")
+    first = body.groupBy(*keys).agg(F.min(F.struct("value", "at")).alias("first")).where("first IS NOT NULL")
+    head = first.select(*keys, F.lit(HEAD).alias("part"), F.concat(
+        F.lit('{"type":"FeatureCollection","features":[\n'), "first.value").alias("value"))
+    tail = first.select(*keys, F.lit(TAIL).alias("part"), F.lit("]}").alias("value"))
+    rest = body.join(first.select(*keys, F.col("first.at").alias("at")), [*keys, "at"], "left_anti").select(
+        *keys, F.lit(BODY).alias("part"), F.concat(F.lit(","), "value").alias("value"))
+    head.unionByName(rest).unionByName(tail).write.mode("overwrite").partitionBy(*keys, "part").text(path)
+
+
+def read_geojson_lines(spark: SparkSession, path: str, properties: T.StructType = ROUTE_PROPERTIES) -> DataFrame:
+    """All features of collections that ``write_geojson`` has written, with their keys; any task takes any lines."""
+    lines = spark.read.text(path)
+    keys = [c for c in lines.columns if c not in ("value", "part")]
+    feature = collection_schema(properties)["features"].dataType.elementType
+    text = F.when(F.startswith("value", F.lit(",")), F.substr("value", F.lit(2))).otherwise(F.col("value"))
+    features = lines.where(F.startswith("value", F.lit(",")) | F.startswith("value", F.lit('{"type":"feature"'))).select(
+        *keys, F.from_json(text, feature).alias("f"))
+    return _flatten(features, keys)
 
 
 def read_geojson(spark: SparkSession, path: str | list[str], properties: T.StructType = ROUTE_PROPERTIES) -> DataFrame:
@@ -85,37 +86,21 @@ def read_geojson(spark: SparkSession, path: str | list[str], properties: T.Struc
     return _flatten(docs.select(F.explode("features").alias("f")))
 
 
-def _flatten(features: DataFrame) -> DataFrame:
+def _flatten(features: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return features.select(
-        F.col("f.type").alias("type"), "f.properties.*",
+        *(keys or []), F.col("f.type").alias("type"), "f.properties.*",
         F.transform("f.geometry.coordinates", lambda c: F.struct(
             F.get(c, F.lit(0)).alias("x"), F.get(c, F.lit(1)).alias("y"))).alias("geom"))
 
 
-def merge_geojson(spark: SparkSession, root: str, bands: list[str], out: str,
-                  properties: T.StructType = ROUTE_PROPERTIES, per_file: int = FEATURES_PER_FILE) -> None:
-    """The many small files of ``root/<band>/json_files`` rewritten as few large ones, ``out/<band>``."""
-    for band in bands:
-        write_geojson(read_geojson(spark, f"{root}/{band}/json_files", properties), f"{out}/{band}",
-                      properties=properties.fieldNames(), per_file=per_file)
-
-
-def single_document(df: DataFrame, line: str = "geom", properties: list[str] | None = None,
-                    max_features: int = 100_000) -> DataFrame:
-    """One FeatureCollection document as a single row, for results counted to be small.
-
-    Raises when there are more features; use ``write_geojson`` for those.
-    """
-    rows = df.select(feature_json(line, properties).alias("value"))
-    if rows.limit(max_features + 1).count() > max_features:
-        raise ValueError(f"more than {max_features} features: write them with write_geojson")
-    return rows.agg(F.concat(
-        F.lit('{"type":"FeatureCollection","features":['), F.concat_ws(",", F.collect_list("value")),
-        F.lit("]}")).alias("document"))
+def merge_geojson(spark: SparkSession, path: str, out: str, by: list[str],
+                  properties: T.StructType = ROUTE_PROPERTIES) -> None:
+    """The many collections below ``path`` rewritten as one per value of ``by``, in one pass."""
+    write_geojson(read_geojson_lines(spark, path, properties), out, properties=properties.fieldNames(), by=by)
 
 
 def load_projected(spark: SparkSession, path: str, table: str, properties: T.StructType = ROUTE_PROPERTIES) -> DataFrame:
     """GeoJSON in degrees to a Parquet table in metres."""
-    lines = read_geojson(spark, path, properties).withColumn("geom", P.line_to_metric(F.col("geom")))
+    lines = read_geojson_lines(spark, path, properties).withColumn("geom", P.line_to_metric(F.col("geom")))
     lines.write.mode("overwrite").parquet(table)
     return spark.read.parquet(table)
