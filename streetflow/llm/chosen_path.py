@@ -21,7 +21,7 @@ WORDS, PERCENT = 5, 75
 #: Minwise functions: one per tree for the first level, further ones for deeper levels; all give one bit of the sketch.
 TREES, SELECTABLE, FUNCTIONS = 16, 64, 128
 #: A node is compared exhaustively if at most so many of its documents lie outside its largest known component.
-SMALL = 48
+SMALL = 128
 #: Sketch bits that may differ. At the threshold 16 of 128 do on average, 36 is 5 standard deviations more.
 MAX_DIFFERENT = 36
 
@@ -106,7 +106,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
 
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
-    """cls, comp: the least class of each connected component, for the classes that have a link.
+    """cls, comp: the least class of each connected component, for every class in ``links`` but that one itself.
 
     Alternates two steps until nothing changes: every node sends its larger neighbours to its least one, then its
     smaller neighbours. Nodes of many neighbours are summed up as minima, never gathered.
@@ -116,21 +116,17 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("m", "u").alias("m"))
         large = both.join(least, both["u"] == least["w"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.keep(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(
             F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e"))
         kept, seen = scratch.keep_seen(
             small.select("e.u", "e.v").where("u <> v").distinct(), "stars", sum=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
-        scratch.drop(large)
         if id(edges) in scratch.kept:
             scratch.drop(edges)
         edges = kept
         state = (seen["n"], seen["sum"])
         if state == last:
-            # every star's centre is the least class of its component and belongs to it
-            return edges.select(F.col("u").alias("cls"), F.col("v").alias("comp")).union(
-                edges.select(F.col("v").alias("cls"), F.col("v").alias("comp"))).distinct()
+            return edges.select(F.col("u").alias("cls"), F.col("v").alias("comp"))
         last = state
 
 
@@ -154,6 +150,7 @@ class Join:
             F.min("doc_id").alias("doc"), F.any_value("b1").alias("b1"), F.any_value("b2").alias("b2"), F.any_value("sig").alias("sig"))
         self.classes = self.scratch.keep(distinct.withColumn("cls", F.monotonically_increasing_id()), "classes")
         self.links: list[DataFrame] = []
+        self.fresh = False
         self.sets: DataFrame | None = None
         self.comps: DataFrame | None = None
 
@@ -178,7 +175,7 @@ class Join:
         self.sets = read if self.sets is None else self.sets.union(read)
 
     def confirm(self, pairs: DataFrame) -> None:
-        """Check pairs of classes on their full sets and add the links to the components."""
+        """Check pairs of classes on their full sets and keep the links."""
         pairs, seen = self.scratch.keep_seen(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         if not seen["n"]:
             return
@@ -188,13 +185,19 @@ class Join:
         both = F.size(F.array_intersect("sa", "sb"))
         links, seen = self.scratch.keep_seen(
             pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.size("sa") + F.size("sb") - both) * PERCENT).select("a", "b"), "links")
-        if not seen["n"]:
-            return
-        self.links.append(links)
-        every = self.links[0]
-        for more in self.links[1:]:
-            every = every.union(more)
-        self.comps = self.scratch.keep(components(self.scratch, every), "comps")
+        if seen["n"]:
+            self.links.append(links)
+            self.fresh = True
+
+    def update(self) -> None:
+        """Bring the known components up to the links confirmed since."""
+        if self.fresh:
+            self.fresh = False
+            every = self.links[0]
+            for more in self.links[1:]:
+                every = every.union(more)
+            self.comps = components(self.scratch, every)
+            self.links = [self.comps.select(F.col("comp").alias("a"), F.col("cls").alias("b"))]
 
     def nodes(self, paths: DataFrame) -> tuple[DataFrame, dict]:
         """Rows (path, cls, n, b1, b2) of nodes with two documents or more, with the node's size."""
@@ -272,14 +275,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     run = Join(docs)
     first = F.array(*[F.xxhash64(F.lit(t), F.substring(F.col("sig"), F.lit(4 * t + 1), F.lit(4))) for t in range(TREES)])
     members, seen = run.nodes(run.classes.select("cls", "n", "b1", "b2", F.explode(first).alias("path")))
-    level = 1
+    level, pending = 1, None
     while seen["n"]:
         if level == 1 or seen["most"] > SMALL:
-            run.confirm(run.hub_pairs(members, seen["most"], level == 1))
+            hubs = run.hub_pairs(members, seen["most"], level == 1)
+            run.confirm(hubs if pending is None else hubs.union(pending))
+            run.update()
+            pending = None
         pairs, bigger = run.rest(members)
-        run.confirm(pairs)
+        pending = pairs if pending is None else pending.union(pairs)
         members, seen = run.nodes(run.branch(bigger))
         level += 1
+    if pending is not None:
+        run.confirm(pending)
+        run.update()
     classes = run.known(run.classes.select("cls", "p1", "p2", F.col("n").alias("n_shingles"), "doc"))
     least = classes.groupBy("comp").agg(F.min("doc").alias("component_id"))
     named = run.scratch.keep(classes.join(least, "comp").select("p1", "p2", "n_shingles", "component_id"), "named")
