@@ -18,12 +18,13 @@ from streetflow.llm.common import Scratch, mix, text_pieces, windows, words
 
 #: Words of a shingle; a link needs PERCENT of the union in common.
 WORDS, PERCENT = 5, 75
-#: Minwise functions: one per tree for the first level, further ones for deeper levels; all give one bit of the sketch.
-TREES, SELECTABLE, FUNCTIONS = 16, 64, 128
+#: Minwise functions: two per tree for the first two levels, further ones for deeper levels; all give a sketch bit.
+TREES, SELECTABLE, FUNCTIONS = 20, 80, 512
 #: A node is compared exhaustively if at most so many of its documents lie outside its largest known component.
 SMALL = 128
-#: Sketch bits that may differ. At the threshold 16 of 128 do on average, 36 is 5 standard deviations more.
-MAX_DIFFERENT = 36
+#: Sketch bits that may differ. At the threshold 64 of 512 do on average, 98 is 4.5 standard deviations more.
+MAX_DIFFERENT = 98
+BITS = ("b1", "b2", "b3", "b4", "b5", "b6", "b7", "b8")
 
 _RNG = np.random.RandomState(77)
 _A = (_RNG.randint(0, 2**31, FUNCTIONS, dtype=np.int64) * 2 + 1).astype(np.uint32)
@@ -59,7 +60,7 @@ def _prints(value: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, p1, p2 (fingerprint of the set), b1, b2 (bit sketch) and sig (minwise tokens) per document."""
+    """doc_id, n_shingles, p1, p2 (fingerprint of the set), b1 to b8 (bit sketch) and sig (minwise tokens) per document."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = []
@@ -78,15 +79,15 @@ def sketches(docs: DataFrame) -> DataFrame:
                 bits = np.packbits((least * np.uint32(0x9E3779B1)) >> np.uint32(31) == 1, axis=1).view(np.int64)
                 sig = np.ascontiguousarray(least[:, :SELECTABLE]).tobytes()
                 step = 4 * SELECTABLE
-                parts.append((count, prints[0], prints[1], bits[:, 0], bits[:, 1], [sig[i:i + step] for i in range(0, len(sig), step)]))
-            cols = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(5)]
+                parts.append((count, prints[0], prints[1], *bits.T, [sig[i:i + step] for i in range(0, len(sig), step)]))
+            cols = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3 + len(BITS))]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *[pa.array(c, pa.int64()) for c in cols], pa.array([s for p in parts for s in p[5]], pa.binary())],
-                ["doc_id", "n_shingles", "p1", "p2", "b1", "b2", "sig"])
+                [b.column(0), *[pa.array(c, pa.int64()) for c in cols], pa.array([s for p in parts for s in p[-1]], pa.binary())],
+                ["doc_id", "n_shingles", "p1", "p2", *BITS, "sig"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(
-        sketch, f"doc_id {kind}, n_shingles long, p1 long, p2 long, b1 long, b2 long, sig binary")
+        sketch, f"doc_id {kind}, n_shingles long, p1 long, p2 long, {', '.join(f'{b} long' for b in BITS)}, sig binary")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -131,13 +132,15 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
 
 
 def _may_link(a: str, b: str) -> Column:
-    """What sizes and sketches allow."""
+    """What sizes, sketches and the numbers of shingles that others have too allow."""
     def col(side: str, name: str) -> Column:
         return F.col(f"{side}.{name}")
 
-    different = F.bit_count(col(a, "b1").bitwiseXOR(col(b, "b1"))) + F.bit_count(col(a, "b2").bitwiseXOR(col(b, "b2")))
+    different = sum((F.bit_count(col(a, x).bitwiseXOR(col(b, x))) for x in BITS), F.lit(0))
     sizes = F.least(col(a, "n"), col(b, "n")) * 100 >= F.greatest(col(a, "n"), col(b, "n")) * PERCENT
-    return sizes & (different <= MAX_DIFFERENT) & (col(a, "comp") != col(b, "comp"))
+    # the union of two sets is at least their sizes less what they can have in common
+    shared = F.least(col(a, "common"), col(b, "common")) * (100 + PERCENT) >= (col(a, "n") + col(b, "n")) * PERCENT
+    return sizes & shared & (different <= MAX_DIFFERENT) & (col(a, "comp") != col(b, "comp"))
 
 
 class Join:
@@ -147,10 +150,10 @@ class Join:
         self.docs, self.scratch = docs, Scratch(docs.sparkSession, "chosen-path")
         self.rows = self.scratch.keep(sketches(docs), "rows")
         distinct = self.rows.where("n_shingles > 0").groupBy("p1", "p2", F.col("n_shingles").alias("n")).agg(
-            F.min("doc_id").alias("doc"), F.any_value("b1").alias("b1"), F.any_value("b2").alias("b2"), F.any_value("sig").alias("sig"))
+            F.min("doc_id").alias("doc"), *[F.any_value(c).alias(c) for c in (*BITS, "sig")])
         self.classes = self.scratch.keep(distinct.withColumn("cls", F.monotonically_increasing_id()), "classes")
         self.links: list[DataFrame] = []
-        self.fresh = False
+        self.fresh, self.checked = False, []
         self.sets: DataFrame | None = None
         self.comps: DataFrame | None = None
 
@@ -160,31 +163,45 @@ class Join:
             return members.withColumn("comp", F.col("cls"))
         return members.join(self.comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
 
-    def _read_sets(self, pairs: DataFrame) -> None:
-        """Sets of the classes in ``pairs`` not read yet: from the text of one document of each class."""
-        need = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    def read_sets(self, need: DataFrame, many: bool = False) -> None:
+        """Sets of the classes in ``need`` not read yet: from the text of one document of each class.
+
+        ``many``: as many as grow with the documents, so they are met by a shuffle and never broadcast.
+        """
+        need = need.select("cls").distinct()
         if self.sets is not None:
             need = need.join(self.sets.select("cls"), "cls", "left_anti")
         need, seen = self.scratch.keep_seen(need.join(self.classes, "cls").select("cls", "doc", "p1", "p2"), "need")
         if not seen["n"]:
             return
+        wanted = need.select("doc").distinct()
         texts = self.docs.select("doc_id", "text").join(
-            need.select(F.col("doc")).distinct(), F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi")
-        read = full_sets(texts).join(need, ["p1", "p2"]).groupBy("cls").agg(F.any_value("shingles").alias("shingles"))
+            wanted.hint("merge") if many else wanted, F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi")
+        read = full_sets(texts).join(need, ["p1", "p2"]).groupBy("cls").agg(F.any_value("shingles").alias("shingles")).withColumn(
+            "half", F.transform("shingles", lambda h: F.shiftright(h, 32).cast("int")))
         read = self.scratch.keep(read, "sets")
         self.sets = read if self.sets is None else self.sets.union(read)
 
     def confirm(self, pairs: DataFrame) -> None:
         """Check pairs of classes on their full sets and keep the links."""
-        pairs, seen = self.scratch.keep_seen(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for before in self.checked:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        pairs, seen = self.scratch.keep_seen(pairs, "pairs")
         if not seen["n"]:
             return
-        self._read_sets(pairs)
-        left = self.sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
-        right = self.sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        links, seen = self.scratch.keep_seen(
-            pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.size("sa") + F.size("sb") - both) * PERCENT).select("a", "b"), "links")
+        self.checked.append(pairs)
+        self.read_sets(pairs.select(F.explode(F.array("a", "b")).alias("cls")))
+
+        def joined(rows: DataFrame, column: str, slack: int) -> DataFrame:
+            left, right = (self.sets.select(F.col("cls").alias(k), F.col(column).alias(f"s{k}"), F.size("shingles").alias(f"n{k}")) for k in "ab")
+            both = F.size(F.array_intersect("sa", "sb")) + slack
+            return rows.join(left, "a").join(right, "b").where(both * 100 >= (F.col("na") + F.col("nb") - both) * PERCENT).select("a", "b")
+
+        # most pairs fall short already by the hashes cut to half their bits, which may match more often but for a
+        # few that coincide within one set; the others are confirmed on the full sets
+        likely = self.scratch.keep(joined(pairs, "half", 4), "likely")
+        links, seen = self.scratch.keep_seen(joined(likely, "shingles", 0), "links")
         if seen["n"]:
             self.links.append(links)
             self.fresh = True
@@ -200,16 +217,21 @@ class Join:
             self.links = [self.comps.select(F.col("comp").alias("a"), F.col("cls").alias("b"))]
 
     def nodes(self, paths: DataFrame) -> tuple[DataFrame, dict]:
-        """Rows (path, cls, n, b1, b2) of nodes with two documents or more, with the node's size."""
-        sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        return self.scratch.keep_seen(paths.join(sizes, "path"), "nodes", most=F.max("size"))
+        """Rows (path, cls, common, n, BITS) of nodes with two documents or more, with the node's size.
+
+        Only path and class are shuffled for all; most leave here, and the others then get their sketches.
+        """
+        slim = paths.select("path", "cls", "common")
+        sizes = slim.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        return self.scratch.keep_seen(
+            slim.join(sizes, "path").join(self.classes.select("cls", "n", *BITS), "cls"), "nodes", most=F.max("size"))
 
     def hub_pairs(self, members: DataFrame, most: int, first: bool) -> DataFrame:
         """Each document of a node with the node's least class, and in larger nodes with its most central one too.
 
         Beyond the first level small nodes are left to the exhaustive comparison. The central one's sketch is nearest to the majority of the node's bits: the text that the others are copies of.
         """
-        one = F.struct("cls", "n", "b1", "b2", "comp")
+        one = F.struct("cls", "n", "common", *BITS, "comp")
         known = self.known(members if first else members.where(F.col("size") > SMALL))
         hubs = known.groupBy("path").agg(F.min(one).alias("hub"))
         if most > SMALL:
@@ -230,6 +252,12 @@ class Join:
         return known.withColumn("me", one).join(hubs, "path").where(_may_link("me", "hub")).select(
             F.col("cls").alias("a"), F.col("hub.cls").alias("b"))
 
+    def open_nodes(self, members: DataFrame) -> DataFrame:
+        """Rows of nodes that hold documents of different components."""
+        known = self.known(members)
+        mixed = known.groupBy("path").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("path")
+        return known.join(mixed, "path", "left_semi").drop("comp")
+
     def rest(self, members: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(pairs of small nodes to compare exhaustively, rows of the others), leaving out nodes in one component."""
         known = self.scratch.keep(self.known(members), "known")
@@ -237,13 +265,34 @@ class Join:
         shape = by_comp.groupBy("path").agg(F.sum("k").alias("total"), F.max(F.struct("k", "comp")).alias("main")).where("total > main.k")
         shape = self.scratch.keep(shape.select("path", F.col("main.comp").alias("main"), (F.col("total") - F.col("main.k")).alias("outside")), "shape")
         small, big = shape.where(F.col("outside") <= SMALL), shape.where(F.col("outside") > SMALL)
-        one = F.struct("cls", "n", "b1", "b2", "comp")
+        one = F.struct("cls", "n", "common", *BITS, "comp")
         # at most SMALL documents of a node lie outside its main component: each meets the whole node once
         outside = known.join(small, "path").where(F.col("comp") != F.col("main")).select("path", one.alias("out"))
         inside = known.join(small.select("path"), "path").select("path", one.alias("other"))
         pairs = outside.join(inside, "path").where(_may_link("out", "other")).select(F.col("out.cls").alias("a"), F.col("other.cls").alias("b"))
         return pairs, known.join(big.select("path"), "path", "left_semi").drop("comp")
 
+    def commons(self, active: DataFrame) -> DataFrame:
+        """cls, found: how many shingles of a class occur in another class of ``active``.
+
+        Two classes have no more than that in common, which rules out most documents that share a passage, or are
+        copies too far from each other, without comparing pairs.
+        """
+        active = self.scratch.keep(active.select("cls").distinct(), "active")
+        self.read_sets(active)
+        single = self.sets.join(active, "cls", "left_semi").select("cls", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(
+            F.count(F.lit(1)).alias("k"), F.min("cls").alias("cls")).where("k = 1").groupBy("cls").agg(F.count(F.lit(1)).alias("own"))
+        sizes = self.sets.join(active, "cls", "left_semi").select("cls", F.size("shingles").cast("long").alias("n"))
+        return self.scratch.keep(sizes.join(single, "cls", "left").select("cls", (F.col("n") - F.coalesce("own", F.lit(0))).alias("found")), "commons")
+
+    def narrowed(self, members: DataFrame, commons: DataFrame) -> DataFrame:
+        """Rows of nodes less the documents that cannot link with any other of their node by ``commons``."""
+        known = members.drop("common", "size").join(commons, "cls").withColumnRenamed("found", "common")
+        least = known.groupBy("path").agg(F.min("n").alias("least"))
+        other = F.greatest("least", F.ceil(F.col("n") * PERCENT / 100))
+        return known.join(least, "path").where(
+            F.col("common") * (100 + PERCENT) >= (F.col("n") + other) * PERCENT).drop("least")
+
     def branch(self, members: DataFrame) -> DataFrame:
         """The next level's paths: every node selects one token, and half of the nodes a second one.
 
@@ -253,11 +302,11 @@ class Join:
         chosen = members.join(self.classes.select("cls", "sig"), "cls")
 
         def child(j: int) -> Column:
-            which = TREES + F.pmod(F.xxhash64("path", F.lit(j)), F.lit(SELECTABLE - TREES)).cast("int")
+            which = 2 * TREES + F.pmod(F.xxhash64("path", F.lit(j)), F.lit(SELECTABLE - 2 * TREES)).cast("int")
             return F.xxhash64("path", F.lit(j), F.substring(F.col("sig"), which * 4 + 1, F.lit(4)))
 
         second = F.when(F.xxhash64("path", F.lit("second")) % 2 == 0, F.array(child(0), child(1))).otherwise(F.array(child(0)))
-        return chosen.select("cls", "n", "b1", "b2", F.explode(second).alias("path"))
+        return chosen.select("cls", "common", F.explode(second).alias("path"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -269,19 +318,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     counts only if its whole component has no other; rows of the same doc_id keep one id, each text with its own
     links; other columns are ignored; an empty table gives no rows.
 
-    Links are confirmed on full sets. What may be missed is a pair that no tree leads to one small node: with 16 trees
-    and level-one agreement of 0.75 each, less than one pair at the threshold in 10^9 where nodes are small at once.
+    Links are confirmed on full sets. What may be missed is a pair that no tree leads to one small node: every tree
+    selects two tokens at once to begin with, so of pairs at the very threshold 1 in 10^7 is missed where the nodes are
+    small then (0.4375 to the power of 20); and 3 in 10^6 of them by the sketch. More similar pairs are safer.
     """
     run = Join(docs)
-    first = F.array(*[F.xxhash64(F.lit(t), F.substring(F.col("sig"), F.lit(4 * t + 1), F.lit(4))) for t in range(TREES)])
-    members, seen = run.nodes(run.classes.select("cls", "n", "b1", "b2", F.explode(first).alias("path")))
+    first = F.array(*[F.xxhash64(F.lit(t), F.substring(F.col("sig"), F.lit(8 * t + 1), F.lit(8))) for t in range(TREES)])
+    members, seen = run.nodes(run.classes.select("cls", F.col("n").alias("common"), F.explode(first).alias("path")))
     level, pending = 1, None
     while seen["n"]:
         if level == 1 or seen["most"] > SMALL:
             hubs = run.hub_pairs(members, seen["most"], level == 1)
+            if level == 1:
+                hubs = run.scratch.keep(hubs, "hubs")
+                run.read_sets(hubs.select(F.explode(F.array("a", "b")).alias("cls")).union(members.where(F.col("size") > SMALL).select("cls")), many=True)
             run.confirm(hubs if pending is None else hubs.union(pending))
             run.update()
             pending = None
+        if level == 1:
+            open_ = run.scratch.keep(run.open_nodes(members), "open")
+            members, _ = run.nodes(run.narrowed(open_, run.commons(open_)))
         pairs, bigger = run.rest(members)
         pending = pairs if pending is None else pending.union(pairs)
         members, seen = run.nodes(run.branch(bigger))
