@@ -77,15 +77,11 @@ def _half_plane(v: Column) -> Column:
 
 
 def _merge(intervals: Column) -> Column:
-    """Union of (t0, t1, start, end) intervals; what happens at t0 and t1 rides along."""
+    """Union of (t0, t1) intervals."""
 
     def step(acc, nxt):
         last = F.element_at(acc, -1)
-        joined = F.struct(
-            last["t0"].alias("t0"), F.greatest(last["t1"], nxt["t1"]).alias("t1"),
-            last["at0"].alias("at0"),
-            F.when(nxt["t1"] > last["t1"], nxt["at1"]).otherwise(last["at1"]).alias("at1"),
-        )
+        joined = F.struct(last["t0"].alias("t0"), F.greatest(last["t1"], nxt["t1"]).alias("t1"))
         head = F.slice(acc, F.lit(1), F.size(acc) - 1)
         return F.when(nxt["t0"] <= last["t1"] + JOIN_EPS, F.concat(head, F.array(joined))).otherwise(
             F.concat(acc, F.array(nxt)))
@@ -95,6 +91,22 @@ def _merge(intervals: Column) -> Column:
     return F.aggregate(rest, F.slice(ordered, 1, 1), step)
 
 
+def _nearest(pieces: Column, total: Column, px: Column, py: Column) -> Column:
+    """struct(dist, x, y, fraction) of the point nearest to (px, py) on the street pieces; the first wins ties."""
+
+    def on(s):
+        dx, dy = s["x1"] - s["x0"], s["y1"] - s["y0"]
+        len2 = dx * dx + dy * dy
+        t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - s["x0"]) * dx + (py - s["y0"]) * dy) / len2))
+        x, y = s["x0"] + t * dx, s["y0"] + t * dy
+        return F.struct(F.hypot(px - x, py - y).alias("dist"), s["seg"].alias("seg"), x.alias("x"), y.alias("y"),
+                        (s["from"] + t * F.sqrt(len2)).alias("at"))
+
+    return G.let(F.array_min(F.transform(pieces, on)), lambda b: F.struct(
+        b["dist"].alias("dist"), b["x"].alias("x"), b["y"].alias("y"),
+        F.coalesce(F.try_divide(b["at"], total), F.lit(0.0)).alias("fraction")))
+
+
 def clip_to_buffers(trips: DataFrame, ways: DataFrame, trip_columns: list[str], way_columns: list[str],
                     size: float = grid.CELL_M, max_broadcast: int = BROADCAST_BYTES,
                     share: int = grid.HOT_SHARE) -> DataFrame:
@@ -102,45 +114,43 @@ def clip_to_buffers(trips: DataFrame, ways: DataFrame, trip_columns: list[str],
 
     Result: ``trip_columns``, ``way_columns``, ``way_key`` (identity of the street row), ``s0``/``s1``
     (piece ends, trip direction) and ``at0``/``at1``, each end's nearest street point with its
-    fraction along the street. The nearest points are taken where the street is at hand, so its
-    geometry does not go through the grouping shuffle.
+    fraction along the street. A piece's end lies within the buffer, so the street segment nearest
+    to it is among those the trip segment was joined with: a joined row carries that segment, where it
+    begins along the street and the street's length, and never the whole line.
     """
     streets = ways.select(
         *way_columns, F.xxhash64("osm_id", "geom").alias("way_key"),
-        "geom", G.cumulative_lengths(F.col("geom")).alias("cum"))
+        "geom", G.cumulative_lengths(G.drop_repeated(F.col("geom"))).alias("cum"))
     left = grid.segment_cells(trips, "geom", trip_columns, "a", 0.0, size, frame=True)
     right = grid.segment_cells(
-        streets, "geom", [*way_columns, "way_key", F.col("geom").alias("line"), "cum"], "b", BUFFER_M, size, frame=True)
+        streets, "geom", [*way_columns, "way_key", "cum"], "b", BUFFER_M, size, frame=True).withColumns({
+            "from": F.get("cum", F.col("b.seg")), "total": F.element_at("cum", -1)}).drop("cum")
     a, b = F.col("a"), F.col("b")
     near = G.buffer_segment_touches("a", "b", 0.0, BUFFER_M)
     pairs = grid.cell_join(left, right, near, "trip_id", max_broadcast, share)
 
     parts = F.array_compact(F.array(rectangle_interval(a, b, BUFFER_M), bevel_interval(a, b, BUFFER_M)))
 
-    def end(t):
-        return G.locate(F.col("line"), F.col("cum"),
-                        a["x0"] + t * (a["x1"] - a["x0"]), a["y0"] + t * (a["y1"] - a["y0"]))
-
-    located = (
-        pairs.withColumn("part", F.explode(parts))
-        .withColumn("part", F.struct(
-            F.col("part.t0").alias("t0"), F.col("part.t1").alias("t1"),
-            end(F.col("part.t0")).alias("at0"), end(F.col("part.t1")).alias("at1")))
-    )
-    keys = [*trip_columns, "seg", "x0", "y0", "x1", "y1", "way_key"]
-    merged = (
-        located.select(*trip_columns, *way_columns, "way_key", "part",
-                       *[F.col(f"a.{c}").alias(c) for c in ("seg", "x0", "y0", "x1", "y1")])
-        .groupBy(*keys, *way_columns)
-        .agg(F.collect_set("part").alias("parts"))
-        .withColumn("part", F.explode(_merge(F.col("parts"))))
-    )
+    keys = [*trip_columns, "seg", "x0", "y0", "x1", "y1", "way_key", *way_columns, "total"]
+    grouped = (
+        pairs.select(
+            *trip_columns, *way_columns, "way_key", "total", parts.alias("parts"),
+            F.struct(*[b[c].alias(c) for c in ("seg", "x0", "y0", "x1", "y1")], F.col("from")).alias("piece"),
+            *[a[c].alias(c) for c in ("seg", "x0", "y0", "x1", "y1")])
+        .groupBy(*keys)
+        .agg(F.flatten(F.collect_set("parts")).alias("parts"), F.collect_set("piece").alias("pieces"))
+        .filter(F.size("parts") > 0)
+        .withColumn("part", F.explode(_merge(F.col("parts")))))
 
     def at(t):
         return F.struct((F.col("x0") + t * (F.col("x1") - F.col("x0"))).alias("x"),
                         (F.col("y0") + t * (F.col("y1") - F.col("y0"))).alias("y"))
 
-    return merged.select(
+    def located(t):
+        p = at(t)
+        return _nearest(F.col("pieces"), F.col("total"), p["x"], p["y"])
+
+    return grouped.select(
         *trip_columns, *way_columns, "way_key",
         at(F.col("part.t0")).alias("s0"), at(F.col("part.t1")).alias("s1"),
-        F.col("part.at0").alias("at0"), F.col("part.at1").alias("at1"))
+        located(F.col("part.t0")).alias("at0"), located(F.col("part.t1")).alias("at1"))

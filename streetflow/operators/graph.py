@@ -14,7 +14,14 @@ from pyspark.sql import functions as F
 
 from streetflow.functions import geometry as G
 from streetflow.operators import grid
-from streetflow.operators.storage import broadcast_if_small, cut_counted, cut_lineage, run_dir, write_counted
+from streetflow.operators.storage import (
+    broadcast_if_small,
+    cut_counted,
+    cut_lineage,
+    cut_summed,
+    run_dir,
+    write_counted,
+)
 
 MM = 1000
 SNAP_M = 50.0
@@ -66,15 +73,20 @@ def edges(ways: DataFrame) -> DataFrame:
     return cut_lineage(cut.select((F.monotonically_increasing_id() + 1).alias("edge"), "*"), "edges")
 
 
-def nearest_edge(points: DataFrame, network: DataFrame, radius: float = SNAP_M) -> DataFrame:
+def nearest_edge(points: DataFrame, network: DataFrame, radius: float = SNAP_M,
+                 limit: float | None = None) -> DataFrame:
     """(px, py, edge, at, sx, sy): the nearest point of the network for each distinct point.
 
     Looks one cell around with cells of the radius' size. A hit within the radius is the nearest; the
-    rest tries again with a radius four times as large. Nothing is dropped while there is an edge.
+    rest tries again with a radius four times as large, up to ``limit`` metres (default: until all
+    are found). Points farther off, and all of them if there is no edge, come with NULLs.
     """
-    if network.isEmpty():
-        return points.select("px", "py", *[F.lit(None).cast(t).alias(c) for c, t in (
+    def nowhere(some):
+        return some.select("px", "py", *[F.lit(None).cast(t).alias(c) for c, t in (
             ("edge", "long"), ("at", "double"), ("sx", "double"), ("sy", "double"))])
+
+    if network.isEmpty():
+        return nowhere(points)
     left, found, r = cut_lineage(points.select("px", "py").distinct(), "points"), None, radius
     while True:
         around = F.sequence(F.lit(-1), F.lit(1))
@@ -95,13 +107,15 @@ def nearest_edge(points: DataFrame, network: DataFrame, radius: float = SNAP_M)
                        (F.col("from") + F.col("t") * F.sqrt(n2)).alias("at"), x.alias("sx"), y.alias("sy"))
         best = (
             looking.join(pieces, ["cx", "cy"]).withColumn("t", t)
-            .groupBy("px", "py").agg(F.min(hit).alias("h")).filter(F.col("h.d") <= r)
+            .groupBy("px", "py").agg(F.min(hit).alias("h")).filter(F.col("h.d") <= (r if limit is None else min(r, limit)))
             .select("px", "py", "h.edge", "h.at", "h.sx", "h.sy"))
         best = cut_lineage(best, "snap")
         found = best if found is None else found.unionByName(best)
         left, remaining = cut_counted(left.join(best, ["px", "py"], "left_anti"), "unsnapped")
         if not remaining:
             return found
+        if limit is not None and r >= limit:
+            return found.unionByName(nowhere(left))
         r *= 4
 
 
@@ -114,6 +128,7 @@ def components(network: DataFrame) -> DataFrame:
     link = cut_lineage(
         network.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b"))
         .filter("a != b").distinct(), "links")
+    last = None
     while True:
         both = link.unionByName(link.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -122,10 +137,10 @@ def components(network: DataFrame) -> DataFrame:
         floor = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(floor, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             floor.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
-        small = cut_lineage(small, "links")
-        if small.exceptAll(link).isEmpty() and link.exceptAll(small).isEmpty():
+        link, state = cut_summed(small, "links")
+        if state == last:
             break
-        link = small
+        last = state
     nodes = network.select("u").union(network.select("v")).distinct().withColumnRenamed("u", "node")
     return nodes.join(link, F.col("node") == F.col("a"), "left").select(
         "node", F.coalesce("b", "node").alias("component"))
@@ -233,10 +248,11 @@ def _explore(pairs: DataFrame, steps: DataFrame) -> DataFrame:
         "pair", "node", "m.dist", "m.path")
 
 
-def shortest_paths(od: DataFrame, ways: DataFrame) -> DataFrame:
+def shortest_paths(od: DataFrame, ways: DataFrame, max_snap: float | None = None) -> DataFrame:
     """Routes for the distinct (ox, oy, dx, dy) of ``od``, metres.
 
-    Result: ox, oy, dx, dy, f_distance, f_line, route_status (``ok`` or ``unreachable``).
+    Result: ox, oy, dx, dy, f_distance, f_line, route_status (``ok``, ``unreachable``, or ``too_far`` for
+    an end more than ``max_snap`` metres off the network; by default no distance is too far).
     """
     network = edges(ways)
     od = cut_lineage(od.select("ox", "oy", "dx", "dy").distinct(), "od")
@@ -244,7 +260,7 @@ def shortest_paths(od: DataFrame, ways: DataFrame) -> DataFrame:
         F.struct(F.col("ox").alias("px"), F.col("oy").alias("py")),
         F.struct(F.col("dx").alias("px"), F.col("dy").alias("py")))).alias("p")).select("p.*")
     belongs = components(network)
-    snapped = cut_lineage(nearest_edge(points, network).join(
+    snapped = cut_lineage(nearest_edge(points, network, limit=max_snap).join(
         network.join(belongs, F.col("u") == F.col("node")).select("edge", "u", "v", "len", "component"),
         "edge", "left"), "snapped")
 
@@ -266,10 +282,11 @@ def shortest_paths(od: DataFrame, ways: DataFrame) -> DataFrame:
         F.col("d_sx").alias("dx"), F.col("d_sy").alias("dy"), "straight")
     found = search(asked, network)
     lines = path_lines(found, pairs, network)
-    return pairs.select("pair", "ox", "oy", "dx", "dy").join(found.drop("path"), "pair", "left").join(
+    far = F.col("o_edge").isNull() | F.col("d_edge").isNull() if max_snap is not None else F.lit(False)
+    return pairs.select("pair", "ox", "oy", "dx", "dy", far.alias("far")).join(found.drop("path"), "pair", "left").join(
         lines, "pair", "left").select(
         "ox", "oy", "dx", "dy", "f_distance", "f_line",
-        F.when(F.col("f_distance").isNotNull(), "ok").otherwise("unreachable").alias("route_status"))
+        F.when(F.col("f_distance").isNotNull(), "ok").when(F.col("far"), "too_far").otherwise("unreachable").alias("route_status"))
 
 
 def path_lines(found: DataFrame, pairs: DataFrame, network: DataFrame) -> DataFrame:

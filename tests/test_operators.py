@@ -301,3 +301,12 @@ def test_shortest_paths_against_dijkstra(spark):
 def test_motorways_are_not_routed(spark):
     ways = synthetic.ways(spark, SF)
     assert routing.routable(ways).filter(F.col("highway").like("motorway%")).isEmpty()
+
+
+def test_ends_far_off_the_network_are_not_snapped(spark):
+    ways = spark.createDataFrame([way(1, [(0.0, 0.0), (300.0, 0.0)])], WAY)
+    od = spark.createDataFrame([(10.0, 5.0, 200.0, 0.0), (10.0, 500.0, 200.0, 0.0)], "ox double, oy double, dx double, dy double")
+    near = {r.oy: (r.route_status, r.f_distance) for r in graph.shortest_paths(od, ways, max_snap=60.0).collect()}
+    assert near == {5.0: ("ok", pytest.approx(190.0)), 500.0: ("too_far", None)}
+    free = {r.oy: r.route_status for r in graph.shortest_paths(od, ways).collect()}
+    assert free == {5.0: "ok", 500.0: "ok"}
