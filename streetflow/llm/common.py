@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from streetflow.operators.storage import shared_dir
+from streetflow.operators.storage import remove_dir, shared_dir
 
 #: Texts are turned into numpy arrays in pieces of about this many bytes, whatever the size of an Arrow batch.
 PIECE_BYTES = 2_000_000
@@ -47,8 +47,7 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a kept table that nothing reads any more."""
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.kept.pop(id(df))[1])
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        remove_dir(self.spark, self.kept.pop(id(df))[1])
 
 
 def ranked(scratch: Scratch, df: DataFrame, order: list[str], tie: str) -> tuple[DataFrame, DataFrame]:
