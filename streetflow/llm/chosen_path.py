@@ -153,7 +153,8 @@ class Join:
             F.min("doc_id").alias("doc"), *[F.any_value(c).alias(c) for c in (*BITS, "sig")])
         self.classes = self.scratch.keep(distinct.withColumn("cls", F.monotonically_increasing_id()), "classes")
         self.links: list[DataFrame] = []
-        self.fresh, self.checked = False, []
+        self.fresh = False
+        self.checked: DataFrame | None = None
         self.sets: DataFrame | None = None
         self.comps: DataFrame | None = None
 
@@ -185,12 +186,12 @@ class Join:
     def confirm(self, pairs: DataFrame) -> None:
         """Check pairs of classes on their full sets and keep the links."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        for before in self.checked:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        if self.checked is not None:
+            pairs = pairs.join(self.checked, ["a", "b"], "left_anti")
         pairs, seen = self.scratch.keep_seen(pairs, "pairs")
         if not seen["n"]:
             return
-        self.checked.append(pairs)
+        self.checked = pairs if self.checked is None else self.checked.union(pairs)
         self.read_sets(pairs.select(F.explode(F.array("a", "b")).alias("cls")))
 
         def joined(rows: DataFrame, column: str, slack: int) -> DataFrame:
