@@ -181,8 +181,8 @@ class Merges:
         raw = ids.tobytes()
         return [raw[4 * a:4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids (little-endian, 32 bits) of every text."""
+    def _looked_up(self, texts: list[str]) -> tuple[list[str], list[int]]:
+        """The pieces of all texts and the bounds of each text's pieces; every piece is in the store then."""
         whole = "".join(texts)
         codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         at = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
@@ -206,9 +206,20 @@ class Merges:
                 self.store[w] = known.to_bytes(4, "little")
         for a in range(0, len(raw), BLOCK_WORDS):
             self.store.update(zip(replayed[a:a + BLOCK_WORDS], self.replay(raw[a:a + BLOCK_WORDS])))
+        return pieces, bounds
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids (little-endian, 32 bits) of every text."""
+        pieces, bounds = self._looked_up(texts)
         get = self.store.__getitem__
         return [b"".join(map(get, pieces[a:b])) for a, b in zip(bounds, bounds[1:])]
 
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """How many ids ``encode`` gives for every text."""
+        pieces, bounds = self._looked_up(texts)
+        size = np.fromiter(map(len, map(self.store.__getitem__, pieces)), np.int64, len(pieces)) // 4
+        return np.diff(np.concatenate(([0], np.cumsum(size)))[bounds])
+
     def decode(self, ids: bytes) -> bytes:
         """The bytes of a list of ids: every token's bytes, gathered from one table."""
         number = np.frombuffer(ids, "<u4").astype(np.int64)
@@ -251,6 +262,23 @@ def tokenize(docs: DataFrame, rank_file: str, id_column: str = "doc_id", text_co
     return kept.mapInArrow(encoded, f"{id_column} {kept.schema[0].dataType.simpleString()}, ids binary")
 
 
+def token_counts(docs: DataFrame, rank_file: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, n_tokens long) for every row: how many ids ``tokenize`` gives for the whole text; no ids leave the workers."""
+    spark = docs.sparkSession
+    tokens = spark.sparkContext.broadcast(load_ranks(rank_file))
+    kept = docs.select(id_column, docs[text_column].cast("string").alias("text"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merges = merges_of(tokens.value)
+        for b in batches:
+            for first, data, at in text_pieces(b.column(1), BLOCK_BYTES):
+                raw = data.tobytes()
+                n = merges.counts([raw[i:j].decode("utf-8", "replace") for i, j in zip(at[:-1].tolist(), at[1:].tolist())])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(n)), pa.array(n, pa.int64())], [id_column, "n_tokens"])
+
+    return kept.mapInArrow(counted, f"{id_column} {kept.schema[0].dataType.simpleString()}, n_tokens long")
+
+
 def detokenize(tokens_table: DataFrame, rank_file: str, id_column: str = "doc_id") -> DataFrame:
     """(id, decoded binary) from ``tokenize``'s rows; null ids decode to no bytes."""
     tokens = tokens_table.sparkSession.sparkContext.broadcast(load_ranks(rank_file))

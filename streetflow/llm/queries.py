@@ -53,7 +53,8 @@ def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return buckets.pack(_table(spark, sf_dir, "documents"), buckets.n_tokens(F.col("text")))
+    """Lengths are real tokens of the whole texts, by the rank file of op9."""
+    return buckets.pack(bpe.token_counts(_table(spark, sf_dir, "documents"), rank_file()), F.col("n_tokens"))
 
 
 def op5_vamana(spark: SparkSession, sf_dir: str) -> DataFrame:

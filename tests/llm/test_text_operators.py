@@ -307,3 +307,23 @@ def test_packing(spark, edge, none):
             assert all(r["padding"] >= 0 and r["n_tokens"] + r["padding"] == r["padded_to"] for r in batch)
             assert len(batch) == 1 or len(batch) * batch[0]["padded_to"] <= 4096
     assert buckets.pack(none, buckets.n_tokens(F.col("text"))).count() == 0
+
+
+def test_packing_counts_real_tokens(spark, edge, none):
+    import corpus_pipeline
+
+    path = queries.rank_file()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for df in (docs, edge):
+        want = Counter((r["doc_id"], max(1, r["n_tokens"])) for r in bpe.digest(df, path).collect())
+        assert Counter((r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.packing(spark, df, SF).collect()) == want
+    assert bpe.token_counts(none, path).count() == 0
+    rows = queries.op4_length_buckets(spark, SF).collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in rows) == Counter(
+        (r["doc_id"], max(1, r["n_tokens"])) for r in bpe.digest(docs, path).collect())
+    batches = Counter()
+    for r in rows:
+        assert r["n_tokens"] <= r["padded_to"]
+        batches[r["batch"]] += r["padded_to"]
+    alone = {b for b, n in Counter(r["batch"] for r in rows).items() if n == 1}
+    assert all(n <= 65_536 or b in alone for b, n in batches.items())
