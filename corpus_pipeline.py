@@ -15,15 +15,18 @@ ORACLE_SQL = None
 QUALITY = 0.3
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number per row in place of its key, so that rows of one doc_id are told apart."""
-    return docs.withColumn("_row", F.monotonically_increasing_id())
+def _rows(docs: DataFrame, label: str) -> DataFrame:
+    """``docs`` with a number per row in place of its key, so that rows of one doc_id are told apart.
 
+    Written once: a number computed anew in another job need not be the same, as files may be dealt to tasks otherwise.
+    """
+    return Scratch(docs.sparkSession, label).keep(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
 
-def _without(docs: DataFrame, rejected: DataFrame, label: str) -> DataFrame:
-    """``docs`` less the row numbers of ``rejected``, which are written first so that their size is known."""
-    gone = Scratch(docs.sparkSession, label).keep(rejected)
-    return _rows(docs).join(gone, "_row", "left_anti").select(*docs.columns)
+
+def _without(rows: DataFrame, rejected: DataFrame, label: str) -> DataFrame:
+    """``rows`` less the row numbers of ``rejected``, which are written first so that their size is known."""
+    gone = Scratch(rows.sparkSession, label).keep(rejected)
+    return rows.join(gone, "_row", "left_anti").select(*[c for c in rows.columns if c != "_row"])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,16 +37,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: rejects texts without letters and those whose language stays open after all evidence."""
-    seen = language.identify(language.with_evidence(
-        _rows(docs), "_row", F.col("text"), F.col("lang"), F.col("source")))
-    return _without(docs, seen.where(~F.col("kept")).select(F.col("id").alias("_row")), "language")
+    rows = _rows(docs, "language-rows")
+    seen = language.identify(language.with_evidence(rows, "_row", F.col("text"), F.col("lang"), F.col("source")))
+    return _without(rows, seen.where(~F.col("kept")).select(F.col("id").alias("_row")), "language")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: one row of each group of near-duplicates stays, that of the smallest doc_id; ties go to the first."""
-    keyed = _rows(docs).select(F.struct("doc_id", "_row").alias("doc_id"), "text")
-    seen = chosen_path.near_duplicates(keyed)
-    return _without(docs, seen.where(~F.col("kept")).select(F.col("doc_id._row").alias("_row")), "near-duplicates")
+    rows = _rows(docs, "near-duplicates-rows")
+    seen = chosen_path.near_duplicates(rows.select(F.struct("doc_id", "_row").alias("doc_id"), "text"))
+    return _without(rows, seen.where(~F.col("kept")).select(F.col("doc_id._row").alias("_row")), "near-duplicates")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -161,3 +161,28 @@ def test_pipeline_stages_on_edge_cases(spark):
             assert out.count() <= df.count()
             if name == "near_duplicates" and df.count():
                 assert out.where("doc_id = 1").count() == 1 and out.where("doc_id is null").count() == 1
+
+
+def test_pipeline_judges_the_rows_it_removes(spark):
+    """Files are dealt to other tasks between the judgement and the removal; the rows removed stay the same."""
+    import corpus_pipeline
+
+    base = [[f"w{g}x{k}" for k in range(60)] for g in range(12)]
+    bad = [(i, "0 1 2 3", None, None, 5) for i in range(12)]
+    good = [(100 + g, "these are the words of a text " + " ".join(base[g]), "en", "a", 5) for g in range(12)]
+    rows = [r for two in zip(bad, good) for r in two] + [(200 + r[0], *r[1:]) for r in good]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(9, "doc_id")
+    docs = Scratch(spark, "test").keep(docs)
+    for stage in (corpus_pipeline.language_id, corpus_pipeline.near_duplicates):
+        want = sorted(r["doc_id"] for r in stage(spark, docs, SF).collect())
+        assert 0 < len(want) < len(rows)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        try:
+            out = stage(spark, docs, SF)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "500b")
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            assert sorted(r["doc_id"] for r in out.collect()) == want
+        finally:
+            for key in ("maxPartitionBytes", "minPartitionNum", "openCostInBytes"):
+                spark.conf.unset(f"spark.sql.files.{key}")
