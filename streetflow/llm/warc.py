@@ -82,7 +82,8 @@ def write_archives(records: DataFrame, path: str, compression: str = "none", rec
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
     """file, block, nth, value: what lies between record marks, wherever these stand.
 
-    Spark splits plain files at any byte and hands every piece to the block in which it begins.
+    Spark splits plain files at any byte and hands every piece to the block in which it begins. ``block`` and ``nth``
+    depend on how files are dealt to tasks and hold for one scan only.
     """
     text = spark.read.option("lineSep", MAGIC).text(path)
     return text.select(
@@ -104,6 +105,11 @@ def _with_starts(pieces: DataFrame) -> DataFrame:
         "start", F.col("base") + F.coalesce(F.sum(size).over(inside), F.lit(0))).drop("base")
 
 
+def _content() -> Column:
+    """What tells a piece from others of its file in any scan."""
+    return F.unhex(F.sha2(F.col("value").cast("binary"), 256))
+
+
 def reachable(scratch: Scratch, links: DataFrame) -> DataFrame:
     """file, offset of every record that the chain from its file's start reaches, by pointer jumping.
 
@@ -152,7 +158,7 @@ def read_archives(spark: SparkSession, path: str, measures: dict[str, Callable[[
     whole = skip + F.col("length") <= F.col("bytes")
     inner = F.when(candidate & whole, F.substring(raw, (skip + 1).cast("int"), F.col("length").cast("int")))
     table = scratch.keep(scanned.select(
-        "file", "block", "nth", "bytes", "version", F.when(candidate, F.col("head")).alias("head"), skip.alias("skip"), "length",
+        "file", "block", "nth", _content().alias("content"), "bytes", "version", F.when(candidate, F.col("head")).alias("head"), skip.alias("skip"), "length",
         (candidate & whole).alias("whole"), *[f(inner).alias(f"m_{k}") for k, f in measures.items()]), "scanned")
     placed = scratch.keep(_with_starts(table), "placed")
     scratch.drop(table)
@@ -164,7 +170,7 @@ def read_archives(spark: SparkSession, path: str, measures: dict[str, Callable[[
     records = found.join(reached, ["file", "offset"], "left_semi")
     names = list(measures)
     simple = records.where("whole").select("file", "offset", "version", "head", *[F.col(f"m_{k}").alias(k) for k in names])
-    split = records.where("not whole").select("file", "block", "nth", "offset", "start", "skip", "length", "version", "head")
+    split = records.where("not whole").select("file", "offset", "start", "skip", "length", "version", "head")
     split, seen = scratch.keep_seen(split, "split")
     if not seen["n"]:
         return simple
@@ -175,19 +181,23 @@ def read_archives(spark: SparkSession, path: str, measures: dict[str, Callable[[
 def _assembled(scratch: Scratch, path: str, placed: DataFrame, records: DataFrame, split: DataFrame) -> DataFrame:
     """The records ``split`` with their payload, joined from all pieces that lie in it.
 
-    Every piece belongs to the last record before it: the last of its block, or else of the blocks before.
+    Every piece belongs to the last record before it: the last of its block, or else of the blocks before. The archives
+    are read again for the pieces, which are found by their content wherever that scan meets them.
     """
-    at = placed.select("file", "block", "nth", "start").join(
+    at = placed.select("file", "block", "content", "start").join(
         records.select("file", "start", F.col("offset").alias("owner")), ["file", "start"], "left")
     by_block = Window.partitionBy("file", "block").orderBy("start")
     last = at.groupBy("file", "block").agg(F.max("owner").alias("last"))
     carried = last.select("file", "block", F.max("last").over(
         Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     owned = at.withColumn("owner", F.last("owner", True).over(by_block)).join(carried, ["file", "block"]).select(
-        "file", "block", "nth", "start", F.coalesce("owner", "carried").alias("offset"))
+        "file", "content", "start", F.coalesce("owner", "carried").alias("offset"))
     wanted = owned.join(split.select("file", "offset"), ["file", "offset"], "left_semi")
-    again = _pieces(scratch.spark, path).join(wanted, ["file", "block", "nth"])
-    joined = again.groupBy("file", "offset").agg(
+    wanted = scratch.keep(wanted, "wanted")
+    again = _pieces(scratch.spark, path).select("file", _content().alias("content"), "value").join(
+        wanted.select("file", "content").distinct(), ["file", "content"], "left_semi")
+    values = again.groupBy("file", "content").agg(F.any_value("value").alias("value"))
+    joined = wanted.join(values, ["file", "content"]).groupBy("file", "offset").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "value"))), lambda p: p["value"]), MAGIC).alias("whole"))
     return split.join(joined, ["file", "offset"]).withColumn("payload", F.substring(
         F.col("whole").cast("binary"), (F.col("skip") + 1).cast("int"), F.col("length").cast("int")))

@@ -48,6 +48,22 @@ def test_archives_round_trip(spark, pages, compression, block):
     assert set(whole) - {b""} == {b for _, b in rows} - {b""}
 
 
+def test_archives_when_the_second_scan_is_cut_otherwise(spark, pages):
+    """The pieces of split records are found although blocks and tasks have changed since the first scan."""
+    path = Scratch(spark, "test").path("archives")
+    warc.write_archives(warc.mark_revisits(pages), path)
+    want = Counter(bytes(r["payload"]) for r in warc.read_archives(spark, path).collect())
+    read = warc.read_archives(spark, path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        got = Counter(bytes(r["payload"]) for r in read.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == want and any(b"\nWARC/" in b for b in want)
+
+
 def test_archive_edges(spark, pages):
     path = Scratch(spark, "test").path("archives")
     warc.write_archives(warc.mark_revisits(pages.where("false")), path)
