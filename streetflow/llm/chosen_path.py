@@ -179,7 +179,8 @@ class Join:
         texts = self.docs.select("doc_id", "text").join(
             wanted.hint("merge") if many else wanted, F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi")
         read = full_sets(texts).join(need, ["p1", "p2"]).groupBy("cls").agg(F.any_value("shingles").alias("shingles")).withColumn(
-            "half", F.transform("shingles", lambda h: F.shiftright(h, 32).cast("int")))
+            "half", F.transform("shingles", lambda h: F.shiftright(h, 32).cast("int"))).withColumn(
+            "lost", F.size("shingles") - F.size(F.array_distinct("half")))
         read = self.scratch.keep(read, "sets")
         self.sets = read if self.sets is None else self.sets.union(read)
 
@@ -194,15 +195,16 @@ class Join:
         self.checked = pairs if self.checked is None else self.checked.union(pairs)
         self.read_sets(pairs.select(F.explode(F.array("a", "b")).alias("cls")))
 
-        def joined(rows: DataFrame, column: str, slack: int) -> DataFrame:
-            left, right = (self.sets.select(F.col("cls").alias(k), F.col(column).alias(f"s{k}"), F.size("shingles").alias(f"n{k}")) for k in "ab")
+        def joined(rows: DataFrame, column: str, slack: Column) -> DataFrame:
+            left, right = (self.sets.select(
+                F.col("cls").alias(k), F.col(column).alias(f"s{k}"), F.size("shingles").alias(f"n{k}"), F.col("lost").alias(f"l{k}")) for k in "ab")
             both = F.size(F.array_intersect("sa", "sb")) + slack
             return rows.join(left, "a").join(right, "b").where(both * 100 >= (F.col("na") + F.col("nb") - both) * PERCENT).select("a", "b")
 
-        # most pairs fall short already by the hashes cut to half their bits, which may match more often but for a
-        # few that coincide within one set; the others are confirmed on the full sets
-        likely = self.scratch.keep(joined(pairs, "half", 4), "likely")
-        links, seen = self.scratch.keep_seen(joined(likely, "shingles", 0), "links")
+        # most pairs fall short already by the hashes cut to half their bits, which may match more often but for
+        # those that coincide within one set, at most as many as either set loses; the others are confirmed on the full sets
+        likely = self.scratch.keep(joined(pairs, "half", F.least("la", "lb")), "likely")
+        links, seen = self.scratch.keep_seen(joined(likely, "shingles", F.lit(0)), "links")
         if seen["n"]:
             self.links.append(links)
             self.fresh = True

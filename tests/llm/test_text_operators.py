@@ -103,6 +103,18 @@ def test_copies_linked_only_through_their_source(spark, monkeypatch):
     assert found_components(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(rows)
 
 
+def test_links_of_sets_whose_halves_coincide(spark):
+    """30 of the 90 shingles in common have equal upper halves: the first filter must not throw the pair out."""
+    both = [(7 << 32) + i for i in range(30)] + [(100 + i) << 32 for i in range(60)]
+    sets = [(c, both + [(1000 * (c + 1) + i) << 32 for i in range(10)]) for c in (0, 1)]
+    run = chosen_path.Join(spark.createDataFrame([], "doc_id long, text string"))
+    run.sets = spark.createDataFrame(
+        [(c, s, [h >> 32 for h in s], len(s) - len({h >> 32 for h in s})) for c, s in sets],
+        "cls long, shingles array<long>, half array<int>, lost int")
+    run.confirm(spark.createDataFrame([(0, 1)], "a long, b long"))
+    assert [tuple(r) for x in run.links for r in x.collect()] == [(0, 1)]
+
+
 def test_components_of_a_chain(spark):
     from streetflow.llm.common import Scratch
 
