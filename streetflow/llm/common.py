@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from streetflow.operators.storage import remove_dir, shared_dir
+from streetflow.operators.storage import BROADCAST_BYTES, broadcast_if_small, remove_dir, shared_dir
 
 #: Texts are turned into numpy arrays in pieces of about this many bytes, whatever the size of an Arrow batch.
 PIECE_BYTES = 2_000_000
@@ -64,6 +64,30 @@ def ranked(scratch: Scratch, df: DataFrame, order: list[str], tie: str) -> tuple
     return rows, counts.select("part", before.alias("before"))
 
 
+def broadcast_bytes(given: int | None) -> int:
+    return BROADCAST_BYTES if given is None else given
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: str, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``rows`` with the other columns of ``groups``, a table of one row per ``group_key`` that counts its
+    ``group_rows``; rows of no group get nulls, a null key is a key.
+
+    ``groups`` is written and broadcast if it has at most ``max_bytes``. Otherwise only groups with more than 1/1024 of
+    all counted rows are, 1,023 at most, and the rows of the many small groups meet theirs by a shuffle.
+    """
+    kept, small = broadcast_if_small(groups, max_bytes)
+    if small:
+        return rows.join(kept, rows[key].eqNullSafe(kept["group_key"]), "left").drop("group_key", "group_rows")
+    total = kept.agg(F.sum("group_rows")).first()[0] or 0
+    is_hot = F.col("group_rows") * 1024 > total
+    hot, cold = kept.where(is_hot), kept.where(~is_hot)
+    names = hot.select(F.col("group_key").alias("hot_key"))
+    of_hot = rows.join(F.broadcast(hot), rows[key].eqNullSafe(hot["group_key"]))
+    others = rows.join(F.broadcast(names), rows[key].eqNullSafe(names["hot_key"]), "left_anti")
+    of_cold = others.join(cold, others[key].eqNullSafe(cold["group_key"]), "left")
+    return of_hot.unionByName(of_cold).drop("group_key", "group_rows")
+
+
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table of the driver as one literal of the plan; ``schema`` is like ``"a int, b long"``."""
     names = [c.split()[0] for c in schema.split(",")]

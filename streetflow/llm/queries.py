@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from streetflow.llm import bpe, buckets, chat, chosen_path, language, pu, ring, rules, vamana, warc
+from streetflow.llm import (bpe, buckets, chat, chosen_path, cross_tokens, language, main_text, pu, ring, rules, slice_codes,
+                            vamana, warc)
 from streetflow.llm.common import Scratch
 
 
@@ -86,6 +87,22 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast(T.IntegerType()).alias("grown_shard"))
 
 
+def op11_slice_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slice_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op13_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return cross_tokens.alignment(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"),
+        public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "page_language_id": page_language_id,
@@ -98,10 +115,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_adaptive_rules": op8_adaptive_rules,
     "op9_bpe": op9_bpe,
     "op10_ring_shards": op10_ring_shards,
+    "op11_slice_codes": op11_slice_codes,
+    "op12_main_text": op12_main_text,
+    "op13_cross_tokens": op13_cross_tokens,
 }
 
 
+def _codes_sql(rounds: int) -> str:
+    """All rounds of op11 as one chain of tables; whole numbers stay below 2^53, so doubles hold them exactly."""
+    def assigned(k: int) -> str:
+        return f"""
+a{k} AS MATERIALIZED (
+  SELECT p.row_id, p.part, min_by(c.entry, (p.norm + c.norm - 2 * list_inner_product(p.v, c.v)) * 256 + c.entry) AS entry,
+         min(p.norm + c.norm - 2 * list_inner_product(p.v, c.v))::BIGINT AS distance
+  FROM p JOIN c{k} c ON c.part = p.part GROUP BY 1, 2),"""
+
+    def moved(k: int) -> str:
+        return f"""
+m{k} AS (
+  SELECT part, entry, list(floor(s / n) ORDER BY pos) AS v FROM (
+    SELECT a.part, a.entry, g.pos, sum(p.v[g.pos]) AS s, count(*) AS n
+    FROM a{k} a JOIN p ON p.row_id = a.row_id AND p.part = a.part JOIN range(1, 17) g(pos) ON true GROUP BY 1, 2, 3) GROUP BY 1, 2),
+c{k + 1} AS MATERIALIZED (
+  SELECT part, entry, v, list_inner_product(v, v) AS norm FROM (
+    SELECT c.part, c.entry, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN m{k} m ON m.part = c.part AND m.entry = c.entry)),"""
+
+    chain = "".join(assigned(k) + moved(k) for k in range(rounds)) + assigned(rounds)
+    return f"""
+WITH e AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row_id, vec_id, label,
+         list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (
+  SELECT row_id, part, v, list_inner_product(v, v) AS norm FROM (
+    SELECT row_id, part, v[part * 16 + 1:part * 16 + 16] AS v FROM e, range(4) t(part))),
+c0 AS (SELECT part, row_id - 1 AS entry, v, norm FROM p WHERE row_id <= 256),{chain}
+books AS (
+  SELECT sha256(string_agg(c.v[g.pos]::BIGINT::VARCHAR, ',' ORDER BY c.part, c.entry, g.pos)) AS digest FROM c{rounds} c, range(1, 17) g(pos)),
+coded AS (
+  SELECT row_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(distance)::BIGINT AS error FROM a{rounds} GROUP BY 1)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, digest AS codebooks_sha256
+FROM coded JOIN e USING (row_id), books"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_slice_codes": _codes_sql(slice_codes.ROUNDS),
     "op3_chosen_path": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
