@@ -93,8 +93,8 @@ def _matrix(docs: DataFrame) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, prior: float | None = None) -> dict:
-    """The model, from about ``fit_rows`` trusted positives and as many unlabelled texts, chosen by hash over the
-    whole tables. Trusted positives are rows with ``labels.quality`` = 1 outside the held-out fold; negative labels are
+    """The model, from about ``fit_rows`` trusted positives and as many unlabelled texts, chosen by hash of the texts
+    over the whole tables. Trusted positives are rows with ``labels.quality`` = 1 outside the held-out fold; negative labels are
     not used. Unlabelled texts are rows of ``docs`` themselves. A doc_id with several labels counts as positive if one
     of them says so. Without positives or documents every score is 0.5.
     """
@@ -104,25 +104,24 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, prior: f
     trusted = labels.where((F.col("quality") == 1) & ~held_out("doc_id")).select("doc_id").distinct()
     # bounded by fit_rows, so it can be broadcast
     chosen = F.broadcast(trusted.where(sampled(F.col("doc_id"), trusted.count())))
-    row = F.monotonically_increasing_id()
+    row = F.xxhash64("doc_id", "text")  # the same rows however the files are dealt out
     positive = docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi")
     positives = _matrix(positive.where(sampled(row, positive.count())))
-    return fit(positives, _matrix(docs.select("text").where(sampled(row, docs.count()))), prior)
+    return fit(positives, _matrix(docs.where(sampled(row, docs.count()))), prior)
 
 
 def with_score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
-    """``docs`` with a score of every whole text as a last column; a null text counts as empty."""
+    """``docs`` with a score of every whole text as a last column; a null text counts as empty.
+
+    Only the texts go to the Python workers; the other columns stay where they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
-    names = [f"c{i}" for i in range(len(docs.columns))]
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            score = predict(shared.value, features(b.column(at)).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], [*names, "score"])
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(predict(shared.value, features(text).astype(np.float64)), pa.float64())
 
-    schema = ", ".join(f"{n} {t}" for n, (_, t) in zip(names, docs.dtypes))
-    return docs.toDF(*names).mapInArrow(scored, f"{schema}, score double").toDF(*docs.columns, name)
+    return docs.withColumn(name, score(F.col("text").cast("string")))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fit_rows: int = FIT_ROWS,

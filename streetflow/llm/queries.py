@@ -158,7 +158,67 @@ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS labe
 FROM coded JOIN e USING (row_id), books"""
 
 
+def _rules_sql() -> str:
+    """op8 with exact word windows and lines in place of their hashes."""
+    ratio = ", ".join(f"(CASE WHEN {b} > 0 THEN 1000 * {a} // {b} ELSE 0 END)::BIGINT AS {m}" for m, a, b, *_ in rules.METRICS)
+    width, digits = 1 << rules.DIGITS, rules.DIGITS
+    below, above = ("CASE metric " + " ".join(f"WHEN '{row[0]}' THEN {row[k]}" for row in rules.METRICS if row[k] is not None) + " END" for k in (3, 4))
+
+    def quantiles(name: str, keys: str) -> str:
+        listed = f"{keys}, " if keys else ""
+        return f"""
+{name} AS (
+  SELECT {listed}metric, max(n) AS n, coalesce(min(least_) FILTER (upto * 100 >= n * below), 0) AS low,
+         min(next_) FILTER (upto * 100 >= n * above) - 1 AS high
+  FROM (SELECT *, sum(r) OVER (PARTITION BY {listed}metric) AS n,
+               sum(r) OVER (PARTITION BY {listed}metric ORDER BY bucket) AS upto, {below} AS below, {above} AS above,
+               ((bucket - greatest(bucket // {width} - 1, 0) * {width}) * 2 ** greatest(bucket // {width} - 1, 0))::BIGINT AS least_,
+               ((bucket + 1 - greatest((bucket + 1) // {width} - 1, 0) * {width}) * 2 ** greatest((bucket + 1) // {width} - 1, 0))::BIGINT AS next_
+        FROM (SELECT {listed}metric, bucket, sum(r) AS r FROM sketch GROUP BY ALL)) GROUP BY {listed}metric),"""
+
+    inside = " AND ".join(f"{m} BETWEEN max(low) FILTER (metric = '{m}') AND max(high) FILTER (metric = '{m}')" for m, *_ in rules.METRICS)
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id, lang, source, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS words FROM documents),
+lines AS (
+  SELECT row_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT row_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY 1),
+windows AS (
+  SELECT row_id, pos, count(*) OVER (PARTITION BY row_id, five) AS n
+  FROM (SELECT row_id, pos, array_to_string(words[pos:pos + 4], ' ') AS five
+        FROM (SELECT row_id, words, unnest(range(1, len(words) - 3)) AS pos FROM d))),
+repeated AS (
+  SELECT row_id, count(DISTINCT pos + step) AS n_repeat_words FROM windows, range(5) s(step) WHERE n >= 2 GROUP BY 1),
+c AS (
+  SELECT row_id, doc_id, lang, source, len(words)::BIGINT AS n_words,
+         length(regexp_replace(text, '[ 	-
+]+', '', 'g'))::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN lines USING (row_id) LEFT JOIN repeated USING (row_id)),
+m AS (SELECT *, {ratio} FROM c),
+cells AS (SELECT lang, source, metric, value FROM (FROM m WHERE n_words >= 10 AND n_repeat_words * 100 <= n_words * 20) UNPIVOT (value FOR metric IN ({", ".join(m for m, *_ in rules.METRICS)}))),
+sketch AS (
+  SELECT lang, source, metric, greatest(length(bin(value)) - {digits + 1}, 0) * {width} + (value >> greatest(length(bin(value)) - {digits + 1}, 0)) AS bucket,
+         count(*) AS r FROM cells GROUP BY ALL),{quantiles("own", "lang, source")}{quantiles("of_lang", "lang")}{quantiles("of_all", "")}
+limits AS (
+  SELECT o.lang, o.source, o.metric,
+         CASE WHEN o.n >= 100 THEN o.low WHEN l.n >= 100 THEN l.low ELSE a.low END AS low,
+         CASE WHEN o.n >= 100 THEN o.high WHEN l.n >= 100 THEN l.high ELSE a.high END AS high
+  FROM own o JOIN of_lang l ON l.metric = o.metric AND l.lang IS NOT DISTINCT FROM o.lang JOIN of_all a ON a.metric = o.metric)
+SELECT any_value(doc_id) AS doc_id, any_value(n_words) AS n_words, any_value(word_chars) AS word_chars, any_value(n_symbols) AS n_symbols,
+  any_value(n_dup_lines) AS n_dup_lines, any_value(n_repeat_words) AS n_repeat_words,
+  any_value(n_words < 10 OR n_repeat_words * 100 > n_words * 20) AS base_failed,
+  coalesce(any_value(n_words >= 10 AND n_repeat_words * 100 <= n_words * 20) AND {inside}, false) AS kept
+FROM m LEFT JOIN limits t ON t.lang IS NOT DISTINCT FROM m.lang AND t.source IS NOT DISTINCT FROM m.source
+GROUP BY row_id, word_length, symbols, dup_lines, repeats"""
+
+
 ORACLES: dict[str, str] = {
+    "op8_adaptive_rules": _rules_sql(),
     "op11_slice_codes": _codes_sql(slice_codes.ROUNDS),
     "op3_chosen_path": r"""
 WITH RECURSIVE w AS (

@@ -12,13 +12,13 @@ from streetflow.llm.common import Scratch
 from streetflow.llm.text_stats import rule_counts
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-#: (metric, numerator, denominator, judged below, judged above, least distance of a threshold from the quartile)
-#: in units of 1/1000. Distances keep a group of near-equal texts from rejecting its own ordinary variation.
+#: (metric in units of 1/1000, numerator, denominator, percent of texts below the lower limit, percent up to the upper one)
+#: Ordinary prose holds hardly any symbols, so their limit may lie lower in the tail.
 METRICS = (
-    ("word_length", "word_chars", "n_words", True, True, 2500),
-    ("symbols", "n_symbols", "n_words", False, True, 100),
-    ("dup_lines", "n_dup_lines", "n_lines", False, True, 350),
-    ("repeats", "n_repeat_words", "n_words", False, True, 150),
+    ("word_length", "word_chars", "n_words", 1, 99),
+    ("symbols", "n_symbols", "n_words", None, 95),
+    ("dup_lines", "n_dup_lines", "n_lines", None, 99),
+    ("repeats", "n_repeat_words", "n_words", None, 99),
 )
 #: A sketch keeps this many leading binary digits of a value: buckets are at most 1/32 of their value wide.
 DIGITS = 5
@@ -57,51 +57,57 @@ def ratio(top: str, below: str) -> Column:
     return F.when(F.col(below) > 0, F.floor(F.col(top) * 1000 / F.col(below))).otherwise(0).cast("long")
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
+
+
 def sketch(counts: DataFrame) -> DataFrame:
-    """Mergeable sketches: rows per (lang, source, metric, bucket). Two sketches merge by adding their rows."""
+    """Mergeable sketches of the texts that pass the base rules, which alone are judged further: rows per (lang, source,
+    metric, bucket). Two sketches merge by adding their rows."""
     cells = F.array(*[F.struct(F.lit(m).alias("metric"), bucket(ratio(a, b)).alias("bucket")) for m, a, b, *_ in METRICS])
-    return (counts.where("n_words > 0").select("lang", "source", F.explode(cells).alias("c"))
+    return (counts.where(~base_failed()).select("lang", "source", F.explode(cells).alias("c"))
             .groupBy("lang", "source", "c.metric", "c.bucket").agg(F.count(F.lit(1)).alias("rows")))
 
 
-def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """n, q1, q3 and their distance per group and metric, from the sketches merged to ``keys``."""
+def quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """n, low and high per group and metric, from the sketches merged to ``keys``: the least value of the bucket of the
+    lower quantile and the greatest of that of the upper one, so that no value of these buckets lies outside."""
     merged = sketches.groupBy(*keys, "metric", "bucket").agg(F.sum("rows").alias("rows"))
     group = Window.partitionBy(*keys, "metric")
     run = merged.withColumn("n", F.sum("rows").over(group)).withColumn(
         "upto", F.sum("rows").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
-    value = bucket_value(F.col("bucket"))
-    return run.groupBy(*keys, "metric").agg(
-        F.max("n").alias("n"), F.min(F.when(F.col("upto") * 4 >= F.col("n"), value)).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("n") * 3, value)).alias("q3"))
+    first, last = bucket_value(F.col("bucket")), bucket_value(F.col("bucket") + 1) - 1
+    low, high = F.lit(0).cast("long"), F.lit(None).cast("long")
+    for m, _, _, below, upto in METRICS:
+        of = F.col("metric") == m
+        if below is not None:
+            low = F.when(of, F.when(F.col("upto") * 100 >= F.col("n") * below, first)).otherwise(low)
+        high = F.when(of, F.when(F.col("upto") * 100 >= F.col("n") * upto, last)).otherwise(high)
+    return run.groupBy(*keys, "metric").agg(F.max("n").alias("n"), F.min(low).alias("low"), F.min(high).alias("high"))
 
 
-def thresholds(sketches: DataFrame, min_rows: int, reach: int) -> DataFrame:
-    """low_<metric> and high_<metric> per (lang, source).
+def thresholds(sketches: DataFrame, min_rows: int) -> DataFrame:
+    """low_<metric> and high_<metric> per (lang, source), quantiles of that group's texts.
 
     A group of fewer than ``min_rows`` texts takes the merged sketch of its language, and a language of fewer that of
-    all texts. Limits lie ``reach`` times the quartile distance beyond the quartiles, ``METRICS`` gives the least step.
+    all texts.
     """
-    own = quartiles(sketches, ["lang", "source"])
-    lang = quartiles(sketches, ["lang"]).select(
-        F.col("lang").alias("l_lang"), F.col("metric").alias("l_metric"), *[F.col(c).alias(f"l_{c}") for c in ("n", "q1", "q3")])
-    every = quartiles(sketches, []).select(F.col("metric").alias("a_metric"), F.col("q1").alias("a_q1"), F.col("q3").alias("a_q3"))
+    own = quantiles(sketches, ["lang", "source"])
+    lang = quantiles(sketches, ["lang"]).select(
+        F.col("lang").alias("l_lang"), F.col("metric").alias("l_metric"), *[F.col(c).alias(f"l_{c}") for c in ("n", "low", "high")])
+    every = quantiles(sketches, []).select(F.col("metric").alias("a_metric"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))
     joined = own.join(lang, own["lang"].eqNullSafe(lang["l_lang"]) & (own["metric"] == lang["l_metric"])).join(
         F.broadcast(every), own["metric"] == every["a_metric"])  # one row per metric
 
     def level(c: str) -> Column:
         return F.when(F.col("n") >= min_rows, F.col(c)).when(F.col("l_n") >= min_rows, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
 
-    fences = joined.select("lang", "source", "metric", level("q1").alias("q1"), level("q3").alias("q3"))
-    out = []
-    for m, _, _, below, above, least in METRICS:
-        step = F.greatest((F.col("q3") - F.col("q1")) * reach, F.lit(least))
-        out.append(F.max(F.when(F.col("metric") == m, F.col("q1") - step if below else F.lit(-1))).alias(f"low_{m}"))
-        out.append(F.max(F.when(F.col("metric") == m, F.col("q3") + step if above else F.lit(2**62))).alias(f"high_{m}"))
-    return fences.groupBy("lang", "source").agg(*out)
+    limits = joined.select("lang", "source", "metric", level("low").alias("low"), level("high").alias("high"))
+    return limits.groupBy("lang", "source").agg(
+        *[F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{c}_{m}") for m, *_ in METRICS for c in ("low", "high")])
 
 
-def filter_by_rules(docs: DataFrame, min_rows: int = 200, reach: int = 3) -> DataFrame:
+def filter_by_rules(docs: DataFrame, min_rows: int = 100) -> DataFrame:
     """Verdict per row of (doc_id, text, lang, source, …): doc_id, lang, source, the counts, base_failed, kept.
 
     base_failed: fewer than 10 words, or more than a fifth of the words in repeated five-word windows. kept: not
@@ -112,10 +118,10 @@ def filter_by_rules(docs: DataFrame, min_rows: int = 200, reach: int = 3) -> Dat
     scratch = Scratch(docs.sparkSession, "rules")
     counts = scratch.keep(measured(docs), "counts")
     sketches = scratch.keep(sketch(counts), "sketches")
-    limits = thresholds(sketches, min_rows, reach).withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
+    limits = thresholds(sketches, min_rows).withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
     judged = counts.join(
         limits, counts["lang"].eqNullSafe(limits["t_lang"]) & counts["source"].eqNullSafe(limits["t_source"]), "left")
-    failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
+    failed = base_failed()
     inside = F.lit(True)
     for m, a, b, *_ in METRICS:
         inside = inside & ratio(a, b).between(F.col(f"low_{m}"), F.col(f"high_{m}"))

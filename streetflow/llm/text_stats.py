@@ -7,6 +7,8 @@ import pyarrow as pa
 
 from streetflow.llm.common import IS_SPACE, text_pieces, windows, word_hash, words
 
+#: Texts whose features are counted together; the counts by byte pairs take some forty times as much memory.
+FEATURE_BYTES = 1_000_000
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 NOT_TAIL = np.ones(256, bool)
@@ -97,7 +99,7 @@ def rule_counts(column: pa.Array) -> dict[str, np.ndarray]:
 def features(column: pa.Array) -> np.ndarray:
     """(texts, N_FEATURES): shares of neighbouring byte classes, then length, word and repetition figures."""
     out = []
-    for _, data, at in text_pieces(column):
+    for _, data, at in text_pieces(column, FEATURE_BYTES):
         n = len(at) - 1
         size = np.maximum(np.diff(at), 1)
         text, start, end, hashes = words(data, at)
