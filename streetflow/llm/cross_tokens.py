@@ -6,7 +6,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +17,8 @@ from streetflow.llm.common import Scratch, text_pieces, with_group
 
 #: Texts are encoded together up to about this many bytes; longer ones in stretches of this many characters.
 BLOCK_BYTES, STRETCH = 1_000_000, 100_000
+#: First window that is compared at a shift.
+WINDOW = 16
 #: Distinct pairs that a task counts before it passes them on.
 TASK_PAIRS = 400_000
 #: Pairs of the corpus that may be looked up in every task (16 bytes each); beyond, they are joined.
@@ -71,13 +72,18 @@ class Encoders:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.parts_at_blanks = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.a_size, self.b_size = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
-        self.a_name, self.b_name = ([str(i) for i in range(len(x))] for x in (self.a_bytes, self.b_bytes))
-
-    def encode(self, text: str) -> tuple[list[int], list[int]]:
+        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        # ids as text with what follows them in the groups' digest: A's within a group and at its end, then B's; padded rows
+        names = [f"{i}{mark}" for t, last in ((self.a_bytes, "|"), (self.b_bytes, ";")) for mark in (",", last) for i in range(len(t))]
+        width = max(map(len, names))
+        self.name = np.frombuffer("".join(x.ljust(width) for x in names).encode(), np.uint8).reshape(-1, width)
+        self.name_kept = self.name != 32
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a blank and the text, in both; none where either does not give the bytes back."""
+        none = np.zeros(0, np.int64)
         if not text:
-            return [], []
+            return none, none
         if len(text) <= STRETCH or not self.parts_at_blanks:
             stretches = [text]
         else:
@@ -92,9 +98,11 @@ class Encoders:
             a += self.a.encode_ordinary(" " + s)
             b += self.b.encode(s)
         raw = (" " + text).encode()
-        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
-            return [], []
-        return a, b
+        ids = np.array(a, np.int64), np.array(b, np.int64)
+        # A cuts the bytes it is given, so their number tells
+        if self.a_size[ids[0]].sum() != len(raw) or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+            return none, none
+        return ids
 
 
 _ENCODERS: dict[bytes, Encoders] = {}
@@ -108,33 +116,34 @@ def encoders_of(files: tuple[bytes, dict[bytes, int], str, bytes]) -> Encoders:
     return _ENCODERS[digest]
 
 
-def align(a: list[int], b: list[int]) -> list[tuple[int, int, int, int, int]]:
-    """Stretches (i, j, run, p, q) of two rising lists of ends that end alike.
+def align(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """Stretches (i, j, run, p, q) of two rising arrays of ends that end alike.
 
     ``run`` one-to-one groups start at a[i], b[j]; then one irregular group takes a up to p and b up to q, or there is
-    none, p being i + run. At the current shift j - i, stretches of doubling length are compared as long as they agree
-    and halving ones after that; a group of other than one token a side is walked token by token and sets a new shift.
+    none, p being i + run. At the current shift j - i, windows of doubling length are compared up to the first
+    difference; a group of other than one token a side is walked token by token and sets a new shift.
     """
-    out, i, j, n = [], 0, 0, len(a)
+    out, i, j, n, left, right = [], 0, 0, len(a), a.tolist(), b.tolist()
     while i < n:
-        run, step = 0, 1
-        while (x := a[i + run:i + run + step]) and x == b[j + run:j + run + step]:
-            run += len(x)
-            step *= 2
-        while step > 1:
-            step //= 2
-            if (x := a[i + run:i + run + step]) and x == b[j + run:j + run + step]:
-                run += len(x)
+        run, width = 0, WINDOW
+        while most := min(width, n - i - run, len(b) - j - run):
+            same = a[i + run:i + run + most] == b[j + run:j + run + most]
+            first = int(same.argmin())
+            if not same[first]:
+                run += first
+                break
+            run += most
+            width *= 2
         p, q = i + run, j + run
         if p < n:
-            x, y = a[p], b[q]
+            x, y = left[p], right[q]
             while x != y:
                 if x < y:
                     p += 1
-                    x = a[p]
+                    x = left[p]
                 else:
                     q += 1
-                    y = b[q]
+                    y = right[q]
             p, q = p + 1, q + 1
         out.append((i, j, run, p, q))
         i, j = p, q
@@ -144,22 +153,26 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int, int, int, int]]:
 def _aligned(e: Encoders, text: str) -> tuple[int, int, int, str, np.ndarray]:
     """Number of A tokens, B tokens and groups, the groups' digest and the pair of every link (a << 32 | b)."""
     a, b = e.encode(text)
-    if not a:
+    if not len(a):
         return 0, 0, 0, "", np.zeros(0, np.int64)
-    stretches = align(list(accumulate(map(e.a_size.__getitem__, a))), list(accumulate(map(e.b_size.__getitem__, b))))
-    left, right = list(map(e.a_name.__getitem__, a)), list(map(e.b_name.__getitem__, b))
-    groups, last_a, last_b = [], [], []
-    for i, j, run, p, q in stretches:
-        if run:
-            groups.extend(map("|".join, zip(left[i:i + run], right[j:j + run])))
-            last_a += a[i:i + run]
-            last_b += b[j:j + run]
-        if p > i + run:
-            groups.append(",".join(left[i + run:p]) + "|" + ",".join(right[j + run:q]))
-            last_a.append(a[p - 1])
-            last_b.append(b[q - 1])
-    links = np.array(last_a, np.int64) << 32 | np.array(last_b, np.int64)
-    return len(a), len(b), len(groups), hashlib.sha256(";".join(groups).encode()).hexdigest(), links
+    stretches = align(np.cumsum(e.a_size[a]), np.cumsum(e.b_size[b]))
+    # the last tokens of every group: of one-to-one groups each one, of irregular ones that before p and q
+    table = np.array(stretches, np.int64)
+    odd = table[:, 3] > table[:, 0] + table[:, 2]
+    many = table[:, 2] + odd
+    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    is_odd = np.repeat(odd, many) & (place == np.repeat(table[:, 2], many))
+    last_a, last_b = (np.where(is_odd, np.repeat(table[:, k + 3] - 1, many), np.repeat(table[:, k], many) + place) for k in (0, 1))
+    # all ids in the order of the groups, A before B within each
+    in_a, in_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+    named_a, named_b = a.copy(), b + 2 * len(e.a_size)
+    named_a[last_a] += len(e.a_size)
+    named_b[last_b] += len(e.b_size)
+    named = np.empty(len(a) + len(b), np.int64)
+    named[np.arange(len(a)) + np.repeat(last_b + 1 - in_b, in_a)] = named_a
+    named[np.arange(len(b)) + np.repeat(last_a + 1, in_b)] = named_b
+    digest = hashlib.sha256(e.name[named][e.name_kept[named]].tobytes()[:-1]).hexdigest()
+    return len(a), len(b), len(last_a), digest, a[last_a] << 32 | b[last_b]
 
 
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:

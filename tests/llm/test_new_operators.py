@@ -213,10 +213,10 @@ def test_diagonal_runs():
         ends = np.arange(1, 400)
         a, b = (sorted({*ends[r.rand(len(ends)) < share].tolist(), 400}) for _ in range(2))
         found = []
-        for i, j, run, p, q in cross_tokens.align(a, b):
+        for i, j, run, p, q in cross_tokens.align(np.array(a), np.array(b)):
             found += [(i + k + 1, j + k + 1) for k in range(run)] + ([(p, q)] if p > i + run else [])
         assert found == [(a.index(e) + 1, b.index(e) + 1) for e in sorted(set(a) & set(b))]
-    assert cross_tokens.align([5], [5]) == [(0, 0, 1, 1, 1)] and len(cross_tokens.align(list(range(1, 1000)), list(range(1, 1000)))) == 1
+    assert cross_tokens.align(np.array([5]), np.array([5])) == [(0, 0, 1, 1, 1)] and len(cross_tokens.align(*[np.arange(1, 1000)] * 2)) == 1
 
 
 def test_bytes_stand_for_letters():
