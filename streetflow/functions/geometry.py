@@ -287,43 +287,38 @@ def inside_or_on(edges: Column, px: Column, py: Column, eps: float = 1e-9) -> Co
     return (crossings % 2 == 1) | F.exists(edges, lambda e: F.coalesce(on(e), F.lit(False)))
 
 
+def cut_middles(s: Column, lo: Column, hi: Column, edges: Column) -> Column:
+    """Middles, as shares of the segment's length, of the pieces between ``lo`` and ``hi`` that edges cut it into."""
+    dx, dy = s["x1"] - s["x0"], s["y1"] - s["y0"]
+
+    def at(e):
+        ex, ey = e["x1"] - e["x0"], e["y1"] - e["y0"]
+        den = dx * ey - dy * ex
+        t = ((e["x0"] - s["x0"]) * ey - (e["y0"] - s["y0"]) * ex) / F.nullif(den, F.lit(0.0))
+        u = ((e["x0"] - s["x0"]) * dy - (e["y0"] - s["y0"]) * dx) / F.nullif(den, F.lit(0.0))
+        n2 = dx * dx + dy * dy
+        ends = [((e[f"x{k}"] - s["x0"]) * dx + (e[f"y{k}"] - s["y0"]) * dy) / n2 for k in (0, 1)]
+        return F.when(den != 0, F.array(F.when((u >= 0) & (u <= 1), t))).otherwise(F.array(*ends))
+
+    met = F.filter(F.flatten(F.transform(edges, at)), lambda t: t.isNotNull() & (t > lo) & (t < hi))
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array(lo), met, F.array(hi))))
+    return F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - 1), lambda t, i: (t + F.get(cuts, i + 1)) / 2)
+
+
 def line_within(line: Column, edges: Column, eps: float = 1e-9) -> Column:
     """No point of the line outside the polygon and some of it strictly inside.
 
     Each segment is cut where it meets the boundary; the line is within when every cut's midpoint is
-    inside or on the boundary and at least one is off the boundary.
+    inside or on the boundary and at least one is off the boundary. ``lines_within`` does this by cells.
     """
-
-    def cuts(s):
-        dx, dy = s["x1"] - s["x0"], s["y1"] - s["y0"]
-
-        def at(e):
-            ex, ey = e["x1"] - e["x0"], e["y1"] - e["y0"]
-            den = dx * ey - dy * ex
-            t = ((e["x0"] - s["x0"]) * ey - (e["y0"] - s["y0"]) * ex) / F.nullif(den, F.lit(0.0))
-            u = ((e["x0"] - s["x0"]) * dy - (e["y0"] - s["y0"]) * dx) / F.nullif(den, F.lit(0.0))
-            proper = F.when((t > 0) & (t < 1) & (u >= 0) & (u <= 1), t)
-            n2 = dx * dx + dy * dy
-            ends = [((e[f"x{k}"] - s["x0"]) * dx + (e[f"y{k}"] - s["y0"]) * dy) / n2 for k in (0, 1)]
-            return F.when(den != 0, F.array(proper)).otherwise(
-                F.array(*[F.when((c > 0) & (c < 1), c) for c in ends]))
-
-        ts = F.filter(F.flatten(F.transform(edges, at)), lambda t: t.isNotNull())
-        sorted_ts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0)), ts, F.array(F.lit(1.0)))))
-        return F.transform(
-            F.slice(sorted_ts, F.lit(1), F.size(sorted_ts) - 1),
-            lambda t, i: F.struct(
-                (s["x0"] + (t + F.get(sorted_ts, i + 1)) / 2 * dx).alias("x"),
-                (s["y0"] + (t + F.get(sorted_ts, i + 1)) / 2 * dy).alias("y"),
-            ),
-        )
-
-    mids = F.flatten(F.transform(segments(line), cuts))
+    mids = F.flatten(F.transform(segments(line), lambda s: F.transform(
+        cut_middles(s, F.lit(0.0), F.lit(1.0), edges), lambda t: F.struct(
+            (s["x0"] + t * (s["x1"] - s["x0"])).alias("x"), (s["y0"] + t * (s["y1"] - s["y0"])).alias("y")))))
     return F.forall(mids, lambda m: inside_or_on(edges, m["x"], m["y"], eps)) & F.exists(
-        mids, lambda m: inside_or_on(edges, m["x"], m["y"], eps) & ~_on_boundary(edges, m["x"], m["y"], eps))
+        mids, lambda m: inside_or_on(edges, m["x"], m["y"], eps) & ~on_boundary(edges, m["x"], m["y"], eps))
 
 
-def _on_boundary(edges: Column, px: Column, py: Column, eps: float) -> Column:
+def on_boundary(edges: Column, px: Column, py: Column, eps: float) -> Column:
     def on(e):
         dx, dy = e["x1"] - e["x0"], e["y1"] - e["y0"]
         n = F.hypot(dx, dy)

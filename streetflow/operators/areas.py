@@ -8,13 +8,16 @@ outline.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from streetflow.functions import geometry as G
 from streetflow.operators import grid
-from streetflow.operators.storage import broadcast_if_small
+from streetflow.operators.storage import BROADCAST_BYTES, cut_lineage
 
 AREA_CELL_M = 500.0
+#: Metres within which a point counts as on the boundary.
+EPS = 1e-9
 
 
 def area_cells(areas: DataFrame, key: str = "municipal", size: float = AREA_CELL_M) -> DataFrame:
@@ -24,21 +27,19 @@ def area_cells(areas: DataFrame, key: str = "municipal", size: float = AREA_CELL
     hi = F.floor(F.greatest("e.y0", "e.y1") / size + 0.5).cast("long")
     mid_y = (F.col("cy") + 0.5) * size
     e = F.col("e")
-    # Crossings of each cell row's centre line; a centre is inside when an odd number lie left of it.
-    crossings = (
+    # Crossings of each cell row's centre line in order: centres between an odd one and the next are inside.
+    row = W.partitionBy(key, "cy").orderBy("x")
+    spans = (
         edge.withColumn("cy", F.explode(F.sequence(lo, hi)))
         .filter((e["y0"] > mid_y) != (e["y1"] > mid_y))
-        .groupBy(key, "cy")
-        .agg(F.collect_list(
-            e["x0"] + (mid_y - e["y0"]) * (e["x1"] - e["x0"]) / (e["y1"] - e["y0"])).alias("xs"))
-    )
-    centre_x = (F.col("cx") + 0.5) * size
+        .select(key, "cy", (e["x0"] + (mid_y - e["y0"]) * (e["x1"] - e["x0"]) / (e["y1"] - e["y0"])).alias("x"))
+        .select(key, "cy", "x", F.lead("x").over(row).alias("to"), F.row_number().over(row).alias("n"))
+        .filter(F.col("n") % 2 == 1))
+    # the first centre right of x, and the last one left of, or at, the next crossing
+    first, last = F.floor(F.col("x") / size - 0.5).cast("long") + 1, F.floor(F.col("to") / size - 0.5).cast("long")
     inner = (
-        crossings.withColumn("cx", F.explode(F.sequence(
-            F.floor(F.array_min("xs") / size).cast("long"), F.floor(F.array_max("xs") / size).cast("long"))))
-        .filter(F.size(F.filter("xs", lambda x: x < centre_x)) % 2 == 1)
-        .select(key, "cx", "cy", F.lit(True).alias("centre_in"))
-    )
+        spans.filter(last >= first).select(key, F.explode(F.sequence(first, last)).alias("cx"), "cy")
+        .groupBy(key, "cx", "cy").agg(F.lit(True).alias("centre_in")))
     border = (
         edge.withColumn("c", F.explode(grid.cells(e, 0.0, size)))
         .groupBy(key, F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy"))
@@ -50,10 +51,9 @@ def area_cells(areas: DataFrame, key: str = "municipal", size: float = AREA_CELL
         F.coalesce("centre_in", F.lit(False)).alias("centre_in"))
 
 
-def _start_inside(s: Column, size: float) -> Column:
-    """Is the segment's start inside, walking from the cell centre: first along y, then along x."""
+def _inside(px: Column, py: Column, size: float) -> Column:
+    """Is a point of the cell inside, walking from the cell's centre: first along y, then along x."""
     cx, cy = (F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size
-    px, py = s["x0"], s["y0"]
 
     def vertical(e):
         y = e["y0"] + (cx - e["x0"]) * (e["y1"] - e["y0"]) / F.nullif(e["x1"] - e["x0"], F.lit(0.0))
@@ -82,7 +82,7 @@ def _meets(s: Column, e: Column) -> Column:
 
 
 def lines_touching(lines: DataFrame, line: str, columns: list[str], areas: DataFrame, key: str = "municipal",
-                   size: float = AREA_CELL_M) -> DataFrame:
+                   size: float = AREA_CELL_M, max_broadcast: int = BROADCAST_BYTES) -> DataFrame:
     """``columns`` and ``key`` of the (line, area) pairs that intersect; one row per touching cell.
 
     Callers reduce with ``distinct``. Each segment is tested per cell: covered cells answer at once,
@@ -92,23 +92,50 @@ def lines_touching(lines: DataFrame, line: str, columns: list[str], areas: DataF
     s = F.col("s")
     starts_here = (F.floor(s["x0"] / size) == F.col("cx")) & (F.floor(s["y0"] / size) == F.col("cy"))
     covered = (F.size("edges") == 0) & F.col("centre_in")
-    touches = covered | F.exists("edges", lambda e: _meets(s, e)) | (starts_here & _start_inside(s, size))
-    cells, _ = broadcast_if_small(area_cells(areas, key, size))
-    return left.join(cells, ["cx", "cy"]).filter(touches).select(*columns, key)
+    touches = covered | F.exists("edges", lambda e: _meets(s, e)) | (starts_here & _inside(s["x0"], s["y0"], size))
+    return grid.cell_join(left, area_cells(areas, key, size), touches, columns[0], max_broadcast).select(*columns, key)
+
+
+def _stretch(s: Column, c: Column, size: float) -> Column:
+    """The part of a segment inside a cell, as shares of its length; empty if ``lo`` is not below ``hi``."""
+    lo, hi = [F.lit(0.0)], [F.lit(1.0)]
+    for k, n in (("x", c["cx"]), ("y", c["cy"])):
+        start, step = s[f"{k}0"], s[f"{k}1"] - s[f"{k}0"]
+        near, far = (n * size - start) / F.nullif(step, F.lit(0.0)), ((n + 1) * size - start) / F.nullif(step, F.lit(0.0))
+        outside = (start < n * size) | (start > (n + 1) * size)
+        lo.append(F.when(step != 0, F.least(near, far)).when(outside, 2.0).otherwise(0.0))
+        hi.append(F.when(step != 0, F.greatest(near, far)).when(outside, -1.0).otherwise(1.0))
+    return F.struct(F.greatest(*lo).alias("lo"), F.least(*hi).alias("hi"))
 
 
 def lines_within(lines: DataFrame, line: str, areas: DataFrame, key: str = "municipal",
-                 size: float = AREA_CELL_M) -> DataFrame:
-    """Lines wholly inside an area, one row per (line, area).
+                 size: float = AREA_CELL_M, max_broadcast: int = BROADCAST_BYTES) -> DataFrame:
+    """Lines wholly inside an area, one row per (line, area): no point outside, some strictly inside.
 
-    A line within an area starts in it, so only the areas covering the cell of the first vertex are
-    tried; those are tested exactly against all their edges.
+    Each segment's stretch in a cell is cut where it meets the cell's own edges, and the middle of every cut is tested
+    from the cell's centre. A line is within an area that holds every one of its stretches; no outline travels.
     """
-    whole = areas.select(key, G.ring_edges(F.col("rings")).alias("edges"))
-    cells = area_cells(areas, key, size).select(key, "cx", "cy")
-    candidates, _ = broadcast_if_small(cells.join(whole, key))
-    first = G.start_point(F.col(line))
-    at = lines.withColumn("cx", F.floor(first["x"] / size).cast("long")).withColumn(
-        "cy", F.floor(first["y"] / size).cast("long"))
-    return at.join(candidates, ["cx", "cy"]).filter(
-        G.line_within(F.col(line), F.col("edges"))).drop("cx", "cy", "edges")
+    numbered = cut_lineage(lines.withColumn("_line", F.monotonically_increasing_id()), "lines")
+    stretches = F.flatten(F.transform(G.segments(F.col(line)), lambda s: F.filter(
+        F.transform(grid.cells(s, 0.0, size), lambda c: F.struct(
+            s.alias("s"), c["cx"].alias("cx"), c["cy"].alias("cy"), _stretch(s, c, size).alias("t"))),
+        lambda x: x["t"]["lo"] < x["t"]["hi"])))
+    left = numbered.select("_line", stretches.alias("all")).select(
+        "_line", F.size("all").alias("stretches"), F.explode("all").alias("one")).select("_line", "stretches", "one.*")
+    s, lo, hi = F.col("s"), F.col("t.lo"), F.col("t.hi")
+    dx, dy = s["x1"] - s["x0"], s["y1"] - s["y0"]
+    tested = grid.cell_join(left, area_cells(areas, key, size), F.lit(True), "_line", max_broadcast).withColumn(
+        "mids", G.cut_middles(s, lo, hi, F.col("edges")))
+
+    def at(t):
+        return s["x0"] + t * dx, s["y0"] + t * dy
+
+    def on(t):
+        return G.on_boundary(F.col("edges"), *at(t), EPS)
+
+    verdict = tested.select(
+        "_line", "stretches", key, F.forall("mids", lambda t: on(t) | _inside(*at(t), size)).alias("inside"),
+        F.exists("mids", lambda t: ~on(t) & _inside(*at(t), size)).alias("strictly"))
+    within = verdict.groupBy("_line", "stretches", key).agg(
+        F.count_if("inside").alias("n"), F.bool_or("strictly").alias("strictly")).filter("n = stretches AND strictly")
+    return numbered.join(within.select("_line", key), "_line").select(*lines.columns, key)

@@ -108,6 +108,11 @@ def test_lines_and_concave_areas_with_holes(spark):
     df = spark.createDataFrame(lines, f"id int, geom {LINE}").repartition(4)
     touching = {r["id"] for r in A.lines_touching(df, "geom", ["id"], area).select("id").distinct().collect()}
     within = {r["id"] for r in A.lines_within(df, "geom", area).collect()}
+    assert within == {r["id"] for r in df.join(area.select(G.ring_edges(F.col("rings")).alias("edges"))).filter(
+        G.line_within(F.col("geom"), F.col("edges"))).collect()}
+    for size, most in ((90.0, 0), (700.0, 0), (5000.0, 1 << 26)):  # other cells, and cells joined by a shuffle
+        assert touching == {r["id"] for r in A.lines_touching(df, "geom", ["id"], area, size=size, max_broadcast=most).select("id").distinct().collect()}
+        assert within == {r["id"] for r in A.lines_within(df, "geom", area, size=size, max_broadcast=most).collect()}
     for i, (p, _, q) in lines:
         hits = [_in((p[0] + (q[0] - p[0]) * t, p[1] + (q[1] - p[1]) * t), rings) for t in np.linspace(0, 1, 4001)]
         assert (any(hits), all(hits)) == (i in touching, i in within), (i, sum(hits))
