@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "trip_length_stats", "trip_endpoints", "street_class_cyclable", "nonloop_trips", "detour_histogram",
     "detour_quantiles", "stress_len_by_trip", "street_trip_count", "segment_direction", "contraflow_totals",
-    "area_trips", "network_length_by_class", "low_stress_curve", "geojson_merge",
+    "area_trips", "network_length_by_class", "low_stress_curve", "geojson_merge", "shortest_paths",
 ]
 
 

@@ -240,6 +240,61 @@ def lonlat(source: str, x: str, y: str, lon: str, lat: str) -> str:
             f"{P.RHO_0!r} - ({y} - {P.FALSE_NORTHING})) / {P.CONE!r} + {P.ORIGIN_LON!r}) AS {lon} FROM {inner})")
 
 
+#: Least distances on the grid by keyed recursion. Streets run along the axes, so |dx| + |dy| never exceeds the way that
+#: is left. Routes are sought up to SPARE metres longer than that, those not found there up to MORE. Positions are whole metres.
+SPARE, MORE = 300, 3000
+
+
+def _distances(name: str, goals: str) -> str:
+    return f"""{name}(pair, x, y, d) USING KEY (pair, x, y) AS (
+  SELECT pair, x, y, min(rest) FROM od JOIN tip ON px = sx AND py = sy WHERE pair IN (SELECT pair FROM ({goals})) GROUP BY 1, 2, 3
+  UNION
+  (SELECT c.pair, l.x2, l.y2, min(c.d + l.len) FROM {name} c JOIN ({goals}) g ON g.pair = c.pair JOIN link l ON l.x = c.x AND l.y = c.y
+   LEFT JOIN recurring.{name} r ON r.pair = c.pair AND r.x = l.x2 AND r.y = l.y2
+   WHERE c.d + l.len + abs(l.x2 - tx) + abs(l.y2 - ty) <= bound AND (r.d IS NULL OR c.d + l.len < r.d) GROUP BY 1, 2, 3))"""
+
+
+def _arrivals(name: str, dist: str, pairs: str) -> str:
+    return f"""{name} AS MATERIALIZED (
+  SELECT pair, min(m) AS m FROM (
+    SELECT pair, NULL::BIGINT AS m FROM ({pairs})
+    UNION ALL SELECT od.pair, d + rest FROM od JOIN tip ON px = ex AND py = ey JOIN {dist} t ON t.pair = od.pair AND t.x = tip.x AND t.y = tip.y
+    UNION ALL SELECT od.pair, abs(o.qx - t.qx) + abs(o.qy - t.qy) FROM od JOIN tip o ON o.px = sx AND o.py = sy
+      JOIN tip t ON t.px = ex AND t.py = ey AND t.k = o.k) WHERE pair IN (SELECT pair FROM ({pairs})) GROUP BY pair)"""
+
+
+ROUTED = f"""
+net AS (SELECT k, orient, off, a0, a1 FROM ways WHERE highway IS NOT NULL AND highway NOT IN ('motorway', 'motorway_link')),
+vert AS (
+  SELECT k, orient, off, unnest(list_distinct(list_filter([a0, 100 * (a0 // 100 + 1), 100 * (a0 // 100 + 2), a1], lambda v: v <= a1))) AS a
+  FROM net),
+node AS (
+  SELECT k, a, {BX} + CASE orient WHEN 0 THEN a ELSE off END AS x, {BY} + CASE orient WHEN 0 THEN off ELSE a END AS y FROM vert),
+along AS (SELECT k, a, x, y, lead(a) OVER w AS b, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM node WINDOW w AS (PARTITION BY k ORDER BY a)),
+link AS MATERIALIZED (
+  SELECT x, y, x2, y2, b - a AS len FROM along WHERE b IS NOT NULL UNION SELECT x2, y2, x, y, b - a FROM along WHERE b IS NOT NULL),
+od AS MATERIALIZED (SELECT row_number() OVER () AS pair, * FROM (SELECT DISTINCT sx, sy, ex, ey FROM trips)),
+pt AS (SELECT sx AS px, sy AS py FROM od UNION SELECT ex, ey FROM od),
+foot AS (
+  SELECT px, py, arg_min(struct_pack(k := k, qx := qx, qy := qy), ((px - qx) * (px - qx) + (py - qy) * (py - qy), qx, qy, k)) AS q
+  FROM (SELECT px, py, k, CASE orient WHEN 0 THEN greatest({BX} + a0, least({BX} + a1, px)) ELSE {BX} + off END AS qx,
+               CASE orient WHEN 0 THEN {BY} + off ELSE greatest({BY} + a0, least({BY} + a1, py)) END AS qy FROM pt, net)
+  GROUP BY px, py),
+tip AS MATERIALIZED (
+  SELECT DISTINCT f.px, f.py, q.k AS k, q.qx AS qx, q.qy AS qy, n.x, n.y, abs(n.x - q.qx) + abs(n.y - q.qy) AS rest
+  FROM foot f JOIN node n ON n.k = q.k
+  QUALIFY rest = min(CASE WHEN n.x <= q.qx AND n.y <= q.qy THEN rest END) OVER (PARTITION BY f.px, f.py)
+       OR rest = min(CASE WHEN n.x >= q.qx AND n.y >= q.qy THEN rest END) OVER (PARTITION BY f.px, f.py)),
+goal AS MATERIALIZED (
+  SELECT DISTINCT od.pair, t.qx AS tx, t.qy AS ty, abs(o.qx - t.qx) + abs(o.qy - t.qy) + {SPARE} AS bound
+  FROM od JOIN tip o ON o.px = sx AND o.py = sy JOIN tip t ON t.px = ex AND t.py = ey),
+{_distances("d1", "SELECT * FROM goal")},
+{_arrivals("f1", "d1", "SELECT pair FROM od")},
+{_distances("d2", f"SELECT pair, tx, ty, bound + {MORE} AS bound FROM goal WHERE pair NOT IN (SELECT pair FROM f1 WHERE m IS NOT NULL)")},
+{_arrivals("f2", "d2", "SELECT pair FROM f1 WHERE m IS NULL")},
+found AS (SELECT sx, sy, ex, ey, coalesce(f1.m, f2.m) AS m FROM od JOIN f1 USING (pair) LEFT JOIN f2 USING (pair))"""
+
+
 def with_(ctes: str, body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
@@ -393,6 +448,14 @@ SELECT trip_id, propulsion_type, dist_calc, od_line_dist, CASE WHEN band <> '384
   {r("f_distance")}, dist_ratio, band, safe_ratio
 FROM {lonlat(lonlat("ends", "sx", "sy", "lon_o", "lat_o"), "ex", "ey", "lon_d", "lat_d")}"""),
     "route_table_typed": with_(RC, f"SELECT trip_id, dist_calc, {r('f_distance')} FROM clean"),
+    "shortest_paths": with_(WAYS + "," + TRIPS + "," + ROUTED, """
+SELECT trip_id, band, dist_calc, CAST(m AS DOUBLE) AS f_distance, round(dist_calc / nullif(m, 0), 3) AS dist_ratio,
+  CASE WHEN m IS NULL THEN 'unreachable' ELSE 'ok' END AS route_status, CAST(m AS DOUBLE) AS path_m
+FROM trips JOIN found USING (sx, sy, ex, ey)""").replace("WITH", "WITH RECURSIVE", 1),
+    "routed_features": with_(WAYS + "," + TRIPS + "," + ROUTED, """
+SELECT 'feature' AS type, trip_id, dist_calc, CAST(m AS DOUBLE) AS f_distance, round(dist_calc / nullif(m, 0), 3) AS dist_ratio,
+  propulsion_type, CAST(m AS DOUBLE) AS length
+FROM trips JOIN found USING (sx, sy, ex, ey) WHERE m IS NOT NULL""").replace("WITH", "WITH RECURSIVE", 1),
     "nonloop_trips": with_(RC + "," + NONLOOP, """
 SELECT trip_id, band, dist_calc, dist_ratio FROM nonloop WHERE dist_ratio >= 0.99"""),
     "below_network_length": with_(RC + "," + NONLOOP, """

@@ -294,9 +294,21 @@ def area_contraflow_share(spark, d):
 
 @query
 def shortest_paths(spark, d):
-    out = routing.model_routes(synthetic.trips(spark, d, duplicates=False), synthetic.ways(spark, d))
+    """Every trip's route: its length as searched and as measured along the line."""
+    out = routing.model_routes(synthetic.trips(spark, d), synthetic.ways(spark, d))
     return rounded(out.select("trip_id", "band", "dist_calc", "f_distance", "dist_ratio", "route_status",
-                              F.size("f_line").cast("long").alias("vertices")), 3)
+                              G.line_length(F.col("f_line")).alias("path_m")), 3)
+
+
+@query
+def routed_features(spark, d):
+    """The router's own lines to one GeoJSON collection, loaded back into a metric table."""
+    root = run_dir(spark, "routed")
+    found = routing.model_routes(synthetic.trips(spark, d), synthetic.ways(spark, d)).filter("route_status = 'ok'")
+    geojson.write_geojson(found.withColumn("geom", P.line_to_lonlat(F.col("f_line"))), f"{root}/features")
+    table = geojson.load_projected(spark, f"{root}/features", f"{root}/table")
+    return rounded(table.select("type", "trip_id", "dist_calc", "f_distance", "dist_ratio", "propulsion_type",
+                                G.line_length(F.col("geom")).alias("length")), 3)
 
 
 @query

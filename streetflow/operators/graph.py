@@ -1,14 +1,16 @@
 """Batch shortest paths on the street network, as joins and aggregates.
 
-The network is split at junctions into edges. Every origin/destination pair is snapped to its nearest
-edges and then searched by label correction: each step joins the frontier with the edges and keeps the
-least distance per (pair, node). An ellipse bound keeps a search local; a pair whose best route is not
-proven within its bound is searched again with a doubled one, so no route is lost to the bound.
+The network is split at junctions into edges, and edges that meet at a node of no other edge are merged
+into one, so that only true junctions are searched. Every origin/destination pair is snapped to its
+nearest edges and then searched by label correction: each step joins the frontier with the edges and
+keeps the least distance per (pair, node) with the last edge taken. An ellipse bound keeps a search
+local; a pair whose best route is not proven within its bound is searched again with a doubled one, so
+no route is lost to the bound. Routes are traced back from the last edges by pointer jumping.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -103,8 +105,9 @@ def nearest_edge(points: DataFrame, network: DataFrame, radius: float = SNAP_M,
         n2 = dx * dx + dy * dy
         t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - s["x0"]) * dx + (py - s["y0"]) * dy) / n2))
         x, y = s["x0"] + F.col("t") * dx, s["y0"] + F.col("t") * dy
-        hit = F.struct(F.hypot(px - x, py - y).alias("d"), F.col("edge"),
-                       (F.col("from") + F.col("t") * F.sqrt(n2)).alias("at"), x.alias("sx"), y.alias("sy"))
+        # equally near points are told apart by where they lie, not by the numbers of their edges
+        hit = F.struct(F.round(F.hypot(px - x, py - y), 6).alias("d"), F.round(x, 6).alias("sx"), F.round(y, 6).alias("sy"),
+                       F.col("edge"), (F.col("from") + F.col("t") * F.sqrt(n2)).alias("at"))
         best = (
             looking.join(pieces, ["cx", "cy"]).withColumn("t", t)
             .groupBy("px", "py").agg(F.min(hit).alias("h")).filter(F.col("h.d") <= (r if limit is None else min(r, limit)))
@@ -146,6 +149,53 @@ def components(network: DataFrame) -> DataFrame:
         "node", F.coalesce("b", "node").alias("component"))
 
 
+def contract(network: DataFrame, belongs: DataFrame) -> DataFrame:
+    """``network`` with edges joined where exactly two meet, numbered by one of their edges.
+
+    ``belongs``: (node, component). Every edge has a walk in both directions; where a walk arrives at a node between two
+    edges it goes on with the other one. Pointer jumping over the walks gives each edge its chain, place and direction
+    in as many rounds as the longest chain has binary digits. Components that are a ring stay as they are.
+    """
+    degree = network.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    nodes = cut_lineage(degree.join(belongs, "node"), "degrees")
+    rings, _ = broadcast_if_small(nodes.groupBy("component").agg(F.bool_and(F.col("n") == 2).alias("ring")).filter("ring").select("component"))
+    between = nodes.filter("n = 2").join(rings, "component", "left_anti").select("node")
+    walks = network.select("len", F.explode(F.array(
+        F.struct(F.col("edge").alias("walk"), F.col("u").alias("tail"), F.col("v").alias("head")),
+        F.struct((-F.col("edge")).alias("walk"), F.col("v").alias("tail"), F.col("u").alias("head")))).alias("w")).select("len", "w.*")
+    onward = walks.join(between, F.col("head") == F.col("node"), "left_semi").alias("w").join(
+        walks.alias("n"), (F.col("w.head") == F.col("n.tail")) & (F.col("n.walk") != -F.col("w.walk"))).select(
+        F.col("w.walk").alias("of"), F.col("n.walk").alias("to"))
+    state, open_ = cut_counted(walks.join(onward, F.col("walk") == F.col("of"), "left").select(
+        "walk", F.col("walk").alias("last"), "to", F.col("len").alias("after")), "walks")
+    while open_:
+        ahead = state.select(F.col("walk").alias("of"), F.col("last").alias("l"), F.col("to").alias("t"), F.col("after").alias("more"))
+        state, open_ = _jumped(state.join(ahead, F.col("to") == F.col("of"), "left").select(
+            "walk", F.coalesce("l", "last").alias("last"), F.col("t").alias("to"),
+            (F.col("after") + F.coalesce("more", F.lit(0.0))).alias("after")))
+    side = state.select(F.abs("walk").alias("edge"), (F.col("walk") > 0).alias("plus"), F.abs("last").alias("last"), "after")
+    both = side.groupBy("edge").agg(*[F.max(F.when(F.col("plus") == plus, F.col(c))).alias(f"{c}_{plus}")
+                                      for plus in (True, False) for c in ("last", "after")])
+    chain = F.least("last_True", "last_False")
+    along = F.col("last_False") == chain  # a walk back ends at the chain's first edge
+    placed = network.join(both, "edge").select(
+        chain.alias("edge"), "len", (F.when(along, F.col("after_False")).otherwise(F.col("after_True")) - F.col("len")).alias("from"),
+        F.when(along, F.col("u")).otherwise(F.col("v")).alias("u"), F.when(along, F.col("v")).otherwise(F.col("u")).alias("v"),
+        F.when(along, F.col("line")).otherwise(F.reverse("line")).alias("line"))
+    part = F.struct("from", "u", "v", "line")
+    merged = placed.groupBy("edge").agg(F.sum("len").alias("len"), F.array_sort(F.collect_list(part)).alias("parts"))
+    line = G.drop_repeated(F.flatten(F.transform("parts", lambda p: p["line"])))
+    return cut_lineage(merged.select(
+        "edge", F.col("parts")[0]["u"].alias("u"), F.element_at("parts", -1)["v"].alias("v"), "len", line.alias("line")), "chains")
+
+
+def _jumped(state: DataFrame) -> tuple[DataFrame, int]:
+    """The written state, and how many walks have not ended yet."""
+    path, seen = run_dir(state.sparkSession, "walks"), Observation()
+    state.observe(seen, F.count("to").alias("n")).write.parquet(path)
+    return state.sparkSession.read.schema(state.schema).parquet(path), seen.get["n"]
+
+
 def _steps(network: DataFrame) -> DataFrame:
     """Both directions of every edge; the sign of ``step`` is the direction."""
     forward = network.select(F.col("u").alias("node"), F.col("v").alias("next"), "len", F.col("edge").alias("step"))
@@ -158,35 +208,43 @@ def _ahead(node: Column) -> Column:
 
 
 def search(pairs: DataFrame, network: DataFrame) -> DataFrame:
-    """(pair, f_distance, path) of each pair; every pair must lie within one component.
+    """(pair, f_distance, path, final) of each pair; every pair must lie within one component.
 
     ``pairs``: pair, o_edge, o_at, ou, ov, o_len and d_edge, d_at, du, dv, d_len, dx, dy (snapped
-    destination) and ``straight``. ``path`` lists the steps between the two snapped edges.
+    destination) and ``straight``. ``path`` lists the steps from the origin's edge on and ``final`` is the step along
+    the destination's edge. A route within one edge has that step as its path and no final one.
     """
     steps, _ = broadcast_if_small(_steps(network))
     open_pairs = pairs.withColumn("bound", F.col("straight") * SLACK + SLACK_M)
-    solved = None
+    solved = near = None
     while True:
         labels = _explore(open_pairs, steps)
-        tips = F.array(F.struct(F.col("du").alias("node"), F.col("d_at").alias("rest")),
-                       F.struct(F.col("dv").alias("node"), (F.col("d_len") - F.col("d_at")).alias("rest")))
-        goal = open_pairs.select("pair", F.explode(tips).alias("t")).select("pair", "t.node", "t.rest")
+        tips = F.array(
+            F.struct(F.col("du").alias("node"), F.col("d_at").alias("rest"), F.col("d_edge").alias("final")),
+            F.struct(F.col("dv").alias("node"), (F.col("d_len") - F.col("d_at")).alias("rest"), (-F.col("d_edge")).alias("final")))
+        goal = open_pairs.select("pair", F.explode(tips).alias("t")).select("pair", "t.*")
         through = labels.join(goal, ["pair", "node"]).select(
-            "pair", (F.col("dist") + F.col("rest")).alias("dist"), "path")
+            "pair", (F.col("dist") + F.col("rest")).alias("f_distance"), "final", "node")
         direct = open_pairs.filter(F.col("o_edge") == F.col("d_edge")).select(
-            "pair", F.abs(F.col("o_at") - F.col("d_at")).alias("dist"),
-            F.array().cast("array<bigint>").alias("path"))
+            "pair", F.abs(F.col("o_at") - F.col("d_at")).alias("f_distance"),
+            F.lit(None).cast("long").alias("final"), F.lit(None).cast("long").alias("node"))
         best = through.unionByName(direct).groupBy("pair").agg(
-            F.min(F.struct("dist", "path")).alias("m")).select("pair", "m.dist", "m.path")
+            F.min(F.struct("f_distance", "final", "node")).alias("m")).select("pair", "m.*")
         proven = cut_lineage(
-            open_pairs.join(best, "pair").filter(F.col("dist") <= F.col("bound"))
-            .select("pair", F.col("dist").alias("f_distance"), "path"), "proven")
-        solved = proven if solved is None else solved.unionByName(proven)
+            open_pairs.join(best, "pair").filter(F.col("f_distance") <= F.col("bound")).select(
+                "pair", "f_distance", "final", F.col("node").alias("tip"),
+                F.when(F.col("o_at") > F.col("d_at"), -F.col("o_edge")).otherwise(F.col("o_edge")).alias("within")), "proven")
+        passed = labels.join(proven.filter(F.col("tip").isNotNull()).select("pair", "f_distance"), "pair").filter(
+            F.col("dist") + _ahead(F.col("node")) <= F.col("f_distance") + 1e-6).select("pair", "node", "dist", "step", "back")
+        solved, near = (x if y is None else y.unionByName(x) for x, y in ((proven, solved), (passed, near)))
         open_pairs, remaining = cut_counted(
             open_pairs.join(proven.select("pair"), "pair", "left_anti").withColumn("bound", F.col("bound") * 2),
             "open")
         if not remaining:
-            return solved
+            break
+    paths = _trace(cut_lineage(near, "near"), solved)
+    return cut_lineage(solved.join(paths, "pair", "left").select(
+        "pair", "f_distance", F.coalesce("path", F.array("within")).alias("path"), "final"), "solved")
 
 
 def _starts() -> Column:
@@ -199,9 +257,9 @@ def _starts() -> Column:
 def _hop(source: str) -> str:
     """One edge ahead of ``source``, not straight back, inside the bound."""
     return f"""
-      SELECT f.pair, s.next AS node, f.dx, f.dy, f.bound, f.dist + s.len AS dist, concat(f.path, array(s.step)) AS path
+      SELECT f.pair, s.next AS node, f.dx, f.dy, f.bound, f.dist + s.len AS dist, s.step, f.node AS back
       FROM {source} f JOIN {{steps}} s ON f.node = s.node
-      WHERE s.step <> -element_at(f.path, -1) AND f.dist + s.len + hypot(
+      WHERE s.step <> -f.step AND f.dist + s.len + hypot(
         shiftright(s.next, 32) / {MM} - f.dx, shiftright(shiftleft(s.next, 32), 32) / {MM} - f.dy) <= f.bound"""
 
 
@@ -211,9 +269,9 @@ WITH hop1 AS ({_hop("{frontier}")}),
 {"".join(f"hop{i} AS ({_hop(f'hop{i - 1}')})," for i in range(2, HOPS + 1))}
 both AS (
   {" UNION ALL ".join(f"SELECT *, TRUE AS new FROM hop{i}" for i in range(1, HOPS + 1))}
-  UNION ALL SELECT pair, node, dx, dy, bound, dist, CAST(NULL AS ARRAY<BIGINT>), FALSE FROM {{known}})
-SELECT pair, node, dx, dy, bound, m.dist, m.path FROM (
-  SELECT pair, node, dx, dy, bound, min(CASE WHEN new THEN struct(dist, path) END) AS m,
+  UNION ALL SELECT pair, node, dx, dy, bound, dist, step, back, FALSE FROM {{known}})
+SELECT pair, node, dx, dy, bound, m.dist, m.step, m.back FROM (
+  SELECT pair, node, dx, dy, bound, min(CASE WHEN new THEN struct(dist, step, back) END) AS m,
     min(CASE WHEN NOT new THEN dist END) AS old
   FROM both GROUP BY pair, node, dx, dy, bound)
 WHERE m IS NOT NULL AND (old IS NULL OR m.dist < old - {IMPROVED!r}D)
@@ -221,7 +279,8 @@ WHERE m IS NOT NULL AND (old IS NULL OR m.dist < old - {IMPROVED!r}D)
 
 
 def _explore(pairs: DataFrame, steps: DataFrame) -> DataFrame:
-    """All labels (pair, node, dist, path) within each pair's bound.
+    """All labels (pair, node, dist, step, back, dx, dy) within each pair's bound; ``back`` is the node before, NULL
+    at the origin's own edge.
 
     Labels are an append-only table, one folder per step. A step goes ``HOPS`` edges ahead and has a
     single shuffle: candidates and known labels meet in one aggregate per (pair, node), which keeps
@@ -233,8 +292,8 @@ def _explore(pairs: DataFrame, steps: DataFrame) -> DataFrame:
         pairs.withColumn("s", F.explode(_starts()))
         .filter(F.col("s.dist") + _ahead(F.col("s.node")) <= F.col("bound"))
         .groupBy("pair", "s.node", "dx", "dy", "bound")
-        .agg(F.min(F.struct(F.col("s.dist").alias("dist"), F.array("s.step").alias("path"))).alias("m"))
-        .select("pair", "node", "dx", "dy", "bound", "m.dist", "m.path"))
+        .agg(F.min(F.struct("s.dist", "s.step")).alias("m"))
+        .select("pair", "node", "dx", "dy", "bound", "m.dist", "m.step", F.lit(None).cast("long").alias("back")))
     schema = start.schema
     step, grown = 0, write_counted(start, f"{root}/step=0")
     while grown:
@@ -244,8 +303,27 @@ def _explore(pairs: DataFrame, steps: DataFrame) -> DataFrame:
         step += 1
         grown = write_counted(improved, f"{root}/step={step}")
     everything = spark.read.schema(schema).parquet(f"{root}/step=*")
-    return everything.groupBy("pair", "node").agg(F.min(F.struct("dist", "path")).alias("m")).select(
-        "pair", "node", "m.dist", "m.path")
+    return cut_lineage(everything.groupBy("pair", "node", "dx", "dy").agg(F.min(F.struct("dist", "step", "back")).alias("m")).select(
+        "pair", "node", "dx", "dy", "m.*"), "labels")
+
+
+def _trace(near: DataFrame, proven: DataFrame) -> DataFrame:
+    """(pair, path): the steps of each proven route up to its tip, by the last steps of the labels it may pass.
+
+    The nodes 1, 2, 4, ... before each are found by doubling, and going through these tables from the widest to the
+    narrowest marks every node before the tip.
+    """
+    jumps, more = cut_counted(near.filter(F.col("back").isNotNull()).select("pair", "node", "back"), "jumps")
+    tables = [jumps]
+    while more:
+        again = jumps.select("pair", F.col("node").alias("back"), F.col("back").alias("farther"))
+        jumps, more = cut_counted(jumps.join(again, ["pair", "back"]).select("pair", "node", F.col("farther").alias("back")), "jumps")
+        tables.append(jumps)
+    marked = proven.filter(F.col("tip").isNotNull()).select("pair", F.col("tip").alias("node"))
+    for jumps in reversed(tables[:-1]):
+        marked = marked.unionByName(marked.join(jumps, ["pair", "node"]).select("pair", F.col("back").alias("node"))).distinct()
+    return marked.join(near, ["pair", "node"]).groupBy("pair").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("dist", "step"))), lambda x: x["step"]).alias("path"))
 
 
 def shortest_paths(od: DataFrame, ways: DataFrame, max_snap: float | None = None) -> DataFrame:
@@ -254,12 +332,13 @@ def shortest_paths(od: DataFrame, ways: DataFrame, max_snap: float | None = None
     Result: ox, oy, dx, dy, f_distance, f_line, route_status (``ok``, ``unreachable``, or ``too_far`` for
     an end more than ``max_snap`` metres off the network; by default no distance is too far).
     """
-    network = edges(ways)
+    pieces = edges(ways)
+    belongs = cut_lineage(components(pieces), "components")
+    network = contract(pieces, belongs)
     od = cut_lineage(od.select("ox", "oy", "dx", "dy").distinct(), "od")
     points = od.select(F.explode(F.array(
         F.struct(F.col("ox").alias("px"), F.col("oy").alias("py")),
         F.struct(F.col("dx").alias("px"), F.col("dy").alias("py")))).alias("p")).select("p.*")
-    belongs = components(network)
     snapped = cut_lineage(nearest_edge(points, network, limit=max_snap).join(
         network.join(belongs, F.col("u") == F.col("node")).select("edge", "u", "v", "len", "component"),
         "edge", "left"), "snapped")
@@ -283,7 +362,7 @@ def shortest_paths(od: DataFrame, ways: DataFrame, max_snap: float | None = None
     found = search(asked, network)
     lines = path_lines(found, pairs, network)
     far = F.col("o_edge").isNull() | F.col("d_edge").isNull() if max_snap is not None else F.lit(False)
-    return pairs.select("pair", "ox", "oy", "dx", "dy", far.alias("far")).join(found.drop("path"), "pair", "left").join(
+    return pairs.select("pair", "ox", "oy", "dx", "dy", far.alias("far")).join(found.drop("path", "final"), "pair", "left").join(
         lines, "pair", "left").select(
         "ox", "oy", "dx", "dy", "f_distance", "f_line",
         F.when(F.col("f_distance").isNotNull(), "ok").when(F.col("far"), "too_far").otherwise("unreachable").alias("route_status"))
@@ -292,25 +371,17 @@ def shortest_paths(od: DataFrame, ways: DataFrame, max_snap: float | None = None
 def path_lines(found: DataFrame, pairs: DataFrame, network: DataFrame) -> DataFrame:
     """(pair, f_line): origin point, the vertices passed, destination point.
 
-    The first step of a path is the rest of the origin's edge and the destination's edge follows the
-    last; a group here is one route, as long as the route has edges.
+    The first step of a path is the rest of the origin's edge and the final one leads along the destination's; a group
+    here is one route, as long as the route has edges.
     """
-    last = F.element_at("path", -1)
-    whole = found.join(pairs.select("pair", "o_sx", "o_sy", "o_at", "d_sx", "d_sy", "d_edge", "d_at", "du", "d_len"),
-                       "pair")
-    step = whole.filter(F.size("path") > 0).select("pair", F.posexplode("path").alias("i", "step"))
-    # Where the path enters the destination's edge decides the direction in which that edge is taken.
-    ends = whole.filter(F.size("path") > 0).select("pair", last.alias("step"), "d_edge", "du")
-    sides = network.select("edge", "u", "v", "line")
-    out_node = F.when(F.col("step") > 0, F.col("v")).otherwise(F.col("u"))
-    enter = ends.join(sides.drop("line"), F.abs(F.col("step")) == F.col("edge")).select(
-        "pair", F.lit(2**30).alias("i"),
-        F.when(out_node == F.col("du"), F.col("d_edge")).otherwise(-F.col("d_edge")).alias("step"))
+    whole = found.join(pairs.select("pair", "o_sx", "o_sy", "o_at", "d_sx", "d_sy", "d_at"), "pair")
+    step = whole.select("pair", F.posexplode(F.array_compact(F.concat("path", F.array("final")))).alias("i", "step"))
+    sides = network.select("edge", "line")
     pieces = (
-        step.unionByName(enter).join(sides, F.abs(F.col("step")) == F.col("edge"))
+        step.join(sides, F.abs(F.col("step")) == F.col("edge"))
         .select("pair", "i", F.when(F.col("step") > 0, F.col("line")).otherwise(F.reverse("line")).alias("line"))
         .groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("parts")))
-    joined = whole.join(pieces, "pair", "left")
+    joined = whole.join(pieces, "pair")
     count = F.size("parts")
 
     def inner(p, i):
@@ -318,13 +389,10 @@ def path_lines(found: DataFrame, pairs: DataFrame, network: DataFrame) -> DataFr
         line, cum = p["line"], G.cumulative_lengths(p["line"])
         total = F.element_at(cum, -1)
         o_at = F.when(F.get("path", F.lit(0)) > 0, F.col("o_at")).otherwise(total - F.col("o_at"))
-        final = F.element_at("parts", -1)["line"]
-        forward = node_key(G.start_point(final)["x"], G.start_point(final)["y"]) == F.col("du")
-        d_at = F.when(forward, F.col("d_at")).otherwise(total - F.col("d_at"))
+        d_at = F.when(F.coalesce("final", F.get("path", F.lit(0))) > 0, F.col("d_at")).otherwise(total - F.col("d_at"))
         return F.filter(line, lambda q, k: ((i > 0) | (F.get(cum, k) > o_at))
                         & ((i < count - 1) | (F.get(cum, k) < d_at)))
 
     middle = F.flatten(F.transform("parts", inner))
     o, d = (F.struct(F.col(f"{k}_sx").alias("x"), F.col(f"{k}_sy").alias("y")) for k in ("o", "d"))
-    line = F.concat(F.array(o), F.coalesce(middle, F.array().cast("array<struct<x:double,y:double>>")), F.array(d))
-    return joined.select("pair", G.drop_repeated(line).alias("f_line"))
+    return joined.select("pair", G.drop_repeated(F.concat(F.array(o), middle, F.array(d))).alias("f_line"))

@@ -303,6 +303,32 @@ def test_shortest_paths_against_dijkstra(spark):
             assert sum(math.dist(a, b) for a, b in zip(line, line[1:])) == pytest.approx(want, abs=2e-2)
 
 
+def test_chains_are_contracted(spark):
+    """Degree-two nodes vanish but on rings; lengths, ends and lines stay."""
+    lines = [[(0, 0), (10, 0)], [(20, 0), (10, 0)], [(20, 0), (30, 5), (40, 0)], [(0, 0), (0, 50)], [(0, 0), (-50, 0)],  # a chain of three, two stubs
+             [(40, 0), (60, 0)], [(40, 0), (40, 30)], [(40, 30), (70, 30)], [(70, 30), (60, 0)], [(60, 0), (90, 0)],  # a ring with two exits
+             [(500, 0), (510, 0)], [(510, 0), (505, 9)], [(505, 9), (500, 0)],  # a ring on its own
+             [(700, 0), (710, 0), (710, 10), (700, 0)], [(700, 0), (690, 0)]]  # a loop with a stub
+    ways = spark.createDataFrame([way(k, [tuple(map(float, p)) for p in line]) for k, line in enumerate(lines)], WAY)
+    pieces = graph.edges(ways)
+    rows = graph.contract(pieces, graph.components(pieces)).collect()
+    ends = [tuple(sorted(((r.line[0].x, r.line[0].y), (r.line[-1].x, r.line[-1].y)))) for r in rows]
+    assert sorted(ends) == sorted([
+        ((0, 0), (40, 0)), ((0, 0), (0, 50)), ((-50, 0), (0, 0)), ((40, 0), (60, 0)), ((40, 0), (60, 0)), ((60, 0), (90, 0)),
+        ((500, 0), (510, 0)), ((505, 9), (510, 0)), ((500, 0), (505, 9)), ((700, 0), (700, 0)), ((690, 0), (700, 0))])
+    assert sum(r.len for r in rows) == pytest.approx(sum(math.dist(a, b) for line in lines for a, b in zip(line, line[1:])))
+    for r in rows:
+        assert r.len == pytest.approx(sum(math.dist((a.x, a.y), (b.x, b.y)) for a, b in zip(r.line, r.line[1:])))
+    # along the bent chain, along the loop, and from the loop out
+    od = [(12.0, 0.0, 38.0, 1.0), (702.0, 0.0, 702.0, 2.0), (710.0, 9.0, 690.0, 0.0)]
+    got = {(r.ox, r.oy): r for r in graph.shortest_paths(spark.createDataFrame(od, "ox double, oy double, dx double, dy double"), ways).collect()}
+    for r in got.values():
+        assert r.f_distance == pytest.approx(sum(math.dist((a.x, a.y), (b.x, b.y)) for a, b in zip(r.f_line, r.f_line[1:])), abs=1e-6)
+    assert (30.0, 5.0) in [(p.x, p.y) for p in got[12.0, 0.0].f_line]
+    assert got[702.0, 0.0].f_distance == pytest.approx(2 + 8**0.5)  # back through the loop's own junction
+    assert got[710.0, 9.0].f_distance == pytest.approx(1 + 200**0.5 + 10)
+
+
 def test_motorways_are_not_routed(spark):
     ways = synthetic.ways(spark, SF)
     assert routing.routable(ways).filter(F.col("highway").like("motorway%")).isEmpty()
