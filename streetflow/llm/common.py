@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from streetflow.operators.storage import BROADCAST_BYTES, broadcast_if_small, remove_dir, shared_dir
 
 #: Texts are turned into numpy arrays in pieces of about this many bytes, whatever the size of an Arrow batch.
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 
 
 class Scratch:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from streetflow.llm.common import IS_SPACE, text_pieces, windows, word_hash, words
 
 #: Texts whose features are counted together; the counts by byte pairs take some forty times as much memory.
-FEATURE_BYTES = 1_000_000
+FEATURE_BYTES = 500_000
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 NOT_TAIL = np.ones(256, bool)

@@ -179,6 +179,20 @@ def test_pipeline_stages_on_edge_cases(spark):
                 assert out.where("doc_id = 1").count() == 1 and out.where("doc_id is null").count() == 1
 
 
+def test_pipeline_stages_keep_clashing_columns(spark):
+    """Tables may have columns named like the stages' own, and very long texts."""
+    import corpus_pipeline
+
+    words = "these are the words of a text that is long " * 60_000
+    rows = [(1, words, "en", "a", 5, 7, 0.5), (2, words + "end", "en", "a", 5, 8, 0.25), (3, "this is a text of the kind that there is", "en", "a", 5, 9, 0.125)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row int, _score double")
+    kept = {r[0]: r for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns and all(tuple(r) == kept[r["doc_id"]] for r in out.collect())
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()} == {1, 3}
+
+
 def test_pipeline_judges_the_rows_it_removes(spark):
     """Files are dealt to other tasks between the judgement and the removal; the rows removed stay the same."""
     import corpus_pipeline
