@@ -416,6 +416,10 @@ SELECT osm_id, name, highway, contra_tot_m_00_140, same_tot_m_00_140, contra_tot
   tot_m_contra, tot_m_same, tot_cnt_contra, tot_cnt_same FROM tot"""),
     "contraflow_totals": with_(TOTALS, """
 SELECT osm_id AS osmid, name, tot_m_contra, tot_cnt_contra, tot_m_same, tot_cnt_same, highway FROM tot WHERE simple"""),
+    "saved_contraflow_totals": with_(TOTALS, """
+SELECT osm_id AS osmid, name, tot_m_contra, tot_cnt_contra, tot_m_same, tot_cnt_same, highway, (SELECT count(*) FROM wrong) AS trips
+FROM tot WHERE simple"""),
+    "saved_stress_area": with_(ACTUAL, f"SELECT trip_id, band, {AREA_R} FROM actual"),
     "trips_with_contraflow": with_(DIRECTION, "SELECT trip_id FROM wrong"),
     "contraflow_trip_count": with_(DIRECTION, "SELECT count(*) AS trips FROM wrong"),
     "contraflow_metres": with_(TOTALS + "," + AREAS, """

@@ -27,7 +27,7 @@ from streetflow.plans import (
     stress,
 )
 from streetflow.schema import BANDS, BUFFER_M, DIRECTION_SEGMENT, ROUTE_CSV
-from streetflow.sources import csv, geojson, synthetic, tables
+from streetflow.sources import csv, geojson, saved, synthetic, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -185,6 +185,18 @@ def stress_area_by_trip(spark, d):
         "trip_id", "band", *stress.AREAS))
 
 
+@query
+def saved_stress_area(spark, d):
+    """Trips and overlaps saved in buckets, one band refreshed, and the report from the saved tables."""
+    trips, net = synthetic.trips(spark, d), _ways(spark, d)
+    late = F.col("band") == BANDS[1]
+    table = saved.save(stress.overlap_trip_street(trips.filter(~late), net), "overlap")
+    saved.refresh(stress.overlap_trip_street(trips.filter(late), net), table)
+    kept = saved.save(trips.select("trip_id", "band"), "trips")
+    return rounded(stress.saved_stress_area(saved.saved(spark, kept), saved.saved(spark, table)).select(
+        "trip_id", "band", *stress.AREAS))
+
+
 @query
 def stress_len_by_trip(spark, d):
     return rounded(stress.stress_len_by_trip(synthetic.trips(spark, d), _ways(spark, d)).drop("geom"))
@@ -251,6 +263,14 @@ def contraflow_totals(spark, d):
     return rounded(direction.contraflow_totals(_segments(spark, d), _ways(spark, d)).drop("geom"))
 
 
+@query
+def saved_contraflow_totals(spark, d):
+    """Segments saved in buckets once for two reports: the totals, and how many trips ride against a street."""
+    segments = saved.saved(spark, saved.save(_segments(spark, d), "segments"))
+    trips = direction.contraflow_trip_count(segments, _ways(spark, d))
+    return rounded(direction.contraflow_totals(segments, _ways(spark, d)).drop("geom").withColumn("trips", trips.scalar()))
+
+
 @query
 def trips_with_contraflow(spark, d):
     return direction.trips_with_contraflow(_segments(spark, d), _ways(spark, d))

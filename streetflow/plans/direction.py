@@ -79,13 +79,15 @@ def by_count(streets: DataFrame) -> DataFrame:
 def street_totals(segments: DataFrame, ways: DataFrame) -> DataFrame:
     """Contraflow and same-direction metres and trips per one-way street over all bands.
 
-    One conditional aggregate replaces a join per band and direction. Columns per band stay NULL where
+    One conditional aggregate replaces a join per band and direction; saved segments are summed up per trip where they
+    lie. Columns per band stay NULL where
     a band has none; the totals count them as zero.
     """
+    trip = [c for c in ("band", "trip_id", "trip_key") if c in segments.columns]
     flags = segments.select(
-        "osm_id", "band", "trip_id", "seg_len",
+        "osm_id", *trip, "seg_len",
         is_contraflow().alias("contra"), is_same_direction().alias("same"))
-    per_trip = flags.groupBy("osm_id", "band", "trip_id").agg(
+    per_trip = flags.groupBy("osm_id", *trip).agg(
         F.sum(F.when(F.col("contra"), F.col("seg_len"))).alias("contra_m"),
         F.sum(F.when(F.col("same"), F.col("seg_len"))).alias("same_m"))
     cells = []

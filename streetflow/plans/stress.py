@@ -18,12 +18,17 @@ def overlap_trip_street(trips: DataFrame, ways: DataFrame, **options) -> DataFra
     return overlap(trips, ridden(ways), **options)
 
 
+def of_trip(df: DataFrame) -> list[str]:
+    """The columns that name a trip; those of saved tables include the one they are bucketed by."""
+    return [c for c in ("band", "trip_id", "trip_key") if c in df.columns]
+
+
 def dissolve(overlaps: DataFrame) -> DataFrame:
     """Merge rows of a trip that have the same region and class.
 
     The region counts once, while ``sum_seg_area`` adds up every street that has it.
     """
-    return overlaps.groupBy("band", "trip_id", "shape", "stress_lev").agg(
+    return overlaps.groupBy(*of_trip(overlaps), "shape", "stress_lev").agg(
         F.max("seg_area").alias("area"), F.round(F.sum("seg_area"), AREA_DIGITS).alias("sum_seg_area"))
 
 
@@ -35,7 +40,7 @@ def area_by_class(overlaps: DataFrame) -> DataFrame:
         return F.round(F.sum(F.when(match, F.col("area"))), AREA_DIGITS)
 
     level = F.col("stress_lev")
-    return parts.groupBy("band", "trip_id").agg(
+    return parts.groupBy(*of_trip(parts)).agg(
         *[total(level == c).alias(f"area_{c}") for c in STRESS_CLASSES],
         total(level.isNull()).alias("area_other"))
 
@@ -55,6 +60,12 @@ def stress_area_by_trip(trips: DataFrame, ways: DataFrame, **options) -> DataFra
     return trips.join(areas, ["band", "trip_id"], "left")
 
 
+def saved_stress_area(saved_trips: DataFrame, saved_overlaps: DataFrame) -> DataFrame:
+    """``stress_area_by_trip`` from saved tables: neither of them is shuffled."""
+    areas = area_by_class(saved_overlaps).drop("band", "trip_id")
+    return saved_trips.join(areas, "trip_key", "left")
+
+
 def stress_len_by_trip(trips: DataFrame, ways: DataFrame, **options) -> DataFrame:
     typed = trips.withColumn("dist_calc", F.col("dist_calc").cast("double"))
     return _lengths(stress_area_by_trip(typed, ways, **options), "dist_calc").select(

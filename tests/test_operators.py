@@ -303,6 +303,27 @@ def test_shortest_paths_against_dijkstra(spark):
             assert sum(math.dist(a, b) for a, b in zip(line, line[1:])) == pytest.approx(want, abs=2e-2)
 
 
+def test_saved_tables_are_not_shuffled(spark):
+    """Grouping by trip and joining two saved tables needs no exchange; a refreshed band replaces that band alone."""
+    from streetflow.sources import saved
+
+    rows = [("00_140", f"t{i}", f"s{i % 3}", "n", "1", 60.0 + i, i) for i in range(40)] + [("141_320", "t1", "s1", "n", "2", 70.0, 7)]
+    schema = "band string, trip_id string, osm_id string, hname string, stress_lev string, seg_area double, shape long"
+    table = saved.save(spark.createDataFrame(rows, schema), "test_overlap", buckets=4)
+    trips = saved.save(spark.createDataFrame([(r[0], r[1]) for r in rows], "band string, trip_id string"), "test_trips", buckets=4)
+    saved.refresh(spark.createDataFrame([("141_320", "t1", "s1", "n", "3", 90.0, 7), ("141_320", "t2", "s1", "n", "3", 55.0, 8)], schema), table)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        report = stress.saved_stress_area(saved.saved(spark, trips), saved.saved(spark, table))
+        plan = report._jdf.queryExecution().executedPlan().toString()
+        got = {(r["band"], r["trip_id"]): (r["area_1"], r["area_2"], r["area_3"]) for r in report.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    assert len(got) == 41 and got["141_320", "t1"] == (None, None, 90.0) and got["00_140", "t5"] == (65.0, None, None)
+    assert saved.saved(spark, table).where("band = '141_320'").count() == 2
+
+
 def test_chains_are_contracted(spark):
     """Degree-two nodes vanish but on rings; lengths, ends and lines stay."""
     lines = [[(0, 0), (10, 0)], [(20, 0), (10, 0)], [(20, 0), (30, 5), (40, 0)], [(0, 0), (0, 50)], [(0, 0), (-50, 0)],  # a chain of three, two stubs
