@@ -438,7 +438,8 @@ def trip_length_by_vehicle(spark, d):
 # ---------------------------------------------------------------- files
 
 def _export(spark, d):
-    ends = synthetic.trips(spark, d, duplicates=False).select("trip_id", "lon_o", "lat_o", "lon_d", "lat_d")
+    # a trip listed in two bands has one pair of ends
+    ends = synthetic.trips(spark, d).select("trip_id", "lon_o", "lat_o", "lon_d", "lat_d").distinct()
     routes = _clean(spark, d).select("trip_id", "band", "dist_calc", "f_distance", "safe_ratio", "propulsion_type")
     lines = synthetic.routes(spark, d).select("trip_id", P.line_to_lonlat(F.col("geom")).alias("geom"))
     return routes.withColumnRenamed("safe_ratio", "dist_ratio").join(ends, "trip_id").join(lines, "trip_id")

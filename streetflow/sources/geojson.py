@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from streetflow.functions import projection as P
-from streetflow.operators.storage import cut_lineage
+from streetflow.operators.storage import broadcast_if_small, cut_lineage
 
 # The property names and order of an exported route.
 PROPERTIES = [
@@ -55,18 +55,21 @@ def write_geojson(df: DataFrame, path: str, line: str = "geom", properties: list
 
     A collection is a folder of text parts, whatever its size: a head with the first feature, the others one per line
     with a comma before each, and a tail. Concatenated in the order of their names they are one valid document;
-    read line by line they need no document in one piece. The first feature is the least as text, an aggregate.
+    read line by line they need no document in one piece. Features are numbered once; finding the first ones reads
+    nothing but the numbers. Without ``by``, an empty table makes a collection without features.
     """
     keys = by or []
     body = df.select(*keys, feature_json(line, properties).alias("value"))
     body = cut_lineage(body.withColumn("at", F.monotonically_increasing_id()), "features")
-    first = body.groupBy(*keys).agg(F.min(F.struct("value", "at")).alias("first")).where("first IS NOT NULL")
-    head = first.select(*keys, F.lit(HEAD).alias("part"), F.concat(
-        F.lit('{"type":"FeatureCollection","features":[\n'), "first.value").alias("value"))
+    first, _ = broadcast_if_small(body.groupBy(*keys).agg(F.min("at").alias("first")))
+    opening = '{"type":"FeatureCollection","features":['
+    is_first = F.col("first").isNotNull()
+    rows = body.join(first.select("first"), F.col("at") == F.col("first"), "left").select(
+        *keys, F.when(is_first, HEAD).otherwise(BODY).alias("part"),
+        F.concat(F.when(is_first, opening + "\n").otherwise(","), "value").alias("value"))
+    bare = first.filter(~is_first).select(*keys, F.lit(HEAD).alias("part"), F.lit(opening).alias("value"))
     tail = first.select(*keys, F.lit(TAIL).alias("part"), F.lit("]}").alias("value"))
-    rest = body.join(first.select(*keys, F.col("first.at").alias("at")), [*keys, "at"], "left_anti").select(
-        *keys, F.lit(BODY).alias("part"), F.concat(F.lit(","), "value").alias("value"))
-    head.unionByName(rest).unionByName(tail).write.mode("overwrite").partitionBy(*keys, "part").text(path)
+    rows.unionByName(bare).unionByName(tail).write.mode("overwrite").partitionBy(*keys, "part").text(path)
 
 
 def read_geojson_lines(spark: SparkSession, path: str, properties: T.StructType = ROUTE_PROPERTIES) -> DataFrame:

@@ -72,12 +72,12 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
                  "CAST(IF(k % 10 = 0, length div 5, length) AS DOUBLE) AS od_line_dist")
 
 
-def trips(spark: SparkSession, sf_dir: str, duplicates: bool = True) -> DataFrame:
-    """One row per order; with ``duplicates`` every fiftieth trip appears again under the next band.
+def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order; every fiftieth trip appears again under the next band.
 
     Every third line has a middle vertex and every seventh runs backwards.
     """
-    copies = "IF(k % 50 = 0, array(k, k + 1), array(k))" if duplicates else "array(k)"
+    copies = "IF(k % 50 = 0, array(k, k + 1), array(k))"
     placed = _orders(spark, sf_dir).selectExpr(
         "*", f"{OFF} + k % 6 AS off",
         "IF(k % 3 = 0, array(s, s + length div 2, s + length), array(s, s + length)) AS forward",

@@ -202,6 +202,12 @@ def test_geojson_parts_are_one_document(spark):
         doc = json.loads("\n".join(r["value"] for r in lines))
         assert doc["type"] == "FeatureCollection"
         assert sorted(f["properties"]["trip_id"] for f in doc["features"]) == sorted(r[0] for r in rows if r[2] == band)
+    for keys in (None, ["band"]):  # nothing to write: one collection without features, or none
+        bare = storage.run_dir(spark, "test")
+        geojson.write_geojson(df.filter("false"), bare, properties=["trip_id"], by=keys)
+        text = spark.read.text(bare)
+        lines = text.orderBy("part").collect() if "part" in text.columns else text.collect()
+        assert [json.loads("".join(r["value"] for r in lines))] == [{"type": "FeatureCollection", "features": []}] if keys is None else lines == []
     back = geojson.read_geojson_lines(spark, path, StructType([StructField("trip_id", StringType())]))
     assert sorted((r["band"], r["trip_id"], r["geom"][0].x) for r in back.collect()) == sorted((r[2], r[0], r[1][0][0]) for r in rows)
 
