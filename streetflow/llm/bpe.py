@@ -214,12 +214,6 @@ class Merges:
         get = self.store.__getitem__
         return [b"".join(map(get, pieces[a:b])) for a, b in zip(bounds, bounds[1:])]
 
-    def counts(self, texts: list[str]) -> np.ndarray:
-        """How many ids ``encode`` gives for every text."""
-        pieces, bounds = self._looked_up(texts)
-        size = np.fromiter(map(len, map(self.store.__getitem__, pieces)), np.int64, len(pieces)) // 4
-        return np.diff(np.concatenate(([0], np.cumsum(size)))[bounds])
-
     def decode(self, ids: bytes) -> bytes:
         """The bytes of a list of ids: every token's bytes, gathered from one table."""
         number = np.frombuffer(ids, "<u4").astype(np.int64)
@@ -228,12 +222,12 @@ class Merges:
         return self.bytes[first + np.arange(len(first))].tobytes()
 
 
-_MERGES: dict[int, Merges] = {}
+_MERGES: dict[bytes, Merges] = {}
 
 
 def merges_of(tokens: list[bytes]) -> Merges:
     """One per Python worker and vocabulary, kept between tasks."""
-    key = hash((len(tokens), tokens[-1], tokens[len(tokens) // 2]))
+    key = hashlib.sha256(b"".join(base64.b64encode(t) + b"\n" for t in tokens)).digest()
     if key not in _MERGES:
         _MERGES.clear()
         _MERGES[key] = Merges(tokens)
@@ -262,18 +256,37 @@ def tokenize(docs: DataFrame, rank_file: str, id_column: str = "doc_id", text_co
     return kept.mapInArrow(encoded, f"{id_column} {kept.schema[0].dataType.simpleString()}, ids binary")
 
 
-def token_counts(docs: DataFrame, rank_file: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_tokens long) for every row: how many ids ``tokenize`` gives for the whole text; no ids leave the workers."""
-    spark = docs.sparkSession
-    tokens = spark.sparkContext.broadcast(load_ranks(rank_file))
+_LIBRARY: dict[bytes, object] = {}
+
+
+def _library(digest: bytes, tokens: list[bytes], pattern: str):
+    """The tokenizer library's encoding, one per Python worker and vocabulary."""
+    if digest not in _LIBRARY:
+        import tiktoken
+
+        _LIBRARY.clear()
+        _LIBRARY[digest] = tiktoken.Encoding(
+            "counts", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    return _LIBRARY[digest]
+
+
+def token_counts(docs: DataFrame, rank_file: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, n_tokens long) for every row: how many ids ``tokenize`` gives for the whole text.
+
+    Where only the number is asked for, nothing has to be replayed: texts are encoded one by one by the tokenizer
+    library with the same ranks and splitting ``pattern``, and no ids are kept.
+    """
+    tokens = load_ranks(rank_file)
+    digest = hashlib.sha256(b"".join(base64.b64encode(t) + b"\n" for t in tokens) + pattern.encode()).digest()
+    shared = docs.sparkSession.sparkContext.broadcast((digest, tokens, pattern))
     kept = docs.select(id_column, docs[text_column].cast("string").alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = merges_of(tokens.value)
+        encode = _library(*shared.value).encode_ordinary
         for b in batches:
             for first, data, at in text_pieces(b.column(1), BLOCK_BYTES):
                 raw = data.tobytes()
-                n = merges.counts([raw[i:j].decode("utf-8", "replace") for i, j in zip(at[:-1].tolist(), at[1:].tolist())])
+                n = [len(encode(raw[i:j].decode("utf-8", "replace"))) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(n)), pa.array(n, pa.int64())], [id_column, "n_tokens"])
 
     return kept.mapInArrow(counted, f"{id_column} {kept.schema[0].dataType.simpleString()}, n_tokens long")

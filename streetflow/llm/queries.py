@@ -23,6 +23,13 @@ def rank_file() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def count_tokens(docs: DataFrame) -> DataFrame:
+    """Real lengths by the rank file of op9."""
+    import public_tokenizers
+
+    return bpe.token_counts(docs, rank_file(), public_tokenizers.PATTERN)
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: its declared language, and its source as host."""
     docs = _table(spark, sf_dir, "documents")
@@ -55,7 +62,7 @@ def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths are real tokens of the whole texts, by the rank file of op9."""
-    return buckets.pack(bpe.token_counts(_table(spark, sf_dir, "documents"), rank_file()), F.col("n_tokens"))
+    return buckets.pack(count_tokens(_table(spark, sf_dir, "documents")), F.col("n_tokens"))
 
 
 def op5_vamana(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -433,7 +433,7 @@ def test_packing_counts_real_tokens(spark, edge, none):
     for df in (docs, edge):
         want = Counter((r["doc_id"], max(1, r["n_tokens"])) for r in bpe.digest(df, path).collect())
         assert Counter((r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.packing(spark, df, SF).collect()) == want
-    assert bpe.token_counts(none, path).count() == 0
+    assert queries.count_tokens(none).count() == 0
     rows = queries.op4_length_buckets(spark, SF).collect()
     assert Counter((r["doc_id"], r["n_tokens"]) for r in rows) == Counter(
         (r["doc_id"], max(1, r["n_tokens"])) for r in bpe.digest(docs, path).collect())
