@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streetflow.llm import bpe, buckets, chosen_path, language, pu
+from streetflow.llm import buckets, chosen_path, language, pu
 from streetflow.llm.common import Scratch
-from streetflow.llm.queries import rank_file
+from streetflow.llm.queries import count_tokens
 
 #: SQL can express neither the fitted models nor the optimal buckets.
 ORACLE_SQL = None
@@ -77,7 +77,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: a bucket, batch and slot for every row, by its real tokens; null and empty texts have none."""
     _bounded(spark)
-    return buckets.pack(bpe.token_counts(docs, rank_file()), F.col("n_tokens"))
+    return buckets.pack(count_tokens(docs), F.col("n_tokens"))
 
 
 STAGES = [("quality", quality), ("language_id", language_id), ("near_duplicates", near_duplicates), ("packing", packing)]
