@@ -31,6 +31,8 @@ SLACK = 1.2
 SLACK_M = 50.0
 IMPROVED = 1e-9
 HOPS = 2
+#: The snapping pyramid: cells below one cell each way, and the most cells each way of its top, less one.
+FAN, TOP = 4, 8
 
 
 def node_key(x: Column, y: Column) -> Column:
@@ -75,51 +77,91 @@ def edges(ways: DataFrame) -> DataFrame:
     return cut_lineage(cut.select((F.monotonically_increasing_id() + 1).alias("edge"), "*"), "edges")
 
 
+def _feet(pairs: DataFrame) -> DataFrame:
+    """(px, py, d, sx, sy, edge, at): the nearest of the segments ``s`` that each point is paired with."""
+    s, px, py = F.col("s"), F.col("px"), F.col("py")
+    dx, dy = s["x1"] - s["x0"], s["y1"] - s["y0"]
+    n2 = dx * dx + dy * dy
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - s["x0"]) * dx + (py - s["y0"]) * dy) / n2))
+    x, y = s["x0"] + F.col("t") * dx, s["y0"] + F.col("t") * dy
+    # equally near points are told apart by where they lie, not by the numbers of their edges
+    hit = F.struct(F.round(F.hypot(px - x, py - y), 6).alias("d"), F.round(x, 6).alias("sx"), F.round(y, 6).alias("sy"),
+                   F.col("edge"), (F.col("from") + F.col("t") * F.sqrt(n2)).alias("at"))
+    return pairs.withColumn("t", t).groupBy("px", "py").agg(F.min(hit).alias("h")).select("px", "py", "h.*")
+
+
+def _box(size: float) -> tuple[Column, Column]:
+    """Least and greatest distance of a point from its row's cell."""
+    gaps, reaches = [], []
+    for p, c in (("px", "cx"), ("py", "cy")):
+        low, high = F.col(c) * size - F.col(p), F.col(p) - (F.col(c) + 1) * size
+        gaps.append(F.greatest(low, high, F.lit(0.0)))
+        reaches.append(F.greatest(-low, -high))
+    return F.hypot(*gaps), F.hypot(*reaches)
+
+
+def _descend(points: DataFrame, occupied: DataFrame, size: float, limit: float | None) -> DataFrame:
+    """(px, py, cx, cy): for each point the cells of ``size`` that can hold its nearest street, none farther than ``limit``.
+
+    The cells with streets are the finest level of a pyramid, each cell above covers ``FAN`` by ``FAN`` below. From the
+    few cells of the top a point goes down into those only that are not farther off than another one's far corner,
+    for every cell holds a street somewhere. How far off a point lies does not change how many it meets.
+    """
+    reach = occupied.agg(*[(F.max(c) - F.min(c) + 1).alias(c) for c in ("cx", "cy")]).first()
+    levels = [occupied]
+    while max(reach["cx"], reach["cy"]) > TOP * FAN ** (len(levels) - 1):
+        levels.append(levels[-1].select(*[F.floor(F.col(c) / FAN).cast("long").alias(c) for c in ("cx", "cy")]).distinct())
+    # the top spans at most TOP + 1 cells each way
+    top = [F.struct(F.lit(r["cx"]).alias("cx"), F.lit(r["cy"]).alias("cy")) for r in levels[-1].collect()]
+    at = points.select("px", "py", F.inline(F.array(*top)))
+    for k in range(len(levels) - 1, -1, -1):
+        near, far = _box(size * FAN**k)
+        bounded = at.withColumn("near", near).withColumn("most", F.min(far).over(W.partitionBy("px", "py")))
+        at = bounded.filter((F.col("near") <= F.col("most")) & (F.col("near") <= F.lit(float("inf") if limit is None else limit))).select(
+            "px", "py", "cx", "cy")
+        if k:
+            below = levels[k - 1].select(*[F.floor(F.col(c) / FAN).cast("long").alias(f"u{c}") for c in ("cx", "cy")], "cx", "cy")
+            at = at.withColumnsRenamed({"cx": "ucx", "cy": "ucy"}).join(below, ["ucx", "ucy"]).select("px", "py", "cx", "cy")
+    return at
+
+
 def nearest_edge(points: DataFrame, network: DataFrame, radius: float = SNAP_M,
                  limit: float | None = None) -> DataFrame:
     """(px, py, edge, at, sx, sy): the nearest point of the network for each distinct point.
 
-    Looks one cell around with cells of the radius' size. A hit within the radius is the nearest; the
-    rest tries again with a radius four times as large, up to ``limit`` metres (default: until all
-    are found). Points farther off, and all of them if there is no edge, come with NULLs.
+    Looks one cell around with cells of the radius' size, where a hit within the radius is the nearest. The rest go
+    down a pyramid of the cells with streets and meet the segments of the few cells left, up to ``limit`` metres
+    (default: however far). Points farther off, and all of them if there is no edge, come with NULLs.
     """
+    names = ["edge", "at", "sx", "sy"]
+
     def nowhere(some):
-        return some.select("px", "py", *[F.lit(None).cast(t).alias(c) for c, t in (
-            ("edge", "long"), ("at", "double"), ("sx", "double"), ("sy", "double"))])
+        return some.select("px", "py", *[F.lit(None).cast(t).alias(c) for c, t in zip(names, ("long", "double", "double", "double"))])
 
     if network.isEmpty():
         return nowhere(points)
-    left, found, r = cut_lineage(points.select("px", "py").distinct(), "points"), None, radius
-    while True:
-        around = F.sequence(F.lit(-1), F.lit(1))
-        looking = (
-            left.withColumn("ox", F.explode(around)).withColumn("oy", F.explode(around))
-            .select("px", "py", (F.floor(F.col("px") / r) + F.col("ox")).cast("long").alias("cx"),
-                    (F.floor(F.col("py") / r) + F.col("oy")).cast("long").alias("cy")))
-        pieces = grid.segment_cells(
-            network.withColumn("cum", G.cumulative_lengths(F.col("line"))), "line", ["edge", "cum"], "s", 0.0, r
-        ).select("cx", "cy", "edge", "s", F.get("cum", F.col("s.seg")).alias("from"))
-        pieces, _ = broadcast_if_small(pieces)
-        s, px, py = F.col("s"), F.col("px"), F.col("py")
-        dx, dy = s["x1"] - s["x0"], s["y1"] - s["y0"]
-        n2 = dx * dx + dy * dy
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - s["x0"]) * dx + (py - s["y0"]) * dy) / n2))
-        x, y = s["x0"] + F.col("t") * dx, s["y0"] + F.col("t") * dy
-        # equally near points are told apart by where they lie, not by the numbers of their edges
-        hit = F.struct(F.round(F.hypot(px - x, py - y), 6).alias("d"), F.round(x, 6).alias("sx"), F.round(y, 6).alias("sy"),
-                       F.col("edge"), (F.col("from") + F.col("t") * F.sqrt(n2)).alias("at"))
-        best = (
-            looking.join(pieces, ["cx", "cy"]).withColumn("t", t)
-            .groupBy("px", "py").agg(F.min(hit).alias("h")).filter(F.col("h.d") <= (r if limit is None else min(r, limit)))
-            .select("px", "py", "h.edge", "h.at", "h.sx", "h.sy"))
-        best = cut_lineage(best, "snap")
-        found = best if found is None else found.unionByName(best)
-        left, remaining = cut_counted(left.join(best, ["px", "py"], "left_anti"), "unsnapped")
-        if not remaining:
-            return found
-        if limit is not None and r >= limit:
-            return found.unionByName(nowhere(left))
-        r *= 4
+    every = cut_lineage(points.select("px", "py").distinct(), "points")
+    around = F.sequence(F.lit(-1), F.lit(1))
+    looking = (
+        every.withColumn("ox", F.explode(around)).withColumn("oy", F.explode(around))
+        .select("px", "py", (F.floor(F.col("px") / radius) + F.col("ox")).cast("long").alias("cx"),
+                (F.floor(F.col("py") / radius) + F.col("oy")).cast("long").alias("cy")))
+    pieces = grid.segment_cells(
+        network.withColumn("cum", G.cumulative_lengths(F.col("line"))), "line", ["edge", "cum"], "s", 0.0, radius
+    ).select("cx", "cy", "edge", "s", F.get("cum", F.col("s.seg")).alias("from"))
+    pieces, _ = broadcast_if_small(pieces)
+    first = cut_lineage(_feet(looking.join(pieces, ["cx", "cy"])).filter(
+        F.col("d") <= (radius if limit is None else min(radius, limit))).select("px", "py", *names), "snap")
+    left, remaining = cut_counted(every.join(first, ["px", "py"], "left_anti"), "unsnapped")
+    if not remaining:
+        return first
+    if limit is not None and limit <= radius:
+        return first.unionByName(nowhere(left))
+    occupied = cut_lineage(pieces.select("cx", "cy").distinct(), "cells")
+    feet = _feet(_descend(left, occupied, radius, limit).join(pieces, ["cx", "cy"])).filter(
+        F.col("d") <= F.lit(float("inf") if limit is None else limit))
+    second = cut_lineage(left.join(feet.select("px", "py", *names), ["px", "py"], "left"), "snap")
+    return first.unionByName(second)
 
 
 def components(network: DataFrame) -> DataFrame:

@@ -361,6 +361,33 @@ def test_motorways_are_not_routed(spark):
     assert routing.routable(ways).filter(F.col("highway").like("motorway%")).isEmpty()
 
 
+def test_snapping_far_points_goes_down_the_pyramid(spark):
+    """Far points find the same street as a comparison with all of them, and meet few cells however far off they are."""
+    rnd = random.Random(8)
+    lines = [[(x, y), (x + rnd.uniform(-300, 300), y + rnd.uniform(-300, 300))] for x, y in
+             ((rnd.uniform(0, 20_000), rnd.uniform(0, 15_000)) for _ in range(500))]
+    network = graph.edges(spark.createDataFrame([way(k, line) for k, line in enumerate(lines)], WAY))
+    points = [(rnd.uniform(-1, 2) * 10 ** rnd.randint(2, 6), rnd.uniform(-1, 2) * 10 ** rnd.randint(2, 6)) for _ in range(300)] + [(-9e5, 7e5), (0.0, 0.0)]
+    df = spark.createDataFrame(points, "px double, py double")
+
+    def nearest(p):
+        best = math.inf
+        for (x0, y0), (x1, y1) in lines:
+            t = max(0.0, min(1.0, ((p[0] - x0) * (x1 - x0) + (p[1] - y0) * (y1 - y0)) / math.dist((x0, y0), (x1, y1)) ** 2))
+            best = min(best, math.dist(p, (x0 + t * (x1 - x0), y0 + t * (y1 - y0))))
+        return best
+
+    want = {p: nearest(p) for p in points}
+    got = graph.nearest_edge(df, network).collect()
+    assert len(got) == len(points)
+    assert all(math.dist((r.px, r.py), (r.sx, r.sy)) == pytest.approx(want[r.px, r.py], abs=1e-4) for r in got)
+    limited = graph.nearest_edge(df, network, limit=700.0).collect()
+    assert len(limited) == len(points) and all((r.edge is None) == (want[r.px, r.py] > 700) for r in limited)
+    cells = graph.grid.segment_cells(network, "line", ["edge"], "s", 0.0, 50.0).select("cx", "cy").distinct()
+    met = graph._descend(df, cells, 50.0, None).groupBy("px", "py").count().agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()
+    assert met["n"] < 30 * len(points) and met["most"] < 300 < cells.count() / 10
+
+
 def test_ends_far_off_the_network_are_not_snapped(spark):
     ways = spark.createDataFrame([way(1, [(0.0, 0.0), (300.0, 0.0)])], WAY)
     od = spark.createDataFrame([(10.0, 5.0, 200.0, 0.0), (10.0, 500.0, 200.0, 0.0)], "ox double, oy double, dx double, dy double")
