@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from compare import compare, connect
-from streetflow.llm import cross_tokens, main_text, queries, slice_codes
+from streetflow.llm import cross_tokens, main_text, queries, ring, slice_codes
 
 SF = "/root/testdata/sf0.001"
 
@@ -222,3 +222,41 @@ def test_diagonal_runs():
 def test_bytes_stand_for_letters():
     letter = cross_tokens.byte_of_letter()
     assert sorted(letter.values()) == list(range(256)) and letter["Ġ"] == 32 and letter["Ċ"] == 10 and letter["a"] == 97
+
+
+# the ring of op10 --------------------------------------------------------------------------------------------
+
+
+def walked(ids, n_shards=8, virtual=64, slack=0.0):
+    """doc_id to (shard, slot) by walking the ring row by row: first everyone's own shard, then clockwise to the next with room."""
+    from bisect import bisect_left
+
+    def position(text):
+        return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+
+    ring_ = sorted((position(f"node/{s}/{v}"), s) for s in range(n_shards) for v in range(virtual))
+    places, owners = [p for p, _ in ring_], [s for _, s in ring_] + [ring_[0][1]]
+    total, used, out, late = len(ids), [0] * n_shards, {}, []
+    most = [max(total // n_shards + (s < total % n_shards), int((1 + slack) * total / n_shards)) for s in range(n_shards)]
+
+    def put(d, s):
+        out[d] = (s, used[s])
+        used[s] += 1
+
+    for d in sorted(ids, key=lambda d: (position(str(d)), d)):
+        arc = bisect_left(places, position(str(d)))
+        if used[owners[arc]] < most[owners[arc]]:
+            put(d, owners[arc])
+        else:
+            late.append((d, arc))
+    for d, arc in late:
+        step = next(k for k in range(1, len(owners) + 1) if used[owners[(arc + k) % len(owners)]] < most[owners[(arc + k) % len(owners)]])
+        put(d, owners[(arc + step) % len(owners)])
+    return out
+
+
+@pytest.mark.parametrize(("n", "shards", "virtual", "slack"), [(3001, 8, 64, 0.0), (500, 3, 2, 0.0), (1000, 9, 64, 0.1), (5, 8, 64, 0.0)])
+def test_ring_against_a_walk(spark, n, shards, virtual, slack):
+    df = spark.range(n).selectExpr("id * 7 - 20 as doc_id", "concat('t', id) as text", "1 as shard", "2 as slot")
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in ring.shard_rows(df, shards, virtual, slack).collect()}
+    assert got == walked([i * 7 - 20 for i in range(n)], shards, virtual, slack)
