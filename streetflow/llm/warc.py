@@ -141,8 +141,9 @@ def read_archives(spark: SparkSession, path: str, measures: dict[str, Callable[[
     Tasks cut the archives at every record mark. Pieces that start with a whole header are candidates and point to
     where the next record must begin; only those that the chain from the file's start reaches are records, so that
     marks inside payloads are rejected. A payload that holds marks is put together from its pieces. ``measures`` are
-    functions of the binary payload, by default the payload itself. Behind a damaged record the chain of its file
-    breaks off. Empty files and folders without records give no rows.
+    functions of the binary payload, by default the payload itself. A record is returned only if the next one begins where
+    it says, or if its file ends there with the payload whole: one cut short, or of a wrong length, is left out, and so is
+    what follows it in its file, where the chain breaks off. Empty files and folders without records give no rows.
     """
     measures = measures or {"payload": lambda p: p}
     scratch = Scratch(spark, "warc")
@@ -167,25 +168,31 @@ def read_archives(spark: SparkSession, path: str, measures: dict[str, Callable[[
         "offset", F.when(F.col("start") == 0, F.lit(0)).otherwise(F.col("start") - len(MAGIC) + 1).cast("long")).withColumn(
         "successor", F.col("start") + F.col("skip") + F.col("length") + len(RECORD_END))
     reached = reachable(scratch, found.select("file", "offset", "successor"))
-    records = found.join(reached, ["file", "offset"], "left_semi")
+    chain = found.select("file", "offset", "start", "successor", (F.col("start") + F.col("skip") + F.col("length")).alias("end")).join(
+        reached, ["file", "offset"], "left_semi")
+    onward = reached.select("file", F.col("offset").alias("successor"), F.lit(True).alias("goes_on"))
+    sizes = placed.groupBy("file").agg(F.max(F.col("start") + F.col("bytes")).alias("size"))
+    closed = (F.col("end") <= F.col("size")) & (F.col("successor") >= F.col("size"))
+    verified = chain.join(onward, ["file", "successor"], "left").join(sizes, "file").where(F.coalesce("goes_on", closed)).select("file", "offset")
+    records = found.join(scratch.keep(verified, "verified"), ["file", "offset"], "left_semi")
     names = list(measures)
     simple = records.where("whole").select("file", "offset", "version", "head", *[F.col(f"m_{k}").alias(k) for k in names])
     split = records.where("not whole").select("file", "offset", "start", "skip", "length", "version", "head")
     split, seen = scratch.keep_seen(split, "split")
     if not seen["n"]:
         return simple
-    return simple.unionByName(_assembled(scratch, path, placed, records, split).select(
+    return simple.unionByName(_assembled(scratch, path, placed, chain, split).select(
         "file", "offset", "version", "head", *[f(F.col("payload")).alias(k) for k, f in measures.items()]))
 
 
-def _assembled(scratch: Scratch, path: str, placed: DataFrame, records: DataFrame, split: DataFrame) -> DataFrame:
+def _assembled(scratch: Scratch, path: str, placed: DataFrame, chain: DataFrame, split: DataFrame) -> DataFrame:
     """The records ``split`` with their payload, joined from all pieces that lie in it.
 
     Every piece belongs to the last record before it: the last of its block, or else of the blocks before. The archives
     are read again for the pieces, which are found by their content wherever that scan meets them.
     """
     at = placed.select("file", "block", "content", "start").join(
-        records.select("file", "start", F.col("offset").alias("owner")), ["file", "start"], "left")
+        chain.select("file", "start", F.col("offset").alias("owner")), ["file", "start"], "left")
     by_block = Window.partitionBy("file", "block").orderBy("start")
     last = at.groupBy("file", "block").agg(F.max("owner").alias("last"))
     carried = last.select("file", "block", F.max("last").over(
@@ -200,7 +207,7 @@ def _assembled(scratch: Scratch, path: str, placed: DataFrame, records: DataFram
     joined = wanted.join(values, ["file", "content"]).groupBy("file", "offset").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "value"))), lambda p: p["value"]), MAGIC).alias("whole"))
     return split.join(joined, ["file", "offset"]).withColumn("payload", F.substring(
-        F.col("whole").cast("binary"), (F.col("skip") + 1).cast("int"), F.col("length").cast("int")))
+        F.col("whole").cast("binary"), (F.col("skip") + 1).try_cast("int"), F.col("length").try_cast("int")))
 
 
 def header(name: str) -> Column:
@@ -222,6 +229,8 @@ def page_records(spark: SparkSession, path: str) -> DataFrame:
     rows = Scratch(spark, "warc-pages").keep(rows, "records")
     originals = rows.join(rows.where("to_row is not null").select(F.col("to_row").alias("row")).distinct(), "row", "left_semi").select(
         F.col("row").alias("to_row"), F.col("bytes").alias("o_bytes"), F.col("digest").alias("o_digest"))
-    return rows.join(originals, "to_row", "left").select(
-        "page_id", F.coalesce("o_bytes", "bytes").cast("long").alias("payload_bytes"),
-        F.coalesce("o_digest", "digest").alias("payload_digest"), "record_type", "refers_to")
+    # responses refer to nothing, so they need not meet the originals
+    revisits = rows.where("to_row is not null").join(originals, "to_row", "left").select(
+        "page_id", F.coalesce("o_bytes", "bytes").alias("bytes"), F.coalesce("o_digest", "digest").alias("digest"), "record_type", "refers_to")
+    both = rows.where("to_row is null").select("page_id", "bytes", "digest", "record_type", "refers_to").union(revisits)
+    return both.select("page_id", F.col("bytes").cast("long").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")

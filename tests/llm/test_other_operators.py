@@ -70,6 +70,24 @@ def test_archive_edges(spark, pages):
     assert warc.page_records(spark, path).count() == 0
 
 
+def test_damaged_archives(spark, tmp_path):
+    """A record cut short or of a wrong length is left out with what follows it in its file; other files are not touched."""
+    def record(payload, length=None):
+        return f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {len(payload) if length is None else length}\r\n\r\n{payload}\r\n\r\n"
+
+    tricky = "b" * 40 + TRICK + "c" * 40
+    files = {
+        "whole": record("one") + record(tricky) + record("three"), "no_end": (record("four") + record("five")).rstrip("\r\n"),
+        "cut": (record("six") + record("s" * 51))[:-30], "cut_inside": (record("seven") + record(tricky))[:-60],
+        "huge": record("eight") + record("nine", 99_999_999_999), "long": record("ten") + record("eleven", 7) + record("twelve"),
+        "short": record("thirteen") + record("fourteen", 3) + record("fifteen"), "negative": record("sixteen") + record("x", -5), "empty": ""}
+    for name, text in files.items():
+        (tmp_path / name).write_bytes(text.encode())
+    got = Counter(bytes(r["payload"]).decode() for r in warc.read_archives(spark, str(tmp_path)).collect())
+    # the record before one of a wrong length still ends where a header begins; before something that is no header it does not
+    assert got == Counter(["one", tricky, "three", "four", "five", "six", "seven", "eight", "ten", "thirteen"])
+
+
 def test_reachable_rejects_what_no_chain_reaches(spark):
     chain = [("f", 10 * i, 10 * i + 10) for i in range(37)]
     inside = [("f", 15, 20), ("f", 113, 400), ("g", 5, 9)]
