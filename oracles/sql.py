@@ -385,6 +385,14 @@ SELECT t.band, t.trip_id, o.osm_id, o.hname, o.stress_lev, o.seg_area FROM ao o
 SELECT t.band, t.trip_id, o.osm_id, o.seg_area AS area FROM ao o JOIN trips t ON t.k = o.k WHERE o.seg_area > 0"""),
     "overlap_dissolve": with_(WAYS + "," + TRIPS + "," + overlaps("a", "t1"), """
 SELECT t.band, t.trip_id, o.stress_lev, o.area, o.sum_seg_area FROM ad o JOIN trips t ON t.k = o.k WHERE o.area > 0"""),
+    "overlap_regions": with_(WAYS + "," + TRIPS + "," + overlaps("a", "t1"), """
+SELECT t.band, t.trip_id, o.osm_id, o.hname, o.stress_lev, o.seg_area, CAST(1 AS BIGINT) AS parts,
+  CAST(4 AS BIGINT) AS corners, CAST(2 * (o.x1 - o.x0 + o.y1 - o.y0) AS DOUBLE) AS ring_m
+FROM ao o JOIN trips t ON t.k = o.k WHERE o.seg_area > 0"""),
+    "dissolved_parts": with_(WAYS + "," + TRIPS + "," + overlaps("a", "t1"), f"""
+SELECT t.band, t.trip_id, o.stress_lev, CAST({BX} + o.x0 AS DOUBLE) AS x, CAST({BY} + o.y0 AS DOUBLE) AS y, o.area,
+  CAST(2 * (o.x1 - o.x0 + o.y1 - o.y0) AS DOUBLE) AS ring_m, o.sum_seg_area
+FROM ad o JOIN trips t ON t.k = o.k WHERE o.area > 0"""),
     "stress_area_by_trip": with_(ACTUAL, f"SELECT trip_id, band, {AREA_R} FROM actual"),
     "stress_len_by_trip": with_(ACTUAL, f"""
 SELECT trip_id, band, vehicle_type, propulsion_type, dist_calc, matching_error, start_time, {AREA_R}, {r("area")},

@@ -179,6 +179,27 @@ def overlap_dissolve(spark, d):
     return rounded(merged.filter(F.col("area") > 0).drop("shape"))
 
 
+@query
+def overlap_regions(spark, d):
+    """Connected parts of each overlap: how many, their area and the length of all their rings."""
+    regions = O.overlap_regions(synthetic.trips(spark, d), classify.ridden(_ways(spark, d)))
+    ring_m = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["ring_m"])
+    corners = F.aggregate("parts", F.lit(0).cast("long"), lambda acc, p: acc + F.aggregate(
+        p["rings"], F.lit(0).cast("long"), lambda n, r: n + F.size(r)))
+    return rounded(regions.select(
+        "band", "trip_id", "osm_id", "hname", "stress_lev", "seg_area", F.size("parts").cast("long").alias("parts"),
+        corners.alias("corners"), ring_m.alias("ring_m")))
+
+
+@query
+def dissolved_parts(spark, d):
+    """One row per part of every distinct region of a trip and class, with its lowest corner."""
+    out = stress.dissolved_parts(synthetic.trips(spark, d), _ways(spark, d))
+    low = F.col("rings")[0][0]
+    return rounded(out.select("band", "trip_id", "stress_lev", low["x"].alias("x"), low["y"].alias("y"), "area", "ring_m",
+                              "sum_seg_area"))
+
+
 @query
 def stress_area_by_trip(spark, d):
     return rounded(stress.stress_area_by_trip(synthetic.trips(spark, d), _ways(spark, d)).select(

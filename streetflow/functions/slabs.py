@@ -10,7 +10,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from streetflow.functions import outlines
+
 CHUNK_ELEMENTS = 4_000_000
+MOST_PIECES = 24
+#: Squares of 200 m end at 20 cm, where pieces 4 m wide that meet them cover most of them whole.
+MOST_SPLITS = 10
 FIELDS = ("x0", "y0", "x1", "y1", "x2", "y2")
 
 
@@ -129,27 +134,96 @@ def _integrate(pa_: np.ndarray, pb: np.ndarray, h: float) -> np.ndarray:
     return out
 
 
-def _batches(a: pa.Array, b: pa.Array, centre: np.ndarray, wa: float, wb: float):
-    """(row numbers, pieces of a, pieces of b) in chunks of rows with equally many pieces."""
+def _reach(flat: np.ndarray, half: float) -> np.ndarray:
+    """(n, 4): xmin, ymin, xmax, ymax of the pieces of a segment; bevels stay within ``half`` of its end."""
+    ends = flat[:, 0:4].reshape(-1, 2, 2)
+    return np.concatenate([ends.min(axis=1) - half, ends.max(axis=1) + half], axis=1)
+
+
+def _covers(flat: np.ndarray, half: float, at: np.ndarray, h: float) -> np.ndarray:
+    """Which segments' rectangles hold the whole square of half side ``h`` around ``at``."""
+    d = flat[:, 2:4] - flat[:, 0:2]
+    length = np.linalg.norm(d, axis=1)
+    u = d / length[:, None]
+    w = at - flat[:, 0:2]
+    slack = (np.abs(u[:, 0]) + np.abs(u[:, 1])) * h
+    run, off = (w * u).sum(axis=1), np.abs(w[:, 0] * u[:, 1] - w[:, 1] * u[:, 0])
+    return (run - slack >= 0) & (run + slack <= length) & (off + slack <= half)
+
+
+def _quarter(offsets: np.ndarray, flat: np.ndarray, rows: np.ndarray, at: np.ndarray, h: float,
+             half: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of ``rows`` that reach the squares of half side ``h`` around ``at``; one that covers its square suffices."""
+    count = offsets[rows + 1] - offsets[rows]
+    row = np.repeat(np.arange(len(rows)), count)
+    piece = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(offsets[rows], count)
+    box = _reach(flat[piece], half)
+    near = (box[:, :2] < at[row] + h).all(axis=1) & (box[:, 2:] > at[row] - h).all(axis=1)
+    row, piece = row[near], piece[near]
+    full = _covers(flat[piece], half, at[row], h)
+    first = np.full(len(rows), -1)
+    first[row[full][::-1]] = piece[full][::-1]
+    kept = (first[row] < 0) | (first[row] == piece)
+    row, piece = row[kept], piece[kept]
+    return np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(rows)))]), flat[piece]
+
+
+def _batches(a: pa.Array, b: pa.Array, centre: np.ndarray, h: float, wa: float, wb: float):
+    """(row numbers, shifts from the rows' centres, half side, pieces of a, pieces of b) in chunks of equally many pieces.
+
+    Edge pairs grow with the square of the pieces, so a row with more than ``MOST_PIECES`` a side is split into the four
+    quarters of its square until they hold fewer, or ``MOST_SPLITS`` times.
+    """
     sides = []
     for col in (a, b):
         offsets, flat = rows(col)
-        owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        flat = flat - np.tile(centre[owner], 3)
+        sides.append((offsets, flat - np.tile(centre[np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))], 3)))
+    owner, shift = np.arange(len(centre)), np.zeros((len(centre), 2))
+    for depth in range(MOST_SPLITS + 1):
+        (oa, fa), (ob, fb) = sides
+        na, nb = np.diff(oa), np.diff(ob)
+        filled = (na > 0) & (nb > 0)
+        many = filled & (np.maximum(na, nb) > MOST_PIECES) & (depth < MOST_SPLITS)
+        for part, pieces_a, pieces_b in _chunks(np.nonzero(filled & ~many)[0], sides, shift, wa, wb):
+            yield owner[part], shift[part], h, pieces_a, pieces_b
+        split = np.repeat(np.nonzero(many)[0], 4)
+        if not len(split):
+            return
+        h /= 2
+        shift = shift[split] + np.tile(h * np.array([(-1, -1), (1, -1), (-1, 1), (1, 1)]), (len(split) // 4, 1))
+        sides = [_quarter(offsets, flat, split, shift, h, half) for (offsets, flat), half in zip(sides, (wa, wb))]
+        owner = owner[split]
+
+
+def _chunks(members: np.ndarray, sides: list, shift: np.ndarray, wa: float, wb: float):
+    """``members`` with equally many pieces together, their pieces relative to the middle of their squares."""
+    if not len(members):
+        return
+    kinds = []
+    for offsets, flat in sides:
         corner = np.zeros(len(offsets) - 1, bool)
-        np.logical_or.at(corner, owner, bent(flat))
-        sides.append((offsets, flat, _bucket(np.diff(offsets)), corner))
-    (oa, fa, ka, ca), (ob, fb, kb, cb) = sides
-    kinds, which = np.unique(np.column_stack([ka, kb, ca, cb]), axis=0, return_inverse=True)
+        np.logical_or.at(corner, np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), bent(flat))
+        kinds += [_bucket(np.diff(offsets))[members], corner[members]]
+    kinds, which = np.unique(np.column_stack(kinds), axis=0, return_inverse=True)
     which = which.reshape(-1)
-    for g, (na, nb, has_a, has_b) in enumerate(kinds):
-        members = np.nonzero(which == g)[0]
+    (oa, fa), (ob, fb) = sides
+    for g, (na, has_a, nb, has_b) in enumerate(kinds):
+        alike = members[which == g]
         edges = 4 * (na * (1 + has_a) + nb * (1 + has_b))
         chunk = max(1, int(CHUNK_ELEMENTS // (edges * edges)))
-        for at in range(0, len(members), chunk):
-            part = members[at:at + chunk]
-            yield (part, polygons(_take(oa, fa, part, na), wa, bool(has_a)),
-                   polygons(_take(ob, fb, part, nb), wb, bool(has_b)))
+        for at in range(0, len(alike), chunk):
+            part = alike[at:at + chunk]
+            move = np.tile(shift[part], 3)[:, None, :]
+            yield (part, polygons(_take(oa, fa, part, na) - move, wa, bool(has_a)),
+                   polygons(_take(ob, fb, part, nb) - move, wb, bool(has_b)))
+
+
+def _moved(m: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Area and moments about the centre of a row, from those about a point ``d`` off it."""
+    area, x, y, xx, xy, yy = m.T
+    dx, dy = d.T
+    return np.column_stack([area, x + dx * area, y + dy * area, xx + 2 * dx * x + dx * dx * area,
+                            xy + dx * y + dy * x + dx * dy * area, yy + 2 * dy * y + dy * dy * area])
 
 
 def overlap_moments(a: pa.Array, b: pa.Array, cx: np.ndarray, cy: np.ndarray, size: float,
@@ -157,8 +231,8 @@ def overlap_moments(a: pa.Array, b: pa.Array, cx: np.ndarray, cy: np.ndarray, si
     """(n, 6) overlap area and moments per row, relative to the centre of the row's cell."""
     out = np.zeros((len(cx), 6))
     centre = np.column_stack([cx + 0.5, cy + 0.5]) * size
-    for part, pieces_a, pieces_b in _batches(a, b, centre, wa, wb):
-        out[part] = _integrate(pieces_a, pieces_b, size / 2)
+    for part, shift, h, pieces_a, pieces_b in _batches(a, b, centre, size / 2, wa, wb):
+        np.add.at(out, part, _moved(_integrate(pieces_a, pieces_b, h), shift))
     return out
 
 
@@ -189,19 +263,32 @@ def _slab_parts(pieces_a: np.ndarray, pieces_b: np.ndarray, h: float) -> tuple[n
     return r, np.stack([np.column_stack(c) for c in ((lb, bottom), (rb, bottom), (rt, top), (lt, top))], axis=1)
 
 
-def overlap_trapezoids(a: pa.Array, b: pa.Array, cx: np.ndarray, cy: np.ndarray, size: float,
-                       wa: float, wb: float) -> pa.Array:
-    """Per row the overlap inside its cell as disjoint rings: list<list<struct<x, y>>>."""
+def _trapezoids(a: pa.Array, b: pa.Array, cx: np.ndarray, cy: np.ndarray, size: float,
+                wa: float, wb: float) -> tuple[np.ndarray, np.ndarray]:
+    """The overlap of every row inside its cell as disjoint rings (k, 4, 2), ordered by row, and the row of each."""
     centre = np.column_stack([cx + 0.5, cy + 0.5]) * size
     owners, rings = [np.zeros(0, np.int64)], [np.zeros((0, 4, 2))]
-    for part, pieces_a, pieces_b in _batches(a, b, centre, wa, wb):
-        r, corners = _slab_parts(pieces_a, pieces_b, size / 2)
+    for part, shift, h, pieces_a, pieces_b in _batches(a, b, centre, size / 2, wa, wb):
+        r, corners = _slab_parts(pieces_a, pieces_b, h)
         owners.append(part[r])
-        rings.append(corners + centre[part[r]][:, None, :])
+        rings.append(corners + (centre[part[r]] + shift[r])[:, None, :])
     owner, ring = np.concatenate(owners), np.concatenate(rings)
     order = np.argsort(owner, kind="stable")
-    flat = ring[order].reshape(-1, 2)
+    return owner[order], ring[order]
+
+
+def overlap_trapezoids(a: pa.Array, b: pa.Array, cx: np.ndarray, cy: np.ndarray, size: float,
+                       wa: float, wb: float) -> pa.Array:
+    """Per row the overlap inside its cell as disjoint rings: list<list<struct<x, y>>>."""
+    owner, ring = _trapezoids(a, b, cx, cy, size, wa, wb)
+    flat = ring.reshape(-1, 2)
     points = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["x", "y"])
     lines = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 4), pa.int32()), points)
     per_row = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(cx)))])
     return pa.ListArray.from_arrays(pa.array(per_row, pa.int32()), lines)
+
+
+def overlap_edges(a: pa.Array, b: pa.Array, cx: np.ndarray, cy: np.ndarray, size: float, wa: float, wb: float) -> pa.Array:
+    """Per row the directed boundary of the overlap inside its cell, on a grid of micrometres."""
+    owner, edges = outlines.sides(*_trapezoids(a, b, cx, cy, size, wa, wb))
+    return outlines.edge_lists(*outlines.cancelled(owner, edges), len(cx))

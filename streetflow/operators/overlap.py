@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streetflow.functions import geometry as G
-from streetflow.functions import slabs
+from streetflow.functions import outlines, slabs
 from streetflow.operators import grid
 from streetflow.operators.storage import BROADCAST_BYTES
 from streetflow.schema import BUFFER_M
@@ -25,6 +25,7 @@ MOMENT_SCALE = 1000.0
 
 # Executors get the array code inside the task, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(slabs)
+cloudpickle.register_pickle_by_value(outlines)
 
 
 def _moments_udf(size: float, wa: float, wb: float):
@@ -110,3 +111,48 @@ def overlap_parts(trips: DataFrame, ways: DataFrame, size: float = grid.CELL_M,
         "band", "trip_id", "osm_id", "stress_lev",
         F.explode(_trapezoid_udf(size, BUFFER_M, BUFFER_M)("a", "b", "cx", "cy")).alias("part"),
     )
+
+
+EDGE = "struct<x0:bigint,y0:bigint,x1:bigint,y1:bigint>"
+RINGS = "array<array<struct<x:double,y:double>>>"
+
+
+def _edges_udf(size: float, wa: float, wb: float):
+    @F.arrow_udf(f"array<{EDGE}>")
+    def edges(a: pa.Array, b: pa.Array, cx: pa.Array, cy: pa.Array) -> pa.Array:
+        at = (c.to_numpy(zero_copy_only=False) for c in (cx, cy))
+        return slabs.overlap_edges(a, b, *at, size, wa, wb)
+
+    return edges
+
+
+def _parts_udf():
+    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+    kind = pa.list_(pa.struct([("rings", pa.list_(pa.list_(point))), ("area", pa.float64()), ("ring_m", pa.float64())]))
+
+    @F.arrow_udf(f"array<struct<rings:{RINGS},area:double,ring_m:double>>")
+    def parts(edges: pa.Array) -> pa.Array:
+        return outlines.region_parts(edges, kind)
+
+    return parts
+
+
+def overlap_regions(trips: DataFrame, ways: DataFrame, size: float = grid.CELL_M, max_broadcast: int = BROADCAST_BYTES,
+                    share: int = grid.HOT_SHARE) -> DataFrame:
+    """The overlap of each (band, trip_id, osm_id) as geometry: hname, stress_lev, parts (rings, area, ring_m), seg_area.
+
+    Cells send the boundary of their overlap only, and a row gathers those of one trip and one street, which is no more
+    than the geometry it returns. Parts are connected across cells, may have holes, and are apart where they touch in a
+    point. Pairs whose buffers merely touch have no row. Rings are in millimetres and in a normal form, so two regions are
+    equal exactly when their ``parts`` are.
+    """
+    pieces = touching_pieces(trips, ways, size, max_broadcast, share)
+    bounded = pieces.select(
+        "band", "trip_id", "osm_id", "hname", "stress_lev",
+        _edges_udf(size, BUFFER_M, BUFFER_M)("a", "b", "cx", "cy").alias("edges"))
+    gathered = bounded.filter(F.size("edges") > 0).groupBy("band", "trip_id", "osm_id").agg(
+        F.max("hname").alias("hname"), F.min("stress_lev").alias("stress_lev"),
+        F.flatten(F.collect_list("edges")).alias("edges"))
+    found = gathered.select("band", "trip_id", "osm_id", "hname", "stress_lev", _parts_udf()("edges").alias("parts"))
+    area = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["area"])
+    return found.filter(F.size("parts") > 0).withColumn("seg_area", F.round(area, AREA_DIGITS))

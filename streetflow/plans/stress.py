@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streetflow.functions import geometry as G
-from streetflow.operators.overlap import AREA_DIGITS, overlap
+from streetflow.operators.overlap import AREA_DIGITS, overlap, overlap_regions
 from streetflow.plans.classify import ridden
 from streetflow.schema import OVERLAP_MIN_M2, STRESS_CLASSES
 
@@ -32,6 +32,21 @@ def dissolve(overlaps: DataFrame) -> DataFrame:
         F.max("seg_area").alias("area"), F.round(F.sum("seg_area"), AREA_DIGITS).alias("sum_seg_area"))
 
 
+def dissolved_parts(trips: DataFrame, ways: DataFrame, **options) -> DataFrame:
+    """``dissolve`` as geometry: one row per connected part of every distinct region of a trip and class.
+
+    The outlines themselves are the grouping key, so different regions never merge. ``part`` counts from 0, lowest first.
+    """
+    regions = overlap_regions(trips, ridden(ways), **options)
+    rings = F.transform("parts", lambda p: p["rings"])
+    merged = regions.withColumn("region", rings).groupBy("band", "trip_id", "stress_lev", "region").agg(
+        F.max("parts").alias("parts"), F.round(F.sum("seg_area"), AREA_DIGITS).alias("sum_seg_area"))
+    dumped = merged.select("band", "trip_id", "stress_lev", "sum_seg_area", F.posexplode("parts").alias("part", "p"))
+    return dumped.select(
+        "band", "trip_id", "stress_lev", "part", F.col("p.rings").alias("rings"),
+        F.round("p.area", AREA_DIGITS).alias("area"), F.round("p.ring_m", AREA_DIGITS).alias("ring_m"), "sum_seg_area")
+
+
 def area_by_class(overlaps: DataFrame) -> DataFrame:
     """One pass of conditional sums instead of one table per class; thin overlaps are crossings."""
     parts = dissolve(overlaps).filter(F.col("sum_seg_area") > OVERLAP_MIN_M2)
