@@ -16,6 +16,9 @@ CHUNK_ELEMENTS = 4_000_000
 MOST_PIECES = 24
 #: Squares of 200 m end at 20 cm, where pieces 4 m wide that meet them cover most of them whole.
 MOST_SPLITS = 10
+#: Pieces within a nanometre of a line lie on it.
+STRAIGHT_M = 1e-9
+PAIRS_AT_ONCE = 4096
 FIELDS = ("x0", "y0", "x1", "y1", "x2", "y2")
 
 
@@ -154,31 +157,116 @@ def _covers(flat: np.ndarray, half: float, at: np.ndarray, h: float) -> np.ndarr
 def _quarter(offsets: np.ndarray, flat: np.ndarray, rows: np.ndarray, at: np.ndarray, h: float,
              half: float) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of ``rows`` that reach the squares of half side ``h`` around ``at``; one that covers its square suffices."""
-    count = offsets[rows + 1] - offsets[rows]
-    row = np.repeat(np.arange(len(rows)), count)
-    piece = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(offsets[rows], count)
-    box = _reach(flat[piece], half)
+    starts, near_flat = _rows_of(offsets, flat, rows)
+    row, piece = np.repeat(np.arange(len(rows)), np.diff(starts)), np.arange(len(near_flat))
+    box = _reach(near_flat, half)
     near = (box[:, :2] < at[row] + h).all(axis=1) & (box[:, 2:] > at[row] - h).all(axis=1)
     row, piece = row[near], piece[near]
-    full = _covers(flat[piece], half, at[row], h)
+    full = _covers(near_flat[piece], half, at[row], h)
     first = np.full(len(rows), -1)
     first[row[full][::-1]] = piece[full][::-1]
     kept = (first[row] < 0) | (first[row] == piece)
     row, piece = row[kept], piece[kept]
-    return np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(rows)))]), flat[piece]
+    return np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(rows)))]), near_flat[piece]
+
+
+def _straight(offsets: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose pieces follow each other on one straight line, without a gap, as one piece."""
+    count = np.diff(offsets)
+    several = np.nonzero(count > 1)[0]
+    if not len(several):
+        return offsets, flat
+    row = np.repeat(np.arange(len(count)), count)
+    first = flat[offsets[:-1][count > 0]][np.searchsorted(np.nonzero(count > 0)[0], row)]
+    d = first[:, 2:4] - first[:, 0:2]
+    u = d / np.linalg.norm(d, axis=1, keepdims=True)
+    w0, w1 = flat[:, 0:2] - first[:, 0:2], flat[:, 2:4] - first[:, 0:2]
+    off = np.maximum(*(np.abs(w[:, 0] * u[:, 1] - w[:, 1] * u[:, 0]) for w in (w0, w1)))
+    start, end = (w0 * u).sum(axis=1), (w1 * u).sum(axis=1)
+    order = np.lexsort((end, start, row))
+    sorted_row, s, e = row[order], start[order], end[order]
+    # pieces in order: each must start no later than the end of the one before it
+    gap = np.zeros(len(row), bool)
+    gap[1:] = (sorted_row[1:] == sorted_row[:-1]) & (s[1:] > e[:-1])
+    nested = np.zeros(len(row), bool)
+    nested[1:] = (sorted_row[1:] == sorted_row[:-1]) & (e[1:] < e[:-1])
+    bad = np.zeros(len(count), bool)
+    np.logical_or.at(bad, row, (off > STRAIGHT_M) | (start >= end))
+    np.logical_or.at(bad, sorted_row, gap | nested)
+    # a bevel is kept at the end of a run only
+    inner = np.concatenate([sorted_row[1:] == sorted_row[:-1], [False]])
+    np.logical_or.at(bad, sorted_row, inner & bent(flat)[order])
+    one = (count > 1) & ~bad
+    if not one.any():
+        return offsets, flat
+    lead, tail = order[offsets[:-1][one]], order[offsets[1:][one] - 1]
+    kept = ~one[row]
+    kept[lead] = True
+    flat = flat.copy()
+    flat[lead, 2:6] = flat[tail, 2:6]
+    return np.concatenate([[0], np.cumsum(np.where(one, 1, count))]), flat[kept]
+
+
+def _sides(a: pa.Array, b: pa.Array, centre: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(offsets, pieces relative to their row's centre) of both columns."""
+    out = []
+    for col in (a, b):
+        offsets, flat = rows(col)
+        owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        out.append(_straight(offsets, flat - np.tile(centre[owner], 3)))
+    return out
 
 
-def _batches(a: pa.Array, b: pa.Array, centre: np.ndarray, h: float, wa: float, wb: float):
+def _clip(poly: np.ndarray, at: np.ndarray, inward: np.ndarray) -> np.ndarray:
+    """Convex rings (m, k, 2) cut by one half plane each; short rings repeat their first vertex."""
+    d = ((poly - at[:, None, :]) * inward[:, None, :]).sum(axis=-1)
+    inside = d >= 0
+    after, d2 = np.roll(poly, -1, axis=1), np.roll(d, -1, axis=1)
+    cross = inside != (d2 >= 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        met = poly + np.where(cross, d / (d - d2), 0.0)[..., None] * (after - poly)
+    m, k = d.shape
+    valid = np.stack([inside, cross], axis=-1).reshape(m, 2 * k)
+    points = np.stack([poly, met], axis=2).reshape(m, 2 * k, 2)
+    count = valid.sum(axis=1)
+    order = np.argsort(~valid, axis=1, kind="stable")[:, :max(int(count.max(initial=0)), 3)]
+    order = np.where(np.arange(order.shape[1])[None, :] < count[:, None], order, order[:, :1])
+    out = np.take_along_axis(points, order[..., None], axis=1)
+    return np.where((count > 2)[:, None, None], out, 0.0)
+
+
+def _pair_moments(one: np.ndarray, other: np.ndarray, h: float) -> np.ndarray:
+    """(m, 6) as ``_integrate``, of two rectangles (m, 4, 2) a row: one is cut by the other's sides and the cell's."""
+    poly = one
+    for i in range(4):
+        d = other[:, (i + 1) % 4] - other[:, i]
+        poly = _clip(poly, other[:, i], np.column_stack([d[:, 1], -d[:, 0]]))  # they run clockwise
+    beyond = np.nonzero((np.abs(poly) > h).any(axis=(1, 2)))[0]
+    if len(beyond):
+        cut = poly[beyond]
+        for side in ((1.0, 0.0), (-1.0, 0.0), (0.0, 1.0), (0.0, -1.0)):
+            inward = np.tile(side, (len(beyond), 1))
+            cut = _clip(cut, -h * inward, inward)
+        width = max(poly.shape[1], cut.shape[1])
+        poly, cut = (np.concatenate([p, np.repeat(p[:, :1], width - p.shape[1], axis=1)], axis=1) for p in (poly, cut))
+        poly[beyond] = cut
+    x0, y0 = poly[..., 0], poly[..., 1]
+    x1, y1 = np.roll(x0, -1, axis=1), np.roll(y0, -1, axis=1)
+    c = x1 * y0 - x0 * y1
+    out = np.column_stack([
+        c.sum(1) / 2, ((x0 + x1) * c).sum(1) / 6, ((y0 + y1) * c).sum(1) / 6, ((x0 * x0 + x0 * x1 + x1 * x1) * c).sum(1) / 12,
+        ((x0 * y1 + 2 * x0 * y0 + 2 * x1 * y1 + x1 * y0) * c).sum(1) / 24, ((y0 * y0 + y0 * y1 + y1 * y1) * c).sum(1) / 12])
+    return np.where(out[:, :1] > 0, out, 0.0)
+
+
+def _batches(sides: list, h: float, wa: float, wb: float):
     """(row numbers, shifts from the rows' centres, half side, pieces of a, pieces of b) in chunks of equally many pieces.
 
     Edge pairs grow with the square of the pieces, so a row with more than ``MOST_PIECES`` a side is split into the four
     quarters of its square until they hold fewer, or ``MOST_SPLITS`` times.
     """
-    sides = []
-    for col in (a, b):
-        offsets, flat = rows(col)
-        sides.append((offsets, flat - np.tile(centre[np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))], 3)))
-    owner, shift = np.arange(len(centre)), np.zeros((len(centre), 2))
+    total = len(sides[0][0]) - 1
+    owner, shift = np.arange(total), np.zeros((total, 2))
     for depth in range(MOST_SPLITS + 1):
         (oa, fa), (ob, fb) = sides
         na, nb = np.diff(oa), np.diff(ob)
@@ -218,6 +306,12 @@ def _chunks(members: np.ndarray, sides: list, shift: np.ndarray, wa: float, wb:
                    polygons(_take(ob, fb, part, nb) - move, wb, bool(has_b)))
 
 
+def _rows_of(offsets: np.ndarray, flat: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    count = offsets[rows + 1] - offsets[rows]
+    piece = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(offsets[rows], count)
+    return np.concatenate([[0], np.cumsum(count)]), flat[piece]
+
+
 def _moved(m: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Area and moments about the centre of a row, from those about a point ``d`` off it."""
     area, x, y, xx, xy, yy = m.T
@@ -231,7 +325,22 @@ def overlap_moments(a: pa.Array, b: pa.Array, cx: np.ndarray, cy: np.ndarray, si
     """(n, 6) overlap area and moments per row, relative to the centre of the row's cell."""
     out = np.zeros((len(cx), 6))
     centre = np.column_stack([cx + 0.5, cy + 0.5]) * size
-    for part, shift, h, pieces_a, pieces_b in _batches(a, b, centre, size / 2, wa, wb):
+    sides = _sides(a, b, centre)
+    single = np.ones(len(cx), bool)
+    for offsets, flat in sides:
+        single &= np.diff(offsets) == 1
+        plain = ~bent(flat[np.minimum(offsets[:-1], max(len(flat) - 1, 0))]) if len(flat) else np.zeros(len(cx), bool)
+        single &= plain
+    pairs = np.nonzero(single)[0]
+    for at in range(0, len(pairs), PAIRS_AT_ONCE):
+        part = pairs[at:at + PAIRS_AT_ONCE]
+        one, other = (polygons(flat[offsets[part]][:, None, :], w, False)[:, 0]
+                      for (offsets, flat), w in zip(sides, (wa, wb)))
+        out[part] = _pair_moments(one, other, size / 2)
+    rest = np.nonzero(~single)[0]
+    left = [_rows_of(offsets, flat, rest) for offsets, flat in sides]
+    for part, shift, h, pieces_a, pieces_b in _batches(left, size / 2, wa, wb):
+        part = rest[part]
         np.add.at(out, part, _moved(_integrate(pieces_a, pieces_b, h), shift))
     return out
 
@@ -268,7 +377,7 @@ def _trapezoids(a: pa.Array, b: pa.Array, cx: np.ndarray, cy: np.ndarray, size:
     """The overlap of every row inside its cell as disjoint rings (k, 4, 2), ordered by row, and the row of each."""
     centre = np.column_stack([cx + 0.5, cy + 0.5]) * size
     owners, rings = [np.zeros(0, np.int64)], [np.zeros((0, 4, 2))]
-    for part, shift, h, pieces_a, pieces_b in _batches(a, b, centre, size / 2, wa, wb):
+    for part, shift, h, pieces_a, pieces_b in _batches(_sides(a, b, centre), size / 2, wa, wb):
         r, corners = _slab_parts(pieces_a, pieces_b, h)
         owners.append(part[r])
         rings.append(corners + (centre[part[r]] + shift[r])[:, None, :])

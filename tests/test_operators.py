@@ -395,3 +395,47 @@ def test_ends_far_off_the_network_are_not_snapped(spark):
     assert near == {5.0: ("ok", pytest.approx(190.0)), 500.0: ("too_far", None)}
     free = {r.oy: r.route_status for r in graph.shortest_paths(od, ways).collect()}
     assert free == {5.0: "ok", 500.0: "ok"}
+
+
+# ---------------------------------------------------------------- overlap as geometry
+
+def test_parts_of_an_overlap_are_connected_across_cells(spark):
+    # a trip round a block of streets with one id, over four cells; a street it crosses twice; the same street again
+    block = turned([(1150, 50), (1350, 50), (1350, 250), (1150, 250), (1150, 51)], 0.1)
+    across = turned([(1100, 150), (1400, 150)], 0.1)
+    ways = spark.createDataFrame([way(1, block), way(2, across), way(3, across), way(4, across, lts="2")], WAY)
+    trips = spark.createDataFrame([trip(1, block)], TRIP)
+    found = {r["osm_id"]: r for r in O.overlap_regions(trips, ways).collect()}
+    spread = {r["osm_id"]: r for r in O.overlap_regions(trips, ways, max_broadcast=0, share=64).collect()}
+    assert {k: r["parts"] for k, r in found.items()} == {k: r["parts"] for k, r in spread.items()}
+    (ring,) = found["1"]["parts"]
+    assert len(ring["rings"]) == 2
+    areas = {r["osm_id"]: r["seg_area"] for r in O.overlap(trips, ways).collect()}
+    for i, r in found.items():
+        assert sum(p["area"] for p in r["parts"]) == pytest.approx(areas[i], abs=1e-2)
+    assert [len(found[i]["parts"]) for i in "234"] == [2, 2, 2]
+    rows = stress.dissolved_parts(trips, ways).collect()
+    assert sorted((r["stress_lev"], r["part"], round(r["sum_seg_area"], 2)) for r in rows) == [
+        ("1", 0, 64.0), ("1", 0, round(areas["1"], 2)), ("1", 1, 64.0), ("2", 0, 32.0), ("2", 1, 32.0)]
+
+
+def test_regions_of_equal_area_and_centre_stay_apart(spark):
+    # crossings at -a and +a, or at -b and +b: equal area and first moments, other outlines
+    line = [(1000, 50), (1180, 50)]
+
+    def crossings(i, off):
+        x = 1090
+        return way(i, [(x - off, 30), (x - off, 70), (x - off, 90), (x + off, 90), (x + off, 30)])
+
+    trips = spark.createDataFrame([trip(1, line)], TRIP)
+    ways = spark.createDataFrame([crossings(1, 20), crossings(2, 40), crossings(3, 40)], WAY)
+    rows = stress.dissolved_parts(trips, ways).collect()
+    assert sorted((round(r["rings"][0][0]["x"]), round(r["sum_seg_area"])) for r in rows) == [
+        (1048, 64), (1068, 32), (1108, 32), (1128, 64)]
+
+
+def test_no_regions_of_nothing(spark):
+    empty = spark.createDataFrame([], TRIP)
+    assert stress.dissolved_parts(empty, spark.createDataFrame([way(1, [(0, 0), (9, 0)])], WAY)).isEmpty()
+    far = spark.createDataFrame([trip(1, [(0, 4), (9, 4)])], TRIP)  # buffers touch in a line only
+    assert O.overlap_regions(far, spark.createDataFrame([way(1, [(0, 0), (9, 0)])], WAY)).isEmpty()

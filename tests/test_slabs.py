@@ -150,6 +150,42 @@ def test_five_thousand_pieces_in_a_cell():
     assert once == pytest.approx(seen.sum() * 0.01, rel=2e-3)
 
 
+# ---------------------------------------------------------------- closed form and straight runs
+
+def test_two_pieces_by_clipping_equal_the_slabs():
+    rng = np.random.default_rng(11)
+    n, size = 500, 200.0
+    a, b = ([[(tuple(rng.uniform(-40, 240, 2))), tuple(rng.uniform(-40, 240, 2))] for _ in range(n)] for _ in range(2))
+    for k in range(0, n, 5):  # the same street, and one beside it
+        b[k] = a[k] if k % 2 else turned(a[k], 0.0, (1.5, 0.5))
+    half = size / 2
+    for one, other in zip(a, b):
+        cols = columns([one], [other])
+        at = (np.zeros(1), np.zeros(1), size, 2.0, 2.0)
+        (oa, fa), (ob, fb) = slabs._sides(*cols, np.array([[half, half]]))
+        by_slabs = slabs._integrate(slabs.polygons(fa[None], 2.0, False), slabs.polygons(fb[None], 2.0, False), half)
+        np.testing.assert_allclose(slabs.overlap_moments(*cols, *at), by_slabs, rtol=1e-9, atol=1e-4)
+
+
+@pytest.mark.parametrize("theta", [0.0, 0.3])
+def test_straight_runs_are_one_piece_and_bends_are_not(theta):
+    offsets, flat = slabs.rows(pa.array([
+        list(reversed(pieces([(300, 500), (400, 500), (550, 500)]))),
+        pieces([(300, 500), (400, 500)]) + pieces([(401, 500), (550, 500)]),  # a gap
+        pieces([(300, 500), (400, 500), (400, 550)]),
+        pieces([(300, 500), (400, 500), (400, 550)])[:1] + pieces([(400, 500), (500, 500)]),  # a bevel within
+        [],
+        pieces([(300, 500), (400, 500), (500, 500), (500, 600)])[:2],  # a bevel at the end
+    ], TYPE))
+    c, s = np.cos(theta), np.sin(theta)
+    turn = np.array([[c, s], [-s, c]])
+    flat = (flat.reshape(-1, 2) @ turn).reshape(-1, 6)
+    counts = np.diff(slabs._straight(offsets, flat)[0]).tolist()
+    assert counts[1:5] == [2, 2, 2, 0]
+    if theta == 0.0:
+        assert counts[0] == 1 and counts[5] == 1
+
+
 # ---------------------------------------------------------------- outlines
 
 def regions(a, b, size=SIZE, cells=((0, 0),)):
