@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from streetflow.operators.storage import broadcast_if_small, cut_lineage
+
 BUCKETS_PER_OCTAVE = 2048
 
 
@@ -73,6 +75,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     hits = located.select(
         *keys, "v", "total", "sum",
         F.explode(F.filter("ranks", lambda r: (r >= F.col("lo")) & (r < F.col("hi")))).alias("r"))
+    return _interpolated(hits, keys, probs, names, mean, count)
+
+
+def _interpolated(hits: DataFrame, keys: list[str], probs: list[float], names: list[str], mean: str | None,
+                  count: str | None) -> DataFrame:
+    """Quantiles from the values at the wanted ranks ``r`` of each group."""
 
     def at(rank):
         return F.max(F.when(F.col("r") == rank, F.col("v")))
@@ -90,3 +98,43 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     if count:
         out.insert(0, F.col("total").alias(count))
     return found.select(*[k for k in keys if k != "_all"], *out)
+
+
+def rolled_up_quantiles(df: DataFrame, keys: list[str], sets: list[list[str]], value: str, probs: list[float],
+                        names: list[str], mean: str | None = None) -> DataFrame:
+    """``exact_quantiles`` for several key sets, ``grain`` numbering them, from one count table at the finest grain.
+
+    Coarser histograms are added up from finer ones, one table of wanted ranks serves all sets, and only values in the
+    buckets of wanted ranks are repeated for the sets. The count table is written, as both steps read it.
+    """
+    counted = cut_lineage(
+        df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v"))
+        .agg(F.count("*").alias("n")).withColumn("b", _bucket(F.col("v"))), "counts")
+    group = ["grain", *keys]
+    # partial sums per finest group leave a bounded number of buckets before anything is repeated or moved
+    fine = counted.groupBy(*keys, "b").agg(F.sum("n").alias("n"), F.sum(F.col("v") * F.col("n")).alias("s"))
+    hist = grouping_sets(fine, keys, sets).repartition(*group).groupBy(*group, "b").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    run, whole = W.partitionBy(*group).orderBy("b"), W.partitionBy(*group)
+    placed = hist.select(
+        *group, "b", (F.sum("n").over(run) - F.col("n")).alias("before"), F.sum("n").over(run).alias("upto"),
+        F.sum("n").over(whole).alias("total"), F.sum("s").over(whole).alias("sum"))
+    ranks = F.array_distinct(F.flatten(F.array(*[
+        F.array(F.floor((F.col("total") - 1) * p), F.ceil((F.col("total") - 1) * p)) for p in probs])))
+    wanted, _ = broadcast_if_small(placed.select(
+        *group, "b", "before", "total", "sum",
+        F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("upto"))).alias("ranks"),
+    ).filter(F.size("ranks") > 0))
+    left, right = grouping_sets(counted, keys, sets).alias("c"), wanted.alias("w")
+    on = F.lit(True)
+    for k in [*group, "b"]:
+        on = on & F.col(f"c.{k}").eqNullSafe(F.col(f"w.{k}"))
+    found = left.join(right, on).select(
+        *[F.col(f"c.{k}").alias(k) for k in [*group, "b"]], "v", "n", "before", "total", "sum", "ranks")
+    rows = found.repartition(*group, "b").groupBy(
+        *group, "b", "v", "before", "total", "sum", "ranks").agg(F.sum("n").alias("n"))
+    inner = W.partitionBy(*group, "b").orderBy("v")
+    located = rows.withColumn("hi", F.col("before") + F.sum("n").over(inner)).withColumn("lo", F.col("hi") - F.col("n"))
+    hits = located.select(
+        *group, "v", "total", "sum",
+        F.explode(F.filter("ranks", lambda r: (r >= F.col("lo")) & (r < F.col("hi")))).alias("r"))
+    return _interpolated(hits, group, probs, names, mean, None)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streetflow.operators.quantiles import exact_quantiles, grouping_sets
+from streetflow.operators.quantiles import exact_quantiles, rolled_up_quantiles
 from streetflow.schema import QUARTERS
 
 GRAINS = {
@@ -23,16 +23,10 @@ def all_band_trips(trips: DataFrame) -> DataFrame:
 
 
 def trip_length_stats(trips: DataFrame, quarters: list[str] | None = None) -> DataFrame:
-    """Mean and quartiles of trip length at three grains in one pass.
-
-    Trips are counted per (finest keys, length) before being repeated for the grains.
-    """
+    """Mean and quartiles of trip length at three grains, the coarser ones added up from the finest."""
     chosen = all_band_trips(trips).filter(F.col("quart_year").isin(*(quarters or QUARTERS)))
-    keys = GRAINS["month_quarter"]
-    counted = chosen.groupBy(*keys, "dist_calc").agg(F.count("*").alias("trips"))
-    sets = grouping_sets(counted, keys, list(GRAINS.values()))
-    stats = exact_quantiles(sets, ["grain", *keys], "dist_calc", [0.25, 0.5, 0.75], ["p25", "p50", "p75"],
-                            mean="dist_avg", weight="trips")
+    stats = rolled_up_quantiles(chosen, GRAINS["month_quarter"], list(GRAINS.values()), "dist_calc", [0.25, 0.5, 0.75],
+                                ["p25", "p50", "p75"], mean="dist_avg")
     names = F.array(*[F.lit(n) for n in GRAINS])
     return stats.withColumn("grain", F.get(names, F.col("grain")))
 

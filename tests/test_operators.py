@@ -439,3 +439,29 @@ def test_no_regions_of_nothing(spark):
     assert stress.dissolved_parts(empty, spark.createDataFrame([way(1, [(0, 0), (9, 0)])], WAY)).isEmpty()
     far = spark.createDataFrame([trip(1, [(0, 4), (9, 4)])], TRIP)  # buffers touch in a line only
     assert O.overlap_regions(far, spark.createDataFrame([way(1, [(0, 0), (9, 0)])], WAY)).isEmpty()
+
+
+# ---------------------------------------------------------------- rolled-up quantiles
+
+@pytest.mark.parametrize("max_bytes", [64 << 20, 0])
+def test_rolled_up_quantiles_against_numpy(spark, monkeypatch, max_bytes):
+    from streetflow.operators import quantiles
+    keep = quantiles.broadcast_if_small
+    monkeypatch.setattr(quantiles, "broadcast_if_small", lambda df: keep(df, max_bytes))
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1, 2, None]), rng.choice([None, 0.0, -5.5, float(rng.randint(0, 900))]))
+            for _ in range(600)]
+    df = spark.createDataFrame(rows, "k string, m int, v double")
+    sets = [["k"], ["k", "m"], []]
+    got = {(r["grain"], r["k"], r["m"]): r for r in quantiles.rolled_up_quantiles(
+        df, ["k", "m"], sets, "v", [0.25, 0.5, 0.75], ["p25", "p50", "p75"], mean="avg").collect()}
+    want = {}
+    for g, s in enumerate(sets):
+        for k, m, v in rows:
+            if v is not None:
+                want.setdefault((g, k if "k" in s else None, m if "m" in s else None), []).append(v)
+    assert set(got) == set(want)
+    for key, values in want.items():
+        np.testing.assert_allclose([got[key][c] for c in ("p25", "p50", "p75")], np.quantile(values, [0.25, 0.5, 0.75]))
+        assert got[key]["avg"] == pytest.approx(np.mean(values))
+    assert quantiles.rolled_up_quantiles(df.limit(0), ["k", "m"], sets, "v", [0.5], ["p50"]).isEmpty()
