@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streetflow.functions import geometry as G
@@ -45,6 +45,11 @@ def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
         F.round(c, special.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def _scaled(c: str, digits: int = 6) -> Column:
+    """A double rounded by its binary value, as the SQL does: of decimals that end in 5, ``round`` goes by their text."""
+    return F.round(F.col(c) * 10**digits) / 10**digits
+
+
 def _ways(spark, d):
     return classify.with_cycleable(synthetic.ways(spark, d))
 
@@ -364,7 +369,9 @@ def route_merge_clean(spark, d):
     for i, band in enumerate(BANDS):
         order = [c for c in names[i:] + names[:i] if band != BANDS[-1] or c != "matching_error"]
         csv.write_csv(text.filter(F.col("band") == band).select(*order), f"{root}/{band}/csv_files")
-    return rounded(detour.clean_routes(csv.read_banded_csv(spark, root)))
+    clean = detour.clean_routes(csv.read_banded_csv(spark, root))
+    # degrees have seven digits in the files, so every tenth of them is a tie
+    return rounded(clean.withColumns({c: _scaled(c) for c in ("lon_o", "lat_o", "lon_d", "lat_d")}))
 
 
 @query
