@@ -41,19 +41,35 @@ def drop_repeated(line: Column) -> Column:
     return F.filter(line, lambda p, i: (i == 0) | (p != F.get(line, i - 1)))
 
 
+def straightened(line: Column) -> Column:
+    """The line without repeated vertices and without those it runs straight through, which leave its buffer as it is."""
+
+    def needed(g):
+        def turns(p, i):
+            before, after = F.get(g, i - 1), F.get(g, i + 1)
+            ax, ay, bx, by = p["x"] - before["x"], p["y"] - before["y"], after["x"] - p["x"], after["y"] - p["y"]
+            return F.coalesce((ax * by - ay * bx != 0) | (ax * bx + ay * by <= 0), F.lit(True))
+
+        return F.when(F.size(g) < 3, g).otherwise(F.filter(g, turns))
+
+    return let(drop_repeated(line), needed)
+
+
 def segments(line: Column) -> Column:
     """array<segment> of a line, zero-length segments left out."""
-    g = drop_repeated(line)
-    heads = F.slice(g, F.lit(1), F.greatest(F.size(g) - 1, F.lit(0)))
-    return F.transform(
-        heads,
-        lambda p, i: F.struct(
-            i.cast("int").alias("seg"),
-            p["x"].alias("x0"), p["y"].alias("y0"),
-            F.get(g, i + 1)["x"].alias("x1"), F.get(g, i + 1)["y"].alias("y1"),
-            F.get(g, i + 2)["x"].alias("x2"), F.get(g, i + 2)["y"].alias("y2"),
-        ),
-    )
+    def split(g):
+        heads = F.slice(g, F.lit(1), F.greatest(F.size(g) - 1, F.lit(0)))
+        return F.transform(
+            heads,
+            lambda p, i: F.struct(
+                i.cast("int").alias("seg"),
+                p["x"].alias("x0"), p["y"].alias("y0"),
+                F.get(g, i + 1)["x"].alias("x1"), F.get(g, i + 1)["y"].alias("y1"),
+                F.get(g, i + 2)["x"].alias("x2"), F.get(g, i + 2)["y"].alias("y2"),
+            ),
+        )
+
+    return let(drop_repeated(line), split)
 
 
 def segment_length(s: Column) -> Column:
@@ -177,6 +193,10 @@ def convex_touches(p: str, q: str) -> Column:
 
 
 def buffer_segment_touches(a: str, b: str, wa: float, wb: float) -> Column:
+    return F.expr(buffer_segment_touches_sql(a, b, wa, wb))
+
+
+def buffer_segment_touches_sql(a: str, b: str, wa: float, wb: float) -> str:
     """Do the buffers of the framed segments in columns ``a`` and ``b`` share at least a point?
 
     Rectangles are tested on their four separating axes. Only when that fails and a corner exists
@@ -197,7 +217,7 @@ def buffer_segment_touches(a: str, b: str, wa: float, wb: float) -> Column:
     # A bevel reaches no further from its segment than the width.
     near = f"hypot({dx}, {dy}) <= {a}.h + {b}.h + {wa + wb}D"
     bevels = (f"exists({_pieces_sql(a, wa)}, p -> exists({_pieces_sql(b, wb)}, q -> {_convex_touches_sql('p', 'q')}))")
-    return F.expr(f"({' AND '.join(tests)}) OR (({corner}) AND {near} AND {bevels})")
+    return f"({' AND '.join(tests)}) OR (({corner}) AND {near} AND {bevels})"
 
 
 # ---------------------------------------------------------------- linear referencing

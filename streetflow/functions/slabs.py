@@ -235,8 +235,80 @@ def _clip(poly: np.ndarray, at: np.ndarray, inward: np.ndarray) -> np.ndarray:
     return np.where((count > 2)[:, None, None], out, 0.0)
 
 
+def _in_box(poly: np.ndarray, box: np.ndarray, h: float) -> np.ndarray:
+    """(m, 6) as ``_integrate``, of a clockwise ring (m, k, 2) and a rectangle (m, 4, 2).
+
+    Along the rectangle's axis u, the part of each edge between its ends counts with its distance v clamped to the
+    rectangle's width; between the places where it is clamped the integrands are cubic at most. Rectangles along the
+    axes are cut to the cell; of others the overlap has to lie within it.
+    """
+    base = (box[:, 0] + box[:, 3]) / 2
+    d = box[:, 1] - box[:, 0]
+    length = np.linalg.norm(d, axis=1)
+    d = d / length[:, None]
+    n = np.column_stack([-d[:, 1], d[:, 0]])
+    half = np.linalg.norm(box[:, 0] - box[:, 3], axis=1) / 2
+    limits = [np.zeros(len(d)), length, -half, half]
+    along = (d == 0).any(axis=1)
+    for i, axis in ((0, d), (2, n)):
+        at = (base * axis).sum(axis=1)
+        limits[i] = np.where(along, np.maximum(limits[i], -h - at), limits[i])
+        limits[i + 1] = np.where(along, np.maximum(np.minimum(limits[i + 1], h - at), limits[i]), limits[i + 1])
+    u0, u1, v0, v1 = (c[:, None] for c in limits)
+    w = poly - base[:, None, :]
+    u, v = (w * d[:, None, :]).sum(axis=-1), (w * n[:, None, :]).sum(axis=-1)
+    du, dv = np.roll(u, -1, axis=1) - u, np.roll(v, -1, axis=1) - v
+
+    def span(low, high, start, step):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p, q = (low - start) / step, (high - start) / step
+        flat = step == 0
+        return np.where(flat, 0.0, np.minimum(p, q)), np.where(flat, 1.0, np.maximum(p, q))
+
+    begin, end = (np.clip(t, 0.0, 1.0) for t in span(u0, u1, u, du))
+    first, second = (np.clip(t, begin, end) for t in span(v0, v1, v, dv))
+    m = np.zeros((len(d), 6))
+    for t0, t1 in ((begin, first), (first, second), (second, end)):
+        part = (t1 - t0) / 2
+        weight = part * du
+        for sign in (-1.0, 1.0):
+            t = t0 + part * (1 + sign / np.sqrt(3.0))
+            x, y = u + t * du, np.clip(v + t * dv, v0, v1)
+            wy, wx = weight * y, weight * y * x
+            wyy = wy * y / 2
+            for k, c in enumerate((wy, wx, wyy, wx * x, wyy * x, wyy * y * (2 / 3))):
+                m[:, k] += c.sum(axis=1)
+    area, mu, mv, uu, uv, vv = m.T
+    c, s = d.T
+    turned = np.column_stack([area, c * mu - s * mv, s * mu + c * mv, c * c * uu - 2 * c * s * uv + s * s * vv,
+                              c * s * (uu - vv) + (c * c - s * s) * uv, s * s * uu + 2 * c * s * uv + c * c * vv])
+    return np.where(area[:, None] > 0, _moved(turned, base), 0.0)
+
+
 def _pair_moments(one: np.ndarray, other: np.ndarray, h: float) -> np.ndarray:
-    """(m, 6) as ``_integrate``, of two rectangles (m, 4, 2) a row: one is cut by the other's sides and the cell's."""
+    """(m, 6) as ``_integrate``, of two rectangles (m, 4, 2) a row.
+
+    In closed form along the axis of one of them, if that or the other runs along the cell or both meet well inside it.
+    """
+    out = np.zeros((len(one), 6))
+
+    def along(box):
+        return (box[:, 1] == box[:, 0]).any(axis=1)
+
+    low = np.maximum(one.min(axis=1), other.min(axis=1))
+    high = np.minimum(one.max(axis=1), other.max(axis=1))
+    inside = (low >= -h).all(axis=1) & (high <= h).all(axis=1)
+    by_other = along(other) | inside
+    by_one = along(one) & ~by_other
+    left = ~(by_other | by_one)
+    for which, ring, box, how in ((by_other, one, other, _in_box), (by_one, other, one, _in_box), (left, one, other, _clipped)):
+        if which.any():
+            out[which] = how(ring[which], box[which], h)
+    return out
+
+
+def _clipped(one: np.ndarray, other: np.ndarray, h: float) -> np.ndarray:
+    """As ``_pair_moments``, of any two rectangles: one is cut by the other's sides and the cell's."""
     poly = one
     for i in range(4):
         d = other[:, (i + 1) % 4] - other[:, i]

@@ -11,13 +11,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streetflow.functions import geometry as G
 from streetflow.functions import outlines, slabs
 from streetflow.operators import grid
-from streetflow.operators.storage import BROADCAST_BYTES
+from streetflow.operators.storage import BROADCAST_BYTES, cut_lineage
 from streetflow.schema import BUFFER_M
 
 AREA_DIGITS = 6
@@ -43,23 +43,69 @@ def _moments_udf(size: float, wa: float, wb: float):
     return moments
 
 
+#: What a piece carries through the join; a trip's or street's place in its line does not matter here.
+PIECE = (*G.SEGMENT, "ux", "uy", "h", "vx", "vy", "side")
+
+
+def _straight_pieces(line: Column) -> Column:
+    """array of framed segments of the straightened line."""
+    return F.transform(G.segments(G.straightened(line)), lambda s: G.let(
+        G.framed(s), lambda f: F.struct(*[f[c].alias(c) for c in PIECE])))
+
+
+def _trip_cells(trips: DataFrame, size: float) -> DataFrame:
+    """(band, trip_id, cx, cy, a): the distinct pieces of each trip by cell.
+
+    Rows of one trip come together while they are small. A trip of one straight piece is its own group in every cell;
+    only the others are grouped by cell.
+    """
+    lines = F.flatten(F.transform(F.collect_set("geom"), _straight_pieces))
+    whole = cut_lineage(trips.groupBy("band", "trip_id").agg(F.array_distinct(lines).alias("a")), "pieces")
+    at = F.col("_c.cx").alias("cx"), F.col("_c.cy").alias("cy")
+    alone = whole.filter(F.size("a") == 1).withColumn("_c", F.explode(grid.cells(F.col("a")[0], BUFFER_M, size)))
+    each = whole.filter(F.size("a") > 1).select("band", "trip_id", F.explode("a").alias("s")).withColumn(
+        "_c", F.explode(grid.cells(F.col("s"), BUFFER_M, size)))
+    return alone.select("band", "trip_id", *at, "a").unionByName(
+        each.select("band", "trip_id", *at, "s").groupBy("band", "trip_id", "cx", "cy").agg(F.collect_list("s").alias("a")))
+
+
+def _street_cells(ways: DataFrame, size: float) -> DataFrame:
+    """(osm_id, cx, cy, b): the distinct pieces of each street by cell, with its name and class."""
+    each = ways.select("osm_id", F.col("name").alias("hname"), F.col("lts").alias("stress_lev"),
+                       F.explode(_straight_pieces(F.col("geom"))).alias("s"))
+    placed = each.withColumn("_c", F.explode(grid.cells(F.col("s"), BUFFER_M, size)))
+    piece = F.struct(*[F.col(f"s.{c}").alias(c) for c in PIECE], "hname", "stress_lev")
+    return placed.groupBy("osm_id", F.col("_c.cx").alias("cx"), F.col("_c.cy").alias("cy")).agg(F.collect_set(piece).alias("b"))
+
+
 def touching_pieces(trips: DataFrame, ways: DataFrame, size: float = grid.CELL_M,
                     max_broadcast: int = BROADCAST_BYTES, share: int = grid.HOT_SHARE) -> DataFrame:
-    """(band, trip_id, osm_id, cx, cy) with the distinct touching segments of each side."""
-    left = grid.segment_cells(trips, "geom", ["band", "trip_id"], "a", BUFFER_M, size, frame=True)
-    right = grid.segment_cells(
-        ways, "geom", ["osm_id", F.col("name").alias("hname"), F.col("lts").alias("stress_lev")],
-        "b", BUFFER_M, size, frame=True)
-    touching = G.buffer_segment_touches("a", "b", BUFFER_M, BUFFER_M)
-    return (
-        grid.cell_join(left, right, touching, "trip_id", max_broadcast, share)
-        .groupBy("band", "trip_id", "osm_id", "cx", "cy")
-        .agg(
-            F.collect_set(G.unframed(F.col("a"))).alias("a"),
-            F.collect_set(G.unframed(F.col("b"))).alias("b"),
-            F.max("hname").alias("hname"), F.min("stress_lev").alias("stress_lev"),
-        )
-    )
+    """(band, trip_id, osm_id, cx, cy) with the distinct touching pieces of each side.
+
+    Both sides are grouped before they meet, so a joined row is a whole group and is not shuffled for it.
+    """
+
+    def touch(x: str, y: str) -> str:
+        return G.buffer_segment_touches_sql(x, y, BUFFER_M, BUFFER_M)
+
+    single = "size(a) = 1 AND size(b) = 1"
+    met = f"CASE WHEN {single} THEN {touch('a[0]', 'b[0]')} ELSE exists(a, x -> exists(b, y -> {touch('x', 'y')})) END"
+    left = grid.boxed(_trip_cells(trips, size), "a", "a", BUFFER_M, several=True)
+    right = grid.boxed(_street_cells(ways, size), "b", "b", BUFFER_M, several=True)
+    joined = grid.cell_join(left, right, grid.boxes_meet("a", "b") & F.expr(met), "trip_id", max_broadcast, share)
+    near = joined.withColumns({
+        "a": F.expr(f"CASE WHEN {single} THEN a ELSE filter(a, x -> exists(b, y -> {touch('x', 'y')})) END"),
+        "b": F.expr(f"CASE WHEN {single} THEN b ELSE filter(b, y -> exists(a, x -> {touch('x', 'y')})) END")})
+
+    def plain(name: str) -> Column:
+        c = F.col(name)
+        several = F.transform(c, G.unframed)
+        return F.when(F.size(c) == 1, F.array(G.unframed(c[0]))).otherwise(
+            several if name == "a" else F.array_distinct(several))
+
+    return near.select(
+        "band", "trip_id", "osm_id", "cx", "cy", plain("a").alias("a"), plain("b").alias("b"),
+        F.array_max("b.hname").alias("hname"), F.array_min("b.stress_lev").alias("stress_lev"))
 
 
 def overlap(trips: DataFrame, ways: DataFrame, size: float = grid.CELL_M,
@@ -81,6 +127,9 @@ def overlap(trips: DataFrame, ways: DataFrame, size: float = grid.CELL_M,
     return (
         measured.select("band", "trip_id", "osm_id", "hname", "stress_lev", "m.area", in_cell.alias("in_cell"))
         .repartition("band", "trip_id")
+        # cells first, in a hash table of numbers; what is left for the names is a row per trip and street
+        .groupBy("band", "trip_id", "osm_id", "hname", "stress_lev")
+        .agg(F.sum("area").alias("area"), F.bit_xor("in_cell").alias("in_cell"))
         .groupBy("band", "trip_id", "osm_id")
         .agg(
             F.max("hname").alias("hname"), F.min("stress_lev").alias("stress_lev"),

@@ -4,6 +4,7 @@ import heapq
 import json
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -465,3 +466,30 @@ def test_rolled_up_quantiles_against_numpy(spark, monkeypatch, max_bytes):
         np.testing.assert_allclose([got[key][c] for c in ("p25", "p50", "p75")], np.quantile(values, [0.25, 0.5, 0.75]))
         assert got[key]["avg"] == pytest.approx(np.mean(values))
     assert quantiles.rolled_up_quantiles(df.limit(0), ["k", "m"], sets, "v", [0.5], ["p50"]).isEmpty()
+
+
+def test_groups_of_pieces_are_not_shuffled_and_straight_runs_are_one_piece(spark):
+    trips = spark.createDataFrame([
+        trip(1, [(0, 0), (50, 0), (120, 0)]), trip(1, [(0, 0), (120, 0)]), trip(2, [(0, 0), (100, 0), (100, 90)])], TRIP)
+    ways = spark.createDataFrame([way(1, [(0, 1), (60, 1), (110, 1)]), way(1, [(100, 20), (100, 80)]), way(2, [(30, 40), (60, 40)])], WAY)
+    pieces = O.touching_pieces(trips, ways, max_broadcast=0)
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(band#\d+, trip_id#\d+, osm_id", plan)
+    # a trip in two rows and a street with a vertex on its way are one piece each
+    assert {(len(r["a"]), len(r["b"])) for r in pieces.collect() if r["trip_id"] == "1"} == {(1, 1)}
+    area, finer = ({(r["trip_id"], r["osm_id"]): r["seg_area"] for r in O.overlap(trips, ways, size=size).collect()}
+                   for size in (200.0, 37.0))
+    assert area["1", "1"] == pytest.approx(110 * 3) and area == pytest.approx(finer)
+
+
+def test_vertices_on_a_straight_run_are_dropped_and_turns_are_kept(spark):
+    lines = {
+        "run": ([(0, 0), (1, 0), (1, 0), (2, 0), (5, 0)], [(0, 0), (5, 0)]), "back": ([(0, 0), (5, 0), (2, 0)], [(0, 0), (5, 0), (2, 0)]),
+        "bend": ([(0, 0), (1, 1), (2, 2), (2, 3)], [(0, 0), (2, 2), (2, 3)]), "point": ([(1, 1), (1, 1)], [(1, 1)])}
+    df = spark.createDataFrame([(k, [tuple(map(float, p)) for p in v]) for k, (v, _) in lines.items()], f"k string, geom {LINE}")
+    got = {r["k"]: [(p["x"], p["y"]) for p in r["g"]] for r in df.select("k", G.straightened(F.col("geom")).alias("g")).collect()}
+    assert got == {k: [tuple(map(float, p)) for p in want] for k, (_, want) in lines.items()}
+
+
+def test_few_splits_of_the_street_table_are_dealt_out(spark):
+    assert synthetic.ways(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
