@@ -86,9 +86,8 @@ def _merge(intervals: Column) -> Column:
         return F.when(nxt["t0"] <= last["t1"] + JOIN_EPS, F.concat(head, F.array(joined))).otherwise(
             F.concat(acc, F.array(nxt)))
 
-    ordered = F.array_sort(intervals)
-    rest = F.slice(ordered, F.lit(2), F.greatest(F.size(ordered) - 1, F.lit(0)))
-    return F.aggregate(rest, F.slice(ordered, 1, 1), step)
+    return G.let(F.array_sort(intervals), lambda ordered: F.aggregate(
+        F.slice(ordered, F.lit(2), F.greatest(F.size(ordered) - 1, F.lit(0))), F.slice(ordered, 1, 1), step))
 
 
 def _nearest(pieces: Column, total: Column, px: Column, py: Column) -> Column:
@@ -139,18 +138,17 @@ def clip_to_buffers(trips: DataFrame, ways: DataFrame, trip_columns: list[str],
             *[a[c].alias(c) for c in ("seg", "x0", "y0", "x1", "y1")])
         .groupBy(*keys)
         .agg(F.flatten(F.collect_set("parts")).alias("parts"), F.collect_set("piece").alias("pieces"))
-        .filter(F.size("parts") > 0)
-        .withColumn("part", F.explode(_merge(F.col("parts")))))
+        .filter(F.size("parts") > 0))
 
     def at(t):
         return F.struct((F.col("x0") + t * (F.col("x1") - F.col("x0"))).alias("x"),
                         (F.col("y0") + t * (F.col("y1") - F.col("y0"))).alias("y"))
 
     def located(t):
-        p = at(t)
-        return _nearest(F.col("pieces"), F.col("total"), p["x"], p["y"])
+        return G.let(at(t), lambda p: _nearest(F.col("pieces"), F.col("total"), p["x"], p["y"]))
 
-    return grouped.select(
-        *trip_columns, *way_columns, "way_key",
-        at(F.col("part.t0")).alias("s0"), at(F.col("part.t1")).alias("s1"),
-        located(F.col("part.t0")).alias("at0"), located(F.col("part.t1")).alias("at1"))
+    # Made before the explode: a filter on what follows stays above it and does not repeat the search for nearest points.
+    ends = F.transform(_merge(F.col("parts")), lambda p: F.struct(
+        at(p["t0"]).alias("s0"), at(p["t1"]).alias("s1"), located(p["t0"]).alias("at0"), located(p["t1"]).alias("at1")))
+    return grouped.withColumn("part", F.explode(ends)).select(
+        *trip_columns, *way_columns, "way_key", "part.s0", "part.s1", "part.at0", "part.at1")

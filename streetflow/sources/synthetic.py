@@ -36,7 +36,7 @@ BAND_LIST = ", ".join(f"'{b}'" for b in BANDS)
 
 
 def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = read_table(spark, sf_dir, "part").selectExpr(
+    keyed = spread(read_table(spark, sf_dir, "part")).selectExpr(
         "p_partkey AS k", "p_partkey % 2 AS orient", f"{SPAN} * (p_partkey div {2 * LINES}) AS a0",
     ).selectExpr("*", f"{OFF} AS off", f"a0 + {SPAN} AS a1", f"{GAP} * (a0 div {GAP} + 1) AS m",
                  "CASE k % 7 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '3' WHEN 4 THEN '11' "

@@ -493,3 +493,11 @@ def test_vertices_on_a_straight_run_are_dropped_and_turns_are_kept(spark):
 
 def test_few_splits_of_the_street_table_are_dealt_out(spark):
     assert synthetic.ways(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_filter_on_the_angle_does_not_repeat_the_nearest_points(spark):
+    trips, ways = synthetic.trips(spark, SF), classify.with_cycleable(synthetic.ways(spark, SF))
+    plan = direction.segment_direction(trips, ways).filter(direction.is_contraflow())._jdf.queryExecution().optimizedPlan().toString()
+    # each nearest point is the least of an array, for both ends of a piece, in one place
+    assert plan.count("array_min") == 0 or max(line.count("array_min(transform(pieces") for line in plan.splitlines()) <= 2
+    assert sum("array_min(transform(pieces" in line for line in plan.splitlines()) <= 1
