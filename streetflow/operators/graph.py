@@ -33,6 +33,8 @@ IMPROVED = 1e-9
 HOPS = 2
 #: The snapping pyramid: cells below one cell each way, and the most cells each way of its top, less one.
 FAN, TOP = 4, 8
+#: Metres of an edge whose vertices a route meets at a time.
+BLOCK_M = 1000.0
 
 
 def node_key(x: Column, y: Column) -> Column:
@@ -131,7 +133,8 @@ def nearest_edge(points: DataFrame, network: DataFrame, radius: float = SNAP_M,
 
     Looks one cell around with cells of the radius' size, where a hit within the radius is the nearest. The rest go
     down a pyramid of the cells with streets and meet the segments of the few cells left, up to ``limit`` metres
-    (default: however far). Points farther off, and all of them if there is no edge, come with NULLs.
+    (default: however far). Points farther off, and all of them if there is no edge, come with NULLs. If ``network`` has
+    a column ``from``, its lines begin there along their edge.
     """
     names = ["edge", "at", "sx", "sy"]
 
@@ -146,9 +149,11 @@ def nearest_edge(points: DataFrame, network: DataFrame, radius: float = SNAP_M,
         every.withColumn("ox", F.explode(around)).withColumn("oy", F.explode(around))
         .select("px", "py", (F.floor(F.col("px") / radius) + F.col("ox")).cast("long").alias("cx"),
                 (F.floor(F.col("py") / radius) + F.col("oy")).cast("long").alias("cy")))
+    begin = F.col("from") if "from" in network.columns else F.lit(0.0)
     pieces = grid.segment_cells(
-        network.withColumn("cum", G.cumulative_lengths(F.col("line"))), "line", ["edge", "cum"], "s", 0.0, radius
-    ).select("cx", "cy", "edge", "s", F.get("cum", F.col("s.seg")).alias("from"))
+        network.select("edge", "line", begin.alias("begin"), G.cumulative_lengths(F.col("line")).alias("cum")),
+        "line", ["edge", "begin", "cum"], "s", 0.0, radius
+    ).select("cx", "cy", "edge", "s", (F.col("begin") + F.get("cum", F.col("s.seg"))).alias("from"))
     pieces, _ = broadcast_if_small(pieces)
     first = cut_lineage(_feet(looking.join(pieces, ["cx", "cy"])).filter(
         F.col("d") <= (radius if limit is None else min(radius, limit))).select("px", "py", *names), "snap")
@@ -191,10 +196,11 @@ def components(network: DataFrame) -> DataFrame:
         "node", F.coalesce("b", "node").alias("component"))
 
 
-def contract(network: DataFrame, belongs: DataFrame) -> DataFrame:
-    """``network`` with edges joined where exactly two meet, numbered by one of their edges.
+def chained(network: DataFrame, belongs: DataFrame) -> DataFrame:
+    """(edge, from, u, v, len, line): the edges of ``network`` turned along the chains they form and numbered by them.
 
-    ``belongs``: (node, component). Every edge has a walk in both directions; where a walk arrives at a node between two
+    Edges belong to one chain where exactly two meet; ``edge`` is one of the chain's edges and ``from`` where the row
+    begins along it, so a row is never longer than an edge. ``belongs``: (node, component). Every edge has a walk in both directions; where a walk arrives at a node between two
     edges it goes on with the other one. Pointer jumping over the walks gives each edge its chain, place and direction
     in as many rounds as the longest chain has binary digits. Components that are a ring stay as they are.
     """
@@ -220,15 +226,25 @@ def contract(network: DataFrame, belongs: DataFrame) -> DataFrame:
                                       for plus in (True, False) for c in ("last", "after")])
     chain = F.least("last_True", "last_False")
     along = F.col("last_False") == chain  # a walk back ends at the chain's first edge
-    placed = network.join(both, "edge").select(
+    return cut_lineage(network.join(both, "edge").select(
         chain.alias("edge"), "len", (F.when(along, F.col("after_False")).otherwise(F.col("after_True")) - F.col("len")).alias("from"),
         F.when(along, F.col("u")).otherwise(F.col("v")).alias("u"), F.when(along, F.col("v")).otherwise(F.col("u")).alias("v"),
-        F.when(along, F.col("line")).otherwise(F.reverse("line")).alias("line"))
+        F.when(along, F.col("line")).otherwise(F.reverse("line")).alias("line")), "chained")
+
+
+def chains(parts: DataFrame) -> DataFrame:
+    """(edge, u, v, len) of each chain, without its line, which may run through the whole network."""
+    return cut_lineage(parts.groupBy("edge").agg(
+        F.min(F.struct("from", "u"))["u"].alias("u"), F.max(F.struct("from", "v"))["v"].alias("v"), F.sum("len").alias("len")), "chains")
+
+
+def contract(network: DataFrame, belongs: DataFrame) -> DataFrame:
+    """``chains`` with their whole lines."""
     part = F.struct("from", "u", "v", "line")
-    merged = placed.groupBy("edge").agg(F.sum("len").alias("len"), F.array_sort(F.collect_list(part)).alias("parts"))
+    merged = chained(network, belongs).groupBy("edge").agg(F.sum("len").alias("len"), F.array_sort(F.collect_list(part)).alias("parts"))
     line = G.drop_repeated(F.flatten(F.transform("parts", lambda p: p["line"])))
     return cut_lineage(merged.select(
-        "edge", F.col("parts")[0]["u"].alias("u"), F.element_at("parts", -1)["v"].alias("v"), "len", line.alias("line")), "chains")
+        "edge", F.col("parts")[0]["u"].alias("u"), F.element_at("parts", -1)["v"].alias("v"), "len", line.alias("line")), "contracted")
 
 
 def _jumped(state: DataFrame) -> tuple[DataFrame, int]:
@@ -376,12 +392,13 @@ def shortest_paths(od: DataFrame, ways: DataFrame, max_snap: float | None = None
     """
     pieces = edges(ways)
     belongs = cut_lineage(components(pieces), "components")
-    network = contract(pieces, belongs)
+    parts = chained(pieces, belongs)
+    network = chains(parts)
     od = cut_lineage(od.select("ox", "oy", "dx", "dy").distinct(), "od")
     points = od.select(F.explode(F.array(
         F.struct(F.col("ox").alias("px"), F.col("oy").alias("py")),
         F.struct(F.col("dx").alias("px"), F.col("dy").alias("py")))).alias("p")).select("p.*")
-    snapped = cut_lineage(nearest_edge(points, network, limit=max_snap).join(
+    snapped = cut_lineage(nearest_edge(points, parts, limit=max_snap).join(
         network.join(belongs, F.col("u") == F.col("node")).select("edge", "u", "v", "len", "component"),
         "edge", "left"), "snapped")
 
@@ -402,7 +419,7 @@ def shortest_paths(od: DataFrame, ways: DataFrame, max_snap: float | None = None
         "pair", "o_edge", "o_at", "ou", "ov", "o_len", "d_edge", "d_at", "du", "dv", "d_len",
         F.col("d_sx").alias("dx"), F.col("d_sy").alias("dy"), "straight")
     found = search(asked, network)
-    lines = path_lines(found, pairs, network)
+    lines = path_lines(found, pairs, network, parts)
     far = F.col("o_edge").isNull() | F.col("d_edge").isNull() if max_snap is not None else F.lit(False)
     return pairs.select("pair", "ox", "oy", "dx", "dy", far.alias("far")).join(found.drop("path", "final"), "pair", "left").join(
         lines, "pair", "left").select(
@@ -410,31 +427,37 @@ def shortest_paths(od: DataFrame, ways: DataFrame, max_snap: float | None = None
         F.when(F.col("f_distance").isNotNull(), "ok").when(F.col("far"), "too_far").otherwise("unreachable").alias("route_status"))
 
 
-def path_lines(found: DataFrame, pairs: DataFrame, network: DataFrame) -> DataFrame:
+def path_lines(found: DataFrame, pairs: DataFrame, network: DataFrame, parts: DataFrame) -> DataFrame:
     """(pair, f_line): origin point, the vertices passed, destination point.
 
-    The first step of a path is the rest of the origin's edge and the final one leads along the destination's; a group
-    here is one route, as long as the route has edges.
+    The first step of a path is the rest of the origin's edge and the final one leads along the destination's. A step
+    meets the vertices of the stretches of ``BLOCK_M`` it passes, so a route costs its own length and not that of the
+    chains it lies on; a group here is one route.
     """
     whole = found.join(pairs.select("pair", "o_sx", "o_sy", "o_at", "d_sx", "d_sy", "d_at"), "pair")
-    step = whole.select("pair", F.posexplode(F.array_compact(F.concat("path", F.array("final")))).alias("i", "step"))
-    sides = network.select("edge", "line")
-    pieces = (
-        step.join(sides, F.abs(F.col("step")) == F.col("edge"))
-        .select("pair", "i", F.when(F.col("step") > 0, F.col("line")).otherwise(F.reverse("line")).alias("line"))
-        .groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("parts")))
-    joined = whole.join(pieces, "pair")
-    count = F.size("parts")
-
-    def inner(p, i):
-        # Drop what lies before the origin on the first edge and after the destination on the last.
-        line, cum = p["line"], G.cumulative_lengths(p["line"])
-        total = F.element_at(cum, -1)
-        o_at = F.when(F.get("path", F.lit(0)) > 0, F.col("o_at")).otherwise(total - F.col("o_at"))
-        d_at = F.when(F.coalesce("final", F.get("path", F.lit(0))) > 0, F.col("d_at")).otherwise(total - F.col("d_at"))
-        return F.filter(line, lambda q, k: ((i > 0) | (F.get(cum, k) > o_at))
-                        & ((i < count - 1) | (F.get(cum, k) < d_at)))
-
-    middle = F.flatten(F.transform("parts", inner))
+    taken = whole.withColumn("steps", F.array_compact(F.concat("path", F.array("final")))).select(
+        "pair", "o_at", "d_at", F.size("steps").alias("n"), F.posexplode("steps").alias("i", "step"))
+    ahead = F.col("step") > 0
+    # where a route begins or ends on the edge, in the edge's own direction; NULL where it goes on to a node
+    begin, end = F.when(F.col("i") == 0, F.col("o_at")), F.when(F.col("i") == F.col("n") - 1, F.col("d_at"))
+    ranged = taken.join(network.select(F.col("edge").alias("on"), "len"), F.abs("step") == F.col("on")).select(
+        "pair", "i", "on", ahead.alias("ahead"), "len", F.when(ahead, begin).otherwise(end).alias("low"), F.when(ahead, end).otherwise(begin).alias("high"))
+    first = _block(F.coalesce("low", F.lit(0.0)))
+    stretch = ranged.withColumn("block", F.explode(F.when(
+        F.col("high").isNull() | F.col("low").isNull() | (F.col("low") <= F.col("high")),
+        F.sequence(first, _block(F.coalesce("high", F.col("len") + BLOCK_M))))))
+    vertices = parts.select("edge", "from", F.arrays_zip(
+        F.col("line").alias("p"), G.cumulative_lengths(F.col("line")).alias("cum")).alias("v")).select("edge", "from", F.inline("v")).select(
+        F.col("edge").alias("on"), (F.col("from") + F.col("cum")).alias("at"), "p").withColumn("block", _block(F.col("at")))
+    inner = stretch.join(vertices, ["on", "block"]).filter(
+        (F.col("low").isNull() | (F.col("at") > F.col("low"))) & (F.col("high").isNull() | (F.col("at") < F.col("high")))
+    ).groupBy("pair").agg(F.array_sort(F.collect_list(F.struct(
+        "i", F.when(F.col("ahead"), F.col("at")).otherwise(-F.col("at")).alias("along"), "p"))).alias("passed"))
+    middle = F.coalesce(F.transform("passed", lambda v: v["p"]), F.array())
     o, d = (F.struct(F.col(f"{k}_sx").alias("x"), F.col(f"{k}_sy").alias("y")) for k in ("o", "d"))
-    return joined.select("pair", G.drop_repeated(F.concat(F.array(o), middle, F.array(d))).alias("f_line"))
+    return whole.join(inner, "pair", "left").select("pair", G.drop_repeated(F.concat(F.array(o), middle, F.array(d))).alias("f_line"))
+
+
+def _block(at: Column) -> Column:
+    """The stretch of an edge that a place on it lies in; the ends may be off by a rounding error."""
+    return F.greatest(F.floor(at / BLOCK_M).cast("long"), F.lit(0).cast("long"))

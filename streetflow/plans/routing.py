@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from streetflow.functions import projection as P
 from streetflow.operators.graph import shortest_paths
+from streetflow.operators.storage import cut_lineage
 
 # Road classes a bicycle route may not use.
 CLOSED_TO_ROUTING = ["motorway", "motorway_link"]
@@ -32,7 +33,8 @@ def model_routes(trips: DataFrame, ways: DataFrame) -> DataFrame:
     placed = trips.withColumns({"_o": o, "_d": d}).withColumns({
         "ox": mm(F.col("_o.x")), "oy": mm(F.col("_o.y")), "dx": mm(F.col("_d.x")), "dy": mm(F.col("_d.y")),
     }).drop("_o", "_d")
-    complete = placed.select("ox", "oy", "dx", "dy").na.drop()
+    # written first: a filter would be pushed below the projections and repeat them within each other
+    complete = cut_lineage(placed.select("ox", "oy", "dx", "dy").distinct(), "ends").na.drop()
     found = shortest_paths(complete, routable(ways))
     joined = placed.join(found, ["ox", "oy", "dx", "dy"], "left")
     return joined.withColumn("dist_ratio", F.try_divide("dist_calc", "f_distance")).withColumn(

@@ -357,6 +357,40 @@ def test_chains_are_contracted(spark):
     assert got[710.0, 9.0].f_distance == pytest.approx(1 + 200**0.5 + 10)
 
 
+def test_routes_on_a_long_chain_cost_their_own_length(spark):
+    """Chains keep a row per edge, routes meet the vertices they pass only, and lines are those along the streets."""
+    n, rnd = 300, random.Random(3)
+    lines = [[(40.0 * k + 20.0 * j, 5.0 * (j % 2)) for j in ((0, 1, 2) if rnd.random() < 0.5 else (2, 1, 0))] for k in range(n)]
+    ways = spark.createDataFrame([way(k, line) for k, line in enumerate(lines)], WAY)
+    pieces = graph.edges(ways)
+    parts = graph.chained(pieces, graph.components(pieces))
+    assert parts.count() == n and parts.agg(F.max(F.size("line"))).first()[0] == 3
+    (chain,) = graph.chains(parts).collect()
+    assert chain.len == pytest.approx(2 * n * math.hypot(20, 5))
+    od = [tuple(rnd.uniform(0, 40.0 * n) if i % 2 == 0 else 2.5 for i in range(4)) for _ in range(20)] + [(0.0, 0.0, 40.0 * n, 0.0), (40.0 * n, 0.0, 0.0, 0.0)]
+    for r in graph.shortest_paths(spark.createDataFrame(od, "ox double, oy double, dx double, dy double"), ways).collect():
+        line = [(p.x, p.y) for p in r.f_line]
+        between = [(20.0 * k, 5.0 * (k % 2)) for k in range(2 * n + 1) if min(line[0][0], line[-1][0]) < 20.0 * k < max(line[0][0], line[-1][0])]
+        assert line[1:-1] == (between if r.ox <= r.dx else between[::-1])
+        assert sum(math.dist(a, b) for a, b in zip(line, line[1:])) == pytest.approx(r.f_distance, abs=1e-4)
+
+
+def test_ends_of_trips_are_converted_once(spark, monkeypatch):
+    """What is searched is read back: a filter pushed below the projections repeats them within each other."""
+    plans, found = [], routing.shortest_paths
+
+    def seen(od, ways):
+        plans.append(od._jdf.queryExecution().optimizedPlan().toString())
+        return found(od, ways)
+
+    monkeypatch.setattr(routing, "shortest_paths", seen)
+    ways = spark.createDataFrame([way(1, [(230000.0, 890000.0), (230300.0, 890000.0)])], WAY)
+    trips = synthetic.trips(spark, SF).limit(20).withColumn("lon_o", F.when(F.col("trip_id").cast("long") % 2 == 0, F.col("lon_o")))
+    status = routing.model_routes(trips, ways).groupBy("lon_o").agg(F.first("route_status").alias("s")).collect()
+    assert len(plans) == 1 and "ATAN" not in plans[0].upper() and "TAN(" not in plans[0].upper()
+    assert {r.s for r in status if r.lon_o is None} == {"no_endpoints"} and "no_endpoints" not in {r.s for r in status if r.lon_o is not None}
+
+
 def test_motorways_are_not_routed(spark):
     ways = synthetic.ways(spark, SF)
     assert routing.routable(ways).filter(F.col("highway").like("motorway%")).isEmpty()
