@@ -54,9 +54,10 @@ def _ways(spark, d):
     return classify.with_cycleable(synthetic.ways(spark, d))
 
 
-def _pairs(spark, d):
+def _pairs(spark, d, *sides):
+    """Actual and shortest paths with the metres by class of ``sides``."""
     routes = synthetic.routes(spark, d).withColumn("dist_ratio", F.col("dist_ratio").try_cast("double"))
-    return stress.stress_len_pair(synthetic.trips(spark, d), routes, _ways(spark, d))
+    return stress.stress_len_pair(synthetic.trips(spark, d), routes, _ways(spark, d), sides)
 
 
 def _segments(spark, d):
@@ -235,7 +236,7 @@ def stress_len_shortest(spark, d):
 
 @query
 def stress_len_pair(spark, d):
-    return rounded(_pairs(spark, d).drop("geom"))
+    return rounded(_pairs(spark, d, "actual", "shortest").drop("geom"))
 
 
 @query
@@ -422,18 +423,18 @@ def detour_quantiles(spark, d):
 
 @query
 def low_stress_curve(spark, d):
-    return rounded(shares.low_stress_curve(_pairs(spark, d)).drop("bin"))
+    return rounded(shares.low_stress_curve(_pairs(spark, d, "actual")).drop("bin"))
 
 
 @query
 def stress_shares(spark, d):
-    return rounded(shares.study_pairs(_pairs(spark, d), ["dist_calc", *shares.LENGTHS]).select(
+    return rounded(shares.study_pairs(_pairs(spark, d, "actual"), ["dist_calc", *shares.LENGTHS]).select(
         "trip_id", "band", "len_1_p", "len_2_p", "len_1_11_p", "len_1_2_11_p", "len_3_p", "len_4_p"))
 
 
 @query
 def stress_totals(spark, d):
-    return rounded(shares.stress_totals(_pairs(spark, d)), 3)
+    return rounded(shares.stress_totals(_pairs(spark, d, "actual", "shortest")), 3)
 
 
 @query
@@ -443,12 +444,12 @@ def trips_by_daytype(spark, d):
 
 @query
 def stress_share_by_daytype(spark, d):
-    return rounded(shares.stress_share_by_daytype(_pairs(spark, d)))
+    return rounded(shares.stress_share_by_daytype(_pairs(spark, d, "actual")))
 
 
 @query
 def stress_share_table(spark, d):
-    return rounded(shares.stress_share_table(_pairs(spark, d)))
+    return rounded(shares.stress_share_table(_pairs(spark, d, "actual")))
 
 
 @query

@@ -81,39 +81,47 @@ def saved_stress_area(saved_trips: DataFrame, saved_overlaps: DataFrame) -> Data
     return saved_trips.join(areas, "trip_key", "left")
 
 
+def _typed(trips: DataFrame) -> DataFrame:
+    return trips.withColumn("dist_calc", F.col("dist_calc").cast("double"))
+
+
+def _measured(routes: DataFrame) -> DataFrame:
+    return routes.withColumn("sh_net_dist_calc", G.line_length(F.col("geom")))
+
+
 def stress_len_by_trip(trips: DataFrame, ways: DataFrame, **options) -> DataFrame:
-    typed = trips.withColumn("dist_calc", F.col("dist_calc").cast("double"))
-    return _lengths(stress_area_by_trip(typed, ways, **options), "dist_calc").select(
+    return _lengths(stress_area_by_trip(_typed(trips), ways, **options), "dist_calc").select(
         "trip_id", "band", "geom", "vehicle_type", "propulsion_type", "dist_calc", "matching_error", "start_time",
         *AREAS, "area", "width_avg", *[f"len_{c}" for c in STRESS_CLASSES])
 
 
 def stress_len_shortest(routes: DataFrame, ways: DataFrame, **options) -> DataFrame:
     """The same for modelled paths, whose length is that of their line."""
-    measured = routes.withColumn("sh_net_dist_calc", G.line_length(F.col("geom")))
-    return _lengths(stress_area_by_trip(measured, ways, **options), "sh_net_dist_calc").select(
+    return _lengths(stress_area_by_trip(_measured(routes), ways, **options), "sh_net_dist_calc").select(
         "trip_id", "band", "geom", "sh_net_dist_calc", "dist_ratio",
         *AREAS, "area", "width_avg", *[f"len_{c}" for c in STRESS_CLASSES])
 
 
 def pair(actual: DataFrame, shortest: DataFrame) -> DataFrame:
-    """Actual against shortest: one row per modelled path, actual columns NULL without a trip."""
+    """Actual against shortest: one row per modelled path, actual columns NULL without a trip; metres as far as there."""
+    metres, sh_metres = ([f"len_{c}" for c in STRESS_CLASSES if f"len_{c}" in side.columns] for side in (actual, shortest))
     left = shortest.select(
-        "band", "trip_id", "sh_net_dist_calc", "dist_ratio",
-        *[F.col(f"len_{c}").alias(f"sh_len_{c}") for c in STRESS_CLASSES])
+        "band", "trip_id", "sh_net_dist_calc", "dist_ratio", *[F.col(c).alias(f"sh_{c}") for c in sh_metres])
     right = actual.select(
-        "band", F.col("trip_id").alias("_id"), "geom", "propulsion_type", "dist_calc", "start_time",
-        *[f"len_{c}" for c in STRESS_CLASSES])
+        "band", F.col("trip_id").alias("_id"), "geom", "propulsion_type", "dist_calc", "start_time", *metres)
     joined = left.withColumn("_id", F.col("trip_id")).join(right, ["band", "_id"], "left")
     return joined.select(
         F.when(F.col("dist_calc").isNotNull() | F.col("geom").isNotNull(), F.col("trip_id")).alias("trip_id"),
         "band", "geom", "propulsion_type", "dist_calc", "start_time",
-        *[f"len_{c}" for c in STRESS_CLASSES], "sh_net_dist_calc", "dist_ratio",
-        *[f"sh_len_{c}" for c in STRESS_CLASSES])
+        *metres, "sh_net_dist_calc", "dist_ratio", *[f"sh_{c}" for c in sh_metres])
 
 
-def stress_len_pair(trips: DataFrame, routes: DataFrame, ways: DataFrame, **options) -> DataFrame:
-    return pair(stress_len_by_trip(trips, ways, **options), stress_len_shortest(routes, ways, **options))
+def stress_len_pair(trips: DataFrame, routes: DataFrame, ways: DataFrame, sides: tuple[str, ...] = ("actual", "shortest"),
+                    **options) -> DataFrame:
+    """``pair`` with the metres of ``sides``; of the others nothing is computed, not even what an overlap writes first."""
+    actual = stress_len_by_trip(trips, ways, **options) if "actual" in sides else _typed(trips)
+    shortest = stress_len_shortest(routes, ways, **options) if "shortest" in sides else _measured(routes)
+    return pair(actual, shortest)
 
 
 def distinct_overlaps(overlaps: DataFrame) -> DataFrame:

@@ -251,6 +251,18 @@ def test_share_queries_compute_no_unused_overlap(spark):
     assert overlaps("low_stress_curve") == overlaps("stress_share_by_daytype") == overlaps("stress_len_by_trip")
 
 
+def test_share_queries_begin_no_unused_overlap(spark, monkeypatch):
+    """An overlap writes its pieces and streets as soon as it is asked for, so it is asked for the sides in use only."""
+    from streetflow import catalogue
+
+    asked, made = [], stress.overlap_trip_street
+    monkeypatch.setattr(stress, "overlap_trip_street", lambda *args, **kw: asked.append(1) or made(*args, **kw))
+    for name, n in (("trips_by_daytype", 0), ("stress_share_table", 1), ("stress_shares", 1), ("stress_totals", 2)):
+        asked.clear()
+        catalogue.QUERIES[name](spark, SF)
+        assert len(asked) == n, name
+
+
 # ---------------------------------------------------------------- shortest paths
 
 def _dijkstra(adj, start):
