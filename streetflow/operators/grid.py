@@ -64,7 +64,7 @@ def boxed(df: DataFrame, pieces: str, side: str, reach: float, several: bool = F
     """
     def of(least: bool, axis: str) -> Column:
         pick, over = (F.least, F.array_min) if least else (F.greatest, F.array_max)
-        ends = [over(f"{pieces}.{axis}{k}") if several else F.col(f"{pieces}.{axis}{k}") for k in (0, 1)]
+        ends = [over(f"{pieces}.{axis}{k}") if several else F.expr(f"{pieces}.{axis}{k}") for k in (0, 1)]
         return pick(*ends) - reach - CELL_EPS if least else pick(*ends) + reach + CELL_EPS
 
     return df.withColumns({f"{side}_{name}_{axis}": of(name == "low", axis) for name in ("low", "high") for axis in "xy"})

@@ -54,7 +54,7 @@ def _straight_pieces(line: Column) -> Column:
 
 
 def _trip_cells(trips: DataFrame, size: float) -> DataFrame:
-    """(band, trip_id, cx, cy, a): the distinct pieces of each trip by cell.
+    """(band, trip_id, cx, cy, a) and the box around ``a``: the distinct pieces of each trip by cell.
 
     Rows of one trip come together while they are small. A trip of one straight piece is its own group in every cell;
     only the others are grouped by cell.
@@ -62,11 +62,14 @@ def _trip_cells(trips: DataFrame, size: float) -> DataFrame:
     lines = F.flatten(F.transform(F.collect_set("geom"), _straight_pieces))
     whole = cut_lineage(trips.groupBy("band", "trip_id").agg(F.array_distinct(lines).alias("a")), "pieces")
     at = F.col("_c.cx").alias("cx"), F.col("_c.cy").alias("cy")
-    alone = whole.filter(F.size("a") == 1).withColumn("_c", F.explode(grid.cells(F.col("a")[0], BUFFER_M, size)))
+    # one box for all cells of a piece
+    alone = grid.boxed(whole.filter(F.size("a") == 1), "a[0]", "a", BUFFER_M).withColumn(
+        "_c", F.explode(grid.cells(F.col("a")[0], BUFFER_M, size)))
     each = whole.filter(F.size("a") > 1).select("band", "trip_id", F.explode("a").alias("s")).withColumn(
         "_c", F.explode(grid.cells(F.col("s"), BUFFER_M, size)))
-    return alone.select("band", "trip_id", *at, "a").unionByName(
-        each.select("band", "trip_id", *at, "s").groupBy("band", "trip_id", "cx", "cy").agg(F.collect_list("s").alias("a")))
+    several = each.select("band", "trip_id", *at, "s").groupBy("band", "trip_id", "cx", "cy").agg(F.collect_list("s").alias("a"))
+    return alone.select("band", "trip_id", *at, *[c for c in alone.columns if c not in ("band", "trip_id", "_c")]).unionByName(
+        grid.boxed(several, "a", "a", BUFFER_M, several=True))
 
 
 def _street_cells(ways: DataFrame, size: float) -> DataFrame:
@@ -90,7 +93,7 @@ def touching_pieces(trips: DataFrame, ways: DataFrame, size: float = grid.CELL_M
 
     single = "size(a) = 1 AND size(b) = 1"
     met = f"CASE WHEN {single} THEN {touch('a[0]', 'b[0]')} ELSE exists(a, x -> exists(b, y -> {touch('x', 'y')})) END"
-    left = grid.boxed(_trip_cells(trips, size), "a", "a", BUFFER_M, several=True)
+    left = _trip_cells(trips, size)
     right = grid.boxed(_street_cells(ways, size), "b", "b", BUFFER_M, several=True)
     joined = grid.cell_join(left, right, grid.boxes_meet("a", "b") & F.expr(met), "trip_id", max_broadcast, share)
     near = joined.withColumns({
