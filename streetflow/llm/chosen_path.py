@@ -2,7 +2,8 @@
 
 Documents are branched into the nodes of independent trees by selected minwise tokens: those that agree on the token a
 node selects go on together. Few documents share even one token with others, so most leave after the first level. The
-documents of a node are compared exhaustively once few of them are not yet known to belong together, else branched on.
+documents of a small node are compared exhaustively. Those of a larger one are compared by what they add to the node's
+most central text, and those that have too little of it for that are branched on.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ from streetflow.llm.common import Scratch, mix, text_pieces, windows, words
 WORDS, PERCENT = 5, 75
 #: Minwise functions: two per tree for the first two levels, further ones for deeper levels; all give a sketch bit.
 TREES, SELECTABLE, FUNCTIONS = 20, 80, 512
-#: A node is compared exhaustively if at most so many of its documents lie outside its largest known component.
+#: A node of at most so many documents is compared exhaustively.
 SMALL = 128
+#: Per cent of a set that lie in the hub: from NEAR on it is compared by its difference from the hub, below FAR it is
+#: branched on. If one of two linked sets has FAR or more the other has at least 3/7, so a link has both sides in either.
+NEAR, FAR = 40, 60
 #: Sketch bits that may differ. At the threshold 64 of 512 do on average, 98 is 4.5 standard deviations more.
 MAX_DIFFERENT = 98
 BITS = ("b1", "b2", "b3", "b4", "b5", "b6", "b7", "b8")
@@ -131,16 +135,24 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         last = state
 
 
+def _one() -> Column:
+    """What is compared of a class without its set."""
+    return F.struct("cls", "n", "common", *BITS, "comp")
+
+
+def _different(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in BITS), F.lit(0))
+
+
 def _may_link(a: str, b: str) -> Column:
     """What sizes, sketches and the numbers of shingles that others have too allow."""
     def col(side: str, name: str) -> Column:
         return F.col(f"{side}.{name}")
 
-    different = sum((F.bit_count(col(a, x).bitwiseXOR(col(b, x))) for x in BITS), F.lit(0))
     sizes = F.least(col(a, "n"), col(b, "n")) * 100 >= F.greatest(col(a, "n"), col(b, "n")) * PERCENT
     # the union of two sets is at least their sizes less what they can have in common
     shared = F.least(col(a, "common"), col(b, "common")) * (100 + PERCENT) >= (col(a, "n") + col(b, "n")) * PERCENT
-    return sizes & shared & (different <= MAX_DIFFERENT) & (col(a, "comp") != col(b, "comp"))
+    return sizes & shared & (_different(a, b) <= MAX_DIFFERENT) & (col(a, "comp") != col(b, "comp"))
 
 
 class Join:
@@ -157,6 +169,7 @@ class Join:
         self.checked: DataFrame | None = None
         self.sets: DataFrame | None = None
         self.comps: DataFrame | None = None
+        self.grouped: DataFrame | None = None
 
     def known(self, members: DataFrame) -> DataFrame:
         """Adds the component known so far."""
@@ -229,30 +242,32 @@ class Join:
         return self.scratch.keep_seen(
             slim.join(sizes, "path").join(self.classes.select("cls", "n", *BITS), "cls"), "nodes", most=F.max("size"))
 
+    def centres(self, known: DataFrame) -> DataFrame:
+        """path, hub: the class whose sketch is nearest to the majority of the node's bits, the text that others are copies of."""
+        bits = [F.sum(F.shiftright(b, i).bitwiseAND(1)).alias(f"{b}_{i}") for b in ("b1", "b2") for i in range(64)]
+        half = F.col("of") / 2
+
+        def majority(b: str) -> Column:
+            total = F.lit(0).cast("long")
+            for i in range(64):
+                total = total.bitwiseOR(F.when(F.col(f"{b}_{i}") > half, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+            return total
+
+        middle = known.groupBy("path").agg(F.count(F.lit(1)).alias("of"), *bits).select(
+            "path", majority("b1").alias("m1"), majority("b2").alias("m2"))
+        away = F.bit_count(F.col("b1").bitwiseXOR(F.col("m1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("m2")))
+        return known.join(middle, "path").groupBy("path").agg(F.min(F.struct(away.alias("away"), _one().alias("hub")))["hub"].alias("hub"))
+
     def hub_pairs(self, members: DataFrame, most: int, first: bool) -> DataFrame:
         """Each document of a node with the node's least class, and in larger nodes with its most central one too.
 
-        Beyond the first level small nodes are left to the exhaustive comparison. The central one's sketch is nearest to the majority of the node's bits: the text that the others are copies of.
+        Beyond the first level small nodes are left to the exhaustive comparison.
         """
-        one = F.struct("cls", "n", "common", *BITS, "comp")
         known = self.known(members if first else members.where(F.col("size") > SMALL))
-        hubs = known.groupBy("path").agg(F.min(one).alias("hub"))
+        hubs = known.groupBy("path").agg(F.min(_one()).alias("hub"))
         if most > SMALL:
-            big = known.where(F.col("size") > SMALL)
-            bits = [F.sum(F.shiftright(b, i).bitwiseAND(1)).alias(f"{b}_{i}") for b in ("b1", "b2") for i in range(64)]
-            half = F.col("of") / 2
-
-            def majority(b: str) -> Column:
-                total = F.lit(0).cast("long")
-                for i in range(64):
-                    total = total.bitwiseOR(F.when(F.col(f"{b}_{i}") > half, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-                return total
-
-            middle = big.groupBy("path").agg(F.count(F.lit(1)).alias("of"), *bits).select(
-                "path", majority("b1").alias("m1"), majority("b2").alias("m2"))
-            away = F.bit_count(F.col("b1").bitwiseXOR(F.col("m1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("m2")))
-            hubs = hubs.union(big.join(middle, "path").groupBy("path").agg(F.min(F.struct(away.alias("away"), one.alias("hub")))["hub"].alias("hub")))
-        return known.withColumn("me", one).join(hubs, "path").where(_may_link("me", "hub")).select(
+            hubs = hubs.union(self.centres(known.where(F.col("size") > SMALL)))
+        return known.withColumn("me", _one()).join(hubs, "path").where(_may_link("me", "hub")).select(
             F.col("cls").alias("a"), F.col("hub.cls").alias("b"))
 
     def open_nodes(self, members: DataFrame) -> DataFrame:
@@ -261,19 +276,83 @@ class Join:
         mixed = known.groupBy("path").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("path")
         return known.join(mixed, "path", "left_semi").drop("comp")
 
-    def rest(self, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(pairs of small nodes to compare exhaustively, rows of the others), leaving out nodes in one component."""
+    def rest(self, members: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+        """(pairs to confirm, rows that branch on), leaving out nodes in one component; ``large``: some are not small."""
         known = self.scratch.keep(self.known(members), "known")
         by_comp = known.groupBy("path", "comp").agg(F.count(F.lit(1)).alias("k"))
         shape = by_comp.groupBy("path").agg(F.sum("k").alias("total"), F.max(F.struct("k", "comp")).alias("main")).where("total > main.k")
-        shape = self.scratch.keep(shape.select("path", F.col("main.comp").alias("main"), (F.col("total") - F.col("main.k")).alias("outside")), "shape")
-        small, big = shape.where(F.col("outside") <= SMALL), shape.where(F.col("outside") > SMALL)
-        one = F.struct("cls", "n", "common", *BITS, "comp")
-        # at most SMALL documents of a node lie outside its main component: each meets the whole node once
-        outside = known.join(small, "path").where(F.col("comp") != F.col("main")).select("path", one.alias("out"))
-        inside = known.join(small.select("path"), "path").select("path", one.alias("other"))
-        pairs = outside.join(inside, "path").where(_may_link("out", "other")).select(F.col("out.cls").alias("a"), F.col("other.cls").alias("b"))
-        return pairs, known.join(big.select("path"), "path", "left_semi").drop("comp")
+        shape = self.scratch.keep(shape.select("path", "total", F.col("main.comp").alias("main")), "shape")
+        small, big = shape.where(F.col("total") <= SMALL), shape.where(F.col("total") > SMALL)
+        pairs, far = self.differences(self.scratch.keep(known.join(big.select("path"), "path", "left_semi"), "large")) if large else (None, None)
+        grouped = known.withColumn("hub", F.lit(None).cast("long")) if self.grouped is None else known.join(self.grouped, "cls", "left")
+        one = _one().withField("hub", F.col("hub"))
+        outside = grouped.join(small, "path").where(F.col("comp") != F.col("main")).select("path", one.alias("out"))
+        inside = grouped.join(small.select("path"), "path").select("path", one.alias("other"))
+        apart = F.col("out.hub").isNull() | F.col("other.hub").isNull() | (F.col("out.hub") != F.col("other.hub"))
+        every = outside.join(inside, "path").where(apart & _may_link("out", "other")).select(F.col("out.cls").alias("a"), F.col("other.cls").alias("b"))
+        return every if pairs is None else every.union(pairs), far
+
+    def differences(self, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(pairs of larger nodes to confirm, rows that branch on).
+
+        Two sets have in common at most what the one with less of the hub has of it, and the extras, shingles out of the
+        hub, that both hold. So two sets of different components either need common extras, and then meet on one of
+        their rarest, or have enough of the hub for their sizes. Copies just too far from the hub to be linked with it
+        are of the second kind only with smaller sets, and few share extras.
+        """
+        hubs = self.scratch.keep(self.centres(known).join(known.select("path", "size").distinct(), "path"), "centres")
+        # nodes whose hubs are alike and of one component are one group
+        chosen = hubs.groupBy(F.col("hub.comp").alias("main")).agg(F.max(F.struct("size", "hub"))["hub"].alias("first"))
+        alike = _different("hub", "first") <= MAX_DIFFERENT
+        groups = self.scratch.keep(hubs.join(chosen, F.col("hub.comp") == F.col("main")).select(
+            "path", "main", F.when(alike, F.col("first.cls")).otherwise(F.col("hub.cls")).alias("hub")), "groups")
+        base = self.scratch.keep(self.sets.join(groups.select(F.col("hub").alias("cls")).distinct(), "cls").select(
+            F.col("cls").alias("hub"), F.col("shingles").alias("base")), "base")
+        # written first, so that sets are met by a broadcast of few rows and only else by a shuffle
+        rows = self.scratch.keep(known.join(groups, "path").select("hub", "main", "cls", "n", "common", *BITS, "comp").distinct(), "grouped-rows")
+        apart = rows.join(self.sets.select("cls", "shingles"), "cls").join(base, "hub").withColumn("extra", F.array_except("shingles", "base"))
+        apart = self.scratch.keep(apart.select("hub", "main", "cls", "n", _one().alias("me"), "extra", (F.col("n") - F.size("extra")).alias("shared")), "apart")
+        far = self.scratch.keep(known.join(groups, "path").join(
+            apart.where(F.col("shared") * 100 < F.col("n") * FAR).select("hub", "cls"), ["hub", "cls"], "left_semi").select("path", "cls", "common"), "far")
+        near = apart.where(F.col("shared") * 100 >= F.col("n") * NEAR)
+        # two classes of one group need not be compared in small nodes any more
+        hub = near.groupBy("cls").agg(F.min("hub").alias("hub"))
+        self.grouped = self.scratch.keep(hub if self.grouped is None else self.grouped.union(hub.join(self.grouped, "cls", "left_anti")), "grouped")
+        outside = F.col("me.comp") != F.col("main")
+        pair = F.col("out.cls").alias("a"), F.col("other.cls").alias("b")
+
+        # extras that occur in one component only lead to no pair and so come first in the order
+        extras = near.select("hub", "me.comp", F.explode("extra").alias("shingle"))
+        held = self.scratch.keep(extras.groupBy("hub", "shingle").agg(
+            F.count(F.lit(1)).alias("k"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("hub", "shingle", "k"), "held")
+        # what more than half of a group hold is as good as the hub's: the hub need not be the text that they are copies of
+        counted = near.groupBy("hub").agg(F.count(F.lit(1)).alias("of"), F.min("n").alias("least"))
+        wide = held.join(counted, "hub").where("k * 2 > of").groupBy("hub").agg(F.collect_list("shingle").alias("wide"))
+        near = near.join(counted.join(wide, "hub", "left"), "hub").withColumn(
+            "extra", F.when(F.col("wide").isNull(), F.col("extra")).otherwise(F.array_except("extra", "wide")))
+        near = self.scratch.keep(near.select("hub", "main", "cls", "n", "me", "extra", (F.col("n") - F.size("extra")).alias("shared"), "least"), "near")
+        ordered = near.select("hub", "cls", F.explode("extra").alias("shingle")).join(held, ["hub", "shingle"]).groupBy("hub", "cls").agg(
+            F.sort_array(F.collect_list(F.struct("k", "shingle"))).alias("order"))
+        other = F.greatest("least", F.ceil(F.col("n") * PERCENT / 100))
+        # of extras all but one less than a link needs; of two sets that share so many, one lies among these of both
+        needs = F.greatest(F.ceil((F.col("n") + other) * PERCENT / (100 + PERCENT)) - F.col("shared"), F.lit(1))
+        first = F.greatest(F.size("order") - needs + 1, F.lit(0)).cast("int")
+        keys = near.join(ordered, ["hub", "cls"]).select(
+            "hub", "main", "me", F.explode(F.slice("order", F.lit(1), first)["shingle"]).alias("shingle"))
+        keys = self.scratch.keep(keys, "keys")
+        by_extra = keys.where(outside).select("hub", "shingle", F.col("me").alias("out")).join(
+            keys.select("hub", "shingle", F.col("me").alias("other")), ["hub", "shingle"]).where(_may_link("out", "other")).select(*pair)
+
+        def enough(shared: Column, n: Column, of: Column) -> Column:
+            return shared * (100 + PERCENT) >= (n + of) * PERCENT
+
+        sizes = near.select("hub", F.col("n").alias("of")).distinct()
+        lone = near.where(outside).join(sizes, "hub").where(
+            (F.least("n", "of") * 100 >= F.greatest("n", "of") * PERCENT) & enough(F.col("shared"), F.col("n"), F.col("of")))
+        by_size = lone.select("hub", "of", F.col("me").alias("out")).join(
+            near.select("hub", F.col("n").alias("of"), F.col("me").alias("other"), "shared"), ["hub", "of"]).where(
+            enough(F.col("shared"), F.col("out.n"), F.col("of")) & _may_link("out", "other")).select(*pair)
+        return by_extra.union(by_size), far
 
     def commons(self, active: DataFrame) -> DataFrame:
         """cls, found: how many shingles of a class occur in another class of ``active``.
@@ -340,10 +419,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             pending = None
         if level == 1:
             open_ = run.scratch.keep(run.open_nodes(members), "open")
-            members, _ = run.nodes(run.narrowed(open_, run.commons(open_)))
-        pairs, bigger = run.rest(members)
+            members, seen = run.nodes(run.narrowed(open_, run.commons(open_)))
+        pairs, far = run.rest(members, bool(seen["n"]) and seen["most"] > SMALL)
         pending = pairs if pending is None else pending.union(pairs)
-        members, seen = run.nodes(run.branch(bigger))
+        if far is None:
+            break
+        members, seen = run.nodes(run.branch(far))
         level += 1
     if pending is not None:
         run.confirm(pending)

@@ -103,6 +103,28 @@ def test_copies_linked_only_through_their_source(spark, monkeypatch):
     assert found_components(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(rows)
 
 
+def test_copies_just_below_the_threshold_are_not_compared_in_pairs(spark, monkeypatch):
+    """Each copy has changed five of the same six places, few to the same word: none is linked with the source."""
+    rng = random.Random(5)
+    base = [f"w{rng.randint(0, 10**9)}" for _ in range(150)]
+    rows = [(1000, " ".join(base))]
+    for k in range(400):
+        copy = base.copy()
+        for at in rng.sample(range(10, 130, 20), 5):
+            copy[at] = f"c{rng.randrange(200)}x"
+        rows.append((k, " ".join(copy)))
+    confirmed, confirm = [], chosen_path.Join.confirm
+
+    def counted(self, pairs):
+        confirmed.append(pairs.select(F.least("a", "b"), F.greatest("a", "b")).distinct().count())
+        confirm(self, pairs)
+
+    monkeypatch.setattr(chosen_path.Join, "confirm", counted)
+    found = found_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found == brute_components(rows)
+    assert sum(confirmed) < 25 * len(rows), confirmed
+
+
 def test_links_of_sets_whose_halves_coincide(spark):
     """30 of the 90 shingles in common have equal upper halves: the first filter must not throw the pair out."""
     both = [(7 << 32) + i for i in range(30)] + [(100 + i) << 32 for i in range(60)]
