@@ -169,13 +169,18 @@ EDGE = "struct<x0:bigint,y0:bigint,x1:bigint,y1:bigint>"
 RINGS = "array<array<struct<x:double,y:double>>>"
 
 
+def once(udf):
+    """The UDF held where it stands: a filter on what it returns does not move below its arguments and begin it again there."""
+    return udf.asNondeterministic()
+
+
 def _edges_udf(size: float, wa: float, wb: float):
     @F.arrow_udf(f"array<{EDGE}>")
     def edges(a: pa.Array, b: pa.Array, cx: pa.Array, cy: pa.Array) -> pa.Array:
         at = (c.to_numpy(zero_copy_only=False) for c in (cx, cy))
         return slabs.overlap_edges(a, b, *at, size, wa, wb)
 
-    return edges
+    return once(edges)
 
 
 def _parts_udf():
@@ -186,7 +191,7 @@ def _parts_udf():
     def parts(edges: pa.Array) -> pa.Array:
         return outlines.region_parts(edges, kind)
 
-    return parts
+    return once(parts)
 
 
 def overlap_regions(trips: DataFrame, ways: DataFrame, size: float = grid.CELL_M, max_broadcast: int = BROADCAST_BYTES,

@@ -488,6 +488,21 @@ def test_no_regions_of_nothing(spark):
     assert O.overlap_regions(far, spark.createDataFrame([way(1, [(0, 0), (9, 0)])], WAY)).isEmpty()
 
 
+def test_regions_compute_their_python_columns_once(spark):
+    # streets with a corner and without, so that pieces are filtered before they are measured; a class is missing
+    ways = spark.createDataFrame([
+        way(1, [(1000, 50), (1180, 50)], lts=None), way(2, [(1050, 0), (1050, 100), (1090, 140)]), way(3, [(1000, 52), (1180, 52)])], WAY)
+    trips = spark.createDataFrame([trip(1, [(1000, 50), (1100, 50), (1100, 90)]), trip(2, [(1000, 500), (1100, 500)])], TRIP)
+    regions = O.overlap_regions(trips, ways)
+    plan = regions._jdf.queryExecution().optimizedPlan().treeString()
+    assert plan.count("ArrowEvalPython") == 2
+    rows = {r["osm_id"]: (r["hname"], r["stress_lev"], len(r["parts"]), r["seg_area"]) for r in regions.collect()}
+    areas = {r["osm_id"]: r["seg_area"] for r in O.overlap(trips, ways).filter("seg_area > 0").collect()}
+    assert set(rows) == set(areas) == {"1", "2", "3"}
+    assert rows["1"][:3] == ("Street 1", None, 1)
+    assert {k: r[3] for k, r in rows.items()} == pytest.approx(areas, abs=1e-2)
+
+
 # ---------------------------------------------------------------- rolled-up quantiles
 
 @pytest.mark.parametrize("max_bytes", [64 << 20, 0])
