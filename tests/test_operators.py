@@ -488,6 +488,16 @@ def test_no_regions_of_nothing(spark):
     assert O.overlap_regions(far, spark.createDataFrame([way(1, [(0, 0), (9, 0)])], WAY)).isEmpty()
 
 
+def test_parts_of_streets_with_corners_and_without_a_class(spark):
+    # two streets without a class share their region with one that has a class; the fourth has its corner on the trip
+    line = [(1000, 50), (1180, 50)]
+    ways = spark.createDataFrame([way(1, line, lts=None), way(2, line, lts=None), way(3, line, lts="2"),
+                                  way(4, [(1050, 0), (1050, 50), (1120, 120)])], WAY)
+    rows = stress.dissolved_parts(spark.createDataFrame([trip(1, line)], TRIP), ways).collect()
+    assert sorted((r["stress_lev"] or "", r["part"], round(r["area"]), round(r["sum_seg_area"])) for r in rows) == [
+        ("", 0, 720, 1440), ("1", 0, 19, 19), ("2", 0, 720, 720)]  # 8 below, 11.31 aslant, 1.41 in the corner, less 1.66 twice covered
+
+
 def test_regions_compute_their_python_columns_once(spark):
     # streets with a corner and without, so that pieces are filtered before they are measured; a class is missing
     ways = spark.createDataFrame([
