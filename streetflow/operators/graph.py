@@ -40,7 +40,8 @@ BLOCK_M = 1000.0
 def node_key(x: Column, y: Column) -> Column:
     """Exact 64-bit identity of a vertex: millimetres of x and y, 32 bits each.
 
-    Farther out than 2147 km the query fails; no two vertices are ever taken for one.
+    Farther out than 2147 km the query fails; no two vertices are ever taken for one. ``edges`` numbers its vertices
+    instead, so a network may be of any width.
     """
     xi, yi = F.rint(x * MM).cast("long"), F.rint(y * MM).cast("long")
     far = (F.abs(xi) >= 2**31) | (F.abs(yi) >= 2**31)
@@ -48,28 +49,27 @@ def node_key(x: Column, y: Column) -> Column:
     return F.shiftleft(xi, 32).bitwiseOR(yi.bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def node_x(node: Column) -> Column:
-    return F.shiftright(node, 32) / MM
-
-
-def node_y(node: Column) -> Column:
-    return F.shiftright(F.shiftleft(node, 32), 32) / MM
+def _mm(p: Column) -> list[Column]:
+    """Whole millimetres of a point, its identity as a vertex, as columns x and y."""
+    return [F.rint(p[c] * MM).cast("long").alias(c) for c in "xy"]
 
 
 def edges(ways: DataFrame) -> DataFrame:
     """(edge, u, v, len, line): street pieces between junctions, written once to fix their numbers.
 
-    A junction is an end of a street or a vertex that occurs more than once.
+    A junction is an end of a street or a vertex that occurs more than once. ``u`` and ``v`` are numbers of junctions,
+    which are told apart by their whole millimetres, however far out they lie.
     """
     lines = ways.select(G.drop_repeated(F.col("geom")).alias("line")).filter(F.size("line") > 1).distinct()
     lines = lines.withColumn("way", F.xxhash64("line")).withColumn("cum", G.cumulative_lengths(F.col("line")))
     vertex = lines.select("way", F.size("line").alias("n"), "cum", F.posexplode("line").alias("i", "p")).select(
-        "way", "i", F.get("cum", F.col("i")).alias("at"), node_key(F.col("p.x"), F.col("p.y")).alias("node"),
+        "way", "i", F.get("cum", F.col("i")).alias("at"), *_mm(F.col("p")),
         ((F.col("i") == 0) | (F.col("i") == F.col("n") - 1)).alias("tip"))
-    junction = vertex.groupBy("node").agg(F.count("*").alias("uses"), F.max("tip").alias("tip")).filter(
-        (F.col("uses") > 1) | F.col("tip")).select("node")
+    junction = vertex.groupBy("x", "y").agg(F.count("*").alias("uses"), F.max("tip").alias("tip")).filter(
+        (F.col("uses") > 1) | F.col("tip"))
+    numbered = cut_lineage(junction.select(F.monotonically_increasing_id().alias("node"), "x", "y"), "junctions")
     along = W.partitionBy("way").orderBy("i")
-    split = vertex.join(junction, "node").select(
+    split = vertex.join(numbered, ["x", "y"]).select(
         "way", "i", F.col("node").alias("u"), "at",
         F.lead("node").over(along).alias("v"), F.lead("i").over(along).alias("j"),
         F.lead("at").over(along).alias("to")).filter(F.col("v").isNotNull())
@@ -233,9 +233,13 @@ def chained(network: DataFrame, belongs: DataFrame) -> DataFrame:
 
 
 def chains(parts: DataFrame) -> DataFrame:
-    """(edge, u, v, len) of each chain, without its line, which may run through the whole network."""
-    return cut_lineage(parts.groupBy("edge").agg(
-        F.min(F.struct("from", "u"))["u"].alias("u"), F.max(F.struct("from", "v"))["v"].alias("v"), F.sum("len").alias("len")), "chains")
+    """(edge, u, v, len, ux, uy, vx, vy) of each chain, with the places of its ends but without its line, which may run
+    through the whole network.
+    """
+    begin, end = (F.struct("from", node, *_mm(p)) for node, p in (("u", G.start_point(F.col("line"))), ("v", G.end_point(F.col("line")))))
+    ends = parts.groupBy("edge").agg(F.min(begin).alias("b"), F.max(end).alias("e"), F.sum("len").alias("len"))
+    return cut_lineage(ends.select("edge", "b.u", "e.v", "len", *[
+        (F.col(f"{s}.{c}") / MM).alias(f"{node}{c}") for s, node in (("b", "u"), ("e", "v")) for c in "xy"]), "chains")
 
 
 def contract(network: DataFrame, belongs: DataFrame) -> DataFrame:
@@ -255,21 +259,24 @@ def _jumped(state: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _steps(network: DataFrame) -> DataFrame:
-    """Both directions of every edge; the sign of ``step`` is the direction."""
-    forward = network.select(F.col("u").alias("node"), F.col("v").alias("next"), "len", F.col("edge").alias("step"))
-    return forward.unionByName(network.select(
-        F.col("v").alias("node"), F.col("u").alias("next"), "len", (-F.col("edge")).alias("step")))
+    """Both directions of every edge, with the place of the next node; the sign of ``step`` is the direction."""
+    def way(node, other, step):
+        return network.select(F.col(node).alias("node"), F.col(other).alias("next"), "len", step.alias("step"),
+                              F.col(f"{other}x").alias("x"), F.col(f"{other}y").alias("y"))
+
+    return way("u", "v", F.col("edge")).unionByName(way("v", "u", -F.col("edge")))
 
 
-def _ahead(node: Column) -> Column:
-    return F.hypot(node_x(node) - F.col("dx"), node_y(node) - F.col("dy"))
+def _ahead(node: str) -> Column:
+    """What is left to the destination from the node placed at ``node``x, ``node``y, as the crow flies."""
+    return F.hypot(F.col(f"{node}x") - F.col("dx"), F.col(f"{node}y") - F.col("dy"))
 
 
 def search(pairs: DataFrame, network: DataFrame) -> DataFrame:
     """(pair, f_distance, path, final) of each pair; every pair must lie within one component.
 
     ``pairs``: pair, o_edge, o_at, ou, ov, o_len and d_edge, d_at, du, dv, d_len, dx, dy (snapped
-    destination) and ``straight``. ``path`` lists the steps from the origin's edge on and ``final`` is the step along
+    destination), ``straight`` and oux, ouy, ovx, ovy, where ou and ov lie. ``path`` lists the steps from the origin's edge on and ``final`` is the step along
     the destination's edge. A route within one edge has that step as its path and no final one.
     """
     steps, _ = broadcast_if_small(_steps(network))
@@ -293,7 +300,7 @@ def search(pairs: DataFrame, network: DataFrame) -> DataFrame:
                 "pair", "f_distance", "final", F.col("node").alias("tip"),
                 F.when(F.col("o_at") > F.col("d_at"), -F.col("o_edge")).otherwise(F.col("o_edge")).alias("within")), "proven")
         passed = labels.join(proven.filter(F.col("tip").isNotNull()).select("pair", "f_distance"), "pair").filter(
-            F.col("dist") + _ahead(F.col("node")) <= F.col("f_distance") + 1e-6).select("pair", "node", "dist", "step", "back")
+            F.col("dist") + F.col("ahead") <= F.col("f_distance") + 1e-6).select("pair", "node", "dist", "step", "back")
         solved, near = (x if y is None else y.unionByName(x) for x, y in ((proven, solved), (passed, near)))
         open_pairs, remaining = cut_counted(
             open_pairs.join(proven.select("pair"), "pair", "left_anti").withColumn("bound", F.col("bound") * 2),
@@ -307,18 +314,18 @@ def search(pairs: DataFrame, network: DataFrame) -> DataFrame:
 
 def _starts() -> Column:
     return F.array(
-        F.struct(F.col("ou").alias("node"), F.col("o_at").alias("dist"), (-F.col("o_edge")).alias("step")),
+        F.struct(F.col("ou").alias("node"), F.col("o_at").alias("dist"), (-F.col("o_edge")).alias("step"), _ahead("ou").alias("ahead")),
         F.struct(F.col("ov").alias("node"), (F.col("o_len") - F.col("o_at")).alias("dist"),
-                 F.col("o_edge").alias("step")))
+                 F.col("o_edge").alias("step"), _ahead("ov").alias("ahead")))
 
 
 def _hop(source: str) -> str:
     """One edge ahead of ``source``, not straight back, inside the bound."""
     return f"""
-      SELECT f.pair, s.next AS node, f.dx, f.dy, f.bound, f.dist + s.len AS dist, s.step, f.node AS back
+      SELECT f.pair, s.next AS node, f.dx, f.dy, f.bound, f.dist + s.len AS dist, s.step, f.node AS back,
+        hypot(s.x - f.dx, s.y - f.dy) AS ahead
       FROM {source} f JOIN {{steps}} s ON f.node = s.node
-      WHERE s.step <> -f.step AND f.dist + s.len + hypot(
-        shiftright(s.next, 32) / {MM} - f.dx, shiftright(shiftleft(s.next, 32), 32) / {MM} - f.dy) <= f.bound"""
+      WHERE s.step <> -f.step AND f.dist + s.len + hypot(s.x - f.dx, s.y - f.dy) <= f.bound"""
 
 
 # A step in SQL: one parse instead of a hundred column calls, which matters in a loop of small jobs.
@@ -327,9 +334,9 @@ WITH hop1 AS ({_hop("{frontier}")}),
 {"".join(f"hop{i} AS ({_hop(f'hop{i - 1}')})," for i in range(2, HOPS + 1))}
 both AS (
   {" UNION ALL ".join(f"SELECT *, TRUE AS new FROM hop{i}" for i in range(1, HOPS + 1))}
-  UNION ALL SELECT pair, node, dx, dy, bound, dist, step, back, FALSE FROM {{known}})
-SELECT pair, node, dx, dy, bound, m.dist, m.step, m.back FROM (
-  SELECT pair, node, dx, dy, bound, min(CASE WHEN new THEN struct(dist, step, back) END) AS m,
+  UNION ALL SELECT pair, node, dx, dy, bound, dist, step, back, ahead, FALSE FROM {{known}})
+SELECT pair, node, dx, dy, bound, m.dist, m.step, m.back, m.ahead FROM (
+  SELECT pair, node, dx, dy, bound, min(CASE WHEN new THEN struct(dist, step, back, ahead) END) AS m,
     min(CASE WHEN NOT new THEN dist END) AS old
   FROM both GROUP BY pair, node, dx, dy, bound)
 WHERE m IS NOT NULL AND (old IS NULL OR m.dist < old - {IMPROVED!r}D)
@@ -337,8 +344,8 @@ WHERE m IS NOT NULL AND (old IS NULL OR m.dist < old - {IMPROVED!r}D)
 
 
 def _explore(pairs: DataFrame, steps: DataFrame) -> DataFrame:
-    """All labels (pair, node, dist, step, back, dx, dy) within each pair's bound; ``back`` is the node before, NULL
-    at the origin's own edge.
+    """All labels (pair, node, dist, step, back, ahead) within each pair's bound; ``back`` is the node before, NULL
+    at the origin's own edge, and ``ahead`` the straight distance left.
 
     Labels are an append-only table, one folder per step. A step goes ``HOPS`` edges ahead and has a
     single shuffle: candidates and known labels meet in one aggregate per (pair, node), which keeps
@@ -348,10 +355,10 @@ def _explore(pairs: DataFrame, steps: DataFrame) -> DataFrame:
     root = run_dir(spark, "labels")
     start = (
         pairs.withColumn("s", F.explode(_starts()))
-        .filter(F.col("s.dist") + _ahead(F.col("s.node")) <= F.col("bound"))
+        .filter(F.col("s.dist") + F.col("s.ahead") <= F.col("bound"))
         .groupBy("pair", "s.node", "dx", "dy", "bound")
-        .agg(F.min(F.struct("s.dist", "s.step")).alias("m"))
-        .select("pair", "node", "dx", "dy", "bound", "m.dist", "m.step", F.lit(None).cast("long").alias("back")))
+        .agg(F.min(F.struct("s.dist", "s.step", "s.ahead")).alias("m"))
+        .select("pair", "node", "dx", "dy", "bound", "m.dist", "m.step", F.lit(None).cast("long").alias("back"), "m.ahead"))
     schema = start.schema
     step, grown = 0, write_counted(start, f"{root}/step=0")
     while grown:
@@ -361,8 +368,8 @@ def _explore(pairs: DataFrame, steps: DataFrame) -> DataFrame:
         step += 1
         grown = write_counted(improved, f"{root}/step={step}")
     everything = spark.read.schema(schema).parquet(f"{root}/step=*")
-    return cut_lineage(everything.groupBy("pair", "node", "dx", "dy").agg(F.min(F.struct("dist", "step", "back")).alias("m")).select(
-        "pair", "node", "dx", "dy", "m.*"), "labels")
+    return cut_lineage(everything.groupBy("pair", "node").agg(F.min(F.struct("dist", "step", "back", "ahead")).alias("m")).select(
+        "pair", "node", "m.*"), "labels")
 
 
 def _trace(near: DataFrame, proven: DataFrame) -> DataFrame:
@@ -399,7 +406,7 @@ def shortest_paths(od: DataFrame, ways: DataFrame, max_snap: float | None = None
         F.struct(F.col("ox").alias("px"), F.col("oy").alias("py")),
         F.struct(F.col("dx").alias("px"), F.col("dy").alias("py")))).alias("p")).select("p.*")
     snapped = cut_lineage(nearest_edge(points, parts, limit=max_snap).join(
-        network.join(belongs, F.col("u") == F.col("node")).select("edge", "u", "v", "len", "component"),
+        network.join(belongs, F.col("u") == F.col("node")).drop("node"),
         "edge", "left"), "snapped")
 
     def side(prefix, u, v):
@@ -407,6 +414,7 @@ def shortest_paths(od: DataFrame, ways: DataFrame, max_snap: float | None = None
             F.col("px").alias(f"{prefix}x"), F.col("py").alias(f"{prefix}y"),
             F.col("edge").alias(f"{prefix}_edge"), F.col("at").alias(f"{prefix}_at"),
             F.col("u").alias(u), F.col("v").alias(v), F.col("len").alias(f"{prefix}_len"),
+            *[F.col(f"{k}{c}").alias(f"{name}{c}") for k, name in (("u", u), ("v", v)) for c in "xy"],
             F.col("component").alias(f"{prefix}_part"),
             F.col("sx").alias(f"{prefix}_sx"), F.col("sy").alias(f"{prefix}_sy"))
 
@@ -417,7 +425,7 @@ def shortest_paths(od: DataFrame, ways: DataFrame, max_snap: float | None = None
     # Pairs in different components have no route; the others have one, so every search ends.
     asked = pairs.filter(F.col("o_part") == F.col("d_part")).select(
         "pair", "o_edge", "o_at", "ou", "ov", "o_len", "d_edge", "d_at", "du", "dv", "d_len",
-        F.col("d_sx").alias("dx"), F.col("d_sy").alias("dy"), "straight")
+        F.col("d_sx").alias("dx"), F.col("d_sy").alias("dy"), "straight", "oux", "ouy", "ovx", "ovy")
     found = search(asked, network)
     lines = path_lines(found, pairs, network, parts)
     far = F.col("o_edge").isNull() | F.col("d_edge").isNull() if max_snap is not None else F.lit(False)

@@ -435,6 +435,22 @@ def test_snapping_far_points_goes_down_the_pyramid(spark):
     assert met["n"] < 30 * len(points) and met["most"] < 300 < cells.count() / 10
 
 
+def test_networks_may_be_wider_than_32_bits_of_millimetres(spark):
+    """Streets beyond 2147 km, and places 2 ** 32 mm apart, are searched as they are near the origin."""
+    around = [[(0, 0), (100, 0)], [(100, 0), (100, 50)], [(100, 0), (180, 0)], [(180, 0), (180, 50)], [(100, 50), (180, 50)]]
+    places = [(0.0, 0.0), (2.0**32 / 1000, 0.0), (2.63e6, 3.29e6), (-9.1e6, 1.4e7)]
+    ways = spark.createDataFrame([way(f"{k}_{i}", [(x + u, y + v) for u, v in line]) for k, (x, y) in enumerate(places)
+                                  for i, line in enumerate(around)], WAY)
+    od = [(x + 10.0, y + 1.0, x + 178.0, y + 49.0) for x, y in places] + [(10.0, 1.0, 2.63e6 + 10.0, 3.29e6 + 1.0)]
+    rows = graph.shortest_paths(spark.createDataFrame(od, "ox double, oy double, dx double, dy double"), ways).collect()
+    got = {(r.ox, r.oy, r.dx): r for r in rows}
+    assert len(got) == 5 and got[10.0, 1.0, 2.63e6 + 10.0].route_status == "unreachable"
+    for x, y in places:
+        r = got[x + 10.0, y + 1.0, x + 178.0]
+        assert r.f_distance == pytest.approx(90 + 50 + 78, abs=1e-5)
+        assert sum(math.dist((a.x, a.y), (b.x, b.y)) for a, b in zip(r.f_line, r.f_line[1:])) == pytest.approx(218, abs=1e-5)
+
+
 def test_ends_far_off_the_network_are_not_snapped(spark):
     ways = spark.createDataFrame([way(1, [(0.0, 0.0), (300.0, 0.0)])], WAY)
     od = spark.createDataFrame([(10.0, 5.0, 200.0, 0.0), (10.0, 500.0, 200.0, 0.0)], "ox double, oy double, dx double, dy double")
