@@ -451,6 +451,22 @@ def test_networks_may_be_wider_than_32_bits_of_millimetres(spark):
         assert sum(math.dist((a.x, a.y), (b.x, b.y)) for a, b in zip(r.f_line, r.f_line[1:])) == pytest.approx(218, abs=1e-5)
 
 
+def test_features_of_routes_beyond_2147_km(spark, tmp_path):
+    """Trips far out are routed, written as degrees and read back as metres."""
+    x, y = 2_600_000.0, 3_200_000.0
+    ways = spark.createDataFrame([way(1, [(x, y), (x + 300, y)]), way(2, [(x + 300, y), (x + 300, y + 200)])], WAY)
+    ends = spark.createDataFrame([("1", x + 20, y, x + 300, y + 90), ("2", x + 290, y + 1, x + 5, y - 2)], "trip_id string, sx double, sy double, ex double, ey double")
+    o, d = (P.to_lonlat(F.col(f"{k}x"), F.col(f"{k}y")) for k in "se")
+    trips = ends.select("trip_id", F.lit("00_140").alias("band"), F.lit("human").alias("propulsion_type"), F.lit(400.0).alias("dist_calc"),
+                        o["x"].alias("lon_o"), o["y"].alias("lat_o"), d["x"].alias("lon_d"), d["y"].alias("lat_d"))
+    found = routing.model_routes(trips, ways).filter("route_status = 'ok'")
+    geojson.write_geojson(found.withColumn("geom", P.line_to_lonlat(F.col("f_line"))), str(tmp_path / "features"))
+    table = geojson.load_projected(spark, str(tmp_path / "features"), str(tmp_path / "table"))
+    rows = table.select("trip_id", "f_distance", G.line_length(F.col("geom")).alias("length")).collect()
+    assert {r["trip_id"]: r["f_distance"] for r in rows} == pytest.approx({"1": 370.0, "2": 285.0}, abs=2e-3)
+    assert {r["trip_id"]: r["length"] for r in rows} == pytest.approx({"1": 370.0, "2": 285.0}, abs=2e-3)
+
+
 def test_ends_far_off_the_network_are_not_snapped(spark):
     ways = spark.createDataFrame([way(1, [(0.0, 0.0), (300.0, 0.0)])], WAY)
     od = spark.createDataFrame([(10.0, 5.0, 200.0, 0.0), (10.0, 500.0, 200.0, 0.0)], "ox double, oy double, dx double, dy double")
