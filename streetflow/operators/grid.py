@@ -64,7 +64,8 @@ def boxed(df: DataFrame, pieces: str, side: str, reach: float, several: bool = F
     """
     def of(least: bool, axis: str) -> Column:
         pick, over = (F.least, F.array_min) if least else (F.greatest, F.array_max)
-        ends = [over(f"{pieces}.{axis}{k}") if several else F.expr(f"{pieces}.{axis}{k}") for k in (0, 1)]
+        ends = [F.when(F.size(pieces) == 1, F.expr(f"{pieces}[0].{axis}{k}")).otherwise(over(f"{pieces}.{axis}{k}"))
+                if several else F.expr(f"{pieces}.{axis}{k}") for k in (0, 1)]
         return pick(*ends) - reach - CELL_EPS if least else pick(*ends) + reach + CELL_EPS
 
     return df.withColumns({f"{side}_{name}_{axis}": of(name == "low", axis) for name in ("low", "high") for axis in "xy"})
@@ -87,12 +88,13 @@ def hot_cells(df: DataFrame, share: int = HOT_SHARE) -> DataFrame:
 
 
 def cell_join(big: DataFrame, small: DataFrame, condition: Column, salt_by: str,
-              max_broadcast: int = BROADCAST_BYTES, share: int = HOT_SHARE) -> DataFrame:
+              max_broadcast: int = BROADCAST_BYTES, share: int = HOT_SHARE, strip=None, restore=None) -> DataFrame:
     """Inner join on the cell with a residual condition.
 
     ``big`` is never shuffled when ``small`` has at most ``max_broadcast`` bytes. Otherwise rows of
     ``big`` in hot cells are spread by a hash of ``salt_by`` and the few street rows of those cells
-    are repeated, so no join task gets more than about 1/share of ``big``.
+    are repeated, so no join task gets more than about 1/share of ``big``. Its rows are then shuffled as ``strip`` leaves
+    them, and ``restore`` makes again what follows from the rest.
     """
     small, fits = broadcast_if_small(small, max_broadcast)
     if fits:
@@ -100,6 +102,8 @@ def cell_join(big: DataFrame, small: DataFrame, condition: Column, salt_by: str,
     hot = F.broadcast(hot_cells(big, share))
     spread = big.join(hot, ["cx", "cy"], "left").withColumn(
         "salt", F.coalesce(F.pmod(F.xxhash64(salt_by), F.col("splits")), F.lit(0)).cast("int")).drop("splits")
+    if strip is not None:
+        spread = restore(strip(spread).repartition("cx", "cy", "salt"))
     repeated = small.join(hot, ["cx", "cy"], "left").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("splits"), F.lit(1)) - 1))).drop("splits")
     return spread.join(repeated, ["cx", "cy", "salt"]).filter(condition).drop("salt")

@@ -72,6 +72,24 @@ def _trip_cells(trips: DataFrame, size: float) -> DataFrame:
         grid.boxed(several, "a", "a", BUFFER_M, several=True))
 
 
+def _stripped(left: DataFrame) -> DataFrame:
+    """Trips' rows as they are shuffled: the ends of their pieces, without directions and boxes, which follow from them."""
+    return _each_piece(left.drop(*[c for c in left.columns if c.startswith("a_")]), G.unframed)
+
+
+def _restored(left: DataFrame) -> DataFrame:
+    def piece(s):
+        f = G.framed(s, numbered=False)
+        return F.struct(*[f[c].alias(c) for c in PIECE])
+
+    return grid.boxed(_each_piece(left, piece), "a", "a", BUFFER_M, several=True)
+
+
+def _each_piece(left: DataFrame, body) -> DataFrame:
+    a = F.col("a")
+    return left.withColumn("a", F.when(F.size(a) == 1, F.array(body(a[0]))).otherwise(F.transform(a, body)))
+
+
 def _street_cells(ways: DataFrame, size: float) -> DataFrame:
     """(osm_id, cx, cy, b): the distinct pieces of each street by cell, with its name and class."""
     each = ways.select("osm_id", F.col("name").alias("hname"), F.col("lts").alias("stress_lev"),
@@ -95,7 +113,8 @@ def touching_pieces(trips: DataFrame, ways: DataFrame, size: float = grid.CELL_M
     met = f"CASE WHEN {single} THEN {touch('a[0]', 'b[0]')} ELSE exists(a, x -> exists(b, y -> {touch('x', 'y')})) END"
     left = _trip_cells(trips, size)
     right = grid.boxed(_street_cells(ways, size), "b", "b", BUFFER_M, several=True)
-    joined = grid.cell_join(left, right, grid.boxes_meet("a", "b") & F.expr(met), "trip_id", max_broadcast, share)
+    joined = grid.cell_join(left, right, grid.boxes_meet("a", "b") & F.expr(met), "trip_id", max_broadcast, share,
+                            _stripped, _restored)
     near = joined.withColumns({
         "a": F.expr(f"CASE WHEN {single} THEN a ELSE filter(a, x -> exists(b, y -> {touch('x', 'y')})) END"),
         "b": F.expr(f"CASE WHEN {single} THEN b ELSE filter(b, y -> exists(a, x -> {touch('x', 'y')})) END")})
@@ -112,8 +131,8 @@ def touching_pieces(trips: DataFrame, ways: DataFrame, size: float = grid.CELL_M
 
 
 def overlap(trips: DataFrame, ways: DataFrame, size: float = grid.CELL_M,
-            max_broadcast: int = BROADCAST_BYTES, share: int = grid.HOT_SHARE) -> DataFrame:
-    """One row per touching (band, trip_id, osm_id): hname, stress_lev, seg_area, shape.
+            max_broadcast: int = BROADCAST_BYTES, share: int = grid.HOT_SHARE, named: bool = True) -> DataFrame:
+    """One row per touching (band, trip_id, osm_id): hname (if ``named``), stress_lev, seg_area, shape.
 
     ``shape`` is equal for two streets of a trip exactly when their overlap regions are equal; it
     stands in for the geometry wherever that is a grouping key. Areas are rounded to 1e-6 square
@@ -127,15 +146,16 @@ def overlap(trips: DataFrame, ways: DataFrame, size: float = grid.CELL_M,
     area = F.round("m.area", AREA_DIGITS)
     in_cell = F.when(area > 0, F.xxhash64("cx", "cy", F.rint(area * MOMENT_SCALE).cast("long"),
                                           "m.mx", "m.my", "m.mxx", "m.mxy", "m.myy"))
+    name = ["hname"] if named else []
     return (
-        measured.select("band", "trip_id", "osm_id", "hname", "stress_lev", "m.area", in_cell.alias("in_cell"))
+        measured.select("band", "trip_id", "osm_id", *name, "stress_lev", "m.area", in_cell.alias("in_cell"))
         .repartition("band", "trip_id")
         # cells first, in a hash table of numbers; what is left for the names is a row per trip and street
-        .groupBy("band", "trip_id", "osm_id", "hname", "stress_lev")
+        .groupBy("band", "trip_id", "osm_id", *name, "stress_lev")
         .agg(F.sum("area").alias("area"), F.bit_xor("in_cell").alias("in_cell"))
         .groupBy("band", "trip_id", "osm_id")
         .agg(
-            F.max("hname").alias("hname"), F.min("stress_lev").alias("stress_lev"),
+            *[F.max(c).alias(c) for c in name], F.min("stress_lev").alias("stress_lev"),
             F.round(F.sum("area"), AREA_DIGITS).alias("seg_area"),
             F.coalesce(F.bit_xor("in_cell"), F.lit(0)).cast("long").alias("shape"),
         )

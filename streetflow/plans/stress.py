@@ -71,7 +71,7 @@ def _lengths(df: DataFrame, length: str) -> DataFrame:
 
 def stress_area_by_trip(trips: DataFrame, ways: DataFrame, **options) -> DataFrame:
     """Trips with their class areas; trips that meet no street keep NULLs."""
-    areas = area_by_class(overlap_trip_street(trips, ways, **options))
+    areas = area_by_class(overlap_trip_street(trips, ways, named=False, **options))
     return trips.join(areas, ["band", "trip_id"], "left")
 
 

@@ -585,6 +585,25 @@ def test_groups_of_pieces_are_not_shuffled_and_straight_runs_are_one_piece(spark
     assert area["1", "1"] == pytest.approx(110 * 3) and area == pytest.approx(finer)
 
 
+def test_trips_are_shuffled_to_cells_as_the_ends_of_their_pieces(spark):
+    """Directions and boxes are made again after the shuffle, and names that nobody asks for are not shuffled."""
+    ways = spark.createDataFrame([way(1, [(0, 0), (500, 30)]), way(2, [(150, -90), (150, 20), (260, 90)], lts="2"), way(3, [(400, 0), (400, 300)])], WAY)
+    trips = spark.createDataFrame([trip(1, [(10, 1), (450, 25)]), trip(2, [(140, -80), (152, 15), (300, 90)]), trip(3, [(402, 310), (401, 5)])], TRIP)
+    left = O._trip_cells(trips, 200.0)
+    bare = O._stripped(left)
+    assert bare.columns == ["band", "trip_id", "cx", "cy", "a"] and bare.schema["a"].dataType.elementType.names == list(G.SEGMENT)
+
+    def rows(df):
+        return sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+
+    assert rows(O._restored(bare)) == rows(left)
+    spread = O.touching_pieces(trips, ways, max_broadcast=0, share=4)
+    assert "RepartitionByExpression [cx" in spread._jdf.queryExecution().optimizedPlan().toString()
+    plain = ["band", "trip_id", "osm_id", "stress_lev", "seg_area", "shape"]
+    named, unnamed = O.overlap(trips, ways), O.overlap(trips, ways, max_broadcast=0, share=4, named=False)
+    assert unnamed.columns == plain and rows(unnamed) == rows(named.select(*plain))
+
+
 def test_vertices_on_a_straight_run_are_dropped_and_turns_are_kept(spark):
     lines = {
         "run": ([(0, 0), (1, 0), (1, 0), (2, 0), (5, 0)], [(0, 0), (5, 0)]), "back": ([(0, 0), (5, 0), (2, 0)], [(0, 0), (5, 0), (2, 0)]),
