@@ -76,18 +76,22 @@ def segment_length(s: Column) -> Column:
     return F.hypot(s["x1"] - s["x0"], s["y1"] - s["y0"])
 
 
-def framed(s: Column, numbered: bool = True) -> Column:
+def framed(s: Column) -> Column:
     """The segment with what buffer tests need, computed once before the join: unit direction (ux, uy),
     half length h, unit direction (vx, vy) of the next segment, and the outer side of the corner
-    (1 left, -1 right, 0 no corner). Without ``numbered``, the segment has no place in a line.
+    (1 left, -1 right, 0 no corner).
     """
+    return F.struct(s["seg"].alias("seg"), *frame(s))
+
+
+def frame(s: Column) -> list[Column]:
+    """The fields of ``framed`` but the segment's place in its line."""
     n = segment_length(s)
     n2 = F.nullif(F.hypot(s["x2"] - s["x1"], s["y2"] - s["y1"]), F.lit(0.0))
-    raw = [s[f].alias(f) for f in (("seg", *SEGMENT) if numbered else SEGMENT)]
-    return F.struct(
-        *raw, ((s["x1"] - s["x0"]) / n).alias("ux"), ((s["y1"] - s["y0"]) / n).alias("uy"), (n / 2).alias("h"),
+    return [
+        *[s[f].alias(f) for f in SEGMENT], ((s["x1"] - s["x0"]) / n).alias("ux"), ((s["y1"] - s["y0"]) / n).alias("uy"), (n / 2).alias("h"),
         ((s["x2"] - s["x1"]) / n2).alias("vx"), ((s["y2"] - s["y1"]) / n2).alias("vy"),
-        F.coalesce(-F.signum(turn(s)), F.lit(0.0)).alias("side"))
+        F.coalesce(-F.signum(turn(s)), F.lit(0.0)).alias("side")]
 
 
 def unframed(s: Column) -> Column:

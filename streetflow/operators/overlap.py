@@ -78,11 +78,7 @@ def _stripped(left: DataFrame) -> DataFrame:
 
 
 def _restored(left: DataFrame) -> DataFrame:
-    def piece(s):
-        f = G.framed(s, numbered=False)
-        return F.struct(*[f[c].alias(c) for c in PIECE])
-
-    return grid.boxed(_each_piece(left, piece), "a", "a", BUFFER_M, several=True)
+    return grid.boxed(_each_piece(left, lambda s: F.struct(*G.frame(s))), "a", "a", BUFFER_M, several=True)
 
 
 def _each_piece(left: DataFrame, body) -> DataFrame:
